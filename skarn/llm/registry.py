@@ -17,6 +17,16 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"), digest=True)
 
 
+#: Target shares; the other sources share the rest in proportion to their rows.
+WEIGHTS = {"src0": 0.2, "src1": 0.1, "src2": 0.1}
+
+
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(_table(spark, sf_dir, "documents"), WEIGHTS)
+
+
 def op3_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dup import near_duplicates
 
@@ -30,6 +40,12 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cascade(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import judge
+
+    return judge(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -39,13 +55,51 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_source_mixing": op1_source_mixing,
     "op3_minhash_near_dup": op3_minhash_near_dup,
     "op4_quality_rules": op4_quality_rules,
+    "op6_url_filter": op6_url_filter,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
+_URL = r"(?s)^.*?://([^/?#]*)([^?#]*)(\?[^#]+)?"
+_HOST = "translate(coalesce(regexp_extract({0}, '" + _URL + "', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_PATH = "coalesce(regexp_extract({0}, '" + _URL + "', 2), '')"
+_RULE = """CASE WHEN (h = 'example.net' OR ends_with(h, '.example.net')) AND starts_with(p, '/en/') THEN 'example.net/en/'
+  WHEN (h = 'example.com' OR ends_with(h, '.example.com')) AND starts_with(p, '/de/') THEN 'example.com/de/'
+  WHEN (h = 'org' OR ends_with(h, '.org')) AND starts_with(p, '/fr/') THEN 'org/fr/'
+  WHEN (h = 'net' OR ends_with(h, '.net')) AND starts_with(p, '/') THEN 'net/' END"""
+_KEY = "CASE WHEN contains({0}, '://') THEN '://' || " + _HOST + " || " + _PATH + " || regexp_extract({0}, '" + _URL + "', 3) END"
+_LINK = "CASE WHEN contains({0}, '://') THEN {0} WHEN starts_with({0}, '//') THEN ':' || {0} WHEN starts_with({0}, '/') THEN '://' || " + _HOST.format("url") + " || {0} END"
+
 ORACLES: dict[str, str] = {
+    "op1_source_mixing": """
+WITH w(source, weight) AS (VALUES ('src0', 0.2::DOUBLE), ('src1', 0.1::DOUBLE), ('src2', 0.1::DOUBLE)),
+k AS (SELECT s.source, s.n, weight FROM (SELECT source, count(*) AS n FROM documents GROUP BY source) s LEFT JOIN w ON s.source = w.source),
+t AS (SELECT sum(n) AS n_all, sum(weight) AS w_all, sum(n) FILTER (weight IS NULL) AS n_free FROM k),
+r AS (SELECT source, CASE WHEN weight IS NULL THEN greatest(0, 1 - coalesce(w_all, 0)) * n_all / n_free ELSE weight * (CASE WHEN n_free IS NULL THEN 1 / w_all ELSE 1 END) * n_all / n END AS rate FROM k, t),
+c AS (SELECT source, sum(exp(-rate) * pow(rate, i) / gamma(i + 1)) OVER (PARTITION BY source ORDER BY i) AS c FROM r, range(0, 161) g(i)),
+l AS (SELECT source, list(c) AS cdf FROM c GROUP BY source),
+d AS (SELECT d.*, coalesce(doc_id::VARCHAR, md5(coalesce(text, ''))) AS nm FROM documents d),
+u AS (SELECT d.*, ('0x' || substr(md5('count17|0|' || nm), 1, 13))::BIGINT::DOUBLE / 4503599627370496 AS x FROM d),
+n AS (SELECT u.*, len(list_filter(cdf, lambda v: v <= x)) AS copies FROM u JOIN l ON u.source IS NOT DISTINCT FROM l.source),
+e AS (SELECT *, unnest(range(copies)) AS copy FROM n)
+SELECT doc_id, text, lang, source, n_chars, copies::INTEGER AS copies, copy::INTEGER AS copy, ('0x' || substr(md5('place17|' || copy || '|' || nm), 1, 15))::BIGINT AS place FROM e""",
+    "op6_url_filter": f"""
+WITH RECURSIVE l AS (SELECT page_id, url, {_HOST.format("url")} AS h, {_PATH.format("url")} AS p, {_KEY.format("url")} AS k,
+  replace(regexp_extract(regexp_extract(html, '(?is)<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical["''\\s/>][^>]*>?', 0), '(?is)\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1), '&amp;', '&') AS can,
+  replace(regexp_extract(regexp_extract(html, '(?is)<meta\\b[^>]*http-equiv\\s*=\\s*["'']?refresh["''\\s][^>]*>', 0), '(?is)\\burl\\s*=\\s*["'']?([^"''\\s>]+)', 1), '&amp;', '&') AS red FROM pages),
+t AS (SELECT k AS a, {_LINK.format("can")} AS b FROM l UNION SELECT k, {_LINK.format("red")} FROM l),
+e AS (SELECT a, {_KEY.format("b")} AS b FROM t WHERE a IS NOT NULL AND b IS NOT NULL),
+ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach(a, b) AS (SELECT a, b FROM ways UNION SELECT reach.a, ways.b FROM reach JOIN ways ON reach.b = ways.a),
+ends AS (SELECT a, b, {_HOST.format("b")} AS h, {_PATH.format("b")} AS p FROM reach),
+tainted AS (SELECT DISTINCT a FROM ends WHERE {_RULE} IN ('net/', 'example.com/de/')),
+j AS (SELECT page_id, k, h, p, {_RULE} AS rule FROM l)
+SELECT page_id, h AS host, p AS path, rule,
+  CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN tainted.a IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict
+FROM j LEFT JOIN tainted ON j.k = tainted.a""",
     "op4_quality_rules": r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
   list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls FROM documents),
