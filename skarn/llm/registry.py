@@ -27,6 +27,12 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"), WEIGHTS)
 
 
+def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import round_trip
+
+    return round_trip(_table(spark, sf_dir, "documents"))
+
+
 def op3_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dup import near_duplicates
 
@@ -56,6 +62,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
+    "op2_media_columns": op2_media_columns,
     "op3_minhash_near_dup": op3_minhash_near_dup,
     "op4_quality_rules": op4_quality_rules,
     "op6_url_filter": op6_url_filter,
