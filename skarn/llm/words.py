@@ -21,6 +21,10 @@ U64 = np.uint64
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: White space and all other ASCII characters but letters and digits.
+MARKS = _SPACE.copy()
+MARKS[:128] = True
+MARKS[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
 _SAME = np.arange(256, dtype=np.uint8)
 _LOWER = _SAME.copy()
 _LOWER[65:91] += 32
@@ -98,7 +102,8 @@ def pieces(texts: pa.Array, size: int = PIECE) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
-def words_of(texts: pa.Array, lower: bool = False) -> Words:
+def words_of(texts: pa.Array, lower: bool = False, breaks: np.ndarray = _SPACE) -> Words:
+    """Words of all texts; ``breaks`` says which bytes stand between words."""
     raw, at = text_buffers(texts)
     n = len(raw)
     if not n:
@@ -106,7 +111,7 @@ def words_of(texts: pa.Array, lower: bool = False) -> Words:
         return Words(raw, none, none, np.zeros(len(at), np.int64), np.zeros(0, U64))
     edge = np.zeros(n + 1, bool)
     edge[at] = True
-    space = _SPACE[raw]
+    space = breaks[raw]
     solid = ~space
     begins = solid & edge[:-1]
     begins[1:] |= solid[1:] & space[:-1]
