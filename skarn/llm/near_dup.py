@@ -183,18 +183,33 @@ def _bounds(table: pa.Table, columns: list[str]) -> np.ndarray:
     return np.append(np.flatnonzero(new), len(new))
 
 
-def _forest(linked: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A star for each connected component of a small symmetric matrix: (document, least document)."""
-    label = np.argsort(np.argsort(docs, kind="stable"), kind="stable")
-    linked = linked | np.eye(len(docs), dtype=bool)
+def _labels(linked: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The least rank that each node of a small symmetric matrix reaches."""
+    linked = linked | np.eye(len(rank), dtype=bool)
+    label = rank
     while True:
-        new = np.where(linked, label[None, :], len(docs)).min(1)
+        new = np.where(linked, label[None, :], len(rank)).min(1)
+        new = new[np.argsort(rank)][new]  # jump
         if (new == label).all():
-            break
+            return label
         label = new
-    least = np.sort(docs)[label]
-    away = least != docs
-    return docs[away], least[away]
+
+
+def _forest(linked: np.ndarray, docs: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect what ``linked`` connects: (document, least document).
+
+    Rows of one block: a star for each component.  Rows of two blocks: what is connected inside a block is left to the group of
+    that block alone, so two blocks of copies give one edge, not one a row.
+    """
+    order = np.argsort(docs, kind="stable")
+    rank = np.argsort(order, kind="stable")
+    label = _labels(linked, rank)
+    same = block[:, None] == block[None, :]
+    node = rank if same.all() else np.unique(_labels(linked & same, rank))
+    least = label[order[node]]
+    away = least != node
+    docs = docs[order]
+    return docs[node[away]], docs[least[away]]
 
 
 def _edges(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
@@ -220,10 +235,7 @@ def _collisions(table: pa.Table) -> Iterator[pa.RecordBatch]:
         count = np.zeros((hi - lo, hi - lo), np.uint8)
         for c in range(COORDINATES):
             count += s[:, None, c] == s[None, :, c]
-        linked = count >= MATCHES
-        if i[lo] != j[lo]:
-            linked &= block[lo:hi, None] != block[None, lo:hi]
-        x, y = _forest(linked, d)
+        x, y = _forest(count >= MATCHES, d, block[lo:hi])
         a.append(x)
         b.append(y)
     yield _edges(a, b)
@@ -258,7 +270,7 @@ def shared(sets: list[np.ndarray]) -> np.ndarray:
 def _links(percent: int):
     def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
         bounds = _bounds(table, BLOCKS)
-        docs, block, i, j = (table.column(c).to_numpy() for c in ("doc", "block", "i", "j"))
+        docs, block = (table.column(c).to_numpy() for c in ("doc", "block"))
         a, b = [], []
         blobs = table.column("shingles")
         for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
@@ -267,10 +279,7 @@ def _links(percent: int):
             sets = [np.frombuffer(x, U64) for x in blobs.slice(lo, hi - lo).to_pylist()]
             inter = shared(sets)
             n = np.diagonal(inter)
-            linked = 100 * inter >= percent * (n[:, None] + n[None, :] - inter)
-            if i[lo] != j[lo]:
-                linked &= block[lo:hi, None] != block[None, lo:hi]
-            x, y = _forest(linked, docs[lo:hi])
+            x, y = _forest(100 * inter >= percent * (n[:, None] + n[None, :] - inter), docs[lo:hi], block[lo:hi])
             a.append(x)
             b.append(y)
         yield _edges(a, b)
