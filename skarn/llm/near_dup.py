@@ -306,8 +306,8 @@ def in_blocks(rows: DataFrame, *carry: str) -> DataFrame:
     return pair.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc", *carry)
 
 
-def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` for every row of ``docs``."""
+def components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``doc`` (``doc_id``, or a number of ``NO_ID`` or more for a row without), ``n_shingles`` and ``component`` for every row of ``docs``."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
     texts = keyed(docs.select("doc_id", "text"))
@@ -340,12 +340,24 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, b
     lead = classes.join(linked.withColumnRenamed("node", "doc"), "doc", "left").where("last > doc OR component IS NOT NULL").select("a", "b", F.coalesce("component", "doc").alias("lead"))
     lead = scratch.write(lead, "lead")
     found = prints.select("doc", "n", "a", "b").join(lead, ["a", "b"], "left")
-    component = F.coalesce("lead", "doc")
-    out = found.select(
-        F.when(F.col("doc") < NO_ID, F.col("doc")).alias("doc_id"),
-        F.col("n").alias("n_shingles"),
-        F.when(component < NO_ID, component).alias("component_id"),
-        (component == F.col("doc")).alias("kept"),
-    )
     scratch.drop("classes", "posted", "lists", "many", "blocks", "member", "linked")
-    return out
+    return found.select("doc", F.col("n").alias("n_shingles"), F.coalesce("lead", "doc").alias("component"))
+
+
+def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` for every row of ``docs``."""
+    known = lambda c: F.when(F.col(c) < NO_ID, F.col(c))
+    return components(docs, size, percent).select(known("doc").alias("doc_id"), "n_shingles", known("component").alias("component_id"), (F.col("doc") == F.col("component")).alias("kept"))
+
+
+def keep_first(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The rows of ``docs`` whose document is the least of its component, with their own columns.
+
+    The ids that go are broadcast up to ``broadcast_bytes``; more of them are joined by a shuffle.
+    """
+    scratch = Scratch(docs.sparkSession, "first")
+    gone = scratch.write(components(docs, size, percent).where("doc <> component").select(F.col("doc").alias("skarn_doc")).distinct(), "gone")
+    if 16 * gone.count() <= broadcast_bytes:
+        gone = F.broadcast(gone)
+    packed = docs.select(F.struct("*").alias("skarn_row"), "doc_id", "text")
+    return keyed(packed).withColumnRenamed("doc", "skarn_doc").join(gone, "skarn_doc", "left_anti").select("skarn_row.*")
