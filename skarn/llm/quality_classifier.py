@@ -31,7 +31,9 @@ AGAIN = 1 << BITS
 GRAMS = (3, 4)
 SIZE = 8
 PER_CLASS = 1000
+#: Passes over the sample, and the least number of steps, which small samples reach by more passes.
 EPOCHS = 6
+STEPS = 300
 BATCH = 50
 RATE = 0.5
 THRESHOLD = 0.3
@@ -94,7 +96,7 @@ class Model:
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int = SEED) -> Model:
-    """Stochastic gradient descent (Adagrad steps) over batches of documents given as buckets and counts."""
+    """Stochastic gradient descent (Adagrad steps) over batches of documents given as buckets and counts; both classes weigh the same."""
     rng = np.random.default_rng(seed)
     model = Model(rng.normal(0, 0.1, (BUCKETS, SIZE)), np.zeros((SIZE, 2)), np.zeros(2))
     seen = [np.full(x.shape, 1e-8) for x in (model.vectors, model.output, model.bias)]
@@ -103,7 +105,8 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: i
         total += slope * slope
         value -= RATE * slope / np.sqrt(total + 1e-2)
 
-    for _ in range(EPOCHS):
+    balance = len(labels) / (2 * np.maximum(np.bincount(labels, minlength=2), 1))
+    for _ in range(max(EPOCHS, -(-STEPS * BATCH // len(rows)))):
         turn = rng.permutation(len(rows))
         for lo in range(0, len(turn), BATCH):
             pick = turn[lo : lo + BATCH]
@@ -116,7 +119,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: i
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             p[np.arange(len(pick)), labels[pick]] -= 1
-            p /= len(pick)
+            p *= balance[labels[pick], None] / len(pick)
             back = p @ model.output.T
             slope = np.stack([np.bincount(bucket, share * back[owner, d], BUCKETS) for d in range(SIZE)], 1)
             step(model.output, seen[1], mean.T @ p)
