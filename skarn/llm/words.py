@@ -125,6 +125,17 @@ def words_of(texts: pa.Array, lower: bool = False, breaks: np.ndarray = _SPACE)
     return Words(raw, starts, ends, np.searchsorted(starts, at), hashes)
 
 
+def prefixes(words: Words, k: int, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the words longer than ``k`` bytes, and hashes of their first ``k`` bytes."""
+    n = len(words.data)
+    longer = np.flatnonzero(words.ends - words.starts > k)
+    up, down = _BYTES.get(n + 1)
+    sums = np.zeros(n + 1, U64)
+    np.cumsum(((_LOWER if lower else _SAME)[words.data].astype(U64) + U64(1)) * up[:n], out=sums[1:])
+    at = words.starts[longer]
+    return longer, mix((sums[at + k] - sums[at]) * down[at], k)
+
+
 def windows(words: Words, k: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Positions (in ``words``) at which a window of ``k`` words of one text starts, and the windows' hashes."""
     n = len(words.hashes)
