@@ -87,7 +87,8 @@ def cleaning_fold(raw: DataFrame, prior: DataFrame | None = None, order: tuple[s
 def first_valid_by_url(rows: DataFrame, order: str) -> DataFrame:
     """Reject reason by URL alone: the first row of each canonical URL in ``order`` is accepted."""
     norm = normal_url(F.col("url"))
-    place = F.row_number().over(W.partitionBy("norm_url").orderBy(order))
+    spread = F.when(F.col("norm_url") == "", F.pmod(F.xxhash64(order), F.lit(64)))  # rows without a URL are not ranked together
+    place = F.row_number().over(W.partitionBy("norm_url", spread).orderBy(order))
     reason = F.when(F.col("norm_url") == "", "missing_url").when(F.col("place") > 1, "duplicate_url")
     return rows.withColumn("norm_url", norm).withColumn("place", place).withColumn("reject_reason", reason).drop("place")
 
