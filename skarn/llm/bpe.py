@@ -10,7 +10,7 @@ which all neighbours fit is the merge result.  Fits are memoised and no place is
 length of the match.
 
 Defined cases: null or empty text gives no tokens and no bytes; equal rows give equal results; extra columns are not
-returned (``keep`` names those that are).  Memory: one text, and memos of at most ``MEMO`` entries a worker.
+returned (``keep`` names those that are).  Memory: one text, and memos of a bounded number of entries a worker.
 """
 
 from __future__ import annotations
@@ -27,7 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MEMO = 1 << 19
+#: Entries of the memo of fits, and of each of the two generations of the memo of matches.
+FITS = 1 << 18
+MEMO = 1 << 17
 LONG = 64
 #: Upper bound of the vocabulary that is broadcast.
 VOCABULARY_BYTES = 64 << 20
@@ -61,6 +63,7 @@ class Codec:
         self.fits: dict[tuple[int, int], bool] = {}
         self.whole: dict[int, bool] = {}
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def merged(self, raw: bytes) -> list[int]:
         """The definition: merge the leftmost adjacent pair of least rank until none is left."""
@@ -84,7 +87,7 @@ class Codec:
     def _fit(self, left: int, right: int) -> bool:
         found = self.fits.get((left, right))
         if found is None:
-            if len(self.fits) >= MEMO:
+            if len(self.fits) >= FITS:
                 self.fits.clear()
             found = self.fits[left, right] = self.merged(self.tokens[left] + self.tokens[right]) == [left, right]
         return found
@@ -122,10 +125,13 @@ class Codec:
         for piece in self.find(text):
             ids = memo.get(piece)
             if ids is None:
-                ids = np.array(self.piece(piece.encode()), "<u4").tobytes()
+                ids = self.older.get(piece)
+                if ids is None:
+                    ids = np.array(self.piece(piece.encode()), "<u4").tobytes()
                 if len(piece) <= LONG:
-                    if len(memo) >= MEMO:
-                        memo.clear()
+                    if len(memo) >= MEMO:  # matches not seen since the last turn are forgotten
+                        self.older, self.memo = memo, {}
+                        memo = self.memo
                     memo[piece] = ids
             parts.append(ids)
         return b"".join(parts)

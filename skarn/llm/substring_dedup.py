@@ -48,7 +48,7 @@ ROWS = 3
 SKETCH_BITS = 3 << 28
 SHARDS = 64
 #: Windows that a task holds before it resolves and passes them on.
-BUFFER = 1 << 20
+BUFFER = 1 << 18
 #: The removed ranges are broadcast up to this size; beyond it they are joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
 #: Documents without an id get one from here on, by their text.
