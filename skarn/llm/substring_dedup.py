@@ -17,8 +17,10 @@ Method: count-min prefilter, then exact grouping.
    back, and everything else is a repeat.
 4. The places become word ranges for each document, and a last pass over the texts applies them.
 
-The merged sketch is the only thing sent to every executor.  It has ``2 * ROWS`` cells (bits) for each minimiser, up to
-``SKETCH_BITS`` in all; on a larger corpus its estimates are coarser, more windows reach step 3, and results stay the same.
+The merged sketch is the only thing sent to every executor.  It has ``2 * ROWS`` cells (bits) or more for each minimiser and
+``SKETCH_BITS`` at most.  A corpus that needs more than that (about 0.8 billion words) would saturate it, so there minimisers are
+counted by a shuffle of their hashes, one row for each (document, place), and the repeated places come back to their
+documents by joins: linear in the corpus, nothing broadcast, and the steps after it are the same.
 
 Defined cases: null text is empty; rows that share a ``doc_id`` are one document, so a repeated row does not remove its twin;
 rows without ``doc_id`` sort after all others and are one document where their texts are equal; shorter texts than ``width``
@@ -172,8 +174,27 @@ def _merged(bits: int):
 WINDOW_SCHEMA = "kind int, a long, b long, doc long, place int, places array<int>"
 
 
+def _places(width: int, inner: int):
+    """Hash, document and place of every minimiser."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = _ids(batch), batch.column("text")
+            for lo, hi in pieces(texts):
+                w = words_of(texts[lo:hi])
+                _, place, least = minimisers(w, width, inner)
+                place, first = np.unique(place, return_index=True)
+                doc = w.owner()[place] if len(place) else place
+                yield pa.RecordBatch.from_arrays([pa.array(least[first].view(np.int64)), pa.array(ids[lo:hi][doc]), pa.array((place - w.first[doc]).astype(np.int32))], ["hash", "doc", "place"])
+
+    return run
+
+
 def _candidates(width: int, inner: int, bits: int, sketch):
-    """Windows whose estimate is 2 or more: repeats inside a buffer (kind 1, by document) and one row for each sequence (kind 0)."""
+    """Windows whose estimate is 2 or more: repeats inside a buffer (kind 1, by document) and one row for each sequence (kind 0).
+
+    Without a sketch the rows bring the repeated places of their minimisers as ``hits``.
+    """
 
     def flush(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         a, b, doc, place = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -196,20 +217,26 @@ def _candidates(width: int, inner: int, bits: int, sketch):
         yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), none, none, pa.array(doc[cut]), pa.nulls(m, pa.int32()), lists], ["kind", "a", "b", "doc", "place", "places"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [np.frombuffer(x, np.uint8) for x in sketch.value]
+        rows = [np.frombuffer(x, np.uint8) for x in sketch.value] if sketch else []
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
         for batch in batches:
             ids, texts = _ids(batch), batch.column("text")
+            hits = None if sketch else batch.column("hits")
             for lo, hi in pieces(texts):
                 w = words_of(texts[lo:hi])
                 at, place, least = minimisers(w, width, inner)
                 if not len(at):
                     continue
                 place, first, back = np.unique(place, return_index=True, return_inverse=True)
-                seen = np.ones(len(first), bool)
-                for row, cell in zip(rows, cells(least[first], bits), strict=True):
-                    seen &= (row[cell >> np.uint32(3)] >> (np.uint8(7) - (cell & np.uint32(7)).astype(np.uint8))) & np.uint8(1) == 1
+                if hits is None:
+                    seen = np.ones(len(first), bool)
+                    for row, cell in zip(rows, cells(least[first], bits), strict=True):
+                        seen &= (row[cell >> np.uint32(3)] >> (np.uint8(7) - (cell & np.uint32(7)).astype(np.uint8))) & np.uint8(1) == 1
+                else:
+                    known = hits[lo:hi]
+                    owner = np.repeat(np.arange(hi - lo), pc.fill_null(pc.list_value_length(known), 0).to_numpy(zero_copy_only=False))
+                    seen = np.isin(place, w.first[owner] + known.flatten().to_numpy(zero_copy_only=False))
                 pick = seen[back]
                 _, a = windows(w, width)
                 _, b = windows(w, width, 1)
@@ -293,19 +320,30 @@ def removed_ranges(docs: DataFrame, width: int = WIDTH, inner: int = INNER, sket
 
     n_words = prints.agg(F.sum("n_words")).first()[0] or 0
     expected = max(1, 2 * n_words // (width - inner + 2))  # minimisers: two of each inner + 2 places on random text
-    bits = min(max(12, (2 * expected - 1).bit_length()), (sketch_bits // ROWS).bit_length() - 1, 31)
+    bits = max(12, (2 * expected - 1).bit_length())
     left = texts.join(copies.select(F.col("doc").alias("skarn_doc")), "skarn_doc", "left_anti")
-    partial = left.mapInArrow(_sketches(width, inner, bits), SKETCH_SCHEMA)
-    merged = partial.repartition("shard").sortWithinPartitions("shard").mapInArrow(_merged(bits), "shard int, bitmap binary")
-    sketch = [bytearray(1 << (bits - 3)) for _ in range(ROWS)]
-    part = 1 << (bits - 9)
-    for row in merged.collect():  # at most sketch_bits
-        r, s = divmod(row.shard, SHARDS)
-        sketch[r][s * part : (s + 1) * part] = zlib.decompress(row.bitmap)
-    sent = spark.sparkContext.broadcast([bytes(x) for x in sketch])
-
-    found = scratch.write(left.mapInArrow(_candidates(width, inner, bits, sent), WINDOW_SCHEMA), "windows", "kind")
-    sent.unpersist()
+    sent = None
+    if ROWS << bits <= sketch_bits:
+        partial = left.mapInArrow(_sketches(width, inner, bits), SKETCH_SCHEMA)
+        merged = partial.repartition("shard").sortWithinPartitions("shard").mapInArrow(_merged(bits), "shard int, bitmap binary")
+        sketch = [bytearray(1 << (bits - 3)) for _ in range(ROWS)]
+        part = 1 << (bits - 9)
+        for row in merged.collect():  # at most sketch_bits
+            r, s = divmod(row.shard, SHARDS)
+            sketch[r][s * part : (s + 1) * part] = zlib.decompress(row.bitmap)
+        sent = spark.sparkContext.broadcast([bytes(x) for x in sketch])
+        wanted = left
+    else:
+        minimal = left.mapInArrow(_places(width, inner), "hash long, doc long, place int")
+        often = scratch.write(minimal.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "often")
+        hits = minimal.join(often, "hash").groupBy("doc").agg(F.collect_list("place").alias("hits"))
+        wanted = left.join(scratch.write(hits, "hits").withColumnRenamed("doc", "skarn_doc"), "skarn_doc")
+
+    found = scratch.write(wanted.mapInArrow(_candidates(width, inner, bits, sent), WINDOW_SCHEMA), "windows", "kind")
+    if sent:
+        sent.unpersist()
+    else:
+        scratch.drop("often", "hits")
     rows = found.where("kind = 0").select("a", "b", "doc", "place")
     least = rows.groupBy("a", "b").agg(F.min(F.struct("doc", "place")).alias("m"), F.max(F.struct("doc", "place")).alias("x")).where("m < x")
     least = scratch.write(least.select("a", "b", F.col("m.doc").alias("first_doc"), F.col("m.place").alias("first_place")), "least")
