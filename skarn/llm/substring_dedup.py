@@ -51,7 +51,7 @@ SKETCH_BITS = 3 << 28
 SHARDS = 64
 #: Windows that a task holds before it resolves and passes them on.
 BUFFER = 1 << 18
-#: The removed ranges are broadcast up to this size; beyond it they are joined by a shuffle.
+#: The ids of whole copies, and the removed ranges, are broadcast up to this size; beyond it they are joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
 #: Documents without an id get one from here on, by their text.
 NO_ID = 1 << 62
@@ -321,7 +321,10 @@ def removed_ranges(docs: DataFrame, width: int = WIDTH, inner: int = INNER, sket
     n_words = prints.agg(F.sum("n_words")).first()[0] or 0
     expected = max(1, 2 * n_words // (width - inner + 2))  # minimisers: two of each inner + 2 places on random text
     bits = max(12, (2 * expected - 1).bit_length())
-    left = texts.join(copies.select(F.col("doc").alias("skarn_doc")), "skarn_doc", "left_anti")
+    gone = copies.select(F.col("doc").alias("skarn_doc"))
+    if 16 * copies.count() <= BROADCAST_BYTES:  # else Spark chooses, and may shuffle the texts
+        gone = F.broadcast(gone)
+    left = texts.join(gone, "skarn_doc", "left_anti")
     sent = None
     if ROWS << bits <= sketch_bits:
         partial = left.mapInArrow(_sketches(width, inner, bits), SKETCH_SCHEMA)
