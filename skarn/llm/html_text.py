@@ -1,9 +1,12 @@
 """Main text of HTML pages: site template removal, then element rules.
 
-Method: every page is parsed into a tree; each element outside the main content (``article``, ``main``) gives a hash of its whole
-subtree (tags, classes, links, text).  Spark counts each hash once a page for each host, and subtrees that recur on at least ``LEAST_PAGES``
-pages and ``LEAST_SHARE`` of a host's pages are that site's template; a second parse deletes them.  Main content is not
-counted, so texts that a site prints on many pages stay.
+Method: every page is parsed into a tree; each element outside the main content (``article``, ``main``) and each box in it gives a hash of
+its whole subtree (tags, classes, links, text).  Spark counts each hash once a page for each host, and subtrees that recur on at least ``LEAST_PAGES``
+pages and ``LEAST_SHARE`` of a host's pages are that site's template; a second parse deletes them.
+
+Boxes are elements of ``BOXES`` with text that have a class, id or role, or hold a block or two elements, and paragraphs with a class, id or
+role.  Plain paragraphs, headings, list items, table cells and inline elements of main content are never deleted by themselves.  Boxes are counted apart
+from elements outside, once for each different text of a page, so an article that is printed on many pages stays.
 
 Recurrence alone can't find menus, adverts and footers whose words differ from page to page, so elements that say what they are
 (``nav``, ``aside``, ``footer``, ``form`` ..., or a class, id or role of the lists below) are deleted too.  The text of the main content
@@ -43,6 +46,8 @@ GONE = frozenset("head nav aside footer form script style noscript template ifra
 MAIN = frozenset("article main".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 NAMES = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promotion related respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
+#: Elements of main content that may be a site's box.
+BOXES = frozenset("address article blockquote center details dir div dl figure header hgroup main ol p section table ul".split())
 #: Start tags that end an open element of the same group.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Elements such an end never reaches across.
@@ -117,34 +122,53 @@ def parse(page: str) -> Node:
                 stack.append(node)
 
 
-def subtrees(root: Node) -> Iterator[Node]:
-    """Elements outside main content, children first, with their ``digest``; main content gets none."""
-    todo: list[tuple[Node, bool]] = [(root, False)]
+def boxed(node: Node) -> bool:
+    """Whether an element of main content may be a box of the site."""
+    if node.tag not in BOXES and "-" not in node.tag:
+        return False
+    if node.key != node.tag:
+        return True
+    held = [c.tag for c in node.children if isinstance(c, Node) and c.tag not in VOID]
+    return node.tag != "p" and (len(held) > 1 or not BLOCK.isdisjoint(held))
+
+
+def subtrees(root: Node) -> Iterator[tuple[Node, bool]]:
+    """Elements outside main content and boxes in it, children first, with their ``digest``, and whether they are in it; main content itself gets none."""
+    texts: set[int] = set()  # elements of main content with text
+    todo: list[tuple[Node, bool, bool, bool]] = [(root, False, False, False)]
     while todo:
-        node, ready = todo.pop()
-        if node.tag in MAIN and not node.gone(False):
-            continue
+        node, ready, inside, lost = todo.pop()
         if not ready:
-            todo.append((node, True))
-            todo += [(c, False) for c in node.children if isinstance(c, Node)]
+            top = not inside and node.tag in MAIN and not node.gone(False)
+            if (top and lost) or (inside and node.gone(True)):
+                continue
+            if not top:
+                todo.append((node, True, inside, lost))
+            lost = lost or (not inside and node.gone(False))
+            todo += [(c, False, inside or top, lost) for c in node.children if isinstance(c, Node)]
             continue
-        h = hashlib.blake2b(node.key.encode("utf-8", "replace"), digest_size=8)
+        h = hashlib.blake2b(node.key.encode("utf-8", "replace"), digest_size=8, person=b"main" if inside else b"")
         whole = True
         for c in node.children:
             if isinstance(c, Node):
                 h.update(b"<%d" % c.digest)
-                whole &= c.digest != 0
+                whole &= inside or c.digest != 0
+                if inside and id(c) in texts:
+                    texts.add(id(node))
             else:
                 h.update(b"=" + SPACES.sub(" ", c).strip().encode("utf-8", "replace"))
+                if inside and not c.isspace():
+                    texts.add(id(node))
         if whole and node.tag not in ("html", "body", "head"):
             node.digest = int.from_bytes(h.digest(), "little", signed=True) or 1
-            yield node
+            if not inside or (id(node) in texts and boxed(node)):
+                yield node, inside
 
 
 def text_of(root: Node, templates: frozenset[int] | set[int] = frozenset()) -> str:
     """Blocks of the main text, in page order, joined by two line ends."""
     if templates:
-        drop = {id(n) for n in subtrees(root) if n.digest in templates}
+        drop = {id(n) for n, _ in subtrees(root) if n.digest in templates}
     else:
         drop = set()
     has_main = False
@@ -187,14 +211,20 @@ def text_of(root: Node, templates: frozenset[int] | set[int] = frozenset()) -> s
     return "\n\n".join(blocks)
 
 
+HASHES = "key binary, host string, hash long, story long"
+
+
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Host and hash of every distinct subtree of each page, with the page's key."""
+    """Host and hash of every distinct subtree of each page, with the page's key; ``story`` is a hash of the page's text for boxes, else null."""
     for batch in batches:
         keys, hosts, pages = (batch.column(c) for c in ("key", "host", "html"))
         for key, site, page in zip(keys.to_pylist(), hosts.to_pylist(), pages, strict=True):
-            found = list({n.digest for n in subtrees(parse(page.as_py() or ""))}) if site else []
+            root = parse(page.as_py() or "") if site else None
+            found = {n.digest: inside for n, inside in subtrees(root)} if root else {}
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array([key] * len(found), pa.binary()), pa.array([site] * len(found)), pa.array(found, pa.int64())], ["key", "host", "hash"])
+                story = hashlib.blake2b(text_of(root).encode("utf-8", "replace"), digest_size=8).digest() if any(found.values()) else b""
+                stories = [int.from_bytes(story, "little", signed=True) if inside else None for inside in found.values()]
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(found), pa.binary()), pa.array([site] * len(found)), pa.array(list(found), pa.int64()), pa.array(stories, pa.int64())], ["key", "host", "hash", "story"])
 
 
 def batched(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], rows: int = 20_000):
@@ -232,8 +262,9 @@ def _texts(sent):
 def site_templates(pages: DataFrame, scratch: Scratch, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
     """``host`` and ``hash`` of template subtrees; ``pages`` has ``key``, ``host`` and ``html``."""
     sizes = scratch.write(pages.where("host <> ''").groupBy("host").agg(F.count("*").alias("n_pages")), "sizes")
-    hashes = pages.mapInArrow(batched(_hashes), "key binary, host string, hash long").select("host", "hash")
-    counts = scratch.write(hashes.groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages), "counts")
+    hashes = pages.mapInArrow(batched(_hashes), HASHES).groupBy("host", "hash", "story").agg(F.count("*").alias("n"))
+    times = F.sum(F.when(F.col("story").isNull(), F.col("n")).otherwise(1))
+    counts = scratch.write(hashes.groupBy("host", "hash").agg(times.alias("n")).where(F.col("n") >= least_pages), "counts")
     return scratch.write(counts.join(sizes, "host").where(F.col("n") >= least_share * F.col("n_pages")).select("host", "hash"), "templates")
 
 
@@ -251,7 +282,7 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float
             sites.setdefault(row.host, set()).add(row.hash)
         out = keyed.mapInArrow(_texts(spark.sparkContext.broadcast(sites)), "page_id long, url string, text string")
     else:
-        hashes = with_key.select("key", "host", "html").mapInArrow(batched(_hashes), "key binary, host string, hash long").distinct()
+        hashes = with_key.select("key", "host", "html").mapInArrow(batched(_hashes), HASHES).select("key", "host", "hash").distinct()
         hits = hashes.join(templates, ["host", "hash"]).groupBy("key").agg(F.collect_set("hash").alias("templates"))
         out = with_key.join(scratch.write(hits, "hits"), "key", "left").mapInArrow(_texts(None), "page_id long, url string, text string")
     return out.withColumn("n_chars", F.length("text").cast("long"))

@@ -403,6 +403,20 @@ def test_site_templates(spark):
     assert html_text.extract(pages.where("1 = 0")).count() == 0
 
 
+def test_boxes_in_main_content(spark):
+    """A box that recurs within articles goes on both paths; plain paragraphs, headings, words and copies of an article stay."""
+    inner = "<h2 class=t>Summary</h2><p>As we said.</p>{}<div class=entry><p>By <a class=who href=/ann>Ann</a></p><p>story {}</p></div>"
+    box, row = "<div class=zz><p>Join <b>us</b></p></div>", "<ul><li>Tweet</li></ul>"
+    rows = [(i, f"http://s.com/{i}", page(f"<article id=n{i}>{inner.format(box + row, i)}</article>")) for i in range(20)]
+    rows += [(i, f"http://s.com/{i}", page(f"<article id=n{i}>{inner.format('', 'again')}</article>")) for i in range(20, 40)]
+    rows += [(50, "http://t.com/", page(f"<article>{inner.format(box, 50)}</article>")), (51, "http://s.com/p", page(f"<div>{box}<p>own</p></div>"))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    text = "Summary\n\nAs we said.\n\n{}By Ann\n\nstory {}"
+    want = {i: text.format("", i if i < 20 else "again") for i in range(40)} | {50: text.format("Join us\n\n", 50), 51: "Join us\n\nown"}
+    for limit in (html_text.BROADCAST_ROWS, -1):
+        assert {r.page_id: r.text for r in html_text.extract(pages, broadcast_rows=limit).collect()} == want
+
+
 def test_html_of_the_table(spark):
     import html
     import re
