@@ -9,8 +9,10 @@ role.  Plain paragraphs, headings, list items, table cells and inline elements o
 from elements outside, once for each different text of a page, so an article that is printed on many pages stays.
 
 Recurrence alone can't find menus, adverts and footers whose words differ from page to page, so elements that say what they are
-(``nav``, ``aside``, ``footer``, ``form`` ..., or a class, id or role of the lists below) are deleted too.  The text of the main content
-is returned, or of the whole body where a page has none.
+(``nav``, ``aside``, ``footer``, ``form`` ..., or a class, id or role of the lists below) are deleted too.  A class or id counts as a whole: it is a
+name of the list, or a compound of names and words that go with them (``ad-slot``, but not ``has-sidebar``).  Names never delete ``html``, ``body`` or
+``main``, nor what is around ``main``, nor what is around articles if the page has no other main content.  The text of the main content
+is returned, or of the whole body where a page has none or only such articles.
 
 Templates are broadcast while there are ``BROADCAST_ROWS`` or fewer; more of them reach their pages by joins on (host, hash).
 
@@ -25,6 +27,7 @@ import hashlib
 import html as entities
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,6 +49,8 @@ GONE = frozenset("head nav aside footer form script style noscript template ifra
 MAIN = frozenset("article main".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 NAMES = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promotion related respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
+#: Words that leave a compound with a name what the name says.
+PARTS = frozenset("area article bar block bottom box btn button buttons container entry footer form global group header heading icons inner item items left link links list main outer page panel post posts primary right secondary section site slot title top unit wrap wrapper".split())
 #: Elements of main content that may be a site's box.
 BOXES = frozenset("address article blockquote center details dir div dl figure header hgroup main ol p section table ul".split())
 #: Start tags that end an open element of the same group.
@@ -61,23 +66,67 @@ ATTRIBUTE = re.compile(r"""(class|id|role|href|src)\s*=\s*(?:"([^"]*)"|'([^']*)'
 SPACES = re.compile(r"[\x20\x09-\x0D]+")
 
 
+@lru_cache(1 << 16)
+def named(marks: str) -> bool:
+    """Whether a class or id of an attribute's value names what is not main text."""
+    for mark in marks.lower().split():
+        words = [w for w in re.split(r"[_-]+", mark) if w]
+        if not NAMES.isdisjoint(words) and all(w in NAMES or w in PARTS or w.isdigit() for w in words):
+            return True
+    return False
+
+
 class Node:
-    __slots__ = ("tag", "marks", "key", "children", "digest")
+    __slots__ = ("tag", "role", "named", "spared", "key", "children", "digest")
 
     def __init__(self, tag: str, rest: str = ""):
-        self.tag, self.children, self.digest = tag, [], 0
+        self.tag, self.children, self.digest, self.spared = tag, [], 0, False
         found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(rest)} if rest else {}
         self.key = "|".join([tag, *[f"{k}={v}" for k, v in sorted(found.items())]])
-        self.marks = (found.get("role", "").lower(), re.split(r"[\s_-]+", f"{found.get('class', '')} {found.get('id', '')}".lower()) if found else ())
+        self.role = found.get("role", "").lower()
+        self.named = bool(found) and tag not in ("html", "body", "main") and (named(found.get("class", "")) or named(found.get("id", "")))
 
     def gone(self, inside: bool) -> bool:
         """Whether the element says that it is not main text; ``inside``: within main content, where a header is the article's own."""
-        if self.tag in MAIN and not NAMES.intersection(self.marks[1]):
+        if self.named and not self.spared:
+            return True
+        if self.tag in MAIN:
             return False
-        return self.tag in GONE or (self.tag == "header" and not inside) or self.marks[0] in ROLES or not NAMES.isdisjoint(self.marks[1])
+        return self.tag in GONE or (self.tag == "header" and not inside) or self.role in ROLES
+
+
+def spare(root: Node) -> None:
+    """Marks named elements around ``main``, and those around articles if no main content is outside of them; then the root is marked too."""
+    live, around = False, {"main": [], "article": []}
+    todo: list[tuple[Node, tuple | None]] = [(root, None)]
+    while todo:
+        node, names = todo.pop()
+        if node.tag in MAIN and not node.named:
+            if names is None:
+                live = True
+            else:
+                around[node.tag].append(names)
+            continue
+        if node.named:
+            names = (node, names)
+            if node.tag in GONE or node.role in ROLES or node.tag in ("header", "article"):
+                continue
+        elif node.gone(False):
+            continue
+        todo += [(c, names) for c in node.children if isinstance(c, Node)]
+    root.spared = not live and not around["main"] and bool(around["article"])
+    for names in around["main"] + (around["article"] if root.spared else []):
+        while names and not names[0].spared:
+            names[0].spared, names = True, names[1]
 
 
 def parse(page: str) -> Node:
+    root = tree(page)
+    spare(root)
+    return root
+
+
+def tree(page: str) -> Node:
     root = Node("html")
     stack, at = [root], 0
 
@@ -177,7 +226,7 @@ def text_of(root: Node, templates: frozenset[int] | set[int] = frozenset()) -> s
         node = todo.pop()
         if id(node) in drop or node.gone(False):
             continue
-        has_main = node.tag in MAIN
+        has_main = node.tag in MAIN and not root.spared
         todo += [c for c in node.children if isinstance(c, Node)]
     blocks: list[str] = []
     line: list[str] = []
@@ -188,25 +237,26 @@ def text_of(root: Node, templates: frozenset[int] | set[int] = frozenset()) -> s
         if text:
             blocks.append(text)
 
-    work: list[tuple[Node | str | None, bool]] = [(root, not has_main)]
+    work: list[tuple[Node | str | None, bool, bool]] = [(root, not has_main, False)]
     while work:
-        item, inside = work.pop()
+        item, inside, main = work.pop()
         if item is None:
             flush()
         elif isinstance(item, str):
             if inside:
                 line.append(entities.unescape(item))
-        elif id(item) in drop or item.gone(inside and has_main):
+        elif id(item) in drop or item.gone(main):
             if inside and item.tag in BLOCK:
                 flush()
         else:
-            inside = inside or item.tag in MAIN
+            main = main or item.tag in MAIN
+            inside = inside or main
             if item.tag in ("br", "td", "th", "img", "wbr") and item.tag != "wbr":
                 line.append(" ")
             if item.tag in BLOCK:
                 flush()
-                work.append((None, inside))
-            work += [(c, inside) for c in reversed(item.children)]
+                work.append((None, inside, main))
+            work += [(c, inside, main) for c in reversed(item.children)]
     flush()
     return "\n\n".join(blocks)
 

@@ -389,6 +389,20 @@ def test_html_text():
     assert text("<p>" * 3000 + "deep" + "<div>" * 3000 + "er") == "deep\n\ner"
 
 
+def test_names_never_take_the_article():
+    text = lambda h: html_text.text_of(html_text.parse(h))
+    story = "<article><header><h1>T</h1></header><p>p</p></article>"
+    for around in ("<body class='has-sidebar'>{}", "<body class=menu>{}", "<div class='content-with-sidebar'>{}</div>", "<div id='page-no-comments'>{}</div>", "<div class='menu-open'>{}</div>", "<div class=widget><div id=promo>{}</div></div>"):
+        assert text(around.format(story)) == "T\n\np", around
+        assert text(around.format("<p>q")) == ("" if "promo" in around else "q"), around
+    assert text("<div class=banner><main class=modal><p>p</main></div><article>a</article>") == "p\n\na"
+    related = "<div class='related-posts'><article>other</article></div><div class='x ad-slot-3'>buy</div>"
+    assert text(story + related) == "T\n\np"
+    assert text("<div>own</div>" + related) == "own\n\nother"
+    assert text("<div>own</div><article class=comment>c</article><aside><div class=ad><article>d</article></div></aside>") == "own"
+    assert text("<div class=ad>" * 3000 + story) == "T\n\np"
+
+
 def test_site_templates(spark):
     """A box without a telling name goes where it recurs, on both paths; a lone page's text and main content stay."""
     box = "<div class=zz><p>Call us</p></div>"
