@@ -2,7 +2,7 @@
 
 Method: every page is parsed into a tree; each element outside the main content (``article``, ``main``) and each box in it gives a hash of
 its whole subtree (tags, classes, links, text).  Spark counts each hash once a page for each host, and subtrees that recur on at least ``LEAST_PAGES``
-pages and ``LEAST_SHARE`` of a host's pages are that site's template; a second parse deletes them.
+pages of a host, however many it has, are that site's template; a second parse deletes them.
 
 Boxes are elements of ``BOXES`` with text that have a class, id or role, or hold a block or two elements, and paragraphs with a class, id or
 role.  Plain paragraphs, headings, list items, table cells and inline elements of main content are never deleted by themselves.  Boxes are counted apart
@@ -37,7 +37,6 @@ from .scratch import Scratch
 from .url_filter import host
 
 LEAST_PAGES = 10
-LEAST_SHARE = 0.1
 BROADCAST_ROWS = 200_000
 
 # Element names of HTML, and names that mark what is not main text.
@@ -309,23 +308,21 @@ def _texts(sent):
     return run
 
 
-def site_templates(pages: DataFrame, scratch: Scratch, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
+def site_templates(pages: DataFrame, scratch: Scratch, least_pages: int = LEAST_PAGES) -> DataFrame:
     """``host`` and ``hash`` of template subtrees; ``pages`` has ``key``, ``host`` and ``html``."""
-    sizes = scratch.write(pages.where("host <> ''").groupBy("host").agg(F.count("*").alias("n_pages")), "sizes")
-    hashes = pages.mapInArrow(batched(_hashes), HASHES).groupBy("host", "hash", "story").agg(F.count("*").alias("n"))
+    hashes = pages.where("host <> ''").mapInArrow(batched(_hashes), HASHES).groupBy("host", "hash", "story").agg(F.count("*").alias("n"))
     times = F.sum(F.when(F.col("story").isNull(), F.col("n")).otherwise(1))
-    counts = scratch.write(hashes.groupBy("host", "hash").agg(times.alias("n")).where(F.col("n") >= least_pages), "counts")
-    return scratch.write(counts.join(sizes, "host").where(F.col("n") >= least_share * F.col("n_pages")).select("host", "hash"), "templates")
+    return scratch.write(hashes.groupBy("host", "hash").agg(times.alias("n")).where(F.col("n") >= least_pages).select("host", "hash"), "templates")
 
 
-def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``page_id``, ``url``, ``text`` and ``n_chars`` of every row of ``pages``."""
     spark = pages.sparkSession
     scratch = Scratch(spark, "html")
     digest = F.md5(F.concat_ws("|", F.coalesce("url", F.lit("")), F.coalesce("html", F.lit(""))).cast("binary"))
     keyed = pages.select("page_id", "url", "html", host(F.col("url")).alias("host"))
     with_key = keyed.withColumn("key", F.unhex(digest))
-    templates = site_templates(with_key.select("key", "host", "html"), scratch, least_pages, least_share)
+    templates = site_templates(with_key.select("key", "host", "html"), scratch, least_pages)
     if templates.count() <= broadcast_rows:
         sites: dict[str, set[int]] = {}
         for row in templates.collect():

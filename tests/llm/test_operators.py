@@ -417,6 +417,17 @@ def test_site_templates(spark):
     assert html_text.extract(pages.where("1 = 0")).count() == 0
 
 
+def test_templates_of_a_large_host(spark):
+    """A menu of one section goes on a large host as on a small one."""
+    menu = "<div class=zz><p>Section</p></div>"
+    rows = [(i, f"http://s.com/{i}", page(f"{menu if i < 12 else ''}<div><p>story {i}</p></div>")) for i in range(300)]
+    rows += [(i, f"http://t.com/{i}", page(f"{menu if i < 309 else ''}<div><p>story {i}</p></div>")) for i in range(300, 320)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for limit in (html_text.BROADCAST_ROWS, -1):
+        want = {i: f"Section\n\nstory {i}" if 300 <= i < 309 else f"story {i}" for i in range(320)}
+        assert {r.page_id: r.text for r in html_text.extract(pages, broadcast_rows=limit).collect()} == want
+
+
 def test_boxes_in_main_content(spark):
     """A box that recurs within articles goes on both paths; plain paragraphs, headings, words and copies of an article stay."""
     inner = "<h2 class=t>Summary</h2><p>As we said.</p>{}<div class=entry><p>By <a class=who href=/ann>Ann</a></p><p>story {}</p></div>"
