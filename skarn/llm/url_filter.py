@@ -2,7 +2,7 @@
 
 A rule is ``host/path``.  It fits its host and all subdomains if the path of the URL starts with its own; the longest one that fits
 decides.  URLs that no rule fits take the verdict of their aliases: redirects (``<meta http-equiv=refresh>`` and any given table) and
-canonical links are undirected edges between URLs (host, path and query; scheme and fragment do not count), connected
+canonical links, all of a page and each resolved against its URL, are undirected edges between URLs (host, path and query; scheme and fragment do not count), connected
 components over them are computed as tables, and a component with a blocked member is blocked.  An explicit allow rule comes
 first: it is never overruled by an alias.  All else is allowed.
 
@@ -33,6 +33,9 @@ HREF = r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
 REFRESH = r"(?is)<meta\b[^>]*http-equiv\s*=\s*[\"']?refresh[\"'\s][^>]*>"
 TARGET = r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)"
 
+#: Scheme, path and query of a link.
+LINK = r"(?s)^([a-zA-Z][a-zA-Z0-9+.-]*:)?([^?#]*)(\?[^#]*)?"
+
 
 def host(url: Column) -> Column:
     return F.coalesce(F.translate(F.regexp_extract(url, URL, 1), UPPER, LOWER), F.lit(""))
@@ -64,19 +67,39 @@ def decision(rule: Column, rules: Mapping[str, str]) -> Column:
     return F.when(rule.isNull(), None).when(rule.isin(blocks), "block").otherwise("allow")
 
 
+def resolved(path: Column) -> Column:
+    """An absolute path without its dot segments."""
+    parts = F.slice(F.split(path, "/"), 2, F.length(path) + 1)
+    dots = F.element_at(parts, -1).isin(".", "..")
+
+    def step(kept: Column, part: Column) -> Column:
+        up = F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))
+        return F.when(part == "..", up).when(part == ".", kept).otherwise(F.concat(kept, F.array(part)))
+
+    kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+    return F.when(~path.rlike(r"/\.\.?(/|$)"), path).otherwise(F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(dots & (F.size(kept) > 0), "/").otherwise("")))
+
+
 def _target(found: Column, base: Column) -> Column:
-    """Key of a link's target; links relative to a path are left out."""
+    """Key of a link's target, resolved against the URL of its page; null for schemes without a host and empty links."""
     link = F.replace(found, F.lit("&amp;"), F.lit("&"))
-    full = F.when(link.contains("://"), link).when(link.startswith("//"), F.concat(F.lit(":"), link)).when(link.startswith("/"), F.concat(F.lit("://"), host(base), link))
-    return key(full)
+    own, rest = F.regexp_extract(link, LINK, 1), F.regexp_extract(link, LINK, 2)
+    query = F.regexp_extract(link, LINK, 3)
+    folder = F.regexp_extract(path(base), "(?s)^(.*/)", 1)
+    start = F.when(folder == "", "/").otherwise(folder)
+    local = F.when(rest.startswith("/"), resolved(rest)).when(rest != "", resolved(F.concat(start, rest))).otherwise(path(base))
+    asked = F.when((rest == "") & (query == ""), F.regexp_extract(base, URL, 3)).when(query == "?", "").otherwise(query)
+    full = F.concat(F.lit("://"), host(base), local, asked)
+    return F.when(link == "", None).when(link.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*://"), key(link)).when(own != "", None).when(link.startswith("//"), key(F.concat(F.lit(":"), link))).otherwise(full)
 
 
 def page_edges(pages: DataFrame) -> DataFrame:
-    """``a`` and ``b``: keys of a page and of its canonical or redirect target."""
+    """``a`` and ``b``: keys of a page and of each of its canonical and redirect targets."""
     url, html = F.col("url"), F.col("html")
-    links = F.array(_target(F.regexp_extract(F.regexp_extract(html, CANONICAL, 0), HREF, 1), url), _target(F.regexp_extract(F.regexp_extract(html, REFRESH, 0), TARGET, 1), url))
+    found = lambda tag, at: F.transform(F.regexp_extract_all(html, F.lit(tag), F.lit(0)), lambda x: F.regexp_extract(x, at, 1))
     near = pages.where(html.rlike(r"(?i)canonical|http-equiv") & url.contains("://"))
-    return near.select(key(url).alias("a"), F.explode(links).alias("b")).where("b IS NOT NULL AND a <> b")
+    links = near.select(url.alias("url"), F.explode(F.array_distinct(F.concat(found(CANONICAL, HREF), found(REFRESH, TARGET)))).alias("link"))
+    return links.select(key(url).alias("a"), _target(F.col("link"), url).alias("b")).where("b IS NOT NULL AND a <> b")
 
 
 def judge(pages: DataFrame, rules: Mapping[str, str] = RULES, redirects: DataFrame | None = None) -> DataFrame:

@@ -316,6 +316,21 @@ def test_url_aliases(spark):
     assert url_filter.judge(pages.where("1 = 0")).count() == 0
 
 
+def test_links_are_resolved(spark):
+    """Targets equal urljoin's, for every link of a page."""
+    from urllib.parse import urljoin, urlsplit
+
+    links = ["y.html", "../de/x", "?p=2", "/go?u=http://x", "./", ".", "..", "../../../z", "/a/./b/../c", "//h.net/q", "a/b?x=../y", "http://t.com/u#f", "HTTPS://T.com/u?v", "#top", "//h.net", "d/.", "a..b/.c", "x?a=1&amp;b=2"]
+    key = lambda u: "://" + urlsplit(u).netloc.lower() + urlsplit(u).path + ("?" + urlsplit(u).query if urlsplit(u).query else "")
+    for url in ("https://a.org/en/x", "https://a.org/en/k/x?q=1", "https://a.org"):
+        body = "".join(f'<link rel="canonical" href="{h}">' for h in links) + "<link rel=canonical href=mailto:a><meta http-equiv=refresh content='0; url=r1'><meta http-equiv=refresh content='0; url=r2'>"
+        got = {(r.a, r.b) for r in url_filter.page_edges(spark.createDataFrame([(url, body)], "url string, html string")).collect()}
+        joined = {key(urljoin(url, h.replace("&amp;", "&"))) for h in [*links, "r1", "r2"]}
+        assert got == {(key(url), b) for b in joined - {key(url)}}
+    pages = spark.createDataFrame([(1, "https://a.org/en/x", '<link rel="canonical" href="y.html">'), (2, "https://b.net/", '<link rel="canonical" href="https://c.org/"><link rel="canonical" href="https://a.org/en/y.html">')], "page_id long, url string, html string")
+    assert {(r.page_id, r.verdict) for r in url_filter.judge(pages).collect()} == {(1, "block"), (2, "block")}
+
+
 def test_longest_rule_and_subdomains(spark):
     rows = [("http://net/",), ("http://xnet/",), ("http://a.net",), ("http://m.example.net/en/q?x#y",), ("ftp://Example.Com/de/",), ("http://example.com/den",), ("http://a.example.net/EN/",)]
     pages = spark.createDataFrame(rows, "url string").withColumn("page_id", F.lit(1)).withColumn("html", F.lit(None).cast("string"))
