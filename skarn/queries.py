@@ -621,7 +621,7 @@ def random_sample(t):
 @query()
 def kmeans_ml(t):
     p = points(t).drop("cluster_id")
-    return M.purity(K.assigned(p, K.kmeans(p, 5, restarts=2, iterations=20)))
+    return M.purity(K.assigned(p, K.kmeans(p)))
 
 
 @query()
@@ -636,7 +636,7 @@ def pca_explained(t):
 
 @query()
 def k_search(t):
-    return K.k_search(points(t).select("key", "vector"), range(2, 6), restarts=2, iterations=50).drop("time_s")
+    return K.k_search(points(t).select("key", "vector")).drop("time_s")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
