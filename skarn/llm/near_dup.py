@@ -13,28 +13,36 @@ Method:
    pairs (prefix), so only those are posted, and the order puts frequent pairs last (skip): counts come from a hashed
    table of bounded size, which all tasks use alike, so a coarse count costs time, never a link.  Two classes of similarity
    0.75 agree in 48 of 64 coordinates on average and in fewer than 28 with a probability of about 1e-8.
-3. Lists with one posting are dropped.  A longer list is cut into blocks, and each pair of blocks is one group of rows.  The
-   task counts collisions for a whole group in numpy and gives out only a spanning forest of the retained pairs, so the
-   rows it makes grow with the list, not with its square.  Connected components of the forests are the candidate clusters.
-4. The full sets of each cluster are compared in the same way, block by block, and exact: every pair of a cluster is checked
-   against the definition, and a spanning forest of the links goes into a last run of connected components.
-
-Defined cases: null text is empty; rows that share a ``doc_id`` are one document; rows without ``doc_id`` sort after all others, are
+3. Lists with one posting are dropped; lists of up to ``BLOCK`` are one group of rows, whose collisions are counted in numpy.  A longer
+   list is dealt into groups of about ``BLOCK`` by a hash of class and list, each posting once.  A group gives out a forest of its retained
+   pairs.  Near copies share many lists, each dealt otherwise, so these forests connect them; a pair of classes that are
+   already connected need not be counted again.  Where a long list still falls into several components, its largest one is
+   compared with the others, and the others with each other, group by group, which completes all pairs of the list.
+   Components of these forests are the candidate clusters.
+4. The full sets of each cluster are compared in the same way, exactly: clusters of one group at once, larger ones dealt twice,
+   then what is not yet connected to a cluster's largest component against all.  Components of the links are the result.
+
+So a list or cluster of g classes makes 2g rows if its members are near copies, and g * ceil(o / ``BLOCK``) more for the o classes outside of its
+largest component (for a list of unlike classes that is quadratic; the order of the prefix keeps such lists short).  No pair is left out.
+
+Defined cases: null text is empty; rows with one ``doc_id`` and one text are one document; rows with one ``doc_id`` and different texts are
+documents of their own (see ``identity``), so an id may lead several components; rows without ``doc_id`` sort after all others, are
 one document where their texts are equal, and have a null ``component_id`` where they lead their component; ``kept`` is true for
-the row(s) of a component's least document; extra columns are not returned.
+the row(s) of the least ``doc_id`` of a component (without ids: of its least text); extra columns are not returned.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .identity import DOC, NO_ID, SUB, keyed, settled, shared_ids
 from .scratch import Scratch
 from .words import U64, Words, mix, pieces, sequences, windows, words_of
 
@@ -45,23 +53,18 @@ MATCHES = 28
 #: Cells of the hashed frequency table (4 bytes each), which is broadcast.
 CELLS = 1 << 20
 PARTS = 64
-#: Rows of a block, and shingles of a block of full sets.
-BLOCK = 192
+#: Rows of a group, and shingles of a group of full sets.
+BLOCK = 96
 BLOCK_SHINGLES = 1 << 18
-#: Cluster membership is broadcast to the pass over the texts up to this size; beyond it, it is joined by a shuffle.
+#: Cluster membership and other tables of counted size are broadcast up to this size; beyond it, they are joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
-NO_ID = 1 << 62
+KEY = f"{DOC} long, {SUB} long"
 
 _RNG = np.random.default_rng(20240229)
 _FLIP = _RNG.integers(0, 1 << 63, COORDINATES, dtype=U64)
 _TIMES = _RNG.integers(0, 1 << 63, COORDINATES, dtype=U64) * U64(2) + U64(1)
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    made = F.lit(NO_ID) + F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(NO_ID - 1)
-    return docs.withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), made))
-
-
 def shingle_sets(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of all texts in a row, and where each text's begin (one more at the end)."""
     at, hashes = windows(w, size)
@@ -96,13 +99,13 @@ def _sums(values: np.ndarray, cut: np.ndarray) -> np.ndarray:
 def _prints(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs, texts = batch.column("doc"), batch.column("text")
+            texts = batch.column("text")
             for lo, hi in pieces(texts):
                 shingles, cut = shingle_sets(words_of(texts[lo:hi], lower=True), size)
                 a, b = (_sums(mix(shingles, s), cut) for s in (3, 4))
                 sig = signatures(shingles, cut)
                 rows = pa.array([x.tobytes() for x in sig], pa.binary())
-                yield pa.RecordBatch.from_arrays([docs[lo:hi], pa.array(np.diff(cut)), pa.array(a), pa.array(b), rows], ["doc", "n", "a", "b", "sig"])
+                yield pa.RecordBatch.from_arrays([batch.column(DOC)[lo:hi], batch.column(SUB)[lo:hi], pa.array(np.diff(cut)), pa.array(a), pa.array(b), rows], [DOC, SUB, "n", "a", "b", "sig"])
 
     return run
 
@@ -117,20 +120,29 @@ def _tokens(sig: np.ndarray) -> np.ndarray:
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The task's part of the table, packed: cells that it doesn't meet cost next to nothing."""
     total = np.zeros(CELLS, np.int64)
     for batch in batches:
         if len(batch):
             total += np.bincount((_tokens(_matrix(batch.column("sig"))) >> U64(44)).astype(np.int64).ravel(), minlength=CELLS)
     if total.any():
-        yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([p.tobytes() for p in np.split(total, PARTS)], pa.binary())], ["part", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([_packed(p) for p in np.split(total, PARTS)], pa.binary())], ["part", "counts"])
+
+
+def _packed(counts: np.ndarray) -> bytes:
+    return zlib.compress(counts.tobytes(), 1)
+
+
+def _counts(blob: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(blob), np.int64)
 
 
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     totals: dict[int, np.ndarray] = {}
     for batch in batches:
         for part, counts in zip(batch.column("part").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-            totals[part] = totals.get(part, 0) + np.frombuffer(counts, np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(totals, pa.int32()), pa.array([x.tobytes() for x in totals.values()], pa.binary())], ["part", "counts"])
+            totals[part] = totals.get(part, 0) + _counts(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(totals, pa.int32()), pa.array([_packed(x) for x in totals.values()], pa.binary())], ["part", "counts"])
 
 
 def _postings(frequency):
@@ -143,8 +155,8 @@ def _postings(frequency):
             rank = (np.minimum(table[(token >> U64(44)).astype(np.int64)], U64(0xFFFFFF)).astype(U64) << U64(40)) | (token & U64((1 << 40) - 1))
             prefix = np.argpartition(rank, COORDINATES - MATCHES, axis=1)[:, : COORDINATES - MATCHES + 1]
             key = np.take_along_axis(token, prefix, 1).ravel()
-            docs = np.repeat(batch.column("doc").to_numpy(), prefix.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(docs)], ["key", "doc"])
+            ids = np.repeat(batch.column("id").to_numpy(), prefix.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids)], ["key", "id"])
 
     return run
 
@@ -183,70 +195,66 @@ def _bounds(table: pa.Table, columns: list[str]) -> np.ndarray:
     return np.append(np.flatnonzero(new), len(new))
 
 
-def _labels(linked: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The least rank that each node of a small symmetric matrix reaches."""
-    linked = linked | np.eye(len(rank), dtype=bool)
-    label = rank
+GROUP = ["key", "i", "j"]
+
+
+def _joined(linked: np.ndarray, rest: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (label, least label) that connect what ``linked`` (rows of ``rest`` by all rows) connects."""
+    names, number = np.unique(label, return_inverse=True)
+    pairs = np.eye(len(names), dtype=bool)
+    x, y = np.nonzero(linked)
+    pairs[number[rest[x]], number[y]] = True
+    pairs |= pairs.T
+    least = np.arange(len(names))
     while True:
-        new = np.where(linked, label[None, :], len(rank)).min(1)
-        new = new[np.argsort(rank)][new]  # jump
-        if (new == label).all():
-            return label
-        label = new
+        new = np.where(pairs, least[None, :], len(names)).min(1)
+        new = new[new]  # jump
+        if (new == least).all():
+            away = np.flatnonzero(least != np.arange(len(names)))
+            return names[away], names[least[away]]
+        least = new
 
 
-def _forest(linked: np.ndarray, docs: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that connect what ``linked`` connects: (document, least document).
+def _work(compare: Callable[[pa.ChunkedArray, np.ndarray], np.ndarray]):
+    """Edges of whole groups.  ``compare`` tells which of all rows are linked with the rows it is given; rows of the commonest label need not be given."""
 
-    Rows of one block: a star for each component.  Rows of two blocks: what is connected inside a block is left to the group of
-    that block alone, so two blocks of copies give one edge, not one a row.
-    """
-    order = np.argsort(docs, kind="stable")
-    rank = np.argsort(order, kind="stable")
-    label = _labels(linked, rank)
-    same = block[:, None] == block[None, :]
-    node = rank if same.all() else np.unique(_labels(linked & same, rank))
-    least = label[order[node]]
-    away = least != node
-    docs = docs[order]
-    return docs[node[away]], docs[least[away]]
-
-
-def _edges(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
-    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-
-BLOCKS = ["key", "i", "j"]
-
-
-def _collisions(table: pa.Table) -> Iterator[pa.RecordBatch]:
-    """Counts the agreeing coordinates of the pairs of each group; a forest of those with ``MATCHES`` or more."""
-    bounds = _bounds(table, BLOCKS)
-    docs, block, i, j = (table.column(c).to_numpy() for c in ("doc", "block", "i", "j"))
-    sig = _matrix(table.column("sig"))
-    size = np.diff(bounds)
-    two = bounds[:-1][size == 2]
-    two = two[(block[two] != block[two + 1]) | (i[two] == j[two])]
-    hit = two[(sig[two] == sig[two + 1]).sum(1) >= MATCHES]
-    a, b = [docs[hit]], [docs[hit + 1]]
-    for lo, hi in zip(bounds[:-1][size > 2], bounds[1:][size > 2], strict=True):
-        s, d = sig[lo:hi], docs[lo:hi]
-        count = np.zeros((hi - lo, hi - lo), np.uint8)
-        for c in range(COORDINATES):
-            count += s[:, None, c] == s[None, :, c]
-        x, y = _forest(count >= MATCHES, d, block[lo:hi])
-        a.append(x)
-        b.append(y)
-    yield _edges(a, b)
-
-
-def shared(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all pairwise intersections."""
+    def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        bounds = _bounds(table, GROUP)
+        label, payload = table.column("label").to_numpy(), table.column("payload")
+        a, b = [], []
+        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            if hi - lo < 2:
+                continue
+            own = label[lo:hi]
+            names, n = np.unique(own, return_counts=True)
+            rest = np.flatnonzero(own != names[n.argmax()])
+            if len(rest):
+                x, y = _joined(compare(payload.slice(lo, hi - lo), rest), rest, own)
+                a.append(x)
+                b.append(y)
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return work
+
+
+def _collisions(payload: pa.ChunkedArray, rest: np.ndarray) -> np.ndarray:
+    """Counts agreeing coordinates; ``MATCHES`` or more link."""
+    sig = _matrix(payload)
+    if len(rest) == 1:
+        return (sig == sig[rest]).sum(1)[None, :] >= MATCHES
+    count = np.zeros((len(rest), len(sig)), np.uint8)
+    for c in range(COORDINATES):
+        count += sig[rest, None, c] == sig[None, :, c]
+    return count >= MATCHES
+
+
+def shared(sets: list[np.ndarray], rest: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets ``rest`` with all sets."""
     n = len(sets)
     if n == 2:
         both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        return np.array([[len(sets[0]), both], [both, len(sets[1])]])
+        return np.array([[len(sets[0]), both], [both, len(sets[1])]])[rest]
     row = np.repeat(np.arange(n), [len(s) for s in sets])
     flat = np.concatenate(sets)
     order = np.argsort(flat, kind="stable")
@@ -256,108 +264,150 @@ def shared(sets: list[np.ndarray]) -> np.ndarray:
     many = np.bincount(col)[col] > 1
     row, col = row[many], col[many]
     _, col = np.unique(col, return_inverse=True)
-    out = np.zeros((n, n), np.int64)
+    out = np.zeros((len(rest), n), np.int64)
     step = 4096
     cut = np.searchsorted(col, np.arange(0, (col[-1] if len(col) else -1) + step + 1, step))
     for k, (lo, hi) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
         dense = np.zeros((n, step), np.float32)
         dense[row[lo:hi], col[lo:hi] - k * step] = 1
-        out += (dense @ dense.T).astype(np.int64)
-    np.fill_diagonal(out, [len(s) for s in sets])
+        out += (dense[rest] @ dense.T).astype(np.int64)
     return out
 
 
 def _links(percent: int):
-    def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        bounds = _bounds(table, BLOCKS)
-        docs, block = (table.column(c).to_numpy() for c in ("doc", "block"))
-        a, b = [], []
-        blobs = table.column("shingles")
-        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            if hi - lo < 2:
-                continue
-            sets = [np.frombuffer(x, U64) for x in blobs.slice(lo, hi - lo).to_pylist()]
-            inter = shared(sets)
-            n = np.diagonal(inter)
-            x, y = _forest(100 * inter >= percent * (n[:, None] + n[None, :] - inter), docs[lo:hi], block[lo:hi])
-            a.append(x)
-            b.append(y)
-        yield _edges(a, b)
+    def compare(payload: pa.ChunkedArray, rest: np.ndarray) -> np.ndarray:
+        sets = [np.frombuffer(x, U64) for x in payload.to_pylist()]
+        n = np.array([len(s) for s in sets])
+        inter = shared(sets, rest)
+        return 100 * inter >= percent * (n[rest, None] + n[None, :] - inter)
 
-    return work
+    return compare
 
 
-def _full_sets(size: int):
+def _full_sets(size: int, carry: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text")
             for lo, hi in pieces(texts):
                 shingles, cut = shingle_sets(words_of(texts[lo:hi], lower=True), size)
                 rows = [shingles[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("key")[lo:hi], batch.column("blocks")[lo:hi], batch.column("doc")[lo:hi], pa.array(rows, pa.binary())], ["key", "blocks", "doc", "shingles"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(c)[lo:hi] for c in carry], pa.array(rows, pa.binary())], [*carry, "payload"])
 
     return run
 
 
-def in_blocks(rows: DataFrame, *carry: str) -> DataFrame:
-    """Rows of each ``key``, cut into ``blocks`` blocks by their document, once for every pair of blocks they belong to."""
-    block = rows.withColumn("block", F.expr("cast(pmod(xxhash64(doc), blocks) AS int)"))
-    pair = block.withColumn("other", F.explode(F.expr("sequence(0, cast(blocks AS int) - 1)")))
-    return pair.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc", *carry)
+def sized(df: DataFrame, row_bytes: int, limit: int) -> DataFrame:
+    """A written table, marked for broadcast if its counted rows fit ``limit``."""
+    return F.broadcast(df) if row_bytes * df.count() <= limit else df
+
+
+def in_pieces(n: str, shingles: str) -> str:
+    """SQL for the number of groups of ``n`` rows with ``shingles`` shingles in all."""
+    return f"greatest(1, cast(ceil({n} / {BLOCK}) AS int), cast(ceil({shingles} / {BLOCK_SHINGLES}) AS int))"
 
 
-def components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """``doc`` (``doc_id``, or a number of ``NO_ID`` or more for a row without), ``n_shingles`` and ``component`` for every row of ``docs``."""
+def linked(members: DataFrame, attach: Callable[[DataFrame], DataFrame], compare, turns: int, scratch: Scratch, name: str, limit: int) -> DataFrame:
+    """``node`` and ``component`` of the classes that ``compare`` links within their lists.
+
+    ``members`` is a table of ``key``, ``id``, ``n`` and ``blocks``; ``attach`` adds what is compared as ``payload``.
+    """
+
+    def edges(rows: DataFrame) -> DataFrame:
+        return rows.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(in_groups(GROUP, _work(compare)), "a long, b long")
+
+    turn = F.explode(F.expr(f"sequence(0, IF(blocks > 1, {turns - 1}, 0))"))
+    dealt = attach(members).select("key", "id", "blocks", "payload", turn.alias("i"))
+    dealt = dealt.select("key", "i", F.expr("cast(IF(blocks > 1, pmod(xxhash64(id, key, i), blocks), 0) AS int)").alias("j"), F.col("id").alias("label"), "payload")
+    found = scratch.write(connected_components(edges(dealt), scratch, name), f"{name}_dealt")
+
+    large = members.where("blocks > 1").join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("label"))
+    parts = large.groupBy("key", "label").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    most = F.expr("max(struct(c, label, s))")
+    split = parts.groupBy("key").agg(most.alias("m"), F.count("*").alias("labels"), F.sum("c").alias("c"), F.sum("s").alias("s")).where("labels > 1")
+    split = scratch.write(split.select("key", F.col("m.label").alias("main"), F.expr(in_pieces("m.c", "m.s")).alias("mains"), F.expr(in_pieces("(c - m.c)", "(s - m.s)")).alias("others")), f"{name}_split")
+    if split.isEmpty():
+        return found
+    rest = large.join(sized(split, 32, limit), "key").withColumn("out", F.expr("label <> main"))
+    rest = scratch.write(rest.withColumn("own", F.expr("cast(pmod(xxhash64(id), IF(out, others, mains)) AS int)")), f"{name}_rest")
+    with_main = F.expr("IF(out, transform(sequence(0, mains - 1), k -> struct(k AS i, own AS j)), transform(sequence(0, others - 1), k -> struct(own AS i, k AS j)))")
+    with_each = F.expr("IF(out, transform(sequence(0, others - 1), k -> struct(-1 - least(own, k) AS i, greatest(own, k) AS j)), array())")
+    groups = attach(rest).select("key", "label", "payload", F.explode(F.concat(with_main, with_each)).alias("g")).select("key", "g.i", "g.j", "label", "payload")
+    more = scratch.write(connected_components(edges(groups), scratch, f"{name}_more"), f"{name}_merged")
+    merged = more.select(F.col("node").alias("component"), F.col("component").alias("final"))
+    old = found.join(merged, "component", "left").select("node", F.coalesce("final", "component").alias("component"))
+    return old.unionByName(more.join(found.select(F.col("node")), "node", "left_anti"))
+
+
+def components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, broadcast_bytes: int = BROADCAST_BYTES) -> tuple[DataFrame, DataFrame | None]:
+    """``skarn_doc``, ``skarn_sub``, ``n_shingles`` and ``lead`` (both numbers of the component's least document) of every row; and the ids with several texts."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
-    texts = keyed(docs.select("doc_id", "text"))
-    prints = scratch.write(texts.select("doc", "text").mapInArrow(_prints(size), "doc long, n long, a long, b long, sig binary"), "prints")
-    classes = scratch.write(prints.where("n > 0").groupBy("a", "b").agg(F.min("doc").alias("doc"), F.max("doc").alias("last"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
+    raw = keyed(docs.select("doc_id", "text")).select(DOC, SUB, "text")
+    prints = scratch.write(raw.mapInArrow(_prints(size), f"{KEY}, n long, a long, b long, sig binary"), "prints")
+    several = shared_ids(prints, scratch)
+    texts, prints = settled(raw, several), settled(prints, several)
+    own = F.struct(DOC, SUB)
+    classes = prints.where("n > 0").groupBy("a", "b").agg(F.min(own).alias("least"), F.max(own).alias("last"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    classes = scratch.write(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
 
     parts = classes.select("sig").mapInArrow(_frequencies, "part int, counts binary").repartition("part").mapInArrow(_added, "part int, counts binary").collect()
     table = np.zeros((PARTS, CELLS // PARTS), np.int64)
     for part, counts in parts:
-        table[part] = np.frombuffer(counts, np.int64)
+        table[part] = _counts(counts)
     sent = spark.sparkContext.broadcast(np.minimum(table.ravel(), 0xFFFFFFFF).astype(np.uint32).tobytes())
-    posted = scratch.write(classes.select("doc", "sig").mapInArrow(_postings(sent), "key long, doc long"), "posted")
-    lists = scratch.write(posted.groupBy("key").agg(F.count("*").alias("g")).where("g > 1").select("key", F.ceil(F.col("g") / BLOCK).alias("blocks")), "lists")
-    many = scratch.write(in_blocks(posted.join(lists, "key")), "many")
-    held = many.join(classes.select("doc", "sig"), "doc")
-    counted = held.repartition(*BLOCKS).sortWithinPartitions(*BLOCKS).mapInArrow(in_groups(BLOCKS, _collisions), "a long, b long")
-    clusters = connected_components(counted, scratch, "candidates").select(F.col("node").alias("doc"), F.col("component").alias("key"))
+    posted = scratch.write(classes.select("id", "sig").mapInArrow(_postings(sent), "key long, id long"), "posted")
     sent.unpersist()
-
-    sized = clusters.join(classes.select("doc", "n"), "doc")
-    blocks = sized.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
-    blocks = scratch.write(blocks, "blocks")
-    member = scratch.write(clusters.join(blocks, "key"), "member")
-    n_member = member.count()
-    wanted = F.broadcast(member) if 24 * n_member <= broadcast_bytes else member
-    full = texts.select("doc", "text").join(wanted, "doc").mapInArrow(_full_sets(size), "key long, blocks long, doc long, shingles binary").dropDuplicates(["doc"])
-    links = in_blocks(full, "shingles").repartition(*BLOCKS).sortWithinPartitions(*BLOCKS).mapInArrow(in_groups(BLOCKS, _links(percent)), "a long, b long")
-    linked = scratch.write(connected_components(links, scratch, "links"), "linked")
-
-    lead = classes.join(linked.withColumnRenamed("node", "doc"), "doc", "left").where("last > doc OR component IS NOT NULL").select("a", "b", F.coalesce("component", "doc").alias("lead"))
+    lists = scratch.write(posted.groupBy("key").agg(F.count("*").alias("g")).where("g > 1").select("key", F.expr(f"cast(ceil(g / {BLOCK}) AS int)").alias("blocks")), "lists")
+    long = lists.where("blocks > 1")
+    if 16 * long.count() <= broadcast_bytes:  # postings of long lists are not shuffled by their key
+        long = F.broadcast(long)
+        many = posted.join(long, "key").unionByName(posted.join(long, "key", "left_anti").join(lists.where("blocks = 1"), "key"))
+    else:
+        many = posted.join(lists, "key")
+    many = scratch.write(many.withColumn("n", F.lit(0).cast("long")), "many")
+    signed = classes.select("id", F.col("sig").alias("payload"))
+    clusters = linked(many, lambda m: m.join(signed, "id"), _collisions, 1, scratch, "candidates", broadcast_bytes)
+    clusters = scratch.write(clusters.select(F.col("node").alias("id"), F.col("component").alias("key")).join(classes.select("id", "n", "least"), "id"), "clusters")
+
+    blocks = scratch.write(clusters.groupBy("key").agg(F.count("*").alias("c"), F.sum("n").alias("s")).select("key", F.expr(in_pieces("c", "s")).alias("blocks")), "blocks")
+    member = scratch.write(clusters.join(sized(blocks, 16, broadcast_bytes), "key").select("key", "id", "n", "blocks", f"least.{DOC}", f"least.{SUB}"), "member")
+
+    again = prints.select(DOC, SUB).join(sized(member.select(DOC, SUB), 24, broadcast_bytes), [DOC, SUB]).count() > member.count()
+
+    def full(rows: DataFrame) -> DataFrame:
+        carry = [c for c in rows.columns if c not in (DOC, SUB)]
+        if DOC not in rows.columns:
+            rows = scratch.write(rows.join(member.select("id", DOC, SUB), "id"), "wanted")
+        found = texts.join(sized(rows, 64, broadcast_bytes), [DOC, SUB]).select(*carry, "text")
+        kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in carry)
+        sets = found.mapInArrow(_full_sets(size, carry), f"{kinds}, payload binary")
+        return sets.dropDuplicates(["id"]) if again else sets  # sets are shuffled once more only for the sake of repeated rows
+
+    ties = scratch.write(linked(member, full, _links(percent), 2, scratch, "links", broadcast_bytes), "ties")
+    of_tied = scratch.write(ties.withColumnRenamed("node", "id").join(classes.select("id", "least"), "id"), "of_tied")
+    leads = scratch.write(of_tied.groupBy("component").agg(F.min("least").alias("lead")), "leads")
+    tied = of_tied.join(sized(leads, 32, broadcast_bytes), "component").select("id", "lead")
+    lead = classes.join(tied, "id", "left").where("last > least OR lead IS NOT NULL").select("a", "b", F.coalesce("lead", "least").alias("lead"))
     lead = scratch.write(lead, "lead")
-    found = prints.select("doc", "n", "a", "b").join(lead, ["a", "b"], "left")
-    scratch.drop("classes", "posted", "lists", "many", "blocks", "member", "linked")
-    return found.select("doc", F.col("n").alias("n_shingles"), F.coalesce("lead", "doc").alias("component"))
+    found = prints.select(DOC, SUB, "n", "a", "b").join(sized(lead, 48, broadcast_bytes), ["a", "b"], "left")
+    scratch.drop(*[t for t in ("classes", "posted", "lists", "many", "clusters", "blocks", "member", "wanted", "ties", "of_tied", "leads")])
+    return found.select(DOC, SUB, F.col("n").alias("n_shingles"), F.coalesce("lead", own).alias("lead")), several
 
 
 def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` for every row of ``docs``."""
     known = lambda c: F.when(F.col(c) < NO_ID, F.col(c))
-    return components(docs, size, percent).select(known("doc").alias("doc_id"), "n_shingles", known("component").alias("component_id"), (F.col("doc") == F.col("component")).alias("kept"))
+    first = (F.col(DOC) == F.col(f"lead.{DOC}")) & ((F.col(DOC) < NO_ID) | (F.col(SUB) == F.col(f"lead.{SUB}")))
+    return components(docs, size, percent)[0].select(known(DOC).alias("doc_id"), "n_shingles", known(f"lead.{DOC}").alias("component_id"), first.alias("kept"))
 
 
 def keep_first(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """The rows of ``docs`` whose document is the least of its component, with their own columns.
+    """The rows of ``docs`` whose document is the least of its component, with their own columns, whatever their names.
 
-    The ids that go are broadcast up to ``broadcast_bytes``; more of them are joined by a shuffle.
+    The documents that go are broadcast up to ``broadcast_bytes``; more of them are joined by a shuffle.
     """
     scratch = Scratch(docs.sparkSession, "first")
-    gone = scratch.write(components(docs, size, percent).where("doc <> component").select(F.col("doc").alias("skarn_doc")).distinct(), "gone")
-    if 16 * gone.count() <= broadcast_bytes:
-        gone = F.broadcast(gone)
-    packed = docs.select(F.struct("*").alias("skarn_row"), "doc_id", "text")
-    return keyed(packed).withColumnRenamed("doc", "skarn_doc").join(gone, "skarn_doc", "left_anti").select("skarn_row.*")
+    found, several = components(docs, size, percent, broadcast_bytes)
+    gone = scratch.write(found.where(F.struct(DOC, SUB) != F.col("lead")).select(DOC, SUB).distinct(), "gone")
+    packed = settled(keyed(docs.select(F.struct("*").alias("skarn_row"), "doc_id", "text")), several)
+    return packed.join(sized(gone, 24, broadcast_bytes), [DOC, SUB], "left_anti").select("skarn_row.*")

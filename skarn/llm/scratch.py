@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,11 +23,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_MADE: list[Scratch] = []
+
+
 class Scratch:
     """Named Parquet tables of one run.  Written tables cut lineage: losing an executor re-reads them."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.root = spark, f"{shared_folder(spark)}/skarn-{label}-{uuid.uuid4().hex}"
+        _MADE.append(self)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -44,3 +50,14 @@ class Scratch:
         for name in names or ("",):
             at = jvm.org.apache.hadoop.fs.Path(self.path(name).rstrip("/"))
             at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def cleared() -> Iterator[None]:
+    """Deletes what operators called inside wrote, at the end of the block; their results must have been written by then."""
+    n = len(_MADE)
+    try:
+        yield
+    finally:
+        while len(_MADE) > n:
+            _MADE.pop().drop()

@@ -17,14 +17,17 @@ Method: count-min prefilter, then exact grouping.
    back, and everything else is a repeat.
 4. The places become word ranges for each document, and a last pass over the texts applies them.
 
-The merged sketch is the only thing sent to every executor.  It has ``2 * ROWS`` cells (bits) or more for each minimiser and
-``SKETCH_BITS`` at most.  A corpus that needs more than that (about 0.8 billion words) would saturate it, so there minimisers are
-counted by a shuffle of their hashes, one row for each (document, place), and the repeated places come back to their
-documents by joins: linear in the corpus, nothing broadcast, and the steps after it are the same.
-
-Defined cases: null text is empty; rows that share a ``doc_id`` are one document, so a repeated row does not remove its twin;
-rows without ``doc_id`` sort after all others and are one document where their texts are equal; shorter texts than ``width``
-words are kept whole; other columns are carried through (own ``n_words``, ``n_removed`` and ``ranges`` are replaced).
+The merged sketch has ``2 * ROWS`` cells (bits) or more for each minimiser and is cut into shards by hash range, so it grows with the
+corpus.  Up to ``SKETCH_BITS`` it is sent to every executor, which then looks up its own minimisers.  A larger one (above about 0.8
+billion words) stays a table of shards: minimisers are dealt to the shard of their hash, looked up there, and only places estimated
+repeated come back to their documents by joins.  Both ways look up the same sketch, nothing of unbounded size is broadcast, and the
+steps after it are the same.
+
+Defined cases: null text is empty; rows with one ``doc_id`` and one text are one document, so a repeated row does not remove its
+twin; rows with one ``doc_id`` and different texts are documents of their own, ordered by a hash of the text (see ``identity``), so the
+later one loses what the earlier one has; rows without ``doc_id`` sort after all others and are one document where their texts are
+equal; shorter texts than ``width`` words are kept whole; other columns, whatever their names, are carried through (but
+``remove_repeats`` replaces columns named ``n_words`` and ``n_removed``).
 """
 
 from __future__ import annotations
@@ -32,6 +35,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .identity import DOC, SUB, keyed, settled, shared_ids
 from .scratch import Scratch
 from .words import U64, Words, mix, pieces, sequences, windows, words_of
 
@@ -53,27 +58,24 @@ SHARDS = 64
 BUFFER = 1 << 18
 #: The ids of whole copies, and the removed ranges, are broadcast up to this size; beyond it they are joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
-#: Documents without an id get one from here on, by their text.
-NO_ID = 1 << 62
+#: Bits of a shard of a sketch that is not broadcast.
+SHARD_BITS = (20, 26)
+KEY = f"{DOC} long, {SUB} long"
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    made = F.lit(NO_ID) + F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(NO_ID - 1)
-    return docs.withColumn("skarn_doc", F.coalesce(F.col("doc_id").cast("long"), made))
-
-
-def _ids(batch: pa.RecordBatch) -> np.ndarray:
-    return batch.column("skarn_doc").to_numpy()
+def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    return batch.column(DOC).to_numpy(), batch.column(SUB).to_numpy()
 
 
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, texts = _ids(batch), batch.column("text")
+        texts = batch.column("text")
         for lo, hi in pieces(texts):
             w = words_of(texts[lo:hi])
             every = np.arange(hi - lo)
             a, b = (sequences(w, every, s).view(np.int64) for s in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[lo:hi], w.counts.astype(np.int64), a, b)], ["doc", "n_words", "a", "b"])
+            own = [batch.column(c)[lo:hi] for c in (DOC, SUB)]
+            yield pa.RecordBatch.from_arrays([*own, *[pa.array(x) for x in (w.counts.astype(np.int64), a, b)]], [DOC, SUB, "n_words", "a", "b"])
 
 
 def minimisers(w: Words, width: int, inner: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -95,9 +97,33 @@ def minimisers(w: Words, width: int, inner: int) -> tuple[np.ndarray, np.ndarray
     return at, place[at], least[at]
 
 
-def cells(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
-    """The cell of each hash in each row of the sketch."""
-    return [(mix(hashes, 11 + r) >> U64(64 - bits)).astype(np.uint32) for r in range(ROWS)]
+@dataclass(frozen=True)
+class Shape:
+    """A sketch of ``2 ** shards`` shards by hash, each of ``ROWS`` rows of ``2 ** low`` cells."""
+
+    shards: int
+    low: int
+
+    def shard(self, hashes: np.ndarray) -> np.ndarray:
+        return (mix(hashes, 10) >> U64(64 - self.shards)).astype(np.int64) if self.shards else np.zeros(len(hashes), np.int64)
+
+    def cells(self, hashes: np.ndarray) -> list[np.ndarray]:
+        """The cell of each hash in each row of its shard."""
+        return [(mix(hashes, 11 + r) >> U64(64 - self.low)).astype(np.int64) for r in range(ROWS)]
+
+
+def shape_for(n_words: int, width: int, inner: int, sketch_bits: int) -> tuple[Shape, bool]:
+    """A sketch that fits the corpus, and whether it may be broadcast."""
+    expected = max(1, 2 * n_words // (width - inner + 2))  # minimisers: two of each inner + 2 places on random text
+    bits = max(12, (2 * expected - 1).bit_length())
+    if ROWS << bits <= sketch_bits:
+        return Shape(SHARDS.bit_length() - 1, bits - SHARDS.bit_length() + 1), True
+    low = min(bits, SHARD_BITS[1], max(SHARD_BITS[0], bits - 10))
+    return Shape(bits - low, low), False
+
+
+def hit(bitmap: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    return (bitmap[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & np.uint8(1) == 1
 
 
 def _packed(values: np.ndarray) -> bytes:
@@ -108,60 +134,63 @@ def _unpacked(blob: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(zlib.decompress(blob), np.uint32).astype(np.int64))
 
 
-SKETCH_SCHEMA = "shard int, once binary, more binary"
+SKETCH_SCHEMA = "shard int, row int, once binary, more binary"
 
 
-def _sketches(width: int, inner: int, bits: int):
-    """For each task: cells hit once and cells hit more often, by cell range."""
-    low = bits - 6
+def _sketches(width: int, inner: int, shape: Shape):
+    """For each task: cells hit once and cells hit more often, by shard."""
 
-    def flush(held: list[list[np.ndarray]]) -> pa.RecordBatch:
-        shard, once, more = [], [], []
-        for r in range(ROWS):
-            cell, n = np.unique(np.concatenate(held[r]), return_counts=True)
-            cut = np.searchsorted(cell, np.arange(SHARDS + 1, dtype=np.int64) << low)
-            for s in range(SHARDS):
-                own, k = cell[cut[s] : cut[s + 1]] - np.uint32(s << low), n[cut[s] : cut[s + 1]]
-                if len(own):
-                    shard.append(r * SHARDS + s)
-                    once.append(_packed(own[k == 1]))
-                    more.append(_packed(own[k > 1]))
-        return pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(once, pa.binary()), pa.array(more, pa.binary())], ["shard", "once", "more"])
+    def flush(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        hashes = np.concatenate(held)
+        number = shape.shard(hashes)
+        for r, local in enumerate(shape.cells(hashes)):
+            cell, n = np.unique((number << shape.low) | local, return_counts=True)
+            of = cell >> shape.low
+            cut = np.append(np.flatnonzero(np.diff(of, prepend=-1)), len(of))
+            own = (cell & ((1 << shape.low) - 1)).astype(np.uint32)
+            once, more = [], []
+            for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                again = n[i:j] > 1
+                once.append(_packed(own[i:j][~again]))
+                more.append(_packed(own[i:j][again]))
+            yield pa.RecordBatch.from_arrays([pa.array(of[cut[:-1]].astype(np.int32)), pa.array(np.full(len(once), r, np.int32)), pa.array(once, pa.binary()), pa.array(more, pa.binary())], ["shard", "row", "once", "more"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = [[] for _ in range(ROWS)]
+        held: list[np.ndarray] = []
         size = 0
         for batch in batches:
             texts = batch.column("text")
             for lo, hi in pieces(texts):
                 _, place, least = minimisers(words_of(texts[lo:hi]), width, inner)
                 place, first = np.unique(place, return_index=True)
-                for r, cell in enumerate(cells(least[first], bits)):
-                    held[r].append(cell)
+                held.append(least[first])
                 size += len(place)
                 if size > 4 * BUFFER:
-                    yield flush(held)
-                    held, size = [[] for _ in range(ROWS)], 0
+                    yield from flush(held)
+                    held, size = [], 0
         if size:
-            yield flush(held)
+            yield from flush(held)
 
     return run
 
 
-def _merged(bits: int):
-    """Adds the partial sketches of each shard, which arrive in a row; memory is one shard."""
+BITMAP_SCHEMA = "shard int, row int, bitmap binary"
 
-    def bitmap(shard: int, total: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([zlib.compress(np.packbits(total > 1).tobytes(), 1)], pa.binary())], ["shard", "bitmap"])
+
+def _merged(shape: Shape):
+    """Adds the partial sketches of each row of a shard, which arrive one after the other; memory is one row of a shard."""
+
+    def bitmap(now: tuple[int, int], total: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int32()), pa.array([zlib.compress(np.packbits(total > 1).tobytes(), 1)], pa.binary())], ["shard", "row", "bitmap"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, total = None, np.zeros(1, np.uint8)
         for batch in batches:
-            for shard, once, more in zip(*(batch.column(c).to_pylist() for c in ("shard", "once", "more")), strict=True):
-                if shard != now:
+            for shard, row, once, more in zip(*(batch.column(c).to_pylist() for c in ("shard", "row", "once", "more")), strict=True):
+                if (shard, row) != now:
                     if now is not None:
                         yield bitmap(now, total)
-                    now, total = shard, np.zeros(1 << (bits - 6), np.uint8)
+                    now, total = (shard, row), np.zeros(1 << shape.low, np.uint8)
                 at = _unpacked(once)
                 total[at] = np.minimum(total[at] + 1, 2)
                 total[_unpacked(more)] = 2
@@ -171,57 +200,90 @@ def _merged(bits: int):
     return run
 
 
-WINDOW_SCHEMA = "kind int, a long, b long, doc long, place int, places array<int>"
+WINDOW_SCHEMA = f"kind int, a long, b long, {KEY}, place int, places array<int>"
+PLACE_SCHEMA = f"shard int, row int, hash long, {KEY}, place int, bitmap binary"
 
 
-def _places(width: int, inner: int):
-    """Hash, document and place of every minimiser."""
+def _places(width: int, inner: int, shape: Shape):
+    """Shard, hash, document and place of every minimiser; ``row`` puts them after the bitmaps of their shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = _ids(batch), batch.column("text")
+            (ids, subs), texts = _ids(batch), batch.column("text")
             for lo, hi in pieces(texts):
                 w = words_of(texts[lo:hi])
                 _, place, least = minimisers(w, width, inner)
+                if not len(place):
+                    continue
                 place, first = np.unique(place, return_index=True)
-                doc = w.owner()[place] if len(place) else place
-                yield pa.RecordBatch.from_arrays([pa.array(least[first].view(np.int64)), pa.array(ids[lo:hi][doc]), pa.array((place - w.first[doc]).astype(np.int32))], ["hash", "doc", "place"])
+                hashes, doc = least[first], w.owner()[place]
+                columns = [shape.shard(hashes).astype(np.int32), np.full(len(hashes), ROWS, np.int32), hashes.view(np.int64), ids[lo:hi][doc], subs[lo:hi][doc], (place - w.first[doc]).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.nulls(len(hashes), pa.binary())], ["shard", "row", "hash", DOC, SUB, "place", "bitmap"])
 
     return run
 
 
-def _candidates(width: int, inner: int, bits: int, sketch):
+def _looked_up(shape: Shape):
+    """Places whose minimiser is estimated repeated.  Rows arrive by shard, its bitmaps first; memory is the bitmaps of one shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, [None] * ROWS
+        for batch in batches:
+            shard, row = (batch.column(c).to_numpy() for c in ("shard", "row"))
+            kept = []
+            cut = np.append(np.flatnonzero(np.diff(shard, prepend=-1)), len(shard))
+            for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                if shard[i] != now:
+                    now, rows = shard[i], [None] * ROWS
+                while i < j and row[i] < ROWS:
+                    rows[row[i]] = np.frombuffer(zlib.decompress(batch.column("bitmap")[i].as_py()), np.uint8)
+                    i += 1
+                if i < j:
+                    seen = np.ones(j - i, bool)
+                    for bitmap, cell in zip(rows, shape.cells(batch.column("hash")[i:j].to_numpy().view(U64)), strict=True):
+                        seen &= hit(bitmap, cell)
+                    kept.append(i + np.flatnonzero(seen))
+            if kept:
+                yield batch.select([DOC, SUB, "place"]).take(pa.array(np.concatenate(kept)))
+
+    return run
+
+
+def _candidates(width: int, inner: int, shape: Shape, sketch):
     """Windows whose estimate is 2 or more: repeats inside a buffer (kind 1, by document) and one row for each sequence (kind 0).
 
-    Without a sketch the rows bring the repeated places of their minimisers as ``hits``.
+    Without a broadcast sketch the rows bring the places of minimisers that were looked up elsewhere as ``hits``.
     """
 
     def flush(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        a, b, doc, place = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((place, doc, b, a))
-        a, b, doc, place = a[order], b[order], doc[order], place[order]
+        a, b, doc, sub, place = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((place, sub, doc, b, a) if sub.any() else (place, doc, b, a))
+        a, b, doc, sub, place = (x[order] for x in (a, b, doc, sub, place))
         again = np.zeros(len(a), bool)
         again[1:] = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
         first = ~again
         n = int(first.sum())
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.array(a[first].view(np.int64)), pa.array(b[first].view(np.int64)), pa.array(doc[first]), pa.array(place[first].astype(np.int32)), pa.nulls(n, pa.list_(pa.int32()))], ["kind", "a", "b", "doc", "place", "places"])
+        names = ["kind", "a", "b", DOC, SUB, "place", "places"]
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), *[pa.array(x[first]) for x in (a.view(np.int64), b.view(np.int64), doc, sub, place.astype(np.int32))], pa.nulls(n, pa.list_(pa.int32()))], names)
         head = np.maximum.accumulate(np.where(first, np.arange(len(a)), 0))
-        again &= (doc != doc[head]) | (place != place[head])  # a repeated row is the same occurrence
-        doc, place = doc[again], place[again].astype(np.int32)
-        order = np.lexsort((place, doc))
-        doc, place = doc[order], place[order]
-        cut = np.flatnonzero(np.diff(doc, prepend=doc[:1] - 1)) if len(doc) else np.zeros(0, np.int64)
+        again &= (doc != doc[head]) | (sub != sub[head]) | (place != place[head])  # a repeated row is the same occurrence
+        doc, sub, place = doc[again], sub[again], place[again].astype(np.int32)
+        order = np.lexsort((place, sub, doc))
+        doc, sub, place = doc[order], sub[order], place[order]
+        new = np.ones(len(doc), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (sub[1:] != sub[:-1])
+        cut = np.flatnonzero(new)
         lists = pa.ListArray.from_arrays(pa.array(np.append(cut, len(doc)).astype(np.int32)), pa.array(place))
         m = len(cut)
         none = pa.nulls(m, pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), none, none, pa.array(doc[cut]), pa.nulls(m, pa.int32()), lists], ["kind", "a", "b", "doc", "place", "places"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), none, none, pa.array(doc[cut]), pa.array(sub[cut]), pa.nulls(m, pa.int32()), lists], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [np.frombuffer(x, np.uint8) for x in sketch.value] if sketch else []
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
         for batch in batches:
-            ids, texts = _ids(batch), batch.column("text")
+            (ids, subs), texts = _ids(batch), batch.column("text")
             hits = None if sketch else batch.column("hits")
             for lo, hi in pieces(texts):
                 w = words_of(texts[lo:hi])
@@ -231,8 +293,9 @@ def _candidates(width: int, inner: int, bits: int, sketch):
                 place, first, back = np.unique(place, return_index=True, return_inverse=True)
                 if hits is None:
                     seen = np.ones(len(first), bool)
-                    for row, cell in zip(rows, cells(least[first], bits), strict=True):
-                        seen &= (row[cell >> np.uint32(3)] >> (np.uint8(7) - (cell & np.uint32(7)).astype(np.uint8))) & np.uint8(1) == 1
+                    base = shape.shard(least[first]) << shape.low
+                    for row, cell in zip(rows, shape.cells(least[first]), strict=True):
+                        seen &= hit(row, base | cell)
                 else:
                     known = hits[lo:hi]
                     owner = np.repeat(np.arange(hi - lo), pc.fill_null(pc.list_value_length(known), 0).to_numpy(zero_copy_only=False))
@@ -241,7 +304,7 @@ def _candidates(width: int, inner: int, bits: int, sketch):
                 _, a = windows(w, width)
                 _, b = windows(w, width, 1)
                 doc = w.owner()[at[pick]]
-                held.append((a[pick], b[pick], ids[lo:hi][doc], at[pick] - w.first[doc]))
+                held.append((a[pick], b[pick], ids[lo:hi][doc], subs[lo:hi][doc], at[pick] - w.first[doc]))
                 size += int(pick.sum())
                 if size > BUFFER:
                     yield from flush(held)
@@ -264,7 +327,7 @@ def _ranges(width: int):
                 p = np.unique(flat[lo:hi])
                 new = np.flatnonzero(np.diff(p, prepend=p[:1] - width - 1) > width)
                 blobs.append(np.column_stack([p[new], p[np.append(new[1:], len(p)) - 1] + width]).astype(np.int32).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(blobs, pa.binary())], ["doc", "ranges"])
+            yield pa.RecordBatch.from_arrays([batch.column(DOC), batch.column(SUB), pa.array(blobs, pa.binary())], [DOC, SUB, "ranges"])
 
     return run
 
@@ -272,10 +335,10 @@ def _ranges(width: int):
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         blobs = [np.array([0, n], np.int32).tobytes() for n in batch.column("n").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(blobs, pa.binary())], ["doc", "ranges"])
+        yield pa.RecordBatch.from_arrays([batch.column(DOC), batch.column(SUB), pa.array(blobs, pa.binary())], [DOC, SUB, "ranges"])
 
 
-def _applied(names: list[str], digest: bool):
+def _applied(digest: bool):
     """Takes the ranges out; texts that lose nothing stay as they are, others are the kept words joined by one space."""
 
     def kept(raw: bytes, starts: np.ndarray, ends: np.ndarray, gone: np.ndarray) -> bytes:
@@ -302,75 +365,91 @@ def _applied(names: list[str], digest: bool):
                         out.append(hashlib.sha256(kept(raw, w.starts[i:j], w.ends[i:j], gone)).hexdigest())
                     else:
                         out.append(kept(raw, w.starts[i:j], w.ends[i:j], gone).decode() if n else texts[lo + d].as_py())
-            new = {"n_words": pa.array(np.concatenate(n_words).astype(np.int64) if n_words else [], pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_sha256" if digest else "text": pa.array(out, pa.string())}
-            yield pa.RecordBatch.from_arrays([new.get(c, batch.column(c) if c in batch.schema.names else None) for c in names], names)
+            counted = np.concatenate(n_words).astype(np.int64) if n_words else []
+            yield pa.RecordBatch.from_arrays([batch.column("skarn_row"), pa.array(out, pa.string()), pa.array(counted, pa.int64()), pa.array(n_removed, pa.int64())], ["skarn_row", "text", "n_words", "n_removed"])
 
     return run
 
 
-def removed_ranges(docs: DataFrame, width: int = WIDTH, inner: int = INNER, sketch_bits: int = SKETCH_BITS) -> tuple[DataFrame, Scratch]:
-    """``doc`` (``doc_id``, null as the largest long) and the word ranges to remove (int32 pairs), for documents that lose words."""
+def _bitmaps(left: DataFrame, width: int, inner: int, shape: Shape) -> DataFrame:
+    partial = left.mapInArrow(_sketches(width, inner, shape), SKETCH_SCHEMA)
+    return partial.repartition("shard", "row").sortWithinPartitions("shard", "row").mapInArrow(_merged(shape), BITMAP_SCHEMA)
+
+
+def removed_ranges(docs: DataFrame, width: int = WIDTH, inner: int = INNER, sketch_bits: int = SKETCH_BITS) -> tuple[DataFrame, DataFrame | None, Scratch]:
+    """Word ranges to remove (int32 pairs) by ``skarn_doc`` and ``skarn_sub``, for documents that lose words; and the ids with several texts."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "substring")
-    texts = _keyed(docs.select("doc_id", "text")).drop("doc_id")
-    prints = scratch.write(texts.mapInArrow(_prints, "doc long, n_words long, a long, b long"), "prints")
-    groups = prints.where(F.col("n_words") >= width).groupBy("a", "b").agg(F.min("doc").alias("keep"), F.max("doc").alias("last")).where("keep < last")
+    raw = keyed(docs.select("doc_id", "text")).drop("doc_id")
+    prints = scratch.write(raw.mapInArrow(_prints, f"{KEY}, n_words long, a long, b long"), "prints")
+    shared = shared_ids(prints, scratch)
+    texts, prints = settled(raw, shared), settled(prints, shared)
+    own = F.struct(DOC, SUB)
+    groups = prints.where(F.col("n_words") >= width).groupBy("a", "b").agg(F.min(own).alias("keep"), F.max(own).alias("last")).where("keep < last")
     groups = scratch.write(groups.select("a", "b", "keep"), "groups")
-    copies = scratch.write(prints.join(groups, ["a", "b"]).where("doc > keep").select("doc", "n_words").distinct(), "copies")
+    copies = scratch.write(prints.join(groups, ["a", "b"]).where(own > F.col("keep")).select(DOC, SUB, "n_words").distinct(), "copies")
 
     n_words = prints.agg(F.sum("n_words")).first()[0] or 0
-    expected = max(1, 2 * n_words // (width - inner + 2))  # minimisers: two of each inner + 2 places on random text
-    bits = max(12, (2 * expected - 1).bit_length())
-    gone = copies.select(F.col("doc").alias("skarn_doc"))
-    if 16 * copies.count() <= BROADCAST_BYTES:  # else Spark chooses, and may shuffle the texts
+    shape, small = shape_for(n_words, width, inner, sketch_bits)
+    gone = copies.select(DOC, SUB)
+    if 24 * copies.count() <= BROADCAST_BYTES:  # else Spark chooses, and may shuffle the texts
         gone = F.broadcast(gone)
-    left = texts.join(gone, "skarn_doc", "left_anti")
+    left = texts.join(gone, [DOC, SUB], "left_anti")
     sent = None
-    if ROWS << bits <= sketch_bits:
-        partial = left.mapInArrow(_sketches(width, inner, bits), SKETCH_SCHEMA)
-        merged = partial.repartition("shard").sortWithinPartitions("shard").mapInArrow(_merged(bits), "shard int, bitmap binary")
-        sketch = [bytearray(1 << (bits - 3)) for _ in range(ROWS)]
-        part = 1 << (bits - 9)
-        for row in merged.collect():  # at most sketch_bits
-            r, s = divmod(row.shard, SHARDS)
-            sketch[r][s * part : (s + 1) * part] = zlib.decompress(row.bitmap)
+    if small:
+        sketch = [bytearray(1 << (shape.shards + shape.low - 3)) for _ in range(ROWS)]
+        part = 1 << (shape.low - 3)
+        for row in _bitmaps(left, width, inner, shape).collect():  # at most sketch_bits
+            sketch[row.row][row.shard * part : (row.shard + 1) * part] = zlib.decompress(row.bitmap)
         sent = spark.sparkContext.broadcast([bytes(x) for x in sketch])
         wanted = left
     else:
-        minimal = left.mapInArrow(_places(width, inner), "hash long, doc long, place int")
-        often = scratch.write(minimal.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "often")
-        hits = minimal.join(often, "hash").groupBy("doc").agg(F.collect_list("place").alias("hits"))
-        wanted = left.join(scratch.write(hits, "hits").withColumnRenamed("doc", "skarn_doc"), "skarn_doc")
-
-    found = scratch.write(wanted.mapInArrow(_candidates(width, inner, bits, sent), WINDOW_SCHEMA), "windows", "kind")
+        bitmaps = scratch.write(_bitmaps(left, width, inner, shape), "bitmaps")
+        none = [F.lit(None).cast(t).alias(c) for c, t in (("hash", "long"), (DOC, "long"), (SUB, "long"), ("place", "int"))]
+        asked = left.mapInArrow(_places(width, inner, shape), PLACE_SCHEMA)
+        both = asked.unionByName(bitmaps.select("shard", "row", *none, "bitmap"))
+        found = both.repartition("shard").sortWithinPartitions("shard", "row").mapInArrow(_looked_up(shape), f"{KEY}, place int")
+        hits = scratch.write(found.groupBy(DOC, SUB).agg(F.collect_list("place").alias("hits")), "hits")
+        wanted = left.join(hits, [DOC, SUB])
+
+    found = scratch.write(wanted.mapInArrow(_candidates(width, inner, shape, sent), WINDOW_SCHEMA), "windows", "kind")
     if sent:
         sent.unpersist()
     else:
-        scratch.drop("often", "hits")
-    rows = found.where("kind = 0").select("a", "b", "doc", "place")
-    least = rows.groupBy("a", "b").agg(F.min(F.struct("doc", "place")).alias("m"), F.max(F.struct("doc", "place")).alias("x")).where("m < x")
-    least = scratch.write(least.select("a", "b", F.col("m.doc").alias("first_doc"), F.col("m.place").alias("first_place")), "least")
-    late = rows.join(least, ["a", "b"]).where("doc > first_doc OR (doc = first_doc AND place > first_place)").select("doc", F.array("place").alias("places"))
-    local = found.where("kind = 1").select("doc", "places")
-    places = late.unionByName(local).groupBy("doc").agg(F.flatten(F.collect_list("places")).alias("places"))
-    spans = places.mapInArrow(_ranges(width), "doc long, ranges binary")
-    whole = copies.groupBy("doc").agg(F.max("n_words").alias("n")).mapInArrow(_whole, "doc long, ranges binary")
-    return scratch.write(spans.unionByName(whole), "ranges"), scratch
-
-
-def remove_repeats(docs: DataFrame, width: int = WIDTH, digest: bool = False, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """``docs`` with ``n_words``, ``n_removed`` and either the shortened ``text`` or, with ``digest``, its ``kept_sha256`` instead.
+        scratch.drop("bitmaps", "hits")
+    rows = found.where("kind = 0").select("a", "b", DOC, SUB, "place")
+    at = F.struct(DOC, SUB, "place")
+    least = rows.groupBy("a", "b").agg(F.min(at).alias("m"), F.max(at).alias("x")).where("m < x")
+    least = scratch.write(least.select("a", "b", "m"), "least")
+    late = rows.join(least, ["a", "b"]).where(at > F.col("m")).select(DOC, SUB, F.array("place").alias("places"))
+    local = found.where("kind = 1").select(DOC, SUB, "places")
+    places = late.unionByName(local).groupBy(DOC, SUB).agg(F.flatten(F.collect_list("places")).alias("places"))
+    spans = places.mapInArrow(_ranges(width), f"{KEY}, ranges binary")
+    whole = copies.groupBy(DOC, SUB).agg(F.max("n_words").alias("n")).mapInArrow(_whole, f"{KEY}, ranges binary")
+    return scratch.write(spans.unionByName(whole), "ranges"), shared, scratch
+
+
+def cut(docs: DataFrame, width: int = WIDTH, digest: bool = False, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``skarn_row`` (the other columns of each row as a struct), ``text`` without its repeats (or its SHA-256), ``n_words`` and ``n_removed``.
 
     An unchanged text is returned as it is; a null text stays null.
     """
-    ranges, scratch = removed_ranges(docs, width)
-    size = ranges.agg(F.sum(F.length("ranges") + 16)).first()[0] or 0
+    ranges, shared, scratch = removed_ranges(docs, width)
+    size = ranges.agg(F.sum(F.length("ranges") + 24)).first()[0] or 0
     scratch.drop("prints", "groups", "copies", "windows", "least")
     if size <= broadcast_bytes:
         ranges = F.broadcast(ranges)
-    keep = docs.select("doc_id", "text") if digest else docs
-    keep = keep.drop("n_words", "n_removed", "ranges")
-    joined = _keyed(keep).join(ranges.withColumnRenamed("doc", "skarn_doc"), "skarn_doc", "left")
-    fields = [f for f in keep.schema.fields if not (digest and f.name == "text")]
-    fields += [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())] + [T.StructField("kept_sha256", T.StringType())] * digest
-    return joined.mapInArrow(_applied([f.name for f in fields], digest), T.StructType(fields))
+    row = F.struct(*[F.col(f"`{c}`") for c in (["doc_id"] if digest else [c for c in docs.columns if c != "text"])]).alias("skarn_row")
+    packed = settled(keyed(docs.select(row, "doc_id", "text")), shared)
+    joined = packed.join(ranges, [DOC, SUB], "left").select("skarn_row", "text", "ranges")
+    fields = [joined.schema["skarn_row"], T.StructField("text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())]
+    return joined.mapInArrow(_applied(digest), T.StructType(fields))
+
+
+def remove_repeats(docs: DataFrame, width: int = WIDTH, digest: bool = False, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``docs`` with ``n_words``, ``n_removed`` and either the shortened ``text`` or, with ``digest``, ``doc_id`` and ``kept_sha256`` instead."""
+    done = cut(docs, width, digest, broadcast_bytes)
+    if digest:
+        return done.select("skarn_row.doc_id", "n_words", "n_removed", F.col("text").alias("kept_sha256"))
+    own = [c for c in docs.columns if c not in ("n_words", "n_removed")]
+    return done.select(*[F.col("text") if c == "text" else F.col("skarn_row").getField(c).alias(c) for c in own], "n_words", "n_removed")

@@ -114,7 +114,7 @@ def judge(pages: DataFrame, rules: Mapping[str, str] = RULES, redirects: DataFra
     own = decision(F.col("rule"), rules)
     if edges.isEmpty():
         return judged.withColumn("verdict", F.coalesce(own, F.lit("allow")))
-    known = scratch.write(connected_components(edges, scratch, "aliases"), "known")
+    known = scratch.write(connected_components(edges, scratch, "aliases", local=False), "known")
     blocked = known.where(decision(matched(host(F.col("node")), path(F.col("node")), rules), rules) == "block").select("component").distinct()
     blocked = scratch.write(blocked, "blocked")
     tainted = scratch.write(known.join(blocked, "component").select(F.col("node").alias("alias")), "tainted")

@@ -49,3 +49,10 @@ def without_repeats(rows, k=20):
             seen.add(key)
         out[i] = (len(w), sum(gone), [x for x, g in zip(w, gone, strict=True) if not g])
     return out
+
+
+def by_text(rows, order):
+    """Rows of (id or None, text) as (position, text) of distinct documents, and the position of each row; ``order`` ranks the texts of one id."""
+    documents = sorted({(i, t or "") for i, t in rows}, key=lambda d: (d[0] is None, d[0] or 0, order(d[1])))
+    place = {d: k for k, d in enumerate(documents)}
+    return [(k, t) for k, (_, t) in enumerate(documents)], [place[i, t or ""] for i, t in rows], [i for i, _ in documents]

@@ -65,19 +65,86 @@ def test_near_duplicates_equal_brute_force(spark, documents, texts):
     assert got == brute.near_duplicates(texts)
 
 
-def test_large_group_in_many_blocks(spark, monkeypatch):
-    rng = random.Random(4)
-    base, rows = passage(9, 120), []
-    for i in range(150):
+def edited(n, most, seed=4, words=120):
+    """Near copies of one text with up to ``most`` words replaced."""
+    rng = random.Random(seed)
+    base, rows = passage(9, words), []
+    for i in range(n):
         w = list(base)
-        for _ in range(rng.randrange(6)):
+        for _ in range(rng.randrange(most)):
             w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
         rows.append((i * 3, " ".join(w)))
-    rows += [(i * 3 + 1, " ".join(passage(100 + i, 60))) for i in range(40)]
-    monkeypatch.setattr(near_dup, "BLOCK", 16)
+    return rows
+
+
+@pytest.mark.parametrize("most, block", [(6, 16), (12, 16), (3, 8)])
+def test_large_group_in_many_blocks(spark, monkeypatch, most, block):
+    rows = edited(150, most) + [(i * 3 + 1, " ".join(passage(100 + i, 60))) for i in range(40)]
+    monkeypatch.setattr(near_dup, "BLOCK", block)
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     want = brute.near_duplicates(rows)
-    assert got == want and len({v[1] for v in want.values()}) > 42
+    assert got == want and len({v[1] for v in want.values()}) > 40
+
+
+def test_rows_of_long_lists_grow_in_proportion(spark, monkeypatch):
+    """Rows that are compared: a large group of near copies makes a few for each member, however large it is."""
+    seen, whole = [], near_dup._work
+    count = spark.sparkContext.accumulator(0)
+
+    def counting(compare):
+        work = whole(compare)
+
+        def run(table):
+            count.add(len(table))
+            yield from work(table)
+
+        return run
+
+    monkeypatch.setattr(near_dup, "_work", counting)
+    monkeypatch.setattr(near_dup, "BLOCK", 16)
+    for n in (200, 800):
+        count.value = 0
+        assert near_dup.near_duplicates(spark.createDataFrame(edited(n, 3), "doc_id long, text string")).where("kept").count() == 1
+        seen.append(count.value / n)
+    assert seen[1] < 1.5 * seen[0]
+
+
+SHARED = [(0, " ".join(passage(61, 30))), (1, " ".join(passage(62, 30))), (1, " ".join(passage(61, 30)) + " tail"), (1, " ".join(passage(62, 30))), (3, " ".join(passage(63, 30))), (4, " ".join(passage(63, 30) + passage(64, 1))),
+          (4, " ".join(passage(65, 40))), (5, " ".join(passage(62, 30) + passage(66, 2))), (None, " ".join(passage(65, 40) + passage(67, 1))), (None, " ".join(passage(68, 25))), (None, " ".join(passage(68, 25))), (None, None), (9, "a b")]
+
+
+@pytest.fixture(scope="module")
+def hashes(spark):
+    from skarn.llm.identity import text_hash
+
+    found = {r.text or "": r.h for r in spark.createDataFrame(SHARED, "doc_id long, text string").withColumn("h", text_hash()).collect()}
+    return found.__getitem__
+
+
+def test_near_duplicates_with_shared_ids(spark, hashes):
+    """Texts of one id are documents of their own: their links and sets are their own."""
+    docs = spark.createDataFrame(SHARED, "doc_id long, text string")
+    documents, place, ids = brute.by_text(SHARED, hashes)
+    want = brute.near_duplicates(documents)
+    expected = []
+    for p in place:
+        n, lead, kept = want[p]
+        expected.append((ids[p], n, ids[lead], kept if ids[p] is None else ids[p] == ids[lead]))
+    got = [tuple(r) for r in near_dup.near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept").collect()]
+    assert sorted(got, key=str) == sorted(expected, key=str)
+    left = sorted(((r.doc_id, r.text) for r in near_dup.keep_first(docs).collect()), key=str)
+    assert left == sorted((row for row, p in zip(SHARED, place, strict=True) if want[p][2]), key=str)
+
+
+@pytest.mark.parametrize("bits", [substring_dedup.SKETCH_BITS, 0])
+def test_passages_with_shared_ids(spark, hashes, bits, monkeypatch):
+    """A word that occurs once is never removed, whatever other rows bear its id."""
+    monkeypatch.setattr(substring_dedup.removed_ranges, "__defaults__", (20, 10, bits))
+    docs = spark.createDataFrame(SHARED, "doc_id long, text string")
+    documents, place, ids = brute.by_text(SHARED, hashes)
+    want = brute.without_repeats(documents)
+    got = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.remove_repeats(docs, digest=True).collect()), key=str)
+    assert got == sorted(((ids[p], n, m, hashlib.sha256(" ".join(w).encode()).hexdigest()) for p in place for n, m, w in [want[p]]), key=str)
 
 
 def test_near_duplicates_of_odd_rows(spark, odd):
@@ -93,11 +160,16 @@ def test_near_duplicates_of_nothing(spark, odd):
     assert near_dup.near_duplicates(odd.where("1 = 0")).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("local, kind", [(True, "long"), (False, "long"), (True, "string")])
+def test_components(spark, local, kind, monkeypatch):
     edges = [(i, i + 1) for i in range(30)] + [(100, i) for i in range(101, 140)] + [(7, 7), (200, 201), (201, 202), (202, 200)]
-    found = connected_components(spark.createDataFrame(edges, "a long, b long"), scratch.Scratch(spark, "test"), "c").collect()
-    assert {r.node: r.component for r in found} == {**{i: 0 for i in range(31)}, **{i: 100 for i in range(100, 140)}, **{i: 200 for i in range(200, 203)}}
+    table = spark.createDataFrame(edges, "a long, b long").repartition(3)
+    if kind == "string":
+        table = table.selectExpr("lpad(a, 5, '0') AS a", "lpad(b, 5, '0') AS b")
+    found = connected_components(table, scratch.Scratch(spark, "test"), "c", local).collect()
+    assert {int(r.node): int(r.component) for r in found} == {**{i: 0 for i in range(31)}, **{i: 100 for i in range(100, 140)}, **{i: 200 for i in range(200, 203)}}
     assert len(found) == 31 + 40 + 3
+    assert not connected_components(table.where("1 = 0"), scratch.Scratch(spark, "test"), "c", local).collect()
 
 
 # passages
@@ -120,6 +192,7 @@ def planted(seed):
 @pytest.mark.parametrize("bits", [substring_dedup.SKETCH_BITS, 0])
 def test_passages_equal_brute_force(spark, bits, monkeypatch):
     monkeypatch.setattr(substring_dedup.removed_ranges, "__defaults__", (20, 10, bits))
+    monkeypatch.setattr(substring_dedup, "SHARD_BITS", (6, 8))  # many shards where the sketch is not broadcast
     rows = planted(1)
     want = brute.without_repeats(rows)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
