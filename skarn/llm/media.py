@@ -4,11 +4,12 @@
 writes the images of a task into ZIP archives of bounded size in the shared folder.  Only archives of finished task attempts
 are in the manifest, which is a table; files of failed attempts are never read.
 
-The data source ``skarn_media`` plans byte ranges of the archives' *directories* (the central directory at the end of each file):
-the driver reads one end record an archive, no member.  A task walks its part of the directory, fetches each member by its
-offset, and streams payloads through Arrow in batches of about ``BATCH_BYTES``.  A member that can't be read or fails its
-checksum is tried again by itself, from a newly opened file, up to ``TRIES`` times; then its row has an ``error`` instead
-of ``media``, and the other members are unaffected.
+The data source ``skarn_media`` plans byte ranges of the archives' *directories* (the central directory at the end of each file) from a
+manifest or a listing alone: the driver opens no archive.  An archive gets a range for every ``RANGE_BYTES`` of its size; beyond
+``MOST_PARTITIONS`` ranges, neighbours share a partition.  A task reads the end record, walks its range of the directory, fetches each
+member by its offset, and streams payloads through Arrow in batches of about ``BATCH_BYTES``.  A member that can't be read or fails its
+checksum is tried again by itself, after a pause and from a newly opened file, up to ``TRIES`` times; then its row has an ``error``
+instead of ``media``, and the other members are unaffected.
 
 Paths are opened with ``pyarrow.fs`` (local or mounted folders, and the remote stores it supports).
 
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import time
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -43,6 +45,8 @@ ARCHIVE_MEMBERS = 20_000
 BATCH_BYTES = 8 << 20
 RANGE_BYTES = 16 << 20
 TRIES = 3
+PAUSE = 0.05
+MOST_PARTITIONS = 100_000
 
 # PNG and ZIP records.
 PNG = b"\x89PNG\r\n\x1a\n"
@@ -151,96 +155,135 @@ def store(docs: DataFrame, folder: str) -> DataFrame:
 
 
 @dataclass
-class DirectoryRange(InputPartition):
-    """Bytes ``start`` to ``stop`` of an archive's directory; an entry belongs to the range it begins in."""
+class DirectoryRanges(InputPartition):
+    """(archive, k, n): the k-th of n byte ranges of an archive's directory; an entry belongs to the range it begins in."""
 
-    archive: str
-    directory_at: int
-    start: int
-    stop: int
+    ranges: list[tuple[str, int, int]]
 
 
-def end_record(archive: str) -> tuple[int, int]:
-    """Where the directory of an archive begins, and its size."""
-    system, path = pfs.FileSystem.from_uri(archive)
-    with system.open_input_file(path) as f:
-        size = f.size()
-        tail = f.read_at(min(size, END.size + 65535), max(0, size - END.size - 65535))
+def _end_record(f) -> tuple[int, int]:
+    """Where the directory of an open archive begins, and its size."""
+    size = f.size()
+    tail = f.read_at(min(size, END.size + 65535), max(0, size - END.size - 65535))
     at = tail.rfind(END_MARK)
     if at < 0:
-        raise ValueError(f"{archive}: no end record")
+        raise ValueError("no end record")
     _, _, _, _, n, length, begin, _ = END.unpack(tail[at : at + END.size])
     if n == 0xFFFF or begin == 0xFFFFFFFF:
-        raise ValueError(f"{archive}: 64-bit archives are not read")
+        raise ValueError("64-bit archives are not read")
     return begin, length
 
 
+class _File:
+    """An archive that is opened when it is read and again after a failure."""
+
+    def __init__(self, path: str):
+        self.path, self.handle = path, None
+
+    def open(self):
+        if self.handle is None:
+            system, path = pfs.FileSystem.from_uri(self.path)
+            self.handle = system.open_input_file(path)
+        return self.handle
+
+    def close(self) -> None:
+        handle, self.handle = self.handle, None
+        if handle is not None:
+            try:
+                handle.close()
+            except OSError:
+                pass  # it is opened anew
+
+
 class MediaReader(DataSourceReader):
     def __init__(self, options: dict):
         self.manifest, self.path = options.get("manifest"), options.get("path")
         self.range_bytes = int(options.get("range_bytes", RANGE_BYTES))
         self.batch_bytes = int(options.get("batch_bytes", BATCH_BYTES))
         self.tries = int(options.get("tries", TRIES))
+        self.most = int(options.get("partitions", MOST_PARTITIONS))
 
-    def _archives(self) -> Iterator[tuple[str, int, int]]:
+    def _archives(self) -> Iterator[tuple[str, int]]:
+        """Path and size of every archive."""
         if self.manifest:
             system, path = pfs.FileSystem.from_uri(self.manifest)
             files = [f.path for f in system.get_file_info(pfs.FileSelector(path)) if f.path.endswith(".parquet") and f.size]
             for f in sorted(files):
                 with system.open_input_file(f) as handle:
-                    rows = pq.read_table(handle).to_pylist()
-                yield from ((r["archive"], r["directory_at"], r["directory_bytes"]) for r in rows)
+                    for batch in pq.ParquetFile(handle).iter_batches(columns=["archive", "directory_at"]):
+                        yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
         else:
             system, path = pfs.FileSystem.from_uri(self.path)
             scheme = self.path[: self.path.index(":") + 3] if "://" in self.path else ""
-            for f in sorted(x.path for x in system.get_file_info(pfs.FileSelector(path, recursive=True)) if x.path.endswith(".zip")):
-                yield (scheme + f, *end_record(scheme + f))
-
-    def partitions(self) -> list[DirectoryRange]:
-        out = []
-        for archive, at, size in self._archives():
-            n = max(1, -(-at // self.range_bytes))
-            cuts = [size * k // n for k in range(n + 1)]
-            out += [DirectoryRange(archive, at, a, b) for a, b in zip(cuts, cuts[1:], strict=False) if a < b]
-        return out or [DirectoryRange("", 0, 0, 0)]
-
-    def _member(self, part: DirectoryRange, handle, offset: int, size: int, crc: int):
-        """Bytes of a member, or what went wrong last; tried by itself."""
+            for f in sorted(system.get_file_info(pfs.FileSelector(path, recursive=True)), key=lambda x: x.path):
+                if f.path.endswith(".zip"):
+                    yield scheme + f.path, f.size
+
+    def partitions(self) -> list[DirectoryRanges]:
+        ranges = []
+        for archive, size in self._archives():
+            n = max(1, -(-size // self.range_bytes))
+            ranges += [(archive, k, n) for k in range(n)]
+        many = -(-len(ranges) // self.most)
+        return [DirectoryRanges(ranges[i : i + many]) for i in range(0, len(ranges), many or 1)] or [DirectoryRanges([])]
+
+    def _tried(self, file: _File, work):
+        """What ``work`` reads from a file, or what went wrong last."""
         wrong = None
-        for _ in range(self.tries):
+        for turn in range(self.tries):
             try:
-                if handle[0] is None:
-                    system, path = pfs.FileSystem.from_uri(part.archive)
-                    handle[0] = system.open_input_file(path)
-                head = LOCAL.unpack(handle[0].read_at(LOCAL.size, offset))
-                if head[0] != LOCAL_MARK or head[3]:
-                    raise ValueError("no stored member at this offset")
-                data = handle[0].read_at(size, offset + LOCAL.size + head[9] + head[10])
-                if len(data) != size or zlib.crc32(data) != crc:
-                    raise ValueError("checksum")
-                return data, None
+                return work(file.open()), None
             except (OSError, ValueError, struct.error) as e:
-                wrong, handle[0] = f"{type(e).__name__}: {e}", None
+                wrong = f"{type(e).__name__}: {e}"
+                file.close()
+                time.sleep(PAUSE * 2**turn)
         return None, wrong
 
-    def read(self, partition: DirectoryRange) -> Iterator[pa.RecordBatch]:
-        if partition.start >= partition.stop:
-            return
-        system, path = pfs.FileSystem.from_uri(partition.archive)
-        with system.open_input_file(path) as f:
-            directory = f.read_at(min(partition.stop + 65535 + ENTRY.size, f.size() - partition.directory_at), partition.directory_at)
-        handle, at, rows, size = [None], 0, [], 0
-        while at < partition.stop:
+    def _member(self, file: _File, offset: int, size: int, crc: int):
+        """Bytes of a member, or what went wrong last; tried by itself."""
+
+        def work(handle) -> bytes:
+            head = LOCAL.unpack(handle.read_at(LOCAL.size, offset))
+            if head[0] != LOCAL_MARK or head[3]:
+                raise ValueError("no stored member at this offset")
+            data = handle.read_at(size, offset + LOCAL.size + head[9] + head[10])
+            if len(data) != size or zlib.crc32(data) != crc:
+                raise ValueError("checksum")
+            return data
+
+        return self._tried(file, work)
+
+    def _entries(self, file: _File, k: int, n: int) -> Iterator[tuple[str, int, int, int]]:
+        """Name, offset, size and checksum of the members of a range of a directory."""
+
+        def work(handle):
+            at, size = _end_record(handle)
+            begin = size * k // n
+            return begin, size * (k + 1) // n, handle.read_at(min(size * (k + 1) // n + 65535 + ENTRY.size, size), at)
+
+        found, wrong = self._tried(file, work)
+        if found is None:
+            raise OSError(f"{file.path}: {wrong}")  # without a directory no member has a row, so the task must fail
+        start, stop, directory = found
+        at = 0
+        while at < stop:
             entry = ENTRY.unpack(directory[at : at + ENTRY.size])
-            name = directory[at + ENTRY.size : at + ENTRY.size + entry[10]]
-            if at >= partition.start:
-                data, wrong = self._member(partition, handle, entry[16], entry[8], entry[7])
-                rows.append((partition.archive, entry[16], name.decode(), data, wrong))
+            if at >= start:
+                yield directory[at + ENTRY.size : at + ENTRY.size + entry[10]].decode(), entry[16], entry[8], entry[7]
+            at += ENTRY.size + entry[10] + entry[11] + entry[12]
+
+    def read(self, partition: DirectoryRanges) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
+        for archive, k, n in partition.ranges:
+            file = _File(archive)
+            for name, offset, length, crc in self._entries(file, k, n):
+                data, wrong = self._member(file, offset, length, crc)
+                rows.append((archive, offset, name, data, wrong))
                 size += len(data or b"")
                 if size >= self.batch_bytes:
                     yield _rows(rows)
                     rows, size = [], 0
-            at += ENTRY.size + entry[10] + entry[11] + entry[12]
+            file.close()
         if rows:
             yield _rows(rows)
 
@@ -270,36 +313,36 @@ class MediaSource(DataSource):
 DESCRIBED = "name string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string"
 
 
-def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = [c.split()[0] for c in DESCRIBED.split(", ")]
-    for batch in batches:
-        rows = []
-        for name, media, error in zip(batch.column("name").to_pylist(), batch.column("media"), batch.column("error").to_pylist(), strict=True):
-            if error is not None:
-                rows.append((name, *[None] * 7, error))
-                continue
-            stored = media.as_buffer().to_pybytes()
-            samples, n = from_png(stored)
-            rows.append((name, n, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-TAIL:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(samples), None))
-        kinds = [pa.int64() if c.endswith(" long") else pa.string() for c in DESCRIBED.split(", ")]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+def _describe(strict: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [c.split() for c in DESCRIBED.split(", ")]
+        for batch in batches:
+            rows = []
+            for name, media, error in zip(batch.column("name").to_pylist(), batch.column("media"), batch.column("error").to_pylist(), strict=True):
+                if error is not None:
+                    if strict:
+                        raise ValueError(f"member {name}: {error}")
+                    rows.append((name, *[None] * 7, error))
+                    continue
+                stored = media.as_buffer().to_pybytes()
+                samples, n = from_png(stored)
+                rows.append((name, n, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-TAIL:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(samples), None))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64() if k == "long" else pa.string()) for i, (_, k) in enumerate(kinds)], [n for n, _ in kinds])
+
+    return run
 
 
-def describe(media: DataFrame) -> DataFrame:
-    """Sizes, digests and a feature of every member, from the bytes read back."""
-    return media.select("name", "media", "error").mapInArrow(_describe, DESCRIBED)
+def describe(media: DataFrame, strict: bool = False) -> DataFrame:
+    """Sizes, digests and a feature of every member, from the bytes read back; ``strict`` fails on a member that could not be read."""
+    return media.select("name", "media", "error").mapInArrow(_describe(strict), DESCRIBED)
 
 
 def round_trip(docs: DataFrame) -> DataFrame:
-    """Stores the texts of ``docs``, reads them back through the data source and describes them; fails if a member is lost."""
+    """Stores the texts of ``docs``, reads them back through the data source and describes them; the task that loses a member fails."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "media")
     scratch.write(store(docs, scratch.path("archives")), "manifest")
     spark.dataSource.register(MediaSource)
-    media = spark.read.format(MediaSource.name()).option("manifest", scratch.path("manifest")).load()
-    out = describe(media)
+    out = describe(spark.read.format(MediaSource.name()).option("manifest", scratch.path("manifest")).load(), strict=True)
     stem = F.regexp_replace("name", r"\.png$", "")
-    sure = F.when(F.col("error").isNotNull(), F.raise_error(F.concat(F.lit("member "), "name", F.lit(": "), "error"))).otherwise(F.col("n_bytes"))
-    return out.withColumn("doc_id", F.when(stem != "None", stem.cast("long"))).withColumn("n_bytes", sure).select(
-        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"
-    )
+    return out.withColumn("doc_id", F.when(stem != "None", stem.cast("long"))).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")

@@ -2,15 +2,17 @@
 
 Each source gets a mean repetition rate, target weight x total / its rows.  A document's count is the inverse Poisson
 distribution at a uniform number hashed from the seed and the document, so it does not depend on partitions or retries; the row is
-exploded by its count, and all copies are dealt out and sorted by a second hash: a global shuffle without a sampling pass.
+exploded by its count, and all copies are dealt out at random and sorted by a second hash: a global shuffle without a sampling pass.
+Dealing is by row, so a row that repeats in a third of the table is spread like any other.
 
 Rates above ``MOST`` are split into equal parts with a hash each (a sum of Poisson numbers is Poisson), so no rate is out of
-range.  Source sizes count all rows.  Their table is broadcast if it has ``BROADCAST_SOURCES`` rows or fewer; a larger one is
+range.  Source sizes count all rows and are written once, so ``docs`` is read for its sources and then once more.  Their table is broadcast if it has ``BROADCAST_SOURCES`` rows or fewer; a larger one is
 joined on (source, salt), so that a source with a third of all rows is spread over tasks.
 
 Defined cases: null is a source of its own; sources without a weight share what the given weights leave in proportion to their
 rows; weights of absent sources are spread over the present ones; a zero weight drops a source; repeated rows
-get the same count; null ``doc_id`` and text hash as empty; other columns are carried through.
+get the same count; null ``doc_id`` and text hash as empty; other columns, whatever their names, are carried through (but ``mix`` replaces
+columns named ``copies``, ``copy`` and ``place``).
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import Scratch
+
 MOST = 32.0
 #: Longest Poisson table: at a mean of 32, 160 or more has a probability below 1e-53.
 TABLE = 160
@@ -39,7 +43,7 @@ def rates(docs: DataFrame, weights: Mapping[str, float], total: int | None = Non
     if any(w < 0 for w in weights.values()) or sum(weights.values()) > 1 + 1e-9:
         raise ValueError("weights must be 0 or more and sum to 1 at most")
     spark = docs.sparkSession
-    sizes = docs.groupBy(F.col("source").alias("src")).agg(F.count("*").alias("n"))
+    sizes = Scratch(spark, "mix").write(docs.groupBy(F.col("source").alias("src")).agg(F.count("*").alias("n")), "sizes")
     given = spark.createDataFrame([(k, float(w)) for k, w in weights.items()], "src string, weight double")
     known = sizes.join(F.broadcast(given), "src", "left")  # as long as the caller's list of weights
     sums = known.agg(F.sum("n").alias("n_all"), F.sum("weight").alias("w_all"), F.sum(F.when(F.col("weight").isNull(), F.col("n"))).alias("n_free"))
@@ -55,25 +59,29 @@ def rates(docs: DataFrame, weights: Mapping[str, float], total: int | None = Non
     return out.withColumn("terms", terms).withColumn("cdf", F.slice(sums, 2, TABLE + 1)).drop("terms")
 
 
-def mix(docs: DataFrame, weights: Mapping[str, float], total: int | None = None, seed: int = SEED, broadcast_sources: int = BROADCAST_SOURCES) -> DataFrame:
-    """``docs`` with ``copies`` (the count of the document), ``copy`` (0 to ``copies`` - 1) and ``place`` (the key of the global shuffle)."""
+def replicated(docs: DataFrame, weights: Mapping[str, float], total: int | None = None, seed: int = SEED, broadcast_sources: int = BROADCAST_SOURCES) -> DataFrame:
+    """``skarn_row`` (a row of ``docs`` as a struct) with ``copies``, ``copy`` and ``place``, shuffled."""
     table = rates(docs, weights, total)
-    n_sources = docs.select("source").distinct().count()
-    docs = docs.drop("copies", "copy", "place", "src", "rate", "parts", "cdf", "salt", "own_salt")
-    same = F.col("source").eqNullSafe(F.col("src"))
-    if n_sources <= broadcast_sources:
-        joined = docs.join(F.broadcast(table), same)
+    name = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit(""))))
+    packed = docs.select(F.struct("*").alias("skarn_row"), F.col("source").alias("own_source"), name.alias("name"))
+    same = F.col("own_source").eqNullSafe(F.col("src"))
+    if table.select("src").count() <= broadcast_sources:
+        joined = packed.join(F.broadcast(table), same)
     else:
         salted = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        salt = F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALTS)).cast("int")
-        joined = docs.withColumn("own_salt", salt).join(salted, same & (F.col("own_salt") == F.col("salt"))).drop("own_salt", "salt")
-    name = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit(""))))
+        joined = packed.withColumn("own_salt", F.pmod(F.xxhash64("name"), F.lit(SALTS)).cast("int")).join(salted, same & (F.col("own_salt") == F.col("salt")))
     # the count is the number of table entries that the uniform number reaches
-    joined = joined.withColumn("skarn_name", name)
-    one = uniform(F.lit(f"count{seed}"), F.lit("0"), F.col("skarn_name"))
+    one = uniform(F.lit(f"count{seed}"), F.lit("0"), F.col("name"))
     single = F.size(F.filter("cdf", lambda c: c <= one))
-    many = F.expr(f"aggregate(transform(sequence(0, parts - 1), p -> cast(conv(substring(md5(concat_ws('|', 'count{seed}', cast(p AS string), skarn_name)), 1, 13), 16, 10) AS double) / {float(1 << 52)!r}), 0, (a, u) -> a + size(filter(cdf, c -> c <= u)))")
-    counted = joined.withColumn("copies", F.when(F.col("parts") == 1, single).otherwise(many)).drop("src", "rate", "parts", "cdf")
+    many = F.expr(f"aggregate(transform(sequence(0, parts - 1), p -> cast(conv(substring(md5(concat_ws('|', 'count{seed}', cast(p AS string), name)), 1, 13), 16, 10) AS double) / {float(1 << 52)!r}), 0, (a, u) -> a + size(filter(cdf, c -> c <= u)))")
+    counted = joined.select("skarn_row", "name", F.when(F.col("parts") == 1, single).otherwise(many).alias("copies"))
     copied = counted.where("copies > 0").withColumn("copy", F.explode(F.expr("sequence(0, copies - 1)")))
-    placed = copied.withColumn("place", F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(f"place{seed}"), F.col("copy").cast("string"), F.col("skarn_name"))), 1, 15), 16, 10).cast("long")).drop("skarn_name")
-    return placed.repartition("place").sortWithinPartitions("place")
+    place = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(f"place{seed}"), F.col("copy").cast("string"), F.col("name"))), 1, 15), 16, 10).cast("long")
+    dealt = copied.select("skarn_row", "copies", "copy", place.alias("place"), F.rand(seed).alias("deal"))
+    return dealt.repartition("deal").sortWithinPartitions("place", "deal").drop("deal")
+
+
+def mix(docs: DataFrame, weights: Mapping[str, float], total: int | None = None, seed: int = SEED, broadcast_sources: int = BROADCAST_SOURCES) -> DataFrame:
+    """``docs`` with ``copies`` (the count of the document), ``copy`` (0 to ``copies`` - 1) and ``place`` (the key of the global shuffle)."""
+    own = [F.col("skarn_row").getField(c).alias(c) for c in docs.columns if c not in ("copies", "copy", "place")]
+    return replicated(docs, weights, total, seed, broadcast_sources).select(*own, "copies", "copy", "place")

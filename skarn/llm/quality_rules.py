@@ -1,29 +1,30 @@
 """Quality rules as a short-circuit cascade, with DataFrame operations only.
 
-``features`` measures a text; a rule is a named SQL condition that rejects.  ``plan`` estimates each rule's cost and selectivity on a
-sample and orders the rules by rejections per cost; ``cascade`` evaluates them in this order and stops at the first that rejects.
-The order changes what a run costs, never a verdict: ``kept`` is true where no rule rejects.
+A rule is a named SQL condition that rejects, over measures of a text.  ``plan`` estimates on a sample what each rule costs and rejects and
+orders the rules by rejections per cost, each among the rows that the rules before it leave; ``verdict`` is one nested expression in
+this order.  A measure is computed where the first rule that needs it is reached, once a row, and the array of words is handed on
+from rule to rule; a row that is rejected computes nothing more.  The order changes what a run costs, never what is kept.
+
+The sample is a hash of ids over the whole table, texts of any length among them; costs are units of work per character and word (measured
+once, see ``COSTS``), not wall-clock times, so one table has one order, and ``rejected_by`` is reproducible.
 
 Repeated 5-word windows are found inside a row: windows are 64-bit hashes in an array, which is sorted only if it is not distinct, so
 no row is exploded or shuffled and a text costs n log n.
 
-Defined cases: null text has no words and is rejected; nulls elsewhere, repeated rows and other columns are carried through; a
-column of ``docs`` with the name of a measure is replaced.
+Defined cases: null text has no words and is rejected; nulls elsewhere, repeated rows and other columns are carried through; ``features`` and
+``cascade`` replace columns that bear the name of what they add, ``keep_good`` returns all columns as they are.
 """
 
 from __future__ import annotations
 
-import time
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows (of at most ``SAMPLE_CHARS`` characters) on which costs and selectivities are estimated, and how often they are run.
+#: Rows, about, on which costs and selectivities are estimated; never more than four times as many.
 SAMPLE_ROWS = 512
-SAMPLE_CHARS = 100_000
-REPEATS = 8
 
 # White space, and the characters counted as symbols.
 SPACE = r" \t\n\u000B\u000C\r"
@@ -51,7 +52,7 @@ def repeated_words(words: str, k: int = 5) -> str:
 LINES = rf"filter(split({TEXT}, '\n'), l -> trim(BOTH '{SPACE}' FROM l) <> '')"
 
 #: SQL of every measure; the first ones read the array ``ws`` of words, which is made once a row.
-OF_WORDS = {
+OF_WORDS: dict[str, str] = {
     "n_words": "cast(size(ws) AS bigint)",
     "word_chars": "cast(length(array_join(ws, '')) AS bigint)",
     "n_repeat_words": repeated_words("ws"),
@@ -61,6 +62,8 @@ MEASURES = OF_WORDS | {
     "n_dup_lines": _let("ls", LINES, "cast(size(ls) - size(array_distinct(ls)) AS bigint)"),
     "n_capitals": f"cast(length({TEXT}) - length(regexp_replace({TEXT}, '[A-Z]+', '')) AS bigint)",
 }
+#: Nanoseconds a character and a word of each measure, and of making ``ws``; only their proportions matter.
+COSTS = {"ws": (15, 75), "n_words": (0, 0), "word_chars": (0, 60), "n_repeat_words": (0, 470), "n_symbols": (19, 0), "n_dup_lines": (7, 0), "n_capitals": (18, 0)}
 
 
 @dataclass(frozen=True)
@@ -82,6 +85,7 @@ RULES = (
     Rule("capitals", "100 * n_capitals > 50 * word_chars", ("word_chars", "n_capitals")),
     Rule("word_length", "word_chars > 20 * n_words", ("n_words", "word_chars")),
 )
+SHOWN = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def features(docs: DataFrame, names: Sequence[str] = tuple(MEASURES)) -> DataFrame:
@@ -95,54 +99,73 @@ def features(docs: DataFrame, names: Sequence[str] = tuple(MEASURES)) -> DataFra
 
 @dataclass(frozen=True)
 class Estimate:
+    """Mean cost (nanoseconds) and share of rejected rows, among the sampled rows that the rules before leave."""
+
     rule: Rule
-    seconds: float
+    cost: float
     rejected: float
 
     @property
     def gain(self) -> float:
-        return self.rejected / self.seconds
-
+        return self.rejected / self.cost
 
-def plan(docs: DataFrame, rules: Sequence[Rule] = RULES) -> list[Estimate]:
-    """The rules with their estimates, best first; rules that reject nothing in the sample follow, cheapest first."""
-    spark = docs.sparkSession
-    rows = docs.where(f"length({TEXT}) <= {SAMPLE_CHARS}").select("text").take(SAMPLE_ROWS)
-    if not rows:
-        return [Estimate(r, 1.0, 0.0) for r in rules]
-    sample = spark.createDataFrame(rows, "text string")
-    many = sample.withColumn("again", F.explode(F.sequence(F.lit(1), F.lit(REPEATS))))
-
-    def run(frame: DataFrame, condition: str) -> tuple[float, float]:
-        began = time.perf_counter()
-        share = frame.agg(F.avg(F.expr(f"cast({condition} AS int)"))).first()[0]
-        return time.perf_counter() - began, share or 0.0
 
-    run(many, "text IS NULL")
-    idle = run(many, "text IS NULL")[0]
-    found = []
-    for rule in rules:
-        seconds, rejected = run(features(many, rule.needs), rule.reject)
-        found.append(Estimate(rule, max(seconds - idle, 1e-3), rejected))
-    return sorted(found, key=lambda e: (-e.gain, e.seconds, e.rule.name))
+def _steps(needs: Sequence[str], have: frozenset[str]) -> list[str]:
+    """Measures, and ``ws`` in front of the first that reads it, still to be made."""
+    new = [n for n in needs if n not in have]
+    return ["ws"] * (any(n in OF_WORDS for n in new) and "ws" not in have) + new
 
 
-def verdict(order: Sequence[Rule]):
-    """Name of the first rule in ``order`` that rejects, else null.  A CASE stops at the first branch that holds."""
-    return F.expr("CASE " + " ".join(f"WHEN {r.reject} THEN '{r.name}'" for r in order) + " END") if order else F.lit(None).cast("string")
+def plan(docs: DataFrame, rules: Sequence[Rule] = RULES) -> list[Estimate]:
+    """The rules with their estimates, in the order of the cascade; rules that reject nothing more in the sample come last, cheapest first."""
+    every = max(1, docs.count() // SAMPLE_ROWS)
+    sample = docs.select("text").where(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(every)) == 0).limit(4 * SAMPLE_ROWS)
+    names = sorted({n for r in rules for n in (*r.needs, "n_words")})
+    tested = [F.coalesce(F.expr(r.reject), F.lit(False)).alias(f"r{k}") for k, r in enumerate(rules)]
+    rows = features(sample, names).select(F.length(F.expr(TEXT)).alias("chars"), F.col("n_words").alias("words"), *tested).collect() if rules else []
+
+    left, order, have, rest = rows, [], frozenset(), list(enumerate(rules))
+    while rest:
+
+        def estimate(item: tuple[int, Rule]) -> Estimate:
+            k, rule = item
+            steps = _steps(rule.needs, have)  # noqa: B023
+            cost = sum(COSTS[s][0] * r.chars + COSTS[s][1] * r.words for r in left for s in steps) / max(len(left), 1)  # noqa: B023
+            return Estimate(rule, 1.0 + cost, sum(r[2 + k] for r in left) / max(len(left), 1))  # noqa: B023
+
+        best = min(rest, key=lambda item: (lambda e: (-e.gain, e.cost, e.rule.name))(estimate(item)))
+        order.append(estimate(best))
+        have |= {*_steps(best[1].needs, have), *best[1].needs}
+        left = [r for r in left if not r[2 + best[0]]]
+        rest.remove(best)
+    return order
+
+
+def verdict(order: Sequence[Rule], have: Sequence[str] = ()):
+    """Name of the first rule in ``order`` that rejects, else null; ``have`` are measures that are columns already."""
+
+    def nested(k: int, have: frozenset[str]) -> str:
+        if k == len(order):
+            return "cast(NULL AS string)"
+        rule = order[k]
+        steps = _steps(rule.needs, have)
+        body = f"IF({rule.reject}, '{rule.name}', {nested(k + 1, have | {*steps})})"
+        for name in reversed(steps):
+            body = _let(name, WORDS if name == "ws" else (OF_WORDS | MEASURES)[name], body)
+        return body
+
+    return F.expr(nested(0, frozenset(have)))
 
 
 def cascade(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
-    """``docs`` with all measures, ``rejected_by`` (null for kept rows), ``base_failed`` and ``kept``."""
-    measured = features(docs.drop("rejected_by", "base_failed", "kept"))
+    """``docs`` with the measures of ``SHOWN``, ``rejected_by`` (null for kept rows), ``base_failed`` and ``kept``; other measures are made only where a rule needs them."""
+    measured = features(docs.drop("rejected_by", "base_failed", "kept"), SHOWN)
     base = F.expr(" OR ".join(f"({r.reject})" for r in BASE))
-    out = measured.withColumn("rejected_by", verdict([e.rule for e in plan(docs, rules)]))
+    out = measured.withColumn("rejected_by", verdict([e.rule for e in plan(docs, rules)], SHOWN))
     return out.withColumn("base_failed", base).withColumn("kept", F.expr("rejected_by IS NULL AND NOT base_failed"))
 
 
 def keep_good(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
-    """The rows of ``docs`` that no rule rejects, with their own columns.  Each rule is a filter of its own, in planned order."""
-    out = docs.select(F.struct("*").alias("skarn_row"), "text")
-    for estimate in plan(docs, rules):
-        out = features(out, estimate.rule.needs).where(f"NOT ({estimate.rule.reject})").select("skarn_row", "text")
-    return out.select("skarn_row.*")
+    """The rows of ``docs`` that no rule rejects, with their own columns."""
+    packed = docs.select(F.struct("*").alias("skarn_row"), "text")
+    return packed.where(verdict([e.rule for e in plan(docs, rules)]).isNull()).select("skarn_row.*")

@@ -58,6 +58,19 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def url_filter_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same filter where every page is redirected to the first of its ten: components decide."""
+    from pyspark.sql import functions as F
+
+    from .url_filter import judge
+
+    pages = _table(spark, sf_dir, "pages")
+    ten = pages.select(F.floor(F.col("page_id") / 10).alias("ten"), "page_id", "url")
+    first = ten.groupBy("ten").agg(F.min_by("url", "page_id").alias("target"))
+    redirects = ten.join(first, "ten").select(F.col("url").alias("source"), "target")
+    return judge(pages, redirects=redirects).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_classifier import classify
 
@@ -85,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
     "op5_toxicity": op5_toxicity,
     "op6_url_filter": op6_url_filter,
+    "url_filter_redirects": url_filter_redirects,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_html_text": op8_html_text,
     "op9_byte_bpe": op9_byte_bpe,
@@ -101,6 +115,20 @@ _RULE = """CASE WHEN (h = 'example.net' OR ends_with(h, '.example.net')) AND sta
 _KEY = "CASE WHEN contains({0}, '://') THEN '://' || " + _HOST + " || " + _PATH + " || regexp_extract({0}, '" + _URL + "', 3) END"
 _LINK = "CASE WHEN contains({0}, '://') THEN {0} WHEN starts_with({0}, '//') THEN ':' || {0} WHEN starts_with({0}, '/') THEN '://' || " + _HOST.format("url") + " || {0} END"
 
+_ALIASES = f"""
+WITH RECURSIVE l AS (SELECT page_id, url, {_HOST.format("url")} AS h, {_PATH.format("url")} AS p, {_KEY.format("url")} AS k,
+  replace(regexp_extract(regexp_extract(html, '(?is)<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical["''\\s/>][^>]*>?', 0), '(?is)\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1), '&amp;', '&') AS can,
+  replace(regexp_extract(regexp_extract(html, '(?is)<meta\\b[^>]*http-equiv\\s*=\\s*["'']?refresh["''\\s][^>]*>', 0), '(?is)\\burl\\s*=\\s*["'']?([^"''\\s>]+)', 1), '&amp;', '&') AS red FROM pages),
+@EDGES,
+ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach(a, b) AS (SELECT a, b FROM ways UNION SELECT reach.a, ways.b FROM reach JOIN ways ON reach.b = ways.a),
+ends AS (SELECT a, b, {_HOST.format("b")} AS h, {_PATH.format("b")} AS p FROM reach),
+tainted AS (SELECT DISTINCT a FROM ends WHERE {_RULE} IN ('net/', 'example.com/de/')),
+j AS (SELECT page_id, k, h, p, {_RULE} AS rule FROM l)
+SELECT page_id, h AS host, p AS path, rule,
+  CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN tainted.a IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict
+FROM j LEFT JOIN tainted ON j.k = tainted.a"""
+
 ORACLES: dict[str, str] = {
     "op1_source_mixing": """
 WITH w(source, weight) AS (VALUES ('src0', 0.2::DOUBLE), ('src1', 0.1::DOUBLE), ('src2', 0.1::DOUBLE)),
@@ -114,20 +142,10 @@ u AS (SELECT d.*, ('0x' || substr(md5('count17|0|' || nm), 1, 13))::BIGINT::DOUB
 n AS (SELECT u.*, len(list_filter(cdf, lambda v: v <= x)) AS copies FROM u JOIN l ON u.source IS NOT DISTINCT FROM l.source),
 e AS (SELECT *, unnest(range(copies)) AS copy FROM n)
 SELECT doc_id, text, lang, source, n_chars, copies::INTEGER AS copies, copy::INTEGER AS copy, ('0x' || substr(md5('place17|' || copy || '|' || nm), 1, 15))::BIGINT AS place FROM e""",
-    "op6_url_filter": f"""
-WITH RECURSIVE l AS (SELECT page_id, url, {_HOST.format("url")} AS h, {_PATH.format("url")} AS p, {_KEY.format("url")} AS k,
-  replace(regexp_extract(regexp_extract(html, '(?is)<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical["''\\s/>][^>]*>?', 0), '(?is)\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1), '&amp;', '&') AS can,
-  replace(regexp_extract(regexp_extract(html, '(?is)<meta\\b[^>]*http-equiv\\s*=\\s*["'']?refresh["''\\s][^>]*>', 0), '(?is)\\burl\\s*=\\s*["'']?([^"''\\s>]+)', 1), '&amp;', '&') AS red FROM pages),
-t AS (SELECT k AS a, {_LINK.format("can")} AS b FROM l UNION SELECT k, {_LINK.format("red")} FROM l),
-e AS (SELECT a, {_KEY.format("b")} AS b FROM t WHERE a IS NOT NULL AND b IS NOT NULL),
-ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-reach(a, b) AS (SELECT a, b FROM ways UNION SELECT reach.a, ways.b FROM reach JOIN ways ON reach.b = ways.a),
-ends AS (SELECT a, b, {_HOST.format("b")} AS h, {_PATH.format("b")} AS p FROM reach),
-tainted AS (SELECT DISTINCT a FROM ends WHERE {_RULE} IN ('net/', 'example.com/de/')),
-j AS (SELECT page_id, k, h, p, {_RULE} AS rule FROM l)
-SELECT page_id, h AS host, p AS path, rule,
-  CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN tainted.a IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict
-FROM j LEFT JOIN tainted ON j.k = tainted.a""",
+    "op6_url_filter": _ALIASES.replace("@EDGES", f"""t AS (SELECT k AS a, {_LINK.format("can")} AS b FROM l UNION SELECT k, {_LINK.format("red")} FROM l),
+e AS (SELECT a, {_KEY.format("b")} AS b FROM t WHERE a IS NOT NULL AND b IS NOT NULL)"""),
+    "url_filter_redirects": _ALIASES.replace("@EDGES", f"""t AS (SELECT k AS a, arg_min(url, page_id) OVER (PARTITION BY page_id // 10) AS b FROM l),
+e AS (SELECT DISTINCT a, {_KEY.format("b")} AS b FROM t WHERE a IS NOT NULL AND b IS NOT NULL)"""),
     "op4_quality_rules": r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
   list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls FROM documents),

@@ -6,8 +6,10 @@ canonical links, all of a page and each resolved against its URL, are undirected
 components over them are computed as tables, and a component with a blocked member is blocked.  An explicit allow rule comes
 first: it is never overruled by an alias.  All else is allowed.
 
-Rules become one CASE expression, so there may be ``MAX_RULES`` at most.  Edges are looked for in all pages; only their ends are
-joined, and a run without edges joins nothing.
+Rules may be a mapping or a table (``rule``, ``verdict``) of any size.  Up to ``CASE_RULES`` of them become one CASE expression; more are joined: every
+distinct host and path gives the rules that would fit it (host suffixes with path beginnings of the lengths that rules have), an
+equi-join finds those there are, and the longest is kept.  Both ways give the same rule.  Edges are looked for in all pages, but not in
+comments, scripts and styles; only their ends are joined, and a run without edges joins nothing.
 
 Defined cases: a null URL or one without ``://`` has an empty host and path, fits no rule and is allowed; null html has no links;
 repeated rows give equal rows; extra columns are not returned.
@@ -23,13 +25,15 @@ from pyspark.sql import functions as F
 from .components import connected_components
 from .scratch import Scratch
 
-MAX_RULES = 2000
+#: Rules of a mapping that become one expression; more, or a table of rules, are joined.
+CASE_RULES = 200
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
 
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)(\?[^#]+)?"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-CANONICAL = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical[\"'\s/>][^>]*>?"
-HREF = r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
+UNSEEN = r"(?is)<!--.*?(?:-->|$)|<(script|style)\b.*?(?:</\1\s*>|$)"
+CANONICAL = r"(?is)<link\b[^>]*\srel\s*=\s*(?:canonical(?=[\s/>])|\"(?:[^\">]*\s)?canonical(?:\s[^\">]*)?\"|'(?:[^'>]*\s)?canonical(?:\s[^'>]*)?')[^>]*>?"
+HREF = r"(?is)\shref\s*=\s*[\"']?([^\"'\s>]+)"
 REFRESH = r"(?is)<meta\b[^>]*http-equiv\s*=\s*[\"']?refresh[\"'\s][^>]*>"
 TARGET = r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)"
 
@@ -52,8 +56,6 @@ def key(url: Column) -> Column:
 
 def matched(host: Column, path: Column, rules: Mapping[str, str]) -> Column:
     """The longest rule that fits, else null (ties: the first in alphabetical order)."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; {MAX_RULES} are the most")
     found = None
     for rule in sorted(rules, key=lambda r: (-len(r), r)):
         name, slash, rest = rule.partition("/")
@@ -67,6 +69,29 @@ def decision(rule: Column, rules: Mapping[str, str]) -> Column:
     return F.when(rule.isNull(), None).when(rule.isin(blocks), "block").otherwise("allow")
 
 
+def fitted(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """``host`` and ``path`` of ``urls`` that a rule of a table fits, once each, with the longest such ``rule`` and its ``own`` verdict."""
+    known = rules.groupBy("rule").agg(F.max("verdict").alias("own"))  # a rule that is given twice blocks if one of them does
+    lengths = [r.n for r in known.select((F.length("rule") - F.instr("rule", "/") + 1).alias("n")).distinct().collect()]  # as long as a path at most
+    labels = F.split("host", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    begins = F.transform(F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
+    each = urls.select("host", "path").distinct().where("host <> '' AND path <> ''")
+    asked = each.select("host", "path", F.explode(suffixes).alias("suffix"), begins.alias("begins")).select("host", "path", F.explode(F.transform("begins", lambda b: F.concat("suffix", b))).alias("rule"))
+    best = asked.join(known, "rule").groupBy("host", "path").agg(F.min(F.struct((-F.length("rule")).alias("n"), "rule", "own")).alias("best"))
+    return best.select("host", "path", "best.rule", "best.own")
+
+
+def decided(urls: DataFrame, rules: Mapping[str, str] | DataFrame, case_rules: int = CASE_RULES) -> DataFrame:
+    """``urls`` (with ``host`` and ``path``) with the ``rule`` that fits and its verdict ``own``, else nulls."""
+    if not isinstance(rules, DataFrame):
+        if len(rules) <= case_rules:
+            ruled = urls.withColumn("rule", matched(F.col("host"), F.col("path"), rules))
+            return ruled.withColumn("own", decision(F.col("rule"), rules))
+        rules = urls.sparkSession.createDataFrame(list(rules.items()), "rule string, verdict string")
+    return urls.join(fitted(urls, rules), ["host", "path"], "left")
+
+
 def resolved(path: Column) -> Column:
     """An absolute path without its dot segments."""
     parts = F.slice(F.split(path, "/"), 2, F.length(path) + 1)
@@ -97,26 +122,25 @@ def page_edges(pages: DataFrame) -> DataFrame:
     """``a`` and ``b``: keys of a page and of each of its canonical and redirect targets."""
     url, html = F.col("url"), F.col("html")
     found = lambda tag, at: F.transform(F.regexp_extract_all(html, F.lit(tag), F.lit(0)), lambda x: F.regexp_extract(x, at, 1))
-    near = pages.where(html.rlike(r"(?i)canonical|http-equiv") & url.contains("://"))
+    near = pages.where(html.rlike(r"(?i)canonical|http-equiv") & url.contains("://")).select("url", F.regexp_replace(html, UNSEEN, " ").alias("html"))
     links = near.select(url.alias("url"), F.explode(F.array_distinct(F.concat(found(CANONICAL, HREF), found(REFRESH, TARGET)))).alias("link"))
     return links.select(key(url).alias("a"), _target(F.col("link"), url).alias("b")).where("b IS NOT NULL AND a <> b")
 
 
-def judge(pages: DataFrame, rules: Mapping[str, str] = RULES, redirects: DataFrame | None = None) -> DataFrame:
+def judge(pages: DataFrame, rules: Mapping[str, str] | DataFrame = RULES, redirects: DataFrame | None = None, case_rules: int = CASE_RULES) -> DataFrame:
     """``page_id``, ``url``, ``host``, ``path``, ``rule`` and ``verdict`` of every page; ``redirects`` may give more edges (``source``, ``target`` URLs)."""
     scratch = Scratch(pages.sparkSession, "urls")
-    judged = pages.select("page_id", "url", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
-    judged = judged.withColumn("rule", matched(F.col("host"), F.col("path"), rules))
+    judged = decided(pages.select("page_id", "url", host(F.col("url")).alias("host"), path(F.col("url")).alias("path")), rules, case_rules)
     edges = page_edges(pages)
     if redirects is not None:
         edges = edges.unionByName(redirects.select(key(F.col("source")).alias("a"), key(F.col("target")).alias("b")).where("a <> b"))
     edges = scratch.write(edges, "edges")
-    own = decision(F.col("rule"), rules)
+    columns = ["page_id", "url", "host", "path", "rule"]
     if edges.isEmpty():
-        return judged.withColumn("verdict", F.coalesce(own, F.lit("allow")))
+        return judged.select(*columns, F.coalesce("own", F.lit("allow")).alias("verdict"))
     known = scratch.write(connected_components(edges, scratch, "aliases", local=False), "known")
-    blocked = known.where(decision(matched(host(F.col("node")), path(F.col("node")), rules), rules) == "block").select("component").distinct()
-    blocked = scratch.write(blocked, "blocked")
+    named = known.select("component", host(F.col("node")).alias("host"), path(F.col("node")).alias("path"))
+    blocked = scratch.write(decided(named, rules, case_rules).where("own = 'block'").select("component").distinct(), "blocked")
     tainted = scratch.write(known.join(blocked, "component").select(F.col("node").alias("alias")), "tainted")
     out = judged.withColumn("alias", key(F.col("url"))).join(tainted.withColumn("hit", F.lit(True)), "alias", "left")
-    return out.withColumn("verdict", F.coalesce(own, F.when(F.col("hit"), "block"), F.lit("allow"))).drop("alias", "hit")
+    return out.select(*columns, F.coalesce("own", F.when(F.col("hit"), "block"), F.lit("allow")).alias("verdict"))

@@ -300,15 +300,72 @@ def test_a_broken_member_fails_alone(spark, tmp_path):
 def test_a_member_is_tried_again(tmp_path):
     archive = media._Archive(f"file://{tmp_path}/c")
     archive.add(b"1.png", b"data")
-    path, _, at, size = archive.close()
+    path, *_ = archive.close()
     reader = media.MediaReader({"path": f"file://{tmp_path}/c"})
 
     class Flaky:
+        closed = False
+
         def read_at(self, *_):
             raise OSError("lost")
 
-    handle = [Flaky()]
-    assert reader._member(media.DirectoryRange(path, at, 0, size), handle, 0, 4, zlib.crc32(b"data")) == (b"data", None)
+        def close(self):
+            Flaky.closed = True
+
+    file = media._File(path)
+    file.handle = Flaky()
+    assert reader._member(file, 0, 4, zlib.crc32(b"data")) == (b"data", None) and Flaky.closed
+
+
+def test_a_lost_member_fails_whatever_is_read(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(i, "x" * 500 + str(i)) for i in range(5)], "doc_id long, text string").coalesce(1)
+    store = media.store
+
+    def broken(rows, folder):
+        manifest = spark.createDataFrame(store(rows, folder).collect())
+        path = manifest.first().archive.removeprefix("file://").removeprefix("file:")
+        with zipfile.ZipFile(path) as z:
+            at = z.getinfo("0.png").header_offset
+        with open(path, "r+b") as f:
+            f.seek(at + 60)
+            f.write(b"\xff\xff\xff\xff")
+        return manifest
+
+    monkeypatch.setattr(media, "store", broken)
+    for columns in (["doc_id"], ["feature"], ["n_bytes"]):
+        with pytest.raises(Exception, match="member 0.png"):
+            media.round_trip(docs).select(*columns).collect()
+
+
+def test_neighbouring_ranges_share_partitions(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text {i} " * (i + 1)) for i in range(50)], "doc_id long, text string").coalesce(1)
+    manifest = media.store(docs, f"file://{tmp_path}/d")
+    manifest.write.parquet(f"{tmp_path}/m")
+    reader = media.MediaReader({"manifest": f"file://{tmp_path}/m", "range_bytes": "500", "partitions": "3"})
+    parts = reader.partitions()
+    assert len(parts) == 3 and sum(len(p.ranges) for p in parts) > 5
+    names = [n for p in parts for batch in reader.read(p) for n in batch.column("name").to_pylist()]
+    assert sorted(names) == sorted(f"{i}.png" for i in range(50))
+
+
+def plain_feature(samples):
+    """Block means of the image, one by one."""
+    rows = [samples[i : i + 192] for i in range(0, len(samples), 192)]
+    cut = [k * len(rows) // 8 for k in range(9)]
+    means = []
+    for k in range(8):
+        band = rows[cut[k] : cut[k + 1]] or rows[cut[k] : cut[k] + 1]
+        means += [sum(sum(r[24 * c : 24 * c + 24]) for r in band) / (24 * len(band)) for c in range(8)]
+    middle = sum(means) / 64
+    bits = "".join("1" if m - middle > 1e-9 else "0" for m in means)
+    return f"{int(bits, 2):016x}"
+
+
+def test_features_equal_plain_ones(spark, documents, texts):
+    got = {r.doc_id: r.feature for r in media.round_trip(documents).collect()}
+    for i, text in texts:
+        raw = text.encode()
+        assert got[i] == plain_feature(raw.ljust(max(1, -(-len(raw) // 192)) * 192, b" ")), i
 
 
 # quality rules
@@ -323,9 +380,29 @@ def test_cascade_order_never_changes_a_verdict(spark, documents):
 
 def test_rules_are_native_and_planned_by_gain(spark, documents):
     order = quality_rules.plan(documents)
-    assert [e.gain for e in order] == sorted((e.gain for e in order), reverse=True) and {e.rule for e in order} == set(quality_rules.RULES)
-    text = quality_rules.cascade(documents)._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in text and "Arrow" not in text and "Exchange" not in text
+    assert {e.rule for e in order} == set(quality_rules.RULES) and sum(e.rejected > 0 for e in order) > 1
+    assert order == quality_rules.plan(documents.repartition(5))
+    for frame in (quality_rules.cascade(documents), quality_rules.keep_good(documents)):
+        text = frame._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in text and "Arrow" not in text and "Exchange" not in text
+
+
+def test_cascade_stops_at_the_first_rule_that_rejects(spark):
+    """What a rejected row would compute next fails, so it is not computed."""
+    docs = spark.createDataFrame([(1, "few words"), (2, "many " + "good words here " * 9)], "doc_id long, text string")
+    broken = quality_rules.Rule("broken", "n_capitals > 0", ("n_capitals",))
+    few = quality_rules.BASE[0]
+    frame = docs.withColumn("v", quality_rules.verdict([few, broken]))
+    assert dict(frame.select("doc_id", "v").collect()) == {1: "too_few_words", 2: None}
+    old = quality_rules.MEASURES["n_capitals"]
+    try:
+        quality_rules.MEASURES["n_capitals"] = "cast(raise_error('computed') AS bigint)"
+        first = docs.where("doc_id = 1").withColumn("v", quality_rules.verdict([few, broken]))
+        assert first.first().v == "too_few_words"
+        with pytest.raises(Exception, match="computed"):
+            docs.withColumn("v", quality_rules.verdict([few, broken])).collect()
+    finally:
+        quality_rules.MEASURES["n_capitals"] = old
 
 
 def test_cascade_of_odd_rows(spark, odd):
@@ -365,10 +442,19 @@ def test_mixing_counts_are_poisson(spark):
 def test_mixing_shuffles_and_checks_weights(spark, odd):
     docs = spark.range(1000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.lit("s").alias("source"))
     ids = [r.doc_id for r in mixing.mix(docs, {}).collect()]
+    hot = mixing.mix(docs.withColumn("doc_id", F.lit(1)), {}, 4000)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    parts = hot.groupBy(F.spark_partition_id()).count().collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(parts) > 1 and max(r["count"] for r in parts) < 0.6 * sum(r["count"] for r in parts)
     assert ids != sorted(ids) and len(ids) == pytest.approx(1000, rel=0.15)
     with pytest.raises(ValueError):
         mixing.mix(docs, {"s": 1.5})
-    assert mixing.mix(odd, {"a": 0.5, "gone": 0.2}).where("source IS NULL OR doc_id IS NOT NULL OR doc_id IS NULL").count() >= 0
+    many = mixing.mix(odd, {"a": 0.5, "gone": 0.2}, 2000)
+    n = {k: v["count"] for k, v in ((r.source, r) for r in many.groupBy("source").count().collect())}
+    assert sum(n.values()) == pytest.approx(2000, rel=0.2) and set(n) == {"a", "b", None} and n["a"] == pytest.approx(1000, rel=0.2)
+    assert many.columns == [*odd.drop("copies", "place").columns, "copies", "copy", "place"] and many.where("rate = 'own' AND score = 'own'").count() == sum(n.values())
+    assert len({r.copies for r in many.where("doc_id = 1").collect()}) == 1
     assert mixing.mix(odd.where("1 = 0"), {"a": 0.5}).count() == 0
 
 
@@ -404,6 +490,29 @@ def test_links_are_resolved(spark):
     assert {(r.page_id, r.verdict) for r in url_filter.judge(pages).collect()} == {(1, "block"), (2, "block")}
 
 
+def test_links_that_do_not_count(spark):
+    """Commented links and scripts are no links; rel may hold several words; other attributes than rel and href are not read."""
+    link = "<link {} href='http://b.net/{}'>"
+    bodies = {
+        1: "<!-- " + link.format("rel=canonical", 1) + " -->", 2: "<script>var x = \"" + link.format("rel=canonical", 2) + "\"</script>", 3: link.format("rel='alternate canonical'", 3), 4: link.format('rel="canonical nofollow"', 4),
+        5: link.format("rel=canonical2", 5), 6: link.format("data-rel=canonical", 6), 7: "<!-- x --><link data-href='http://no.net/' href='http://b.net/7' rel=canonical>", 8: link.format("rel=canonical", 8) * 2,
+    }
+    pages = spark.createDataFrame([(i, f"http://p.com/{i}", b) for i, b in bodies.items()], "page_id long, url string, html string")
+    assert {(r.page_id, r.verdict) for r in url_filter.judge(pages).collect()} == {(i, "block" if i in (3, 4, 7, 8) else "allow") for i in bodies}
+
+
+def test_rules_in_a_table(spark):
+    """Many rules are joined, with the results of one expression."""
+    rng = random.Random(3)
+    hosts = [".".join(rng.choice("ab") for _ in range(rng.randrange(1, 4))) for _ in range(60)]
+    rules = {f"{h}/{''.join(rng.choice('xy/') for _ in range(rng.randrange(4)))}": rng.choice(["allow", "block"]) for h in hosts for _ in range(3)}
+    rows = [(i, f"http://{rng.choice(hosts)}/{''.join(rng.choice('xy/') for _ in range(rng.randrange(6)))}", None) for i in range(300)] + [(1000, None, None), (1001, "http://a.b", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    edges = spark.createDataFrame([(rows[i][1], rows[i + 1][1]) for i in range(0, 290, 7)], "source string, target string")
+    one, other = (sorted(map(tuple, url_filter.judge(pages, rules, edges, n).collect())) for n in (10**6, 0))
+    assert one == other and {r[-1] for r in one} == {"allow", "block"} and len({r[4] for r in one}) > 20
+
+
 def test_longest_rule_and_subdomains(spark):
     rows = [("http://net/",), ("http://xnet/",), ("http://a.net",), ("http://m.example.net/en/q?x#y",), ("ftp://Example.Com/de/",), ("http://example.com/den",), ("http://a.example.net/EN/",)]
     pages = spark.createDataFrame(rows, "url string").withColumn("page_id", F.lit(1)).withColumn("html", F.lit(None).cast("string"))
@@ -491,6 +600,11 @@ def test_names_never_take_the_article():
     assert text("<div class=ad>" * 3000 + story) == "T\n\np"
 
 
+def test_names_are_matched_whole():
+    text = lambda h: html_text.text_of(html_text.parse(h))
+    assert text("<article class='post share-price'><p>Shares</p><div class='related-work'><p>Work</p></div><div class='comment-free'><p>Free</p></div></article>") == "Shares\n\nWork\n\nFree"
+
+
 def test_site_templates(spark):
     """A box without a telling name goes where it recurs, on both paths; a lone page's text and main content stay."""
     box = "<div class=zz><p>Call us</p></div>"
