@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalar import MIN_GRAY_STD, MIN_SIDE
 from ..functions.urls import normal_url, url_base
@@ -15,82 +17,99 @@ MAX_DISTANCE = 2
 OUTCOMES = ("ok", "reject_corrupt", "reject_small", "reject_monotone", "reject_missing_url", "reject_url_dup", "reject_hash_dup")
 
 
-def _verdicts(rows: pd.DataFrame, distance: int, side: int, least_std: float) -> list[str | None]:
-    """The sequential rule over the rows of one URL base, in order; None accepts."""
-    seen: set[str] = set()
-    hashes = np.zeros(len(rows), np.uint64)
-    names: list[str] = []
-    out: list[str | None] = []
-    for r in rows.itertuples(index=False):
-        reason = None
-        if r.prior:
-            if r.norm:
-                seen.add(r.norm)
-            if isinstance(r.phash, str) and r.phash:
-                hashes[len(names)] = int(r.phash, 16)
-                names.append(r.filename)
-            out.append(None)
-            continue
-        if not r.norm:
-            reason = "missing_url"
-        elif r.norm in seen:
-            reason = "duplicate_url"
-        elif not r.downloaded:
-            reason = "download_failed"
-        elif pd.isna(r.width) or pd.isna(r.height):
-            reason = "corrupt_image"
-        elif r.width < side or r.height < side:
-            reason = f"too_small_{int(r.width)}x{int(r.height)}"
-        elif not r.gray_std >= least_std:
-            reason = "monotone"
-        else:
-            value = int(r.phash, 16) if isinstance(r.phash, str) and r.phash else None
-            if value is not None and names:
-                near = np.flatnonzero(np.bitwise_count(hashes[: len(names)] ^ np.uint64(value)) <= distance)
-                if len(near):
-                    reason = f"duplicate_phash_of_{names[near[0]]}"
-            if reason is None:
-                seen.add(r.norm)
-                if value is not None:
-                    hashes[len(names)] = value
-                    names.append(r.filename)
-        out.append(reason)
-    return out
+class _Base:
+    """What has been accepted of one URL base."""
+
+    def __init__(self):
+        self.urls: set[str] = set()
+        self.names: list[str] = []
+        self.hashes = np.zeros(8, np.uint64)
+
+    def accept(self, norm: str | None, phash: str | None, name: str) -> None:
+        if norm:
+            self.urls.add(norm)
+        if phash:
+            if len(self.names) == len(self.hashes):
+                self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
+            self.hashes[len(self.names)] = int(phash, 16)
+            self.names.append(name)
+
+    def near(self, phash: str | None, distance: int) -> str | None:
+        """The first accepted name whose hash is near."""
+        if not phash or not self.names:
+            return None
+        found = np.bitwise_count(self.hashes[: len(self.names)] ^ np.uint64(int(phash, 16))) <= distance
+        return self.names[int(found.argmax())] if found.any() else None
+
+
+FACTS = ("base", "prior", "norm", "sound", "filename", "phash")
+
+
+def _folded(distance: int):
+    """The sequential rule over rows sorted by base; only the state of one base is held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = None, _Base()
+        for batch in batches:
+            reasons, kept = [], []
+            for k, (base, prior, norm, sound, name, phash) in enumerate(zip(*(batch.column(c).to_pylist() for c in FACTS), strict=True)):
+                if base != now:
+                    now, state = base, _Base()
+                if prior:
+                    state.accept(norm, phash, name)
+                    continue
+                reason = "duplicate_url" if norm in state.urls else sound
+                if reason is None:
+                    near = state.near(phash, distance)
+                    reason = None if near is None else f"duplicate_phash_of_{near}"
+                if reason is None:
+                    state.accept(norm, phash, name)
+                reasons.append(reason)
+                kept.append(k)
+            rows = batch.column("skarn_row").take(pa.array(kept, pa.int64()))
+            yield pa.RecordBatch.from_arrays([rows, pa.array(reasons, pa.string())], ["skarn_row", "reject_reason"])
+
+    return run
 
 
 def cleaning_fold(raw: DataFrame, prior: DataFrame | None = None, order: tuple[str, ...] = ("crawled_at", "filename"), distance: int = MAX_DISTANCE, side: int = MIN_SIDE, least_std: float = MIN_GRAY_STD) -> DataFrame:
-    """``raw`` with ``cleaned`` and ``reject_reason``.
+    """``raw`` with ``cleaned`` and ``reject_reason``; every row gets its own verdict, repeated and null filenames included.
 
     ``raw`` has ``filename``, ``url``, ``downloaded``, ``width``, ``height`` (null: undecodable), ``gray_std``, ``phash`` and the columns of ``order``.
     ``prior`` (same columns) are rows accepted by earlier runs: they come first and only seed the state.
 
     The rule is sequential, but rows with the same canonical URL share a URL base and hashes are compared within a base, so folding
-    each base by itself is exact.  A base is one Arrow group; it is never capped, and holds a few scalars a row (no image bytes).
+    each base by itself is exact.  What a row says by itself is decided by expressions; rows are then sorted by base within
+    their partitions and read in one stream, which holds the accepted URLs and hashes of one base (no rows, no image bytes).
     """
-    need = ["filename", "url", "downloaded", "width", "height", "gray_std", "phash", *[c for c in order if c != "filename"]]
-    rows = raw.select(*need, F.lit(False).alias("prior"))
+    width, height = F.col("width"), F.col("height")
+    sound = (
+        F.when(~F.coalesce("downloaded", F.lit(False)), "download_failed")
+        .when(width.isNull() | height.isNull(), "corrupt_image")
+        .when((width < side) | (height < side), F.concat(F.lit("too_small_"), width.cast("int").cast("string"), F.lit("x"), height.cast("int").cast("string")))
+        .when(~F.coalesce(F.col("gray_std") >= least_std, F.lit(False)), "monotone")
+    )
+    own = raw.drop("cleaned", "reject_reason")
+    facts = [normal_url(F.col("url")).alias("norm"), url_base(F.col("url")).alias("base"), sound.alias("sound"), "filename", F.nullif(F.col("phash"), F.lit("")).alias("phash"), F.struct(*order).alias("place")]
+    rows = own.select(F.struct("*").alias("skarn_row"), F.lit(False).alias("prior"), *facts)
     if prior is not None:
-        rows = rows.unionByName(prior.select(*need, F.lit(True).alias("prior")))
-    rows = rows.withColumn("norm", normal_url(F.col("url"))).withColumn("base", url_base(F.col("url")))
-
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["prior", *order], ascending=[False, *[True] * len(order)], kind="stable")
-        part["reject_reason"] = _verdicts(part, distance, side, least_std)
-        return part.loc[~part["prior"], ["filename", "reject_reason"]]
-
-    small = rows.where("base <> ''")
-    verdicts = small.groupBy("base").applyInPandas(fold, "filename string, reject_reason string")
-    missing = rows.where("base = '' AND NOT prior").select("filename", F.lit("missing_url").alias("reject_reason"))
-    return raw.join(verdicts.unionByName(missing), "filename").withColumn("cleaned", F.col("reject_reason").isNull())
+        rows = rows.unionByName(prior.select(F.lit(None).cast(rows.schema["skarn_row"].dataType).alias("skarn_row"), F.lit(True).alias("prior"), *facts))
+    known = rows.where("base <> ''").repartition("base").sortWithinPartitions("base", F.desc("prior"), "place", "norm", "phash")
+    schema = T.StructType([rows.schema["skarn_row"], T.StructField("reject_reason", T.StringType())])
+    missing = rows.where("base = '' AND NOT prior").select("skarn_row", F.lit("missing_url").alias("reject_reason"))
+    done = known.select("skarn_row", *FACTS).mapInArrow(_folded(distance), schema).unionByName(missing)
+    return done.select("skarn_row.*", "reject_reason").withColumn("cleaned", F.col("reject_reason").isNull())
 
 
 def first_valid_by_url(rows: DataFrame, order: str) -> DataFrame:
-    """Reject reason by URL alone: the first row of each canonical URL in ``order`` is accepted."""
-    norm = normal_url(F.col("url"))
-    spread = F.when(F.col("norm_url") == "", F.pmod(F.xxhash64(order), F.lit(64)))  # rows without a URL are not ranked together
-    place = F.row_number().over(W.partitionBy("norm_url", spread).orderBy(order))
-    reason = F.when(F.col("norm_url") == "", "missing_url").when(F.col("place") > 1, "duplicate_url")
-    return rows.withColumn("norm_url", norm).withColumn("place", place).withColumn("reject_reason", reason).drop("place")
+    """Reject reason by URL alone: the first row of each canonical URL in ``order`` is accepted.
+
+    The first of each URL is an aggregate that combines before the shuffle, so a hot URL is not ranked in one task.
+    """
+    named = rows.withColumn("norm_url", normal_url(F.col("url")))
+    first = named.where("norm_url <> ''").groupBy("norm_url").agg(F.min(order).alias("skarn_first"))
+    reason = F.when(F.col("norm_url") == "", "missing_url").when(F.col(order) > F.col("skarn_first"), "duplicate_url")
+    return named.join(first, "norm_url", "left").withColumn("reject_reason", reason).drop("skarn_first")
 
 
 def not_yet(new: DataFrame, done: DataFrame, *keys: str) -> DataFrame:
@@ -98,9 +117,16 @@ def not_yet(new: DataFrame, done: DataFrame, *keys: str) -> DataFrame:
     return new.join(done.select(*keys).distinct(), list(keys), "left_anti")
 
 
-def not_crawled(new: DataFrame, stored: DataFrame) -> DataFrame:
-    """Records whose (url, source) is not stored yet, first of each in the batch."""
-    return not_yet(new, stored, "url", "source").dropDuplicates(["url", "source"])
+def first_of_each(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The first row of each key by ``order``, then by its values; rows are combined before the shuffle."""
+    row = F.struct(*order, *[c for c in rows.columns if c not in order])
+    best = rows.groupBy(*keys).agg(F.min(row).alias("skarn_best"))
+    return best.select(*[F.col("skarn_best").getField(c).alias(c) for c in rows.columns])
+
+
+def not_crawled(new: DataFrame, stored: DataFrame, order: str) -> DataFrame:
+    """Records whose (url, source) is not stored yet, the first of each by ``order``."""
+    return first_of_each(not_yet(new, stored, "url", "source"), ["url", "source"], [order])
 
 
 def near_hash_pairs(rows: DataFrame, key: str, bits: str, base: str, distance: int = MAX_DISTANCE) -> DataFrame:

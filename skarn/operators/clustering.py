@@ -1,14 +1,14 @@
-"""Standardisation, PCA, KMeans with restarts, and the search for k, on ``pyspark.ml``."""
+"""Standardisation and PCA on ``pyspark.ml``, KMeans with restarts, and the search for k."""
 
 from __future__ import annotations
 
 import time
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
@@ -23,8 +23,9 @@ PCA_COMPONENTS = 512
 RESTARTS = 20
 MAX_ITERATIONS = 500
 SEED = 42
-#: Doubles of a matrix that may be sent to every worker for the k search (64 MB).
-MATRIX = 8 << 20
+#: Rows on which k-means++ chooses first centres, and the shift of a centre at which a model rests.
+SEED_ROWS = 5000
+TOLERANCE = 1e-4
 
 
 def column_moments(points: DataFrame) -> DataFrame:
@@ -79,22 +80,122 @@ def pca_2d(points: DataFrame, sample: int = 5000, seed: int = SEED) -> DataFrame
     return flat.withColumn("x", F.col("vector")[0]).withColumn("y", F.try_element_at("vector", F.lit(2))).drop("vector")
 
 
-def kmeans(points: DataFrame, k: int = K_DEFAULT, restarts: int = RESTARTS, iterations: int = MAX_ITERATIONS, seed: int = SEED):
-    """The model of least training cost over ``restarts`` seeds."""
-    data = _ml(points).select("ml").persist()
+@dataclass(frozen=True)
+class Fit:
+    """Centres of one model and what its last pass over the points found for each of them."""
+
+    centres: np.ndarray
+    sizes: np.ndarray
+    sums: np.ndarray
+    squares: np.ndarray
+
+    @property
+    def cost(self) -> float:
+        return float(self.squares.sum())
+
+
+def _spread_seeds(x: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """k-means++ on a sample."""
+    rng = np.random.default_rng(seed)
+    centres = x[[rng.integers(len(x))]]
+    while len(centres) < k:
+        d = _far(x, centres).min(1)
+        pick = rng.choice(len(x), p=d / d.sum()) if d.sum() > 0 else rng.integers(len(x))
+        centres = np.vstack([centres, x[pick]])
+    return centres
+
+
+def _far(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.maximum((x**2).sum(1)[:, None] + (centres**2).sum(1) - 2 * x @ centres.T, 0)
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _packed(totals: dict[int, np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([t.tobytes() for t in totals.values()], pa.binary())], ["model", "totals"])
+
+
+def _pass(points: DataFrame, models: dict[int, np.ndarray], around: dict[int, np.ndarray] | None = None) -> dict[int, np.ndarray]:
+    """One pass over ``points`` for all ``models`` (centres): a row (size, squares, sums ...) for each centre.
+
+    With ``around`` the second number is the sum of distances to those vectors instead.  Tasks send one row a model, which are added by model.
+    """
+    sent = points.sparkSession.sparkContext.broadcast((models, around))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models, around = sent.value
+        totals = {m: np.zeros((len(c), 2 + c.shape[1])) for m, c in models.items()}
+        seen = False
+        for batch in batches:
+            for lo in range(0, len(batch), 2048):
+                x = _matrix(batch.column("vector")[lo : lo + 2048])
+                seen |= len(x) > 0
+                for m, centres in models.items():
+                    d = _far(x, centres)
+                    label = d.argmin(1)
+                    own = np.zeros(d.shape)
+                    own[np.arange(len(x)), label] = 1
+                    far = d.min(1) if around is None else np.sqrt(((x - around[m][label]) ** 2).sum(1))
+                    totals[m] += own.T @ np.column_stack([np.ones(len(x)), far, x])
+        if seen:
+            yield _packed(totals)
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for m, blob in zip(batch.column("model").to_pylist(), batch.column("totals").to_pylist(), strict=True):
+                totals[m] = totals.get(m, 0) + np.frombuffer(blob)
+        yield _packed(totals)
+
+    schema = "model int, totals binary"
+    rows = points.mapInArrow(work, schema).repartition("model").mapInArrow(added, schema).collect()  # a row for each model
+    sent.unpersist()
+    return {r.model: np.frombuffer(r.totals).reshape(models[r.model].shape[0], -1) for r in rows}
+
+
+def _fits(points: DataFrame, ks: Sequence[int], restarts: int, iterations: int, seed: int, seeds: np.ndarray) -> dict[int, Fit]:
+    """The fit of least cost for each k.  All models of all k take their Lloyd steps together, one pass over the points a step, until they rest."""
+    models = {i: _spread_seeds(seeds, k, seed + r) for i, (k, r) in enumerate((k, r) for k in ks for r in range(restarts))}
+    moving, done = dict(models), {}
+    for _ in range(iterations):
+        for m, t in _pass(points, moving).items():
+            new = np.where(t[:, :1] > 0, t[:, 2:] / np.maximum(t[:, :1], 1), models[m])  # an empty cluster keeps its centre
+            done[m] = Fit(models[m], t[:, 0], t[:, 2:], t[:, 1])
+            if np.sqrt(((new - models[m]) ** 2).sum(1)).max() <= TOLERANCE:
+                del moving[m]
+            else:
+                models[m] = moving[m] = new
+        if not moving:
+            break
+    return {k: min((done[i * restarts + r] for r in range(restarts)), key=lambda f: f.cost) for i, k in enumerate(ks)}
+
+
+def _sample(points: DataFrame, sample: int, seed: int) -> np.ndarray:
+    """A matrix of ``sample`` rows at most, by hash order."""
+    rows = points.select(doubles(F.col("vector")).alias("vector")).orderBy(F.xxhash64(F.lit(seed), "vector")).limit(sample).collect()
+    return np.array([r.vector for r in rows], float).reshape(len(rows), -1)
+
+
+def kmeans(points: DataFrame, k: int = K_DEFAULT, restarts: int = RESTARTS, iterations: int = MAX_ITERATIONS, seed: int = SEED) -> Fit:
+    """The fit of least cost over ``restarts`` seedings (k-means++ on ``SEED_ROWS`` rows at most; all points take part in every step)."""
+    seeds = _sample(points, SEED_ROWS, seed)
+    data = points.select(doubles(F.col("vector")).alias("vector")).persist()
     try:
-        models = (KMeans(k=k, maxIter=iterations, seed=seed + i, featuresCol="ml", predictionCol="cluster_id").fit(data) for i in range(restarts))
-        return min(models, key=lambda m: m.summary.trainingCost)
+        return _fits(data, [k], restarts, iterations, seed, seeds)[k]
     finally:
         data.unpersist()
 
 
-def assigned(points: DataFrame, model) -> DataFrame:
-    return model.transform(_ml(points)).drop("ml")
+def centres_of(fit: Fit, spark) -> DataFrame:
+    return spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(fit.centres)], "cluster_id int, centroid array<double>")
 
 
-def centres_of(model, spark) -> DataFrame:
-    return spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "cluster_id int, centroid array<double>")
+def assigned(points: DataFrame, fit: Fit) -> DataFrame:
+    from .metrics import nearest
+
+    return nearest(points, centres_of(fit, points.sparkSession)).drop("distance")
 
 
 def lloyd(points: DataFrame, seeds: DataFrame, iterations: int) -> DataFrame:
@@ -110,43 +211,10 @@ def lloyd(points: DataFrame, seeds: DataFrame, iterations: int) -> DataFrame:
     return out
 
 
-def _lloyd_numpy(x: np.ndarray, k: int, seed: int, iterations: int) -> tuple[np.ndarray, float]:
-    rng = np.random.default_rng(seed)
-    square = (x**2).sum(1)
-    centres = x[[rng.integers(len(x))]]
-    far = lambda c: np.maximum(square[:, None] + (c**2).sum(1) - 2 * x @ c.T, 0)
-    while len(centres) < k:  # k-means++
-        d = far(centres).min(1)
-        pick = rng.choice(len(x), p=d / d.sum()) if d.sum() > 0 else rng.integers(len(x))
-        centres = np.vstack([centres, x[pick]])
-    label = np.zeros(len(x), int)
-    for _ in range(iterations):
-        d = far(centres)
-        label = d.argmin(1)
-        new = np.array([x[label == c].mean(0) if (label == c).any() else x[d.min(1).argmax()] for c in range(k)])
-        if np.allclose(new, centres):
-            break
-        centres = new
-    return label, float(far(centres)[np.arange(len(x)), label].sum())
-
-
-def _scores(x: np.ndarray, label: np.ndarray, sample: int, seed: int) -> tuple[float, float, float]:
-    ids, own = np.unique(label, return_inverse=True)
-    k, n = len(ids), len(x)
-    centre = np.array([x[own == c].mean(0) for c in range(k)])
-    size = np.bincount(own)
-    far = np.sqrt(((x - centre[own]) ** 2).sum(1))
-    ch = ((size * ((centre - x.mean(0)) ** 2).sum(1)).sum() / max(k - 1, 1)) / max((far**2).sum() / max(n - k, 1), 1e-300)
-    spread = np.array([far[own == c].mean() for c in range(k)])
-    gap = np.sqrt(((centre[:, None] - centre[None]) ** 2).sum(2))
-    np.fill_diagonal(gap, np.inf)
-    db = float(((spread[:, None] + spread[None]) / np.maximum(gap, 1e-300)).max(1).mean()) if k > 1 else 0.0
-    pick = np.random.default_rng(seed).permutation(n)[:sample]
-    x, own = x[pick], own[pick]
-    size = np.bincount(own, minlength=k)
-    s = []
+def _silhouette(x: np.ndarray, own: np.ndarray, k: int) -> float:
+    size, s = np.bincount(own, minlength=k), []
     for i in range(0, len(x), 512):
-        d = np.sqrt(np.maximum((x[i : i + 512] ** 2).sum(1)[:, None] + (x**2).sum(1) - 2 * x[i : i + 512] @ x.T, 0))
+        d = np.sqrt(_far(x[i : i + 512], x))
         sums = np.stack([d[:, own == c].sum(1) for c in range(k)], 1)
         rows, mine = np.arange(len(d)), own[i : i + 512]
         a = sums[rows, mine] / np.maximum(size[mine] - 1, 1)
@@ -155,41 +223,52 @@ def _scores(x: np.ndarray, label: np.ndarray, sample: int, seed: int) -> tuple[f
         mean[rows, mine] = np.inf
         b = mean.min(1)
         s.append(np.where((size[mine] > 1) & np.isfinite(b), (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0))
-    return float(np.concatenate(s).mean()), float(ch), db
+    return float(np.concatenate(s).mean())
+
+
+def _separation(fit: Fit, means: np.ndarray, spread: np.ndarray) -> tuple[float, float]:
+    """Calinski-Harabasz and Davies-Bouldin from what is known of each cluster."""
+    full = fit.sizes > 0
+    n, k, size, centre = fit.sizes.sum(), int(full.sum()), fit.sizes[full], means[full]
+    overall = fit.sums.sum(0) / n
+    inside = (fit.squares[full] - size * ((fit.centres[full] - centre) ** 2).sum(1)).sum()  # about the means, not the centres
+    ch = ((size * ((centre - overall) ** 2).sum(1)).sum() / max(k - 1, 1)) / max(inside / max(n - k, 1), 1e-300)
+    far = spread[full] / size
+    gap = np.sqrt(((centre[:, None] - centre[None]) ** 2).sum(2))
+    np.fill_diagonal(gap, np.inf)
+    return float(ch), float(((far[:, None] + far[None]) / np.maximum(gap, 1e-300)).max(1).mean()) if k > 1 else 0.0
 
 
 RESULT = "k int, silhouette double, calinski_harabasz double, davies_bouldin double, inertia double, time_s double"
 
 
 def k_search(points: DataFrame, ks: Sequence[int] = K_RANGE, restarts: int = RESTARTS, iterations: int = MAX_ITERATIONS, sample: int = 5000, seed: int = SEED) -> DataFrame:
-    """Silhouette, Calinski-Harabasz, Davies-Bouldin and inertia for each k.
+    """Silhouette (of a sample), Calinski-Harabasz, Davies-Bouldin and inertia for each k.
 
-    A matrix of up to ``MATRIX`` numbers is broadcast and the k's run side by side; a larger one stays distributed: ``pyspark.ml``
-    fits each k in turn and the metric operators score it.
+    One way for tables of any size: the models of all k are fitted together, pass by pass over the distributed points.  ``time_s`` is an
+    equal share of the run's time.
     """
-    spark = points.sparkSession
-    shape = points.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("d")).first()
-    ks = [k for k in ks if k < (shape.n or 0)]
-    if (shape.n or 0) * (shape.d or 0) <= MATRIX:
-        rows = points.select("key", doubles(F.col("vector")).alias("vector")).orderBy("key").collect()
-        sent = spark.sparkContext.broadcast(np.array([r.vector for r in rows], float))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for k in batch.column("k").to_pylist():
-                    began = time.perf_counter()
-                    label, cost = min((_lloyd_numpy(sent.value, k, seed + r, iterations) for r in range(restarts)), key=lambda f: f[1])
-                    row = (k, *_scores(sent.value, label, sample, seed), cost, time.perf_counter() - began)
-                    yield pa.RecordBatch.from_arrays([pa.array([v], pa.int32() if i == 0 else pa.float64()) for i, v in enumerate(row)], [c.split()[0] for c in RESULT.split(", ")])
-
-        return spark.createDataFrame([(k,) for k in ks], "k int").repartition(max(1, len(ks)), "k").mapInArrow(run, RESULT)
-    from .metrics import calinski_harabasz, davies_bouldin, silhouette
-
-    found = []
-    for k in ks:
-        began = time.perf_counter()
-        model = kmeans(points, k, restarts, iterations, seed)
-        labelled = assigned(points, model)
-        row = [silhouette(labelled, sample=sample).first()[0], calinski_harabasz(labelled).first()[0], davies_bouldin(labelled).first()[0]]
-        found.append((k, *row, model.summary.trainingCost, time.perf_counter() - began))
-    return spark.createDataFrame(found, RESULT)
+    spark, began = points.sparkSession, time.perf_counter()
+    n = points.count()
+    ks = [k for k in ks if k < n]
+    if not ks:
+        return spark.createDataFrame([], RESULT)
+    seeds, shown = _sample(points, SEED_ROWS, seed), _sample(points, sample, seed + 1)
+    data = points.select(doubles(F.col("vector")).alias("vector")).persist()
+    try:
+        fits = _fits(data, ks, restarts, iterations, seed, seeds)
+        means = {k: np.where(f.sizes[:, None] > 0, f.sums / np.maximum(f.sizes[:, None], 1), f.centres) for k, f in fits.items()}
+        spread = _pass(data, {k: f.centres for k, f in fits.items()}, means)
+    finally:
+        data.unpersist()
+    sent = spark.sparkContext.broadcast((shown, {k: f.centres for k, f in fits.items()}))  # a bounded sample
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x, centres = sent.value
+        for batch in batches:
+            wanted = batch.column("k").to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array(wanted, pa.int32()), pa.array([_silhouette(x, _far(x, centres[k]).argmin(1), k) for k in wanted], pa.float64())], ["k", "s"])
+
+    scored = dict(spark.createDataFrame([(k,) for k in ks], "k int").repartition(len(ks), "k").mapInArrow(run, "k int, s double").collect())
+    share = (time.perf_counter() - began) / len(ks)
+    return spark.createDataFrame([(k, scored[k], *_separation(f, means[k], spread[k][:, 1]), f.cost, share) for k, f in fits.items()], RESULT)

@@ -1,7 +1,8 @@
 """Cluster metrics, dominant labels, contamination repair and profiles.
 
-``points`` have ``key``, ``vector`` (array of numbers), ``cluster_id`` and ``label``.  Vectors are exploded to (dimension, value) only for
-aggregates that combine before the shuffle; joins are with one row for each cluster, of a size that is checked.
+``points`` have ``key``, ``vector`` (array of numbers), ``cluster_id`` and ``label``.  Means of vectors are one aggregate that combines before the
+shuffle.  Tables with one row for each cluster are computed once: up to ``MAX_CENTROIDS`` rows they are sent to the tasks, more of them are
+joined by a shuffle, or compared block by block.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,32 +20,44 @@ from pyspark.sql import functions as F
 from ..functions.scalar import confidence
 from ..functions.vectors import distance, doubles
 
-MAX_CENTROIDS = 4096
+MAX_CENTROIDS = 1024
 SAMPLE = 5000
+#: Most points of which all pairs are compared where no sample is asked for.
+EXACT = 20_000
 THRESHOLD = 0.08
 
 
 def centroids(points: DataFrame, by: str = "cluster_id") -> DataFrame:
     """``by`` and the mean vector ``centroid``."""
-    long = points.select(by, F.posexplode(doubles(F.col("vector"))).alias("d", "x"))
-    return long.groupBy(by, "d").agg(F.avg("x").alias("m")).groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "m"))), lambda s: s["m"]).alias("centroid"))
+    mean = Summarizer.mean(array_to_vector(doubles(F.col("vector"))))
+    return points.groupBy(by).agg(vector_to_array(mean).alias("centroid"))
 
 
-def few(table: DataFrame, most: int = MAX_CENTROIDS) -> DataFrame:
-    """Marks a table for broadcast after counting that it has ``most`` rows at most."""
-    n = table.count()
-    if n > most:
-        raise ValueError(f"{n} rows; at most {most} are broadcast")
-    return F.broadcast(table)
+def few(table: DataFrame, most: int | None = None) -> DataFrame:
+    """A table with a row for each cluster, computed once: up to ``most`` rows are marked for broadcast, more stay a distributed table."""
+    most = MAX_CENTROIDS if most is None else most
+    rows = table.limit(most + 1).collect()
+    if len(rows) > most:
+        return table
+    return F.broadcast(table.sparkSession.createDataFrame(rows, table.schema))
+
+
+def blocks(table: DataFrame, most: int | None = None) -> list[DataFrame]:
+    """One-row tables that together hold the rows of ``table`` as arrays ``rows``, about ``most`` in each."""
+    most = MAX_CENTROIDS if most is None else most
+    n = max(1, -(-table.count() // most))
+    cut = table.select(F.struct(*table.columns).alias("row"), F.pmod(F.xxhash64(table.columns[0]), F.lit(n)).alias("block"))
+    return [F.broadcast(cut.where(F.col("block") == i).agg(F.array_sort(F.collect_list("row")).alias("rows"))) for i in range(n)]
 
 
 def nearest(points: DataFrame, centres: DataFrame, by: str = "cluster_id") -> DataFrame:
-    """``points`` with ``cluster_id`` of the nearest centroid (ties: the lowest id) and ``distance``.  The centroids travel as one array."""
-    listed = few(centres).agg(F.array_sort(F.collect_list(F.struct(F.col(by).alias("id"), F.col("centroid").alias("c")))).alias("centres"))
-    best = F.array_min(F.transform("centres", lambda c: F.struct(distance(F.col("vector"), c["c"]).alias("distance"), c["id"].alias("id"))))
+    """``points`` with ``cluster_id`` of the nearest centroid (ties: the lowest id) and ``distance``.  The centroids travel as arrays, block by block."""
     rest = points.drop("cluster_id", "distance")
-    found = rest.crossJoin(F.broadcast(listed)).withColumn("best", best)
-    return found.select(*rest.columns, F.col("best.id").alias("cluster_id"), F.col("best.distance").alias("distance"))
+    found = rest.select(F.struct("*").alias("skarn_row"), F.col("vector").alias("skarn_vector"), F.lit(None).cast("struct<distance:double,id:int>").alias("best"))
+    for block in blocks(few(centres.select(F.col(by).cast("int").alias("id"), F.col("centroid").alias("c")))):
+        best = F.array_min(F.transform("rows", lambda r: F.struct(distance(F.col("skarn_vector"), r["c"]).alias("distance"), r["id"].alias("id"))))
+        found = found.crossJoin(block).withColumn("best", F.array_min(F.array_compact(F.array("best", best)))).drop("rows")
+    return found.select("skarn_row.*", F.col("best.id").alias("cluster_id"), F.col("best.distance").alias("distance"))
 
 
 def predictions(points: DataFrame, centres: DataFrame, names: DataFrame) -> DataFrame:
@@ -84,45 +99,48 @@ def contamination_fix(points: DataFrame, threshold: float = THRESHOLD) -> DataFr
 
 
 def within(points: DataFrame) -> DataFrame:
-    """Squared distance sum, mean distance and size of each cluster."""
+    """Squared distance sum, mean distance, size and centroid of each cluster."""
     d = distance(F.col("vector"), F.col("centroid"))
-    return points.join(few(centroids(points)), "cluster_id").withColumn("d", d).groupBy("cluster_id").agg(F.sum(F.col("d") * F.col("d")).alias("sse"), F.avg("d").alias("spread"), F.count("*").alias("size"))
+    sums = points.join(few(centroids(points)), "cluster_id").withColumn("d", d).groupBy("cluster_id")
+    return few(sums.agg(F.sum(F.col("d") * F.col("d")).alias("sse"), F.avg("d").alias("spread"), F.count("*").alias("size"), F.first("centroid").alias("centroid")))
 
 
 def inertia(points: DataFrame) -> DataFrame:
     return within(points).agg(F.sum("sse").alias("inertia"))
 
 
-def calinski_harabasz(points: DataFrame) -> DataFrame:
-    """[between / (k - 1)] / [within / (n - k)]; null where it has no value."""
-    centre = centroids(points.withColumn("one", F.lit(1)), "one").select(F.col("centroid").alias("overall"))
-    groups = within(points).join(few(centroids(points)), "cluster_id").crossJoin(F.broadcast(centre))
+def calinski_harabasz(points: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """[between / (k - 1)] / [within / (n - k)]; null where it has no value.  The overall mean is that of the centroids, weighted by size."""
+    groups = within(points) if groups is None else groups
+    weighted = groups.select(F.transform("centroid", lambda x: x * F.col("size")).alias("vector"), "size")
+    centre = weighted.agg((Summarizer.mean(array_to_vector("vector"))).alias("m"), F.avg("size").alias("w")).select(vector_to_array("m").alias("m"), "w")
+    overall = centre.select(F.transform("m", lambda x: x / F.col("w")).alias("overall"))
     d = distance(F.col("centroid"), F.col("overall"))
-    row = groups.agg(F.sum(F.col("size") * d * d).alias("b"), F.sum("sse").alias("w"), F.sum("size").alias("n"), F.count("*").alias("k"))
+    row = groups.crossJoin(F.broadcast(overall)).agg(F.sum(F.col("size") * d * d).alias("b"), F.sum("sse").alias("w"), F.sum("size").alias("n"), F.count("*").alias("k"))
     return row.select(F.try_divide(F.try_divide(F.col("b"), F.col("k") - 1), F.try_divide(F.col("w"), F.col("n") - F.col("k"))).alias("calinski_harabasz"))
 
 
-def davies_bouldin(points: DataFrame) -> DataFrame:
-    """Mean over clusters of the largest (s_i + s_j) / d_ij."""
-    groups = within(points).select("cluster_id", "spread").join(few(centroids(points)), "cluster_id")
-    n = groups.count()
-    if n > MAX_CENTROIDS:
-        raise ValueError(f"{n} clusters; all pairs are taken of {MAX_CENTROIDS} at most")
-    a, b = (groups.select(*[F.col(c).alias(f"{c}_{s}") for c in groups.columns]) for s in "ab")
-    pairs = a.join(F.broadcast(b), F.col("cluster_id_a") != F.col("cluster_id_b"))
-    r = F.try_divide(F.col("spread_a") + F.col("spread_b"), distance(F.col("centroid_a"), F.col("centroid_b")))
-    return pairs.groupBy("cluster_id_a").agg(F.max(r).alias("r")).agg(F.avg("r").alias("davies_bouldin"))
+def davies_bouldin(points: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """Mean over clusters of the largest (s_i + s_j) / d_ij; each cluster is compared with arrays of all, block by block."""
+    groups = within(points) if groups is None else groups
+    found = groups.select("cluster_id", "spread", "centroid", F.lit(None).cast("double").alias("r"))
+    for block in blocks(groups.select("cluster_id", "spread", "centroid")):
+        others = F.filter("rows", lambda o: o["cluster_id"] != F.col("cluster_id"))
+        most = F.array_max(F.transform(others, lambda o: F.try_divide(F.col("spread") + o["spread"], distance(F.col("centroid"), o["centroid"]))))
+        found = found.crossJoin(block).withColumn("r", F.greatest("r", most)).drop("rows")
+    return found.agg(F.avg("r").alias("davies_bouldin"))
 
 
 def silhouettes(points: DataFrame, key: str = "key", sample: int | None = SAMPLE, seed: int = 42) -> DataFrame:
     """``key``, ``cluster_id`` and Euclidean silhouette ``s`` of (a seeded sample of) the points; single members get 0.
 
-    The sample (``sample`` rows; null: ``SAMPLE`` is lifted and the caller vouches for the size) is broadcast as one matrix, and each task
+    The sample (``sample`` rows; None: all points, of which there may be ``EXACT``) is broadcast as one matrix, and each task
     compares its own points with it, block by block.
     """
+    if sample is None and points.count() > EXACT:
+        raise ValueError(f"silhouettes compare all pairs: above {EXACT} points a sample must be given")
     chosen = points.select(key, "vector", "cluster_id")
-    if sample is not None:
-        chosen = chosen.orderBy(F.xxhash64(F.lit(seed), key), key).limit(sample)
+    chosen = chosen.orderBy(F.xxhash64(F.lit(seed), key), key).limit(EXACT if sample is None else sample)
     rows = chosen.select("cluster_id", doubles(F.col("vector")).alias("vector")).collect()
     ids, number = np.unique(np.array([r.cluster_id for r in rows]), return_inverse=True)
     matrix = np.array([r.vector for r in rows], float).reshape(len(rows), -1)
@@ -163,7 +181,8 @@ def silhouette_groups(scores: DataFrame) -> DataFrame:
 
 def bundle(points: DataFrame, key: str = "key", sample: int | None = SAMPLE) -> DataFrame:
     """One row: silhouette (4 digits), Calinski-Harabasz (2), Davies-Bouldin (4), purity (4)."""
-    parts = [silhouette(points, key, sample), calinski_harabasz(points), davies_bouldin(points), purity(points)]
+    groups = within(points)
+    parts = [silhouette(points, key, sample), calinski_harabasz(points, groups), davies_bouldin(points, groups), purity(points)]
     row = parts[0]
     for p in parts[1:]:
         row = row.crossJoin(F.broadcast(p))  # one row each

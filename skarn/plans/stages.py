@@ -151,16 +151,17 @@ def predict(store: Store, model_id: str, rows: DataFrame) -> DataFrame:
 
 
 def evaluation(store: Store, run_id: str | None = None) -> dict[str, DataFrame]:
-    """The tables behind the evaluation charts of a run (the latest by default)."""
-    from ..operators.aggregates import contingency, row_normalised
+    """The tables behind the evaluation charts of a run (the latest by default).  The confusion matrix has a row for each cluster and label that meet, however many there are."""
+    from ..operators.aggregates import contingency
 
     run_id = run_id or store.latest_run()
     if run_id is None:
         raise ValueError("there is no run")
     tables = store.run(run_id)
-    labels = [r.true_label for r in tables["cluster_assignments"].select("true_label").distinct().orderBy("true_label").limit(1000).collect()]
-    matrix = tables["cluster_assignments"].groupBy("cluster_id").pivot("true_label", labels).agg(F.count(F.lit(1))).na.fill(0)
-    out = {"results": tables["processing_results"].withColumn("evaluation_grade", grade(F.col("purity"), 0.8, 0.7)), "profiles": tables["cluster_profiles"].orderBy("cluster_id"), "confusion": matrix, "confusion_normalised": row_normalised(matrix, labels), "contingency": contingency(tables["cluster_profiles"])}
+    counts = tables["cluster_assignments"].groupBy("cluster_id", "true_label").agg(F.count("*").alias("n"))
+    sizes = counts.groupBy("cluster_id").agg(F.sum("n").alias("size"))
+    shares = counts.join(sizes, "cluster_id").select("cluster_id", "true_label", F.round(F.col("n") / F.col("size"), 4).alias("share"))
+    out = {"results": tables["processing_results"].withColumn("evaluation_grade", grade(F.col("purity"), 0.8, 0.7)), "profiles": tables["cluster_profiles"].orderBy("cluster_id"), "confusion": counts, "confusion_normalised": shares, "contingency": contingency(tables["cluster_profiles"])}
     if "k_search_metadata" in tables:
         out["k_curve"] = metrics.k_curve(tables["k_search_metadata"])
     return out

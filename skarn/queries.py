@@ -282,10 +282,26 @@ def hamming_pairs(t):
     return C.near_hash_pairs(_signs(t), "vec_id", "bits", "base", distance=14)
 
 
-@query()
+_FOLD = """
+WITH RECURSIVE r AS (SELECT 'f' || lpad(page_id::VARCHAR, 6, '0') AS name, CASE WHEN page_id % 19 <> 0 THEN 'http://a.com/' || page_id % 50 || CASE WHEN page_id % 4 > 0 THEN '?v=' || page_id % 4 ELSE '' END END AS url, page_id % 11 <> 0 AS downloaded,
+  CASE WHEN page_id % 13 <> 0 THEN 150 + page_id % 100 END AS width, (page_id % 17)::DOUBLE AS std, ('0x' || substr(md5((page_id % 40)::VARCHAR), 1, 15) || page_id % 4)::UBIGINT AS h FROM pages),
+o AS (SELECT *, 'http://a.com/' || regexp_extract(url, 'a.com/([0-9]+)', 1) AS base, row_number() OVER (PARTITION BY regexp_extract(url, 'a.com/([0-9]+)', 1) ORDER BY name) AS place FROM r WHERE url IS NOT NULL),
+f(base, place, name, reason, urls, hashes, names) AS (
+  SELECT DISTINCT base, 0::BIGINT, NULL::VARCHAR, NULL::VARCHAR, []::VARCHAR[], []::UBIGINT[], []::VARCHAR[] FROM o
+  UNION ALL
+  SELECT base, place, name, reason, CASE WHEN reason IS NULL THEN list_append(urls, url) ELSE urls END, CASE WHEN reason IS NULL THEN list_append(hashes, h) ELSE hashes END, CASE WHEN reason IS NULL THEN list_append(names, name) ELSE names END
+  FROM (SELECT o.base, o.place, o.name, o.url, o.h, urls, hashes, names, CASE WHEN list_contains(urls, url) THEN 'duplicate_url' WHEN NOT downloaded THEN 'download_failed' WHEN width IS NULL THEN 'corrupt_image' WHEN width < 200 THEN 'too_small_' || width || 'x400' WHEN std < 8 THEN 'monotone'
+    ELSE 'duplicate_phash_of_' || names[list_filter(range(1, len(hashes) + 1), lambda i: bit_count(xor(hashes[i], h)) <= 2)[1]] END AS reason FROM f JOIN o ON o.base = f.base AND o.place = f.place + 1) s)
+SELECT name AS filename, reason IS NULL AS cleaned, reason AS reject_reason FROM f WHERE place > 0 UNION ALL SELECT name, false, 'missing_url' FROM r WHERE url IS NULL"""
+
+
+@query(_FOLD)
 def cleaning_fold(t):
-    bits = F.conv(F.substring(F.md5((F.col("page_id") % 40).cast("string")), 1, 16), 16, 16)
-    raw = t.pages.select(F.concat(F.lit("f"), F.format_string("%06d", "page_id")).alias("filename"), "url", (F.col("page_id") % 11 != 0).alias("downloaded"), F.when(F.col("page_id") % 13 != 0, 150 + F.col("page_id") % 100).cast("int").alias("width"), F.lit(400).alias("height"), (F.col("page_id") % 17).cast("double").alias("gray_std"), F.lpad(F.lower(bits), 16, "0").alias("phash"), F.lit("2024-01-01").alias("crawled_at"))
+    i = F.col("page_id")
+    text = lambda c: c.cast("string")
+    url = F.when(i % 19 != 0, F.concat(F.lit("http://a.com/"), text(i % 50), F.when(i % 4 > 0, F.concat(F.lit("?v="), text(i % 4))).otherwise("")))
+    phash = F.concat(F.substring(F.md5(text(i % 40)), 1, 15), text(i % 4))
+    raw = t.pages.select(F.concat(F.lit("f"), F.format_string("%06d", "page_id")).alias("filename"), url.alias("url"), (i % 11 != 0).alias("downloaded"), F.when(i % 13 != 0, 150 + i % 100).cast("int").alias("width"), F.lit(400).alias("height"), (i % 17).cast("double").alias("gray_std"), phash.alias("phash"), F.lit("2024-01-01").alias("crawled_at"))
     return C.cleaning_fold(raw).select("filename", "cleaned", "reject_reason")
 
 
@@ -305,10 +321,10 @@ def resume_anti_join_2key(t):
     return C.not_yet(t.lineitem.select("l_orderkey", "l_linenumber"), t.lineitem.where("l_returnflag = 'R'"), "l_orderkey", "l_linenumber")
 
 
-@query("SELECT doc_id, source FROM documents d WHERE doc_id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM documents e WHERE e.doc_id % 4 = 0 AND e.doc_id = d.doc_id AND e.source = d.source)")
+@query("SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY lang, n_chars, source ORDER BY doc_id) AS r FROM documents d WHERE NOT EXISTS (SELECT 1 FROM documents e WHERE e.doc_id % 4 = 0 AND e.lang = d.lang AND e.n_chars = d.n_chars AND e.source = d.source)) WHERE r = 1")
 def crawl_skip_existing(t):
-    docs = t.documents.select(F.col("doc_id").cast("string").alias("url"), "source", "doc_id")
-    return C.not_crawled(docs.where("doc_id % 2 = 0"), docs.where("doc_id % 4 = 0")).select("doc_id", "source")
+    docs = t.documents.select(F.concat_ws("/", "lang", F.col("n_chars").cast("string")).alias("url"), "source", "doc_id")
+    return C.not_crawled(docs, docs.where("doc_id % 4 = 0"), "doc_id").select("doc_id", "source")
 
 
 @query("SELECT count(*) FILTER (doc_id % 9 = 8) AS ok, count(*) FILTER (doc_id % 9 IN (0, 1)) AS reject_corrupt, count(*) FILTER (doc_id % 9 = 2) AS reject_small, count(*) FILTER (doc_id % 9 = 3) AS reject_monotone, count(*) FILTER (doc_id % 9 = 6) AS reject_missing_url, count(*) FILTER (doc_id % 9 = 4) AS reject_url_dup, count(*) FILTER (doc_id % 9 IN (5, 7)) AS reject_hash_dup, count(*) AS processed, round(count(*) FILTER (doc_id % 9 = 8) * 100.0::DOUBLE / count(*), 2) AS pass_rate FROM documents")
@@ -319,10 +335,10 @@ def cleaning_stats(t):
 # --- joins and integration
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey % 10 <> 3 AND (EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F') OR EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey + 1 AND o_orderstatus = 'F'))")
+@query("SELECT c_custkey FROM customer WHERE (EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F') OR EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey + 1 AND o_orderstatus = 'F'))")
 def key_exists_semi_or(t):
     name = lambda c: F.concat(F.lit("raw/images/"), c.cast("string"))
-    rows = t.customer.where("c_custkey % 10 <> 3").select("c_custkey", F.col("c_custkey").cast("string").alias("filename"), name(F.col("c_custkey") + 1).alias("object_name"))
+    rows = t.customer.select("c_custkey", F.col("c_custkey").cast("string").alias("filename"), name(F.col("c_custkey") + 1).alias("object_name"))
     objects = t.orders.where("o_orderstatus = 'F'").select(name(F.col("o_custkey")).alias("path"))
     return I.stored(rows, objects).select("c_custkey")
 
@@ -338,12 +354,12 @@ def lookup_default_unknown(t):
     return I.lookup(t.documents.select("doc_id"), names, "doc_id", "name", "unknown")
 
 
-@query("WITH f AS (SELECT vec_id % 300 AS name, vec_id FROM embeddings), last AS (SELECT name, max(vec_id) AS vec_id FROM f GROUP BY name) SELECT a.vec_id AS assignment, last.vec_id AS used FROM embeddings a JOIN last ON a.vec_id % 300 = last.name WHERE a.vec_id % 2 = 0")
+@query("WITH f AS (SELECT vec_id % 300 AS name, vec_id FROM embeddings), last AS (SELECT name, max(vec_id) AS vec_id FROM f GROUP BY name) SELECT a.vec_id AS assignment, last.vec_id AS used FROM embeddings a JOIN last ON a.vec_id % 300 = last.name")
 def assignment_features_last_wins(t):
     name = (F.col("vec_id") % 300).alias("filename")
     rows = t.embeddings.select(name, F.col("embedding").alias("clip_vector"), F.col("vec_id").alias("object_name"))
     last = I.last_of_each(rows.where(F.size("clip_vector") > 0), "filename", "object_name")
-    return t.embeddings.where("vec_id % 2 = 0").select(F.col("vec_id").alias("assignment"), name).join(last, "filename").select("assignment", F.col("object_name").alias("used"))
+    return t.embeddings.select(F.col("vec_id").alias("assignment"), name).join(last, "filename").select("assignment", F.col("object_name").alias("used"))
 
 
 @query("WITH d AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN '  ' WHEN 3 THEN upper(lang) || ' ' ELSE lang END AS label, CASE WHEN doc_id % 2 = 0 THEN upper(source) END AS keyword FROM documents) SELECT doc_id, trim(lower(coalesce(nullif(label, ''), nullif(keyword, ''), 'unknown'))) AS label FROM d")
@@ -406,9 +422,9 @@ def filename_pad_and_stem(t):
     return t.part.select("p_partkey", name.alias("name")).select("p_partkey", "name", S.stem(F.col("name")).alias("stem"), S.id_in_name(F.col("name"), F.lit(-1)).alias("id"))
 
 
-@query("SELECT 'unsplash_' || lpad(max(p_partkey)::VARCHAR, 6, '0') || '.jpg' AS last FROM part WHERE p_partkey % 2 = 0")
+@query("SELECT 'unsplash_' || lpad(max(p_partkey)::VARCHAR, 6, '0') || '.jpg' AS last FROM part WHERE p_size > 10")
 def max_id_by_regex(t):
-    names = t.part.select(S.padded_name("unsplash_", F.col("p_partkey")).alias("n"), "p_partkey").withColumn("n", F.when(F.col("p_partkey") % 2 == 0, F.col("n")).otherwise(F.concat(F.lit("x"), F.col("n"))))
+    names = t.part.select(S.padded_name("unsplash_", F.col("p_partkey")).alias("n"), "p_size").withColumn("n", F.when(F.col("p_size") > 10, F.col("n")).otherwise(F.concat(F.lit("x"), F.col("n"))))
     return names.where(F.col("n").rlike(r"^unsplash_\d{6}\.jpg$")).agg(F.max("n").alias("last"))
 
 
@@ -540,12 +556,12 @@ _S = f"WITH {_L}, q AS (SELECT x.key, x.cid AS own, y.cid AS other, sum(CASE WHE
 
 @query(_S + " SELECT round(avg(s), 6) AS silhouette FROM z")
 def silhouette(t):
-    return M.silhouette(by_label(t), sample=None).select(F.round("silhouette", 6).alias("silhouette"))
+    return M.silhouette(by_label(t)).select(F.round("silhouette", 6).alias("silhouette"))
 
 
 @query(_S + " SELECT key, round(s, 5) AS s FROM z")
 def silhouette_points(t):
-    return M.silhouettes(by_label(t), sample=None).select("key", F.round("s", 5).alias("s"))
+    return M.silhouettes(by_label(t)).select("key", F.round("s", 5).alias("s"))
 
 
 _KTABLE = ((2, 0.5, 100.0, 1.2), (3, 0.6, 90.0, 1.0), (4, 0.6, 120.0, 0.9), (5, 0.4, 120.0, 0.9))

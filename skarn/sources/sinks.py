@@ -14,7 +14,7 @@ from .catalog import Store
 
 
 def absent(new: DataFrame, old: DataFrame | None, *keys: str) -> DataFrame:
-    """The first row of each key of ``new`` that ``old`` does not have."""
+    """One row of each key of ``new`` that ``old`` does not have; among rows of one key any may stay (order them with ``first_of_each``)."""
     new = new.dropDuplicates(list(keys))
     return new if old is None else new.join(old.select(*keys), list(keys), "left_anti")
 
@@ -25,7 +25,7 @@ def upserted(old: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
 
 
 def swap(store: Store, name: str, df: DataFrame) -> None:
-    """Writes a table beside the old one, then exchanges them; readers never see a half-written table."""
+    """Writes a table beside the old one, then exchanges them by two renames; readers never see a half-written table, but may find none between the renames."""
     fs_path = store.spark._jvm.org.apache.hadoop.fs.Path
     fresh, old, now = (fs_path(store.path(n)) for n in (f"{name}-{uuid.uuid4().hex}", f"{name}-old-{uuid.uuid4().hex}", name))
     df.write.parquet(fresh.toString())

@@ -74,6 +74,37 @@ def test_fold_in_two_runs(spark):
     assert got == sequential(rows)
 
 
+def test_every_row_has_its_own_verdict(spark):
+    """Rows that share a filename or have none keep their verdicts."""
+    rows = [(*r[:7], f"2024-01-01 {i:04d}") for i, r in enumerate(rows_of(60, 7))]
+    named = {r[0]: v for r, v in zip(rows, [sequential(rows)[r[0]] for r in rows], strict=True)}
+    odd = [(None if i % 3 == 0 else "same", *r[1:]) for i, r in enumerate(rows)]
+    got = cleaning_fold(spark.createDataFrame(odd, SCHEMA)).collect()
+    plain = lambda v: v and v.split("_of_")[0]
+    assert len(got) == len(rows) and sorted(str((r.url, plain(r.reject_reason))) for r in got if r.url) == sorted(str((r[1], plain(named[r[0]]))) for r in rows if r[1])
+
+
+@pytest.mark.parametrize("most", [1024, 2])
+def test_many_centroids_in_blocks(spark, monkeypatch, most):
+    """Blocks of centroids give what one array gives."""
+    monkeypatch.setattr(M, "MAX_CENTROIDS", most)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(80, 3))
+    own = np.arange(80) % 7
+    points = spark.createDataFrame([(i, [float(v) for v in x[i]], int(own[i]), "l") for i in range(80)], "key long, vector array<double>, cluster_id int, label string")
+    centre = np.array([x[own == c].mean(0) for c in range(7)])
+    far = np.sqrt(((x[:, None] - centre[None]) ** 2).sum(2))
+    got = {r.key: (r.cluster_id, r.distance) for r in M.nearest(points, M.centroids(points)).collect()}
+    assert {k: c for k, (c, _) in got.items()} == dict(enumerate(far.argmin(1).tolist()))
+    assert [got[i][1] for i in range(80)] == pytest.approx(far.min(1))
+    spread = np.array([far[own == c, c].mean() for c in range(7)])
+    gap = np.sqrt(((centre[:, None] - centre[None]) ** 2).sum(2)) + np.diag([np.inf] * 7)
+    assert M.davies_bouldin(points).first()[0] == pytest.approx(((spread[:, None] + spread[None]) / gap).max(1).mean())
+    size = np.bincount(own)
+    ch = ((size * ((centre - x.mean(0)) ** 2).sum(1)).sum() / 6) / ((far[np.arange(80), own] ** 2).sum() / 73)
+    assert M.calinski_harabasz(points).first()[0] == pytest.approx(ch)
+
+
 def test_stats_of_nothing(spark):
     row = cleaning_stats(spark.createDataFrame([], "reject_reason string")).first()
     assert row.processed == 0 and row.pass_rate is None
@@ -112,7 +143,11 @@ def frame(spark, x, cid, label=None):
 def test_metrics_equal_numpy(spark):
     x, cid = cloud()
     points = frame(spark, x, cid)
-    s, ch, db = K._scores(x, cid, len(x), 0)
+    ids, own = np.unique(cid, return_inverse=True)
+    centre = np.array([x[own == c].mean(0) for c in range(len(ids))])
+    far = np.sqrt(((x - centre[own]) ** 2).sum(1))
+    fit = K.Fit(centre, np.bincount(own), centre * np.bincount(own)[:, None], np.bincount(own, far**2))
+    s, (ch, db) = K._silhouette(x, own, len(ids)), K._separation(fit, centre, np.bincount(own, far))
     assert M.silhouette(points, sample=None).first()[0] == pytest.approx(s)
     assert M.calinski_harabasz(points).first()[0] == pytest.approx(ch)
     assert M.davies_bouldin(points).first()[0] == pytest.approx(db)
