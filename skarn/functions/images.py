@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SIDE = 640
@@ -91,6 +92,28 @@ def _unfiltered(kind: int, row: np.ndarray, above: np.ndarray, n: int) -> np.nda
     return np.array(out, np.uint8)
 
 
+#: Mark of pixels that Spark's own reader has decoded: height, width and channels (4 bytes each), then rows of BGR, BGRA or grey.
+PIXELS = b"SKARNPIX"
+
+
+def pixel_bytes(image: Column) -> Column:
+    """A decoded image of Spark's ``image`` source as bytes that ``decode`` takes."""
+    number = lambda name: F.unhex(F.lpad(F.hex(image.getField(name).cast("long")), 8, "0"))
+    return F.concat(F.lit(bytearray(PIXELS)), number("height"), number("width"), number("nChannels"), image.getField("data"))
+
+
+def decode(data: bytes) -> np.ndarray | None:
+    """RGB array of a PNG or of ``pixel_bytes``, or None."""
+    if data[: len(PIXELS)] != PIXELS:
+        return decode_png(data)
+    try:
+        h, w, n = struct.unpack(">III", data[len(PIXELS) : len(PIXELS) + 12])
+        x = np.frombuffer(data, np.uint8, h * w * n, len(PIXELS) + 12).reshape(h, w, n)
+    except (ValueError, struct.error):
+        return None
+    return np.repeat(x, 3, 2) if n == 1 else np.ascontiguousarray(x[:, :, 2::-1])
+
+
 def gray(image: np.ndarray) -> np.ndarray:
     return np.rint(image @ LUMA).astype(np.uint8)
 
@@ -210,10 +233,12 @@ def augment(image: np.ndarray, key: str) -> np.ndarray:
         gain, shift = 1 + rng.uniform(-0.25, 0.25), rng.uniform(-0.25, 0.25) * 255
         image = np.clip(np.rint(image * gain + shift), 0, 255).astype(np.uint8)
     if rng.random() < 0.4:
-        image = _hsv_shift(image, rng.uniform(-0.05, 0.05), rng.uniform(-0.1, 0.1), rng.uniform(-0.1, 0.1))
+        # fixed values: hue by 10 of 180, saturation by 20 and value by 10 of 255
+        image = _hsv_shift(image, rng.uniform(-10, 10) / 180, rng.uniform(-20, 20) / 255, rng.uniform(-10, 10) / 255)
     if rng.random() < 0.4:
-        part = np.sqrt(rng.uniform(0.7, 1.0))
-        ch, cw = max(1, int(h * part)), max(1, int(w * part))
+        # fixed values: 0.8 to 1.0 of the area, at 0.9 to 1.1 times the ratio of the sides
+        area, ratio = h * w * rng.uniform(0.8, 1.0), w / h * rng.uniform(0.9, 1.1)
+        ch, cw = min(h, max(1, round(np.sqrt(area / ratio)))), min(w, max(1, round(np.sqrt(area * ratio))))
         y, x = int(rng.integers(0, h - ch + 1)), int(rng.integers(0, w - cw + 1))
         image = resize(image[y : y + ch, x : x + cw], h, w)
     return np.ascontiguousarray(image)
@@ -240,7 +265,7 @@ def phash(image: np.ndarray) -> str:
 INSPECTED = "width int, height int, gray_std double, phash string"
 
 
-def inspector(decode: Callable[[bytes], np.ndarray | None] = decode_png):
+def inspector(decode: Callable[[bytes], np.ndarray | None] = decode):
     """A pandas UDF: size, grey deviation and perceptual hash of encoded images; all null where they can't be decoded."""
 
     @F.pandas_udf(INSPECTED)
@@ -258,7 +283,7 @@ def inspector(decode: Callable[[bytes], np.ndarray | None] = decode_png):
 TRANSFORMED = "png binary, norm_mean_r double, norm_mean_g double, norm_mean_b double, norm_std_r double, norm_std_g double, norm_std_b double, norm_brightness double"
 
 
-def transformer(decode: Callable[[bytes], np.ndarray | None] = decode_png, side: int = SIDE):
+def transformer(decode: Callable[[bytes], np.ndarray | None] = decode, side: int = SIDE):
     """A pandas UDF over (bytes, key, index): the standard image (null index) or its augmented variant, as PNG with statistics."""
 
     @F.pandas_udf(TRANSFORMED)

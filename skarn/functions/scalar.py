@@ -152,6 +152,16 @@ def gauge(value: Column, low: float, high: float, inverted: bool = False) -> Col
     return 1 - share if inverted else share
 
 
+def flag(value: Column) -> Column:
+    """A number or text as boolean; null where it is neither true nor false."""
+    return value.try_cast("boolean")
+
+
+def capitalised(text: Column) -> Column:
+    """First letter upper, the rest lower."""
+    return F.concat(F.upper(F.substring(text, 1, 1)), F.lower(F.substr(text, F.lit(2))))
+
+
 def looked_up(key: Column, values: Mapping[int, str], default: str) -> Column:
     """A literal map with a default."""
     pairs = [F.lit(x) for kv in values.items() for x in kv]

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.images import decode_png, resize
+from ..functions.images import decode, resize
 from ..functions.vectors import row_l2, row_zscore
 
 BATCH = 32
@@ -21,7 +21,7 @@ def block_colours(batch: np.ndarray) -> np.ndarray:
     """A toy embedder for tests: mean colours of 4 x 4 blocks.  It is no trained model."""
     out = []
     for data in batch:
-        image = decode_png(bytes(data)) if data is not None else None
+        image = decode(bytes(data)) if data is not None else None
         out.append(np.full(3 * TOY_SIDE**2, np.nan) if image is None else resize(image, TOY_SIDE, TOY_SIDE).astype(np.float32).ravel() / 255)
     return np.stack(out).astype(np.float32)
 

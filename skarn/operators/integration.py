@@ -87,6 +87,11 @@ def union_sources(*tables: DataFrame) -> DataFrame:
     return out
 
 
+def last_name(rows: DataFrame, column: str, pattern: str) -> DataFrame:
+    """``last``: the largest name that fits a pattern (numbers are padded, so the largest is the latest)."""
+    return rows.where(F.col(column).rlike(pattern)).agg(F.max(column).alias("last"))
+
+
 def next_ids(new: DataFrame, stored_ids: DataFrame, column: str, order: str) -> DataFrame:
     """``id`` after the largest stored one: partition offsets and a count inside each, so no task sees all rows."""
     start = stored_ids.agg(F.coalesce(F.max(column), F.lit(0)).alias("start")).first()[0]

@@ -231,6 +231,11 @@ def k_curve(metadata: DataFrame) -> DataFrame:
     return metadata.select(F.explode("results").alias("r"), F.col("recommendation.k").alias("best")).select("r.*", (F.col("r.k") == F.col("best")).alias("is_best"))
 
 
-def latest(table: DataFrame, order: Column, n: int, then: str) -> DataFrame:
+def sorted_values(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """``values`` of each group in order, each once (labels and the like: few for a group)."""
+    return rows.groupBy(by).agg(F.array_sort(F.collect_set(value)).alias("values"))
+
+
+def latest(table: DataFrame, order: Column | list[Column], n: int, then: str) -> DataFrame:
     """The ``n`` latest rows, sorted by ``then``."""
     return table.orderBy(order).limit(n).orderBy(then)

@@ -39,10 +39,10 @@ def stratified(df: DataFrame, key: str, label: str, size: int | None, seed: int
 
 
 def random_sample(df: DataFrame, key: str, size: int | None, seed: int = SEED) -> DataFrame:
-    """``size`` rows by the order of a seeded hash (a distributed top-n); everything if it is null or not below the row count."""
+    """``size`` rows by the order of a seeded MD5 of the key (a distributed top-n); everything if it is null or not below the row count."""
     if size is None or size >= df.count():
         return df
-    return df.orderBy(F.xxhash64(F.lit(seed), key), key).limit(size)
+    return df.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))), key).limit(size)
 
 
 def metadata(before: DataFrame, after: DataFrame, label: str, size: int | None, strategy: str, seed: int = SEED) -> DataFrame:

@@ -6,6 +6,7 @@ Every stage is a lazy DataFrame expression; only its writer is an action, and re
 from __future__ import annotations
 
 import argparse
+import importlib
 import sys
 import uuid
 from collections.abc import Callable
@@ -17,9 +18,9 @@ from ..functions.images import inspector, transformer
 from ..functions.scalar import grade
 from ..operators import clustering, metrics, sampling
 from ..operators.cleaning import OUTCOMES, cleaning_fold, not_yet, outcome
-from ..operators.embedding import encoded
-from ..operators.integration import expand_variants, integrate
-from ..sources.catalog import Store, object_bytes
+from ..operators.embedding import embedder, encoded
+from ..operators.integration import expand_variants, features_of, integrate
+from ..sources.catalog import Store, contents, objects
 from ..sources.sinks import insert_if_absent, put_objects, save_model, save_run, upsert
 
 TIME = "yyyy-MM-dd HH:mm:ss"
@@ -33,19 +34,19 @@ def _table(store: Store, stage: str) -> DataFrame | None:
     return store.stage(stage) if store.exists(store.stage_path(stage).removeprefix(store.root + "/")) else None
 
 
-def _contents(store: Store, folder: str) -> DataFrame:
-    """Object key below the store, and bytes."""
-    base = store.root.split("://")[-1].removeprefix("file:") + "/"
-    return object_bytes(store.spark, folder).select(F.substring_index("path", base, -1).alias("object_name"), "content")
+def _contents(store: Store, folder: str, wanted: DataFrame) -> DataFrame:
+    """``object_name`` and image ``content`` of the objects in ``wanted`` (``object_name``); other objects are not read."""
+    names = wanted.select(F.substring_index("object_name", f"{folder}/", -1).alias("key"))
+    return contents(store.spark, store.path(folder), names).select(F.concat(F.lit(f"{folder}/"), "key").alias("object_name"), "content")
 
 
 def run_cleaning(store: Store) -> dict[str, int]:
     """Cleans new raw rows.  Images are decoded only for rows whose URL passes; accepted rows of earlier runs seed the state."""
     raw, done = store.stage("raw"), _table(store, "clean")
     new = raw if done is None else not_yet(raw, done, "filename")
-    images = _contents(store, store.path("raw/images")).withColumnRenamed("content", "bytes")
-    wanted = new.where("url IS NOT NULL AND url <> ''").select("filename", "object_name").join(images, "object_name")
-    seen = wanted.select("filename", inspector()(F.col("bytes")).alias("i")).select("filename", F.lit(True).alias("downloaded"), F.col("i.width").alias("w"), F.col("i.height").alias("h"), F.col("i.gray_std").alias("gray_std"), F.col("i.phash").alias("phash"))
+    wanted = new.where("url IS NOT NULL AND url <> ''").select("filename", "object_name")
+    images = _contents(store, "raw/images", wanted).withColumnRenamed("content", "bytes")
+    seen = wanted.join(images, "object_name").select("filename", inspector()(F.col("bytes")).alias("i")).select("filename", F.lit(True).alias("downloaded"), F.col("i.width").alias("w"), F.col("i.height").alias("h"), F.col("i.gray_std").alias("gray_std"), F.col("i.phash").alias("phash"))
     facts = new.drop("phash", "gray_std", "downloaded").join(seen, "filename", "left").withColumn("downloaded", F.coalesce("downloaded", F.lit(False))).withColumn("width", F.col("w")).withColumn("height", F.col("h")).drop("w", "h")
     prior = None
     if done is not None:
@@ -63,8 +64,8 @@ def run_cleaning(store: Store) -> dict[str, int]:
 def run_integration(store: Store) -> dict[str, int]:
     """Upserts accepted rows that exist in the store."""
     clean = store.stage("clean").where("cleaned")
-    objects = _contents(store, store.path("raw/images")).select(F.col("object_name").alias("path"))
-    found = integrate(clean, objects, now())
+    names = objects(store.spark, store.path("raw/images")).select(F.concat(F.lit("raw/images/"), "key").alias("path"))
+    found = integrate(clean, names, now())
     n, ok = clean.count(), found.count()
     upsert(store, "images_integrated", found, "filename")
     return {"ok": ok, "no_file": n - ok}
@@ -78,7 +79,7 @@ def run_transformation(store: Store, per_image: int = 1, side: int = 640) -> dic
     keyed = rows.withColumn("variant", F.coalesce("aug_index", F.lit(0)))
     if done is not None:
         keyed = not_yet(keyed, done.withColumn("variant", F.coalesce("aug_index", F.lit(0))), "filename", "variant")
-    images = _contents(store, store.path("raw/images")).withColumnRenamed("object_name", "raw_name")
+    images = _contents(store, "raw/images", keyed.select(F.col("raw_name").alias("object_name"))).withColumnRenamed("object_name", "raw_name")
     made = keyed.join(images, "raw_name").withColumn("t", transformer(side=side)("content", "filename", "aug_index")).where("t.png IS NOT NULL")
     made = made.select("filename", "label", "object_name", F.col("width").alias("width_raw"), F.col("height").alias("height_raw"), F.lit(side).alias("width"), F.lit(side).alias("height"), F.lit("PNG").alias("format"), "is_augmented", "aug_index", F.lit(True).alias("transformed"), now().alias("transformed_at"), "t.*")
     staged = f"staged-{uuid.uuid4().hex}"
@@ -103,7 +104,7 @@ def run_encoding(store: Store, embed: Callable[[Column], Column], name: str = "r
     new = rows if old is None else not_yet(rows, old, "object_name")
     n, skipped = new.count(), (0 if old is None else old.count())
     columns = ["filename", "label", "object_name", "is_augmented", "aug_index", "width", "height", "content"]
-    made = encoded(new.join(_contents(store, store.path("preprocessed/images")), "object_name").select(*columns), embed, name)
+    made = encoded(new.join(_contents(store, "preprocessed/images", new), "object_name").select(*columns), embed, name)
     stamp = {"encoded_at": now(), "encoded": F.lit(True)} if name == "resnet" else {"extracted_at": now()}
     insert_if_absent(store, table, made.withColumns(stamp), "object_name")
     ok = store.spark.read.parquet(store.path(table)).count() - skipped
@@ -150,7 +151,16 @@ def predict(store: Store, model_id: str, rows: DataFrame) -> DataFrame:
     return metrics.predictions(clustering.projected(rows, model), centres, names)
 
 
-def evaluation(store: Store, run_id: str | None = None) -> dict[str, DataFrame]:
+def predict_images(store: Store, model_id: str, folder: str, embed: Callable[[Column], Column], names: list[str] | None = None) -> DataFrame:
+    """Prediction records of the images in a folder (or only of ``names``); images that can't be decoded have none."""
+    wanted = None if names is None else store.spark.createDataFrame([(n,) for n in names], "key string")
+    files = contents(store.spark, folder, wanted).where(F.lower("key").rlike(r"\.(jpe?g|png|bmp|gif)$"))
+    rows = files.select(F.col("key").alias("filename"), "content", F.lit(False).alias("is_augmented"))
+    vectors = encoded(rows, embed, "clip").select("filename", F.col("clip_vector").alias("vector"))
+    return predict(store, model_id, vectors)
+
+
+def evaluation(store: Store, run_id: str | None = None, gallery: bool = True, scatter: bool = True) -> dict[str, DataFrame]:
     """The tables behind the evaluation charts of a run (the latest by default).  The confusion matrix has a row for each cluster and label that meet, however many there are."""
     from ..operators.aggregates import contingency
 
@@ -162,6 +172,11 @@ def evaluation(store: Store, run_id: str | None = None) -> dict[str, DataFrame]:
     sizes = counts.groupBy("cluster_id").agg(F.sum("n").alias("size"))
     shares = counts.join(sizes, "cluster_id").select("cluster_id", "true_label", F.round(F.col("n") / F.col("size"), 4).alias("share"))
     out = {"results": tables["processing_results"].withColumn("evaluation_grade", grade(F.col("purity"), 0.8, 0.7)), "profiles": tables["cluster_profiles"].orderBy("cluster_id"), "confusion": counts, "confusion_normalised": shares, "contingency": contingency(tables["cluster_profiles"])}
+    if gallery:  # the sample images of each cluster
+        out["gallery"] = tables["cluster_profiles"].select("cluster_id", "dominant_label", F.explode("sample_filenames").alias("filename"))
+    if scatter and store.exists("clip_features"):  # two components of a sample of the run's vectors
+        vectors = features_of(tables["cluster_assignments"].select("filename", "cluster_id", "true_label"), store.features())
+        out["scatter"] = clustering.pca_2d(vectors.select(F.col("filename").alias("key"), F.col("clip_vector").alias("vector"), "cluster_id", "true_label"))
     if "k_search_metadata" in tables:
         out["k_curve"] = metrics.k_curve(tables["k_search_metadata"])
     return out
@@ -183,10 +198,26 @@ def parser() -> argparse.ArgumentParser:
     e = sub.add_parser("evaluate")
     e.add_argument("--run-id")
     e.add_argument("--latest", action="store_true")
+    e.add_argument("--no-gallery", action="store_true")
+    e.add_argument("--no-scatter", action="store_true")
     e.add_argument("--out-dir")
+    n = sub.add_parser("encode")
+    n.add_argument("--name", choices=("resnet", "clip"), default="clip")
+    d = sub.add_parser("predict")
+    d.add_argument("--model-id", required=True)
+    d.add_argument("--image-dir")
+    d.add_argument("--image-file")
+    d.add_argument("--out-dir")
+    for q in (n, d):
+        q.add_argument("--embedder", required=True, help="module:function that gives the model, as for embedding.embedder")
     return p
 
 
+def _model(name: str) -> Callable[[Column], Column]:
+    module, _, function = name.partition(":")
+    return embedder(getattr(importlib.import_module(module), function))
+
+
 def main(args: list[str] | None = None) -> int:
     """Command line; 0 on success, 1 on an error."""
     a = parser().parse_args(args)
@@ -195,8 +226,18 @@ def main(args: list[str] | None = None) -> int:
         if a.command == "cluster":
             print(cluster_run(store, None if a.find_k else a.k, a.pca, a.sample_size, a.sample_strategy, not a.no_post_process))
         elif a.command == "evaluate":
-            for name, df in evaluation(store, a.run_id).items():
+            if a.run_id and a.latest:
+                raise ValueError("--run-id and --latest exclude each other")
+            for name, df in evaluation(store, a.run_id, not a.no_gallery, not a.no_scatter).items():
                 df.write.mode("overwrite").json(f"{a.out_dir or store.path('evaluation')}/{name}")
+        elif a.command == "encode":
+            print(run_encoding(store, _model(a.embedder), a.name))
+        elif a.command == "predict":
+            if bool(a.image_dir) == bool(a.image_file):
+                raise ValueError("give --image-dir or --image-file")
+            folder, _, name = (a.image_file or "").rpartition("/")
+            found = predict_images(store, a.model_id, a.image_dir or folder or ".", _model(a.embedder), [name] if a.image_file else None)
+            found.write.mode("overwrite").json(a.out_dir or store.path("predictions"))
         else:
             print({"clean": run_cleaning, "integrate": run_integration, "transform": run_transformation}[a.command](store))
     except Exception as e:

@@ -19,7 +19,8 @@ from .operators import clustering as K
 from .operators import integration as I
 from .operators import metrics as M
 from .operators import sampling as P
-from .sources.sinks import absent, upserted
+from .sources.catalog import Store, feature_rows
+from .sources.sinks import absent, object_url, remaining, upserted
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,6 +35,10 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self._spark, self._dir = spark, sf_dir
 
+    def store(self, **tables: str) -> Store:
+        """A store whose stages are tables of the driver."""
+        return Store(self._spark, self._dir, {k: f"{v}.parquet" for k, v in tables.items()})
+
     def __getattr__(self, name: str) -> DataFrame:
         return self._spark.read.parquet(f"{self._dir}/{name}.parquet")
 
@@ -71,7 +76,7 @@ _T = "k AS (SELECT cid, label, count(*) AS n FROM p GROUP BY cid, label), t AS (
 
 @query("SELECT source, count(*) AS n FROM documents GROUP BY source")
 def count_by_source(t):
-    return A.counts(t.documents, "source")
+    return t.store(raw="documents").count_by_source().withColumnRenamed("count", "n")
 
 
 @query("SELECT lang, count(*) AS n FROM documents GROUP BY lang")
@@ -81,12 +86,13 @@ def count_by_keyword(t):
 
 @query("SELECT doc_id, lang, n_chars FROM documents WHERE source = 'src3' AND n_chars >= 1000")
 def filtered_scan(t):
-    return t.documents.where("source = 'src3' AND n_chars >= 1000").select("doc_id", "lang", "n_chars")
+    return t.store(raw="documents").find("raw", "source = 'src3' AND n_chars >= 1000", ["doc_id", "lang", "n_chars"])
 
 
 @query("SELECT count(*) AS total, count(*) FILTER (n_chars >= 1000) AS large, count(*) FILTER (lang = 'en') AS english FROM documents")
 def filtered_counts(t):
-    return t.documents.agg(F.count("*").alias("total"), F.count_if(F.col("n_chars") >= 1000).alias("large"), F.count_if(F.col("lang") == "en").alias("english"))
+    store = t.store(raw="documents")
+    return t._spark.createDataFrame([tuple(store.count("raw", c) for c in (None, "n_chars >= 1000", "lang = 'en'"))], "total long, large long, english long")
 
 
 @query("SELECT doc_id FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE doc_id % 2 = 0 END AS flag FROM documents) WHERE flag IS NOT TRUE")
@@ -101,10 +107,16 @@ def exists_and_not_empty(t):
     return t.documents.select("doc_id", h.alias("h")).where(S.present(F.col("h"))).select("doc_id")
 
 
-@query("SELECT vec_id, coalesce(CASE WHEN vec_id % 5 = 0 THEN NULL ELSE label::VARCHAR END, 'unknown') AS label, len(embedding)::INTEGER AS dim FROM embeddings")
+@query("SELECT vec_id AS filename, coalesce(CASE WHEN vec_id % 5 = 0 THEN NULL ELSE label::VARCHAR END, 'unknown') AS label, 'o' || vec_id AS object_name, len(embedding)::INTEGER AS dim FROM embeddings")
 def load_features(t):
     label = F.when(F.col("vec_id") % 5 != 0, F.col("label").cast("string"))
-    return t.embeddings.select("vec_id", F.coalesce(label, F.lit("unknown")).alias("label"), F.size("embedding").alias("dim"))
+    rows = t.embeddings.select(F.col("vec_id").alias("filename"), label.alias("label"), F.concat(F.lit("o"), F.col("vec_id").cast("string")).alias("object_name"), "embedding")
+    return feature_rows(rows, "embedding").select("filename", "label", "object_name", F.size("embedding").alias("dim"))
+
+
+@query("SELECT doc_id, lang, source FROM documents ORDER BY n_chars DESC, doc_id LIMIT 10")
+def head_rows(t):
+    return M.latest(t.documents, [F.desc("n_chars"), F.col("doc_id")], 10, "doc_id").select("doc_id", "lang", "source")
 
 
 # --- shares, cross tables, distributions
@@ -343,9 +355,10 @@ def key_exists_semi_or(t):
     return I.stored(rows, objects).select("c_custkey")
 
 
-@query("SELECT d.doc_id, d.source, l.quality FROM documents d LEFT JOIN labels l USING (doc_id)")
+@query("SELECT d.doc_id AS filename, d.n_chars, e.source, e.lang AS keyword_raw FROM documents d LEFT JOIN documents e ON d.doc_id = e.doc_id AND e.n_chars >= 1000")
 def integrate_left_join(t):
-    return t.documents.select("doc_id", "source").join(t.labels.select("doc_id", "quality"), "doc_id", "left")
+    docs = t.documents.withColumnsRenamed({"doc_id": "filename", "lang": "keyword"})
+    return I.with_source(docs.select("filename", "n_chars"), docs.where("n_chars >= 1000"))
 
 
 @query("SELECT d.doc_id, coalesce('q' || l.quality, 'unknown') AS name FROM documents d LEFT JOIN labels l USING (doc_id)")
@@ -354,12 +367,12 @@ def lookup_default_unknown(t):
     return I.lookup(t.documents.select("doc_id"), names, "doc_id", "name", "unknown")
 
 
-@query("WITH f AS (SELECT vec_id % 300 AS name, vec_id FROM embeddings), last AS (SELECT name, max(vec_id) AS vec_id FROM f GROUP BY name) SELECT a.vec_id AS assignment, last.vec_id AS used FROM embeddings a JOIN last ON a.vec_id % 300 = last.name")
+@query("WITH f AS (SELECT vec_id % 300 AS name, arg_max(embedding, vec_id) AS v FROM embeddings GROUP BY 1) SELECT a.vec_id AS assignment, f.name AS filename, round(f.v[1]::DOUBLE, 6) AS first FROM embeddings a JOIN f ON a.vec_id % 300 = f.name")
 def assignment_features_last_wins(t):
     name = (F.col("vec_id") % 300).alias("filename")
-    rows = t.embeddings.select(name, F.col("embedding").alias("clip_vector"), F.col("vec_id").alias("object_name"))
-    last = I.last_of_each(rows.where(F.size("clip_vector") > 0), "filename", "object_name")
-    return t.embeddings.select(F.col("vec_id").alias("assignment"), name).join(last, "filename").select("assignment", F.col("object_name").alias("used"))
+    features = t.embeddings.select(name, F.col("embedding").alias("clip_vector"), F.col("vec_id").alias("object_name"))
+    found = I.features_of(t.embeddings.select(F.col("vec_id").alias("assignment"), name), features)
+    return found.select("assignment", "filename", F.round(F.col("clip_vector")[0].cast("double"), 6).alias("first"))
 
 
 @query("WITH d AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN '  ' WHEN 3 THEN upper(lang) || ' ' ELSE lang END AS label, CASE WHEN doc_id % 2 = 0 THEN upper(source) END AS keyword FROM documents) SELECT doc_id, trim(lower(coalesce(nullif(label, ''), nullif(keyword, ''), 'unknown'))) AS label FROM d")
@@ -425,7 +438,7 @@ def filename_pad_and_stem(t):
 @query("SELECT 'unsplash_' || lpad(max(p_partkey)::VARCHAR, 6, '0') || '.jpg' AS last FROM part WHERE p_size > 10")
 def max_id_by_regex(t):
     names = t.part.select(S.padded_name("unsplash_", F.col("p_partkey")).alias("n"), "p_size").withColumn("n", F.when(F.col("p_size") > 10, F.col("n")).otherwise(F.concat(F.lit("x"), F.col("n"))))
-    return names.where(F.col("n").rlike(r"^unsplash_\d{6}\.jpg$")).agg(F.max("n").alias("last"))
+    return I.last_name(names, "n", r"^unsplash_\d{6}\.jpg$")
 
 
 @query("SELECT s_suppkey, (row_number() OVER (ORDER BY s_suppkey) + (SELECT max(n_nationkey) FROM nation))::BIGINT AS id FROM supplier")
@@ -445,9 +458,61 @@ def letterbox_geometry(t):
     return t.documents.select("doc_id", size.alias("s")).select("doc_id", "s.w", "s.h", "s.left", "s.top")
 
 
-@query(r"SELECT page_id, len(regexp_extract_all(html, '(?i)<img\b[^>]*>'))::INTEGER AS n FROM pages")
+@query("""SELECT page_id, CASE WHEN page_id % 200 >= 100 THEN ['/a' || page_id || '.jpg', 'b.png'] ELSE ['b.png'] END AS sources FROM pages""")
 def img_tag_extract(t):
-    return t.pages.select("page_id", F.size(S.image_sources(F.col("html"))).alias("n"))
+    size, i = (F.col("page_id") % 200).cast("string"), F.col("page_id").cast("string")
+    tags = F.concat(F.lit('<img src="/a'), i, F.lit('.jpg" width="'), size, F.lit('" height="150"><img src="x.gif"><IMG height=90 src=b.png><image src=c.png>'))
+    return t.pages.select("page_id", S.image_sources(F.concat("html", tags)).alias("sources"))
+
+
+@query("SELECT doc_id, lang, NULL::INTEGER AS width, n_chars::VARCHAR AS n_chars FROM documents")
+def unified_projection(t):
+    return S.unified(t.documents, (("doc_id", "long"), ("lang", "string"), ("width", "int"), ("n_chars", "string")))
+
+
+@query("SELECT doc_id || '.jpg' AS filename, coalesce(CASE WHEN doc_id % 3 = 0 THEN 'kept/' || doc_id END, 'raw/images/' || doc_id || '.jpg') AS object_name, CASE WHEN doc_id % 4 = 0 THEN lang ELSE source END AS label, (n_chars % 900)::INTEGER AS width, CASE WHEN doc_id % 5 = 0 THEN 7 ELSE 0 END::INTEGER AS height FROM documents")
+def normal_meta(t):
+    i, text = F.col("doc_id"), F.col("doc_id").cast("string")
+    label, height = F.when(i % 4 == 0, F.concat(F.upper("lang"), F.lit(" "))).otherwise(""), F.when(i % 5 == 0, "7").otherwise("tall")
+    rows = t.documents.select(F.concat(text, F.lit(".jpg")).alias("filename"), F.when(i % 3 == 0, F.concat(F.lit("kept/"), text)).alias("object_name"), label.alias("label"), F.col("source").alias("keyword"), F.lit("").alias("width"), (F.col("n_chars") % 900).alias("width_raw"), height.alias("height"))
+    return I.normal_meta(rows)
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN lang ELSE 'text ' || doc_id END AS pexels, lang || ' landscape' AS google FROM documents WHERE true")
+def description_default(t):
+    text = F.when(F.col("doc_id") % 3 == 1, "").otherwise(F.concat(F.lit("text "), F.col("doc_id").cast("string")))
+    return t.documents.select("doc_id", S.described("pexels", text, F.col("lang")).alias("pexels"), S.described("google", text, F.col("lang")).alias("google"))
+
+
+@query("SELECT doc_id, quality::BOOLEAN AS good, toxic::BOOLEAN AS bad FROM labels")
+def cast_to_bool(t):
+    return t.labels.select("doc_id", S.flag(F.col("quality")).alias("good"), S.flag(F.col("toxic")).alias("bad"))
+
+
+@query("SELECT p_partkey, upper(p_name) AS upper, upper(p_name[1:1]) || lower(p_name[2:]) AS capitalised FROM part")
+def shown_labels(t):
+    return t.part.select("p_partkey", F.upper("p_name").alias("upper"), S.capitalised(F.col("p_name")).alias("capitalised"))
+
+
+@query("SELECT vec_id, CASE vec_id % 7 WHEN 0 THEN 'red' WHEN 1 THEN 'blue' WHEN 2 THEN 'green' ELSE 'grey' END AS colour FROM embeddings")
+def colour_lookup(t):
+    return t.embeddings.select("vec_id", S.looked_up((F.col("vec_id") % 7).cast("int"), {0: "red", 1: "blue", 2: "green"}, "grey").alias("colour"))
+
+
+@query("SELECT c_custkey FROM customer WHERE coalesce(CASE WHEN c_custkey % 7 <> 0 THEN c_acctbal > 0 END, false) = false")
+def delete_by_predicate(t):
+    rows = t.customer.select("c_custkey", F.when(F.col("c_custkey") % 7 != 0, F.col("c_acctbal")).alias("balance"))
+    return remaining(rows, "balance > 0").select("c_custkey")
+
+
+@query("SELECT p_partkey, 'http://localhost:9000/images/raw/' || p_partkey || '.jpg' AS url FROM part")
+def object_urls(t):
+    return t.part.select("p_partkey", object_url("localhost:9000", "images", F.concat(F.lit("raw/"), F.col("p_partkey").cast("string"), F.lit(".jpg"))).alias("url"))
+
+
+@query("SELECT n_regionkey AS cluster_id, list(n_name ORDER BY n_name) AS labels FROM nation GROUP BY n_regionkey")
+def sorted_labels(t):
+    return M.sorted_values(t.nation, "n_regionkey", "n_name").withColumnsRenamed({"n_regionkey": "cluster_id", "values": "labels"})
 
 
 @query("SELECT event_id, (props->>'$.k')::INTEGER AS k FROM events")
@@ -559,24 +624,46 @@ def silhouette(t):
     return M.silhouette(by_label(t)).select(F.round("silhouette", 6).alias("silhouette"))
 
 
+@query(_S.replace("SELECT key, CASE WHEN n = 1", "SELECT key, n, CASE WHEN n = 1") + ", i AS (SELECT key, label::INTEGER AS cluster_id FROM p) SELECT cluster_id, list(round(s, 4) ORDER BY s) AS scores, round(avg(s), 4) AS mean FROM z JOIN i USING (key) GROUP BY cluster_id")
+def silhouette_groups(t):
+    groups = M.silhouette_groups(M.silhouettes(by_label(t)))
+    return groups.select(F.col("cluster_id").cast("int").alias("cluster_id"), F.transform("scores", lambda s: F.round(s, 4)).alias("scores"), F.round("mean", 4).alias("mean"))
+
+
+@query(_S + f", {_C}, {_D}, {_T}, o AS (SELECT list(m ORDER BY i) AS o FROM (SELECT i, avg(e) AS m FROM x GROUP BY i)), g AS (SELECT cid, any_value(c) AS c, sum(d * d) AS sse, avg(d) AS s, count(*) AS n FROM d GROUP BY cid), r AS (SELECT a.cid, max((a.s + b.s) / list_distance(a.c, b.c)) AS r FROM g a JOIN g b ON a.cid <> b.cid GROUP BY a.cid) SELECT (SELECT round(avg(s), 4) FROM z) AS silhouette, (SELECT round((sum(n * list_distance(c, o) ** 2) / (count(*) - 1)) / (sum(sse) / (sum(n) - count(*))), 2) FROM g, o) AS calinski_harabasz, (SELECT round(avg(r), 4) FROM r) AS davies_bouldin, (SELECT round(sum(nd) / sum(size), 4) FROM t) AS purity")
+def metric_bundle(t):
+    return M.bundle(by_label(t))
+
+
 @query(_S + " SELECT key, round(s, 5) AS s FROM z")
 def silhouette_points(t):
     return M.silhouettes(by_label(t)).select("key", F.round("s", 5).alias("s"))
 
 
 _KTABLE = ((2, 0.5, 100.0, 1.2), (3, 0.6, 90.0, 1.0), (4, 0.6, 120.0, 0.9), (5, 0.4, 120.0, 0.9))
+_KROWS = "r(k, sil, ch, db) AS (VALUES " + ", ".join(f"({k}, {a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE)" for k, a, b, c in _KTABLE) + ")"
+_VOTES = f"WITH {_KROWS}, b AS (SELECT (SELECT k FROM r ORDER BY sil DESC, k LIMIT 1) AS s, (SELECT k FROM r ORDER BY ch DESC, k LIMIT 1) AS c, (SELECT k FROM r ORDER BY db, k LIMIT 1) AS d), v AS (SELECT k, sum(w)::BIGINT AS votes FROM (SELECT s AS k, 3 AS w FROM b UNION ALL SELECT c, 2 FROM b UNION ALL SELECT d, 1 FROM b) GROUP BY k)"
+
 
+def _ktable(t: Tables) -> DataFrame:
+    return t._spark.createDataFrame(_KTABLE, "k int, silhouette double, calinski_harabasz double, davies_bouldin double")
 
-@query("SELECT k::INTEGER AS k, v::BIGINT AS votes FROM (VALUES (3, 3), (4, 3)) t(k, v)")
+
+@query(f"{_VOTES} SELECT k::INTEGER AS k, votes FROM v")
 def k_vote(t):
-    table = t._spark.createDataFrame(_KTABLE, "k int, silhouette double, calinski_harabasz double, davies_bouldin double")
-    return M.k_votes(table)
+    return M.k_votes(_ktable(t))
 
 
-@query("SELECT 3::INTEGER AS k")
+@query(f"{_VOTES} SELECT k::INTEGER AS k FROM v ORDER BY votes DESC, k LIMIT 1")
 def k_recommended(t):
-    table = t._spark.createDataFrame(_KTABLE, "k int, silhouette double, calinski_harabasz double, davies_bouldin double")
-    return M.recommended_k(table)
+    return M.recommended_k(_ktable(t))
+
+
+@query(f"{_VOTES} SELECT r.k::INTEGER AS k, sil AS silhouette, ch AS calinski_harabasz, db AS davies_bouldin, r.k = (SELECT k FROM v ORDER BY votes DESC, k LIMIT 1) AS is_best FROM r")
+def k_curve(t):
+    table = _ktable(t)
+    best = M.recommended_k(table).select(F.struct("k").alias("recommendation"))
+    return M.k_curve(table.agg(F.array_sort(F.collect_list(F.struct(*table.columns))).alias("results")).crossJoin(best))  # one row each
 
 
 _PRED = f"WITH {_L}, {_C}, {_N}, r AS (SELECT key, cid, 'c' || cid AS name, round(d, 4) AS d, round(1 / (1 + d), 4) AS conf FROM n)"
@@ -605,8 +692,7 @@ def batch_groups(t):
 
 @query("SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 7")
 def latest_run_profiles(t):
-    rows = t.orders.orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).limit(7)
-    return rows.select("o_orderkey", "o_custkey").orderBy("o_orderkey")
+    return M.latest(t.orders, [F.desc("o_orderdate"), F.desc("o_orderkey")], 7, "o_orderkey").select("o_orderkey", "o_custkey")
 
 
 @query("SELECT purity, CASE WHEN purity >= 0.9 THEN 'EXCELLENT' WHEN purity >= 0.8 THEN 'GOOD' ELSE 'ACCEPTABLE' END AS grade, CASE WHEN purity >= 0.8 THEN 'EXCELLENT' WHEN purity >= 0.7 THEN 'GOOD' ELSE 'ACCEPTABLE' END AS evaluation, round(greatest(0, least(1, (purity - 0.5) / 0.4)), 6) AS gauge, round(1 - greatest(0, least(1, (purity - 0.5) / 0.4)), 6) AS inverted FROM (SELECT p_partkey % 101 / 100.0::DOUBLE AS purity FROM part)")
@@ -629,11 +715,19 @@ def sampling_before_after(t):
     return A.before_and_after(t.embeddings, P.stratified(t.embeddings.select("vec_id", "label"), "vec_id", "label", 97), "label")
 
 
-@query()
+@query("SELECT vec_id, label FROM embeddings ORDER BY md5('42|' || vec_id), vec_id LIMIT 100")
 def random_sample(t):
     return P.random_sample(t.embeddings.select("vec_id", "label"), "vec_id", 100)
 
 
+@query(f"WITH {_QUOTA} SELECT true AS applied, 97::BIGINT AS sample_size, (SELECT count(*) FROM embeddings) AS total_available, 'stratified' AS sample_strategy, round(97 * 100.0::DOUBLE / (SELECT count(*) FROM embeddings), 2) AS sample_percentage, list(label || ':' || n ORDER BY label::VARCHAR) AS before, list(label || ':' || quota ORDER BY label::VARCHAR) AS after, 42::INTEGER AS random_seed FROM q")
+def sample_metadata(t):
+    rows = t.embeddings.select("vec_id", "label")
+    entries = lambda c: F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string")))
+    found = P.metadata(rows, P.stratified(rows, "vec_id", "label", 97), "label", 97, "stratified")
+    return found.select("applied", "sample_size", "total_available", "sample_strategy", "sample_percentage", entries("class_distribution_before").alias("before"), entries("class_distribution_after").alias("after"), "random_seed")
+
+
 @query()
 def kmeans_ml(t):
     p = points(t).drop("cluster_id")

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..functions.images import PNG, pixel_bytes
+
 #: Stages and the tables behind them.
 STAGES = ("raw", "clean", "integrated", "transformed", "features", "clusters")
 TABLES = {"raw": "images_raw", "clean": "images_clean", "integrated": "images_integrated", "transformed": "images_transformed", "features": "image_features", "clusters": "clusters"}
@@ -33,19 +35,24 @@ class Config:
         return cls(**found, **({"keywords": tuple(w.strip() for w in words.split(",") if w.strip())} if words else {}))
 
 
+def feature_rows(rows: DataFrame, vector: str) -> DataFrame:
+    """filename, label (``unknown`` for null), object_name and vector."""
+    return rows.select("filename", F.coalesce("label", F.lit("unknown")).alias("label"), "object_name", vector)
+
+
 class Store:
-    """Parquet tables below one folder."""
+    """Parquet tables below one folder; ``tables`` names others than ``TABLES`` for some stages."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, tables: dict[str, str] | None = None):
+        self.spark, self.root, self.tables = spark, root.rstrip("/"), TABLES | (tables or {})
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
     def stage_path(self, stage: str) -> str:
-        if stage not in TABLES:
+        if stage not in self.tables:
             raise ValueError(f"unknown stage: {stage}")
-        return self.path(TABLES[stage])
+        return self.path(self.tables[stage])
 
     def exists(self, name: str) -> bool:
         at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
@@ -75,7 +82,7 @@ class Store:
 
     def features(self, table: str = "clip_features", vector: str = "clip_vector") -> DataFrame:
         """filename, label (``unknown`` for null), object_name and vector; an empty table raises."""
-        df = self.spark.read.parquet(self.path(table)).select("filename", F.coalesce("label", F.lit("unknown")).alias("label"), "object_name", vector)
+        df = feature_rows(self.spark.read.parquet(self.path(table)), vector)
         if df.isEmpty():
             raise ValueError(f"{table} is empty")
         return df
@@ -117,6 +124,31 @@ def object_bytes(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length", "content")
 
 
+def contents(spark: SparkSession, folder: str, wanted: DataFrame | None = None, few: int = 10_000) -> DataFrame:
+    """``key`` (below ``folder``) and ``content`` of images: PNG bytes as they are, other formats (JPEG, BMP, GIF) as pixels that Spark's image reader decodes.
+
+    ``wanted`` (``key``) are the images that are needed: up to ``few`` of them only their files are read, more are joined to a scan of the folder.
+    Bytes that are no image stay as they are.
+    """
+    base = folder.split("://")[-1].removeprefix("file:").rstrip("/") + "/"
+    key = lambda path: F.substring_index(path, base, -1)
+    at = folder
+    if wanted is not None:
+        names = objects(spark, folder).select("key").join(wanted.select("key").distinct(), "key", "left_semi").limit(few + 1).collect()
+        if not names:
+            return spark.createDataFrame([], "key string, content binary")
+        if len(names) <= few:
+            at = [f"{folder.rstrip('/')}/{r.key}" for r in names]
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(at).select(key(F.col("path")).alias("key"), "content")
+    seen = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", True).load(at)
+    seen = seen.select(key(F.col("image.origin")).alias("key"), pixel_bytes(F.col("image")).alias("pixels"))
+    if wanted is not None:
+        raw, seen = (x.join(wanted.select("key").distinct(), "key", "left_semi") for x in (raw, seen))
+    png = F.substring("content", 1, 8) == F.lit(bytearray(PNG))
+    other = raw.where(~png).join(seen, "key", "left").select("key", F.coalesce("pixels", "content").alias("content"))
+    return raw.where(png).unionByName(other)
+
+
 def images(spark: SparkSession, folder: str, valid_only: bool = True) -> DataFrame:
     """Decoded images; corrupt files are left out, or have a width of -1."""
     return spark.read.format("image").option("dropInvalid", valid_only).load(folder).select("image.*")

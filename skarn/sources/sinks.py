@@ -55,10 +55,15 @@ def upsert(store: Store, name: str, new: DataFrame, *keys: str) -> None:
         new.write.parquet(store.path(name))
 
 
+def remaining(table: DataFrame, condition: str) -> DataFrame:
+    """Rows that a deletion leaves: those that don't meet the condition, also where it is null."""
+    return table.where(~F.coalesce(F.expr(condition), F.lit(False)))
+
+
 def delete(store: Store, name: str, condition: str) -> None:
     """Removes rows that meet the condition; rows where it is null stay."""
     table = store.spark.read.parquet(store.path(name))
-    swap(store, name, table.where(~F.coalesce(F.expr(condition), F.lit(False))))
+    swap(store, name, remaining(table, condition))
 
 
 def put_objects(rows: DataFrame, folder: str) -> DataFrame:

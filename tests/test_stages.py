@@ -4,10 +4,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skarn.functions.images import decode_png, encode_png
+from skarn.functions.images import decode, decode_png, encode_png
 from skarn.operators.embedding import block_colours, embedder
 from skarn.plans import stages
-from skarn.sources.catalog import Config, PhotoPages, Store, image_files, images, objects
+from skarn.sources.catalog import Config, PhotoPages, Store, contents, image_files, images, objects
 from skarn.sources.sinks import delete, insert_if_absent, native, upsert
 from skarn.streaming.cleaning import clean_stream
 from tests.test_functions import picture
@@ -75,6 +75,59 @@ def test_cluster_predict_evaluate(store):
         store.model("missing-model")
 
 
+def as_jpeg(spark, png, path):
+    """Writes the picture of a PNG file as JPEG, with the JVM's encoder."""
+    java = spark._jvm
+    found = java.javax.imageio.ImageIO.read(java.java.io.File(str(png)))
+    assert java.javax.imageio.ImageIO.write(found, "jpg", java.java.io.File(str(path)))
+
+
+def smooth(seed, h=240, w=260):
+    rng = np.random.default_rng(seed)
+    y, x = np.mgrid[0:h, 0:w]
+    return np.stack([127 + 120 * np.sin(x / rng.uniform(10, 60) + rng.uniform(0, 6)) * np.cos(y / rng.uniform(10, 60)) for _ in range(3)], 2).astype(np.uint8)
+
+
+def test_jpeg_images_go_through_the_chain(store, tmp_path):
+    """Real JPEG files are decoded, transformed, encoded and predicted; only wanted objects are read."""
+    import os
+
+    folder = store.root + "/raw/images"
+    os.makedirs(folder)
+    rows = []
+    for i in range(3):
+        (tmp_path / f"{i}.png").write_bytes(encode_png(smooth(i)))
+        as_jpeg(store.spark, tmp_path / f"{i}.png", f"{folder}/p_{i}.jpg")
+        rows.append((f"p_{i}.jpg", f"raw/images/p_{i}.jpg", "pexels", f"http://a.com/{i}", "d", "Sea", 0, 0, f"2024-01-0{i + 1}"))
+    with open(f"{folder}/p_0.jpg", "rb") as f:
+        assert f.read(2) == b"\xff\xd8"
+    found = {r.key: decode(bytes(r.content)) for r in contents(store.spark, folder).collect()}
+    assert all(np.abs(found[f"p_{i}.jpg"].astype(int) - smooth(i)).mean() < 12 for i in range(3))
+    some = contents(store.spark, folder, store.spark.createDataFrame([("p_1.jpg",), ("gone.jpg",)], "key string"))
+    assert [r.key for r in some.collect()] == ["p_1.jpg"]
+    assert contents(store.spark, folder, store.spark.createDataFrame([("p_1.jpg",)], "key string"), few=0).count() == 1
+    schema = "filename string, object_name string, source string, url string, description string, keyword string, width int, height int, crawled_at string"
+    store.spark.createDataFrame(rows, schema).write.parquet(store.stage_path("raw"))
+    assert stages.run_cleaning(store)["ok"] == 3
+    stages.run_integration(store)
+    assert stages.run_transformation(store, side=64)["ok"] == 3
+    embed = embedder(lambda: block_colours)
+    assert stages.run_encoding(store, embed, "clip")["ok"] == 3
+    done = stages.cluster_run(store, k=2, pca=3, restarts=2)
+    every = stages.predict_images(store, done["run_id"], store.root + "/preprocessed/images/sea", embed).collect()
+    assert len(every) == 6 and all(0 < r.confidence <= 1 for r in every)
+    one = ["--root", store.root, "predict", "--model-id", done["run_id"], "--embedder", "tests.test_stages:toy", "--out-dir", str(tmp_path / "out"), "--image-file", f"{folder}/p_2.jpg"]
+    assert stages.main(one) == 0 and [r.filename for r in store.spark.read.json(str(tmp_path / "out")).collect()] == ["p_2.jpg"]
+    assert stages.main([*one[:-2]]) == 1
+    tables = stages.evaluation(store, gallery=False)
+    assert "gallery" not in tables and tables["scatter"].count() == 3
+    assert stages.evaluation(store, scatter=False)["gallery"].count() == 3
+
+
+def toy():
+    return block_colours
+
+
 def test_empty_features_and_unknown_stage(store):
     store.spark.createDataFrame([], "filename string, label string, object_name string, clip_vector array<float>").write.parquet(store.path("clip_features"))
     with pytest.raises(ValueError):
