@@ -5,8 +5,9 @@ beginnings (lower-cased, cut at ASCII punctuation) and over the log-odds that th
 of those links, so it sees them as wrong as they are on new texts.  Words enter with their smoothed log-count ratio, and only if
 it is clear in the sample, which keeps the model small and clean texts clean.
 
-Only the last category has labels of its own.  For the earlier ones a labelled toxic text is positive if it holds a word of the
-category's seed list below; these lists teach the first links and are not looked up in a score.
+Only the last category has labels of its own.  The earlier ones are two themes found in the sample, in whatever language it is: the clear
+word in most toxic texts, the clear word in most toxic texts without it, and each other clear word with the one of the two beside which
+it stands more often.  A toxic text is positive for the themes whose words it holds.  No word list is built in.
 
 Training uses at most ``PER_CLASS`` labelled rows of each class that are not held out (see ``labelled``); the weights, 4 bytes for each
 bucket and link, are broadcast.
@@ -27,12 +28,7 @@ from pyspark.sql import functions as F
 from .labelled import held_out, sample
 from .words import MARKS, U64, pieces, prefixes, words_of
 
-CATEGORIES = ("insult", "contempt", "toxic")
-# Words that teach the first two links.
-SEEDS = {
-    "insult": ("idiot", "moron", "loser", "clown", "fool", "scum", "jerk"),
-    "contempt": ("stupid", "pathetic", "worthless", "disgusting", "trash", "dumb", "useless"),
-}
+CATEGORIES = ("first_theme", "second_theme", "toxic")
 BITS = 20
 #: Bytes of the word beginnings that are features beside whole words: stems of inflected or compound words.
 BEGINNINGS = (4, 5, 6)
@@ -67,17 +63,45 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def log_ratios(row: np.ndarray, bucket: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Smoothed log-count ratio of each bucket, 0 where it is not clear."""
+    n, size = len(label), 1 << BITS
+    hits = np.bincount(bucket, label[row], size)
+    texts = np.bincount(bucket, minlength=size)
+    ratio = np.log((hits + 0.5) / (max(label.sum(), 1.0) + 1)) - np.log((texts - hits + 0.5) / (n - label.sum() + 1))
+    return np.where((texts >= LEAST_TEXTS) & (np.abs(ratio) >= LEAST_RATIO), ratio, 0.0)
+
+
+def themes(row: np.ndarray, bucket: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """A column for each theme: the toxic texts that hold one of its words."""
+    clear = log_ratios(row, bucket, label) > 0
+    own = clear[bucket] & (label[row] > 0)
+    row, words = row[own], bucket[own]
+    found = np.zeros((len(label), 2))
+    if not len(words):
+        return found
+    names, word = np.unique(words, return_inverse=True)
+    anchors, beside = [], []
+    left = np.ones(len(label), bool)
+    for _ in range(2):
+        anchor = np.bincount(word, left[row], len(names)).argmax()  # ties: the least bucket
+        holds = np.bincount(row, word == anchor, len(label)) > 0
+        anchors.append(anchor)
+        beside.append(np.bincount(word, holds[row], len(names)))
+        left &= ~holds
+    second = (beside[1] > beside[0]) | (np.arange(len(names)) == anchors[1])
+    for t, chosen in enumerate((~second, second)):
+        found[:, t] = np.bincount(row, chosen[word], len(label)) > 0
+    return found
+
+
 class Link:
     """A logistic model over word presence and earlier log-odds."""
 
     def __init__(self, row: np.ndarray, bucket: np.ndarray, earlier: np.ndarray, label: np.ndarray):
         n, size = len(label), 1 << BITS
-        hits = np.bincount(bucket, label[row], size)
-        texts = np.bincount(bucket, minlength=size)
         positive = max(label.sum(), 1.0)
-        ratio = np.log((hits + 0.5) / (positive + 1)) - np.log((texts - hits + 0.5) / (n - label.sum() + 1))
-        clear = (texts >= LEAST_TEXTS) & (np.abs(ratio) >= LEAST_RATIO)
-        scale = np.where(clear, ratio, 0.0)
+        scale = log_ratios(row, bucket, label)
         own = scale[bucket] != 0
         row, bucket = row[own], bucket[own]
         used, place = np.unique(bucket, return_inverse=True)
@@ -128,23 +152,15 @@ def chained(chain: list[Link], row: np.ndarray, bucket: np.ndarray, n: int) -> n
     return _sigmoid(earlier)
 
 
-def _seed_buckets(category: str) -> np.ndarray:
-    return presence(pa.array([" ".join(SEEDS[category])]))[1]
-
-
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> list[Link]:
     rows = sample(docs, labels, "toxic", per_class).mapInArrow(_rows, "doc_id long, label int, buckets binary").collect()
-    rows.sort(key=lambda r: r.doc_id * 2654435761 % (1 << 32))
+    rows.sort(key=lambda r: (r.doc_id * 2654435761 % (1 << 32), r.doc_id, bytes(r.buckets)))
     label = np.array([r.label for r in rows], float)
     if len(set(label.tolist())) < 2:
         return []
     sets = [np.frombuffer(r.buckets, np.int32) for r in rows]
     row, bucket = np.repeat(np.arange(len(rows)), [len(s) for s in sets]), np.concatenate(sets).astype(np.int64)
-    targets = []
-    for category in CATEGORIES[:-1]:
-        has = np.bincount(row, np.isin(bucket, _seed_buckets(category)), len(rows)) > 0
-        targets.append(label * has)
-    return train(row, bucket, np.column_stack([*targets, label]))
+    return train(row, bucket, np.column_stack([themes(row, bucket, label), label]))
 
 
 def score(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import re
 from collections import defaultdict
+from functools import lru_cache
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -56,3 +57,50 @@ def by_text(rows, order):
     documents = sorted({(i, t or "") for i, t in rows}, key=lambda d: (d[0] is None, d[0] or 0, order(d[1])))
     place = {d: k for k, d in enumerate(documents)}
     return [(k, t) for k, (_, t) in enumerate(documents)], [place[i, t or ""] for i, t in rows], [i for i, _ in documents]
+
+
+# classifiers, without array tricks: texts one by one, features word by word
+
+MASK = (1 << 64) - 1
+BASE = 0x9FB21C651E98DF25
+
+
+@lru_cache(None)
+def mix(x, seed=0):
+    x = (x + 0x9E3779B97F4A7C15 * (seed + 1)) & MASK
+    x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & MASK
+    x = ((x ^ x >> 27) * 0x94D049BB133111EB) & MASK
+    return x ^ x >> 31
+
+
+@lru_cache(None)
+def polynomial(raw):
+    return sum((b + 1) * pow(BASE, j, 1 << 64) for j, b in enumerate(raw)) & MASK
+
+
+@lru_cache(None)
+def word_hash(raw):
+    return mix((polynomial(raw) + len(raw)) & MASK)
+
+
+def quality_features(text, bits, grams, spread, again):
+    """bucket -> how often."""
+    out, before = defaultdict(int), None
+    for raw in (w.encode() for w in WORD.findall(text or "")):
+        out[(word_hash(raw) * spread[0] & MASK) >> (64 - bits)] += 1
+        out[again] += raw == before
+        before = raw
+        for k, times in zip(grams, spread[1:]):
+            for i in range(len(raw) - k + 1):
+                out[(polynomial(raw[i : i + k]) * times & MASK) >> (64 - bits)] += 1
+    return {b: n for b, n in out.items() if n}
+
+
+def toxic_features(text, bits, beginnings):
+    raw = bytes(c + 32 if 65 <= c < 91 else c for c in (text or "").encode())
+    out = set()
+    for w in re.split(rb"[\x00-\x2f\x3a-\x60\x7b-\x7f]+", raw):
+        if w:
+            out.add(word_hash(w) >> (64 - bits))
+            out |= {mix(polynomial(w[:k]), k) >> (64 - bits) for k in beginnings if len(w) > k}
+    return out
