@@ -52,8 +52,8 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str, local: b
     """``node`` and ``component`` (the least node that can be reached) for every end of ``edges`` (``a``, ``b``; one type, no nulls).
 
     Alternates large-star and small-star steps: each node hands its larger neighbours, then its smaller ones, to its least
-    neighbour, until all edges are stars.  With ``local`` the edges of each task are contracted to stars before a shuffle (in numpy,
-    at most ``HELD`` at once); without, only DataFrame operations are used.  Every step reads and writes tables, so the joins are
+    neighbour, until all edges are stars.  With ``local`` edges are contracted to stars in their task (in numpy, at most ``HELD`` at
+    once) before a shuffle, and stored edges in as few tasks as hold them; without, only DataFrame operations are used.  Every step reads and writes tables, so the joins are
     plain equi-joins of two tables which Spark may split at hot nodes, minima are combined before the shuffle, and lost
     executors repeat one step.  Nothing is collected but one row a round.
     """
@@ -70,10 +70,19 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str, local: b
         ends = ends.groupBy("x").agg(F.sum("up").alias("ups"), F.min("up").alias("low"))
         return ends.where("ups > 1 OR (ups = 1 AND low = 0)").isEmpty()
 
+    def gathered(now: DataFrame, step: str) -> tuple[DataFrame, bool]:
+        """Stored edges contracted ``HELD`` to a task; edges of one task are stars then."""
+        n = -(-now.count() // HELD)
+        return save(near(now.coalesce(max(1, n))), step), n <= 1
+
     now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
-    now = save(near(near(now).distinct()), "0")
-    turn, used = 0, ["0"]
-    while not stars(now):
+    turn, used, done = 0, ["0"], False
+    if local:
+        now, done = gathered(save(near(now), "raw"), "0")
+        scratch.drop(f"{name}_raw")
+    else:
+        now = save(now.distinct(), "0")
+    while not (done or stars(now)):
         turn += 1
         both = now.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(now.select(F.col("v").alias("x"), F.col("u").alias("y")))
         least = save(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m")), f"{turn}a")
@@ -81,7 +90,9 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str, local: b
         large = save(near(large).distinct(), f"{turn}b")
         least = save(large.groupBy("u").agg(F.min("v").alias("m")), f"{turn}c")
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        now = save(near(near(small.unionByName(least.select("u", F.col("m").alias("v")))).distinct()), f"{turn}d")
+        now = save(near(small.unionByName(least.select("u", F.col("m").alias("v")))).distinct(), f"{turn}d")
+        if local:
+            now, done = gathered(now, f"{turn}e")
         scratch.drop(*[f"{name}_{s}" for s in used])
-        used = [f"{turn}{s}" for s in "abcd"]
+        used = [f"{turn}{s}" for s in "abcde"]
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -14,15 +14,16 @@ Method:
    table of bounded size, which all tasks use alike, so a coarse count costs time, never a link.  Two classes of similarity
    0.75 agree in 48 of 64 coordinates on average and in fewer than 28 with a probability of about 1e-8.
 3. Lists with one posting are dropped; lists of up to ``BLOCK`` are one group of rows, whose collisions are counted in numpy.  A longer
-   list is dealt into groups of about ``BLOCK`` by a hash of class and list, each posting once.  A group gives out a forest of its retained
-   pairs.  Near copies share many lists, each dealt otherwise, so these forests connect them; a pair of classes that are
-   already connected need not be counted again.  Where a long list still falls into several components, its largest one is
-   compared with the others, and the others with each other, group by group, which completes all pairs of the list.
-   Components of these forests are the candidate clusters.
+   list is dealt into groups of about ``BLOCK``; near copies share many long lists, so a class is dealt twice in two of its own.  A group
+   gives out a forest of its retained pairs, and these forests connect near copies; a pair of classes that are already connected
+   need not be counted again.  Where any long list still falls into several components, its largest one is compared with the
+   others, and the others with each other, group by group, which completes all pairs of the list: first in one list for each
+   component outside of the largest one, then in all lists that are still split.  Components of these forests are the
+   candidate clusters.
 4. The full sets of each cluster are compared in the same way, exactly: clusters of one group at once, larger ones dealt twice,
    then what is not yet connected to a cluster's largest component against all.  Components of the links are the result.
 
-So a list or cluster of g classes makes 2g rows if its members are near copies, and g * ceil(o / ``BLOCK``) more for the o classes outside of its
+So g near copies make 4g rows in the lists and 2g as a cluster, and g * ceil(o / ``BLOCK``) more for the o classes outside of its
 largest component (for a list of unlike classes that is quadratic; the order of the prefix keeps such lists short).  No pair is left out.
 
 Defined cases: null text is empty; rows with one ``doc_id`` and one text are one document; rows with one ``doc_id`` and different texts are
@@ -54,7 +55,7 @@ MATCHES = 28
 CELLS = 1 << 20
 PARTS = 64
 #: Rows of a group, and shingles of a group of full sets.
-BLOCK = 96
+BLOCK = 128
 BLOCK_SHINGLES = 1 << 18
 #: Cluster membership and other tables of counted size are broadcast up to this size; beyond it, they are joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
@@ -145,18 +146,35 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(totals, pa.int32()), pa.array([_packed(x) for x in totals.values()], pa.binary())], ["part", "counts"])
 
 
+def _prefixes(frequency, sig: np.ndarray) -> np.ndarray:
+    """Keys of the postings of each signature: its rarest pairs by the hashed counts."""
+    table = np.frombuffer(frequency.value, np.uint32)
+    token = _tokens(sig)
+    rank = (np.minimum(table[(token >> U64(44)).astype(np.int64)], U64(0xFFFFFF)).astype(U64) << U64(40)) | (token & U64((1 << 40) - 1))
+    prefix = np.argpartition(rank, COORDINATES - MATCHES, axis=1)[:, : COORDINATES - MATCHES + 1]
+    return np.take_along_axis(token, prefix, 1).view(np.int64)
+
+
 def _postings(frequency):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.frombuffer(frequency.value, np.uint32)
         for batch in batches:
-            if not len(batch):
-                continue
-            token = _tokens(_matrix(batch.column("sig")))
-            rank = (np.minimum(table[(token >> U64(44)).astype(np.int64)], U64(0xFFFFFF)).astype(U64) << U64(40)) | (token & U64((1 << 40) - 1))
-            prefix = np.argpartition(rank, COORDINATES - MATCHES, axis=1)[:, : COORDINATES - MATCHES + 1]
-            key = np.take_along_axis(token, prefix, 1).ravel()
-            ids = np.repeat(batch.column("id").to_numpy(), prefix.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids)], ["key", "id"])
+            if len(batch):
+                key = _prefixes(frequency, _matrix(batch.column("sig")))
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(batch.column("id").to_numpy(), key.shape[1]))], ["key", "id"])
+
+    return run
+
+
+def _shares(frequency):
+    """Postings of each (key, label), counted within a batch: near copies of one label make a row for each key, not for each class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                key = _prefixes(frequency, _matrix(batch.column("sig")))
+                pairs = np.column_stack([key.ravel(), np.repeat(batch.column("label").to_numpy(), key.shape[1])])
+                pairs, n = np.unique(pairs, axis=0, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(n.astype(np.int64))], ["key", "label", "c"])
 
     return run
 
@@ -215,40 +233,62 @@ def _joined(linked: np.ndarray, rest: np.ndarray, label: np.ndarray) -> tuple[np
         least = new
 
 
-def _work(compare: Callable[[pa.ChunkedArray, np.ndarray], np.ndarray]):
-    """Edges of whole groups.  ``compare`` tells which of all rows are linked with the rows it is given; rows of the commonest label need not be given."""
+class Signatures:
+    """Signatures of rows; ``MATCHES`` agreeing coordinates link."""
+
+    def __init__(self, payload: pa.ChunkedArray):
+        self.sig = _matrix(payload)
+
+    def pairs(self, first: np.ndarray) -> np.ndarray:
+        return (self.sig[first] == self.sig[first + 1]).sum(1) >= MATCHES
+
+    def links(self, lo: int, hi: int, rest: np.ndarray) -> np.ndarray:
+        sig = self.sig[lo:hi]
+        count = np.zeros((len(rest), len(sig)), np.uint8)
+        for c in range(COORDINATES):
+            count += sig[rest, None, c] == sig[None, :, c]
+        return count >= MATCHES
+
+
+class Sets:
+    """Full shingle sets of rows; a Jaccard similarity of ``percent`` / 100 links."""
+
+    def __init__(self, payload: pa.ChunkedArray, percent: int):
+        self.sets, self.percent = [np.frombuffer(x, U64) for x in payload.to_pylist()], percent
+        self.n = np.array([len(s) for s in self.sets])
+
+    def pairs(self, first: np.ndarray) -> np.ndarray:
+        return np.array([bool(self.links(i, i + 2, np.array([1]))[0, 0]) for i in first.tolist()], bool)
+
+    def links(self, lo: int, hi: int, rest: np.ndarray) -> np.ndarray:
+        n, inter = self.n[lo:hi], shared(self.sets[lo:hi], rest)
+        return 100 * inter >= self.percent * (n[rest, None] + n[None, :] - inter)
+
+
+def _work(kind: Callable[[pa.ChunkedArray], Signatures | Sets]):
+    """Edges of whole groups of rows; pairs of one label are connected already, so rows of the commonest label are not compared with each other."""
 
     def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
         bounds = _bounds(table, GROUP)
-        label, payload = table.column("label").to_numpy(), table.column("payload")
-        a, b = [], []
-        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            if hi - lo < 2:
-                continue
+        label, rows = table.column("label").to_numpy(), kind(table.column("payload"))
+        size = np.diff(bounds)
+        two = bounds[:-1][size == 2]
+        two = two[label[two] != label[two + 1]]
+        two = two[rows.pairs(two)]
+        a, b = [np.maximum(label[two], label[two + 1])], [np.minimum(label[two], label[two + 1])]
+        for lo, hi in zip(bounds[:-1][size > 2].tolist(), bounds[1:][size > 2].tolist(), strict=True):
             own = label[lo:hi]
             names, n = np.unique(own, return_counts=True)
             rest = np.flatnonzero(own != names[n.argmax()])
             if len(rest):
-                x, y = _joined(compare(payload.slice(lo, hi - lo), rest), rest, own)
+                x, y = _joined(rows.links(lo, hi, rest), rest, own)
                 a.append(x)
                 b.append(y)
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
     return work
 
 
-def _collisions(payload: pa.ChunkedArray, rest: np.ndarray) -> np.ndarray:
-    """Counts agreeing coordinates; ``MATCHES`` or more link."""
-    sig = _matrix(payload)
-    if len(rest) == 1:
-        return (sig == sig[rest]).sum(1)[None, :] >= MATCHES
-    count = np.zeros((len(rest), len(sig)), np.uint8)
-    for c in range(COORDINATES):
-        count += sig[rest, None, c] == sig[None, :, c]
-    return count >= MATCHES
-
-
 def shared(sets: list[np.ndarray], rest: np.ndarray) -> np.ndarray:
     """Sizes of the intersections of the sets ``rest`` with all sets."""
     n = len(sets)
@@ -274,16 +314,6 @@ def shared(sets: list[np.ndarray], rest: np.ndarray) -> np.ndarray:
     return out
 
 
-def _links(percent: int):
-    def compare(payload: pa.ChunkedArray, rest: np.ndarray) -> np.ndarray:
-        sets = [np.frombuffer(x, U64) for x in payload.to_pylist()]
-        n = np.array([len(s) for s in sets])
-        inter = shared(sets, rest)
-        return 100 * inter >= percent * (n[rest, None] + n[None, :] - inter)
-
-    return compare
-
-
 def _full_sets(size: int, carry: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -306,36 +336,58 @@ def in_pieces(n: str, shingles: str) -> str:
     return f"greatest(1, cast(ceil({n} / {BLOCK}) AS int), cast(ceil({shingles} / {BLOCK_SHINGLES}) AS int))"
 
 
-def linked(members: DataFrame, attach: Callable[[DataFrame], DataFrame], compare, turns: int, scratch: Scratch, name: str, limit: int) -> DataFrame:
-    """``node`` and ``component`` of the classes that ``compare`` links within their lists.
+def linked(members: DataFrame, attach: Callable[[DataFrame], DataFrame], kind, turns: int, scratch: Scratch, name: str, limit: int, shares: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``node`` and ``component`` of the classes that ``kind`` links within their lists.
 
-    ``members`` is a table of ``key``, ``id``, ``n`` and ``blocks``; ``attach`` adds what is compared as ``payload``.
+    ``members`` is a table of ``key``, ``id``, ``n`` and ``blocks``; ``attach`` adds what is compared as ``payload``.  A class is dealt ``turns`` times
+    in its long list.  Where classes are in many lists, ``shares`` counts the labels (``id``, ``label``) of each list (``key``, ``label``, ``c``), and a class
+    is dealt in two of its long lists (those of least hash, so near copies take the same ones).
     """
 
     def edges(rows: DataFrame) -> DataFrame:
-        return rows.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(in_groups(GROUP, _work(compare)), "a long, b long")
-
+        return rows.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(in_groups(GROUP, _work(kind)), "a long, b long")
+
+    def labelled(rows: DataFrame) -> DataFrame:
+        return rows.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
+
+    first, long = members, members.where("blocks > 1")
+    if shares:
+        own = F.slice(F.sort_array(F.collect_list(F.struct(F.xxhash64("key").alias("h"), "key", "n"))), 1, 2)  # a class has few lists
+        cut = long.groupBy("id").agg(own.alias("m")).select("id", F.explode("m").alias("m")).select("m.key", "id", "m.n")
+        cut = scratch.write(cut, f"{name}_own")
+        sizes = scratch.write(cut.groupBy("key").agg(F.count("*").alias("c")).select("key", F.expr(in_pieces("c", "0")).alias("blocks")), f"{name}_sizes")
+        keys = scratch.write(long.select("key").distinct(), f"{name}_keys")
+        first = scratch.write(members.where("blocks = 1").unionByName(cut.join(sized(sizes, 16, limit), "key").select("key", "id", "n", "blocks")), f"{name}_first")
     turn = F.explode(F.expr(f"sequence(0, IF(blocks > 1, {turns - 1}, 0))"))
-    dealt = attach(members).select("key", "id", "blocks", "payload", turn.alias("i"))
+    dealt = attach(first).select("key", "id", "blocks", "payload", turn.alias("i"))
     dealt = dealt.select("key", "i", F.expr("cast(IF(blocks > 1, pmod(xxhash64(id, key, i), blocks), 0) AS int)").alias("j"), F.col("id").alias("label"), "payload")
     found = scratch.write(connected_components(edges(dealt), scratch, name), f"{name}_dealt")
 
-    large = members.where("blocks > 1").join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("label"))
-    parts = large.groupBy("key", "label").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
-    most = F.expr("max(struct(c, label, s))")
-    split = parts.groupBy("key").agg(most.alias("m"), F.count("*").alias("labels"), F.sum("c").alias("c"), F.sum("s").alias("s")).where("labels > 1")
-    split = scratch.write(split.select("key", F.col("m.label").alias("main"), F.expr(in_pieces("m.c", "m.s")).alias("mains"), F.expr(in_pieces("(c - m.c)", "(s - m.s)")).alias("others")), f"{name}_split")
-    if split.isEmpty():
-        return found
-    rest = large.join(sized(split, 32, limit), "key").withColumn("out", F.expr("label <> main"))
-    rest = scratch.write(rest.withColumn("own", F.expr("cast(pmod(xxhash64(id), IF(out, others, mains)) AS int)")), f"{name}_rest")
-    with_main = F.expr("IF(out, transform(sequence(0, mains - 1), k -> struct(k AS i, own AS j)), transform(sequence(0, others - 1), k -> struct(own AS i, k AS j)))")
-    with_each = F.expr("IF(out, transform(sequence(0, others - 1), k -> struct(-1 - least(own, k) AS i, greatest(own, k) AS j)), array())")
-    groups = attach(rest).select("key", "label", "payload", F.explode(F.concat(with_main, with_each)).alias("g")).select("key", "g.i", "g.j", "label", "payload")
-    more = scratch.write(connected_components(edges(groups), scratch, f"{name}_more"), f"{name}_merged")
-    merged = more.select(F.col("node").alias("component"), F.col("component").alias("final"))
-    old = found.join(merged, "component", "left").select("node", F.coalesce("final", "component").alias("component"))
-    return old.unionByName(more.join(found.select(F.col("node")), "node", "left_anti"))
+    for step in [f"{name}_near", f"{name}_all"] if shares else [f"{name}_all"]:
+        if shares:
+            parts = shares(labelled(cut.select("id").distinct())).groupBy("key", "label").agg(F.sum("c").alias("c")).withColumn("s", F.lit(0).cast("long"))
+            parts = parts.join(sized(keys, 8, limit), "key", "left_semi")
+        else:
+            parts = labelled(long).groupBy("key", "label").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+        parts = scratch.write(parts, f"{step}_parts")
+        split = parts.groupBy("key").agg(F.expr("max(struct(c, label, s))").alias("m"), F.count("*").alias("labels"), F.sum("c").alias("c"), F.sum("s").alias("s")).where("labels > 1")
+        split = scratch.write(split.select("key", F.col("m.label").alias("main"), F.expr(in_pieces("m.c", "m.s")).alias("mains"), F.expr(in_pieces("(c - m.c)", "(s - m.s)")).alias("others")), f"{step}_split")
+        if split.isEmpty():
+            return found
+        if step.endswith("near"):  # one list for each component outside: enough to connect near copies
+            outside = parts.join(sized(split, 32, limit), "key").where("label <> main").groupBy("label").agg(F.min_by("key", F.xxhash64("key")).alias("key"))
+            one = scratch.write(outside.select("key").distinct(), f"{step}_one")
+            split = scratch.write(split.join(sized(one, 8, limit), "key", "left_semi"), f"{step}_chosen")
+        rest = labelled(long.select("key", "id", "n").join(sized(split, 32, limit), "key")).withColumn("out", F.expr("label <> main"))
+        rest = scratch.write(rest.withColumn("own", F.expr("cast(pmod(xxhash64(id), IF(out, others, mains)) AS int)")), f"{step}_rest")
+        with_main = F.expr("IF(out, transform(sequence(0, mains - 1), k -> struct(k AS i, own AS j)), transform(sequence(0, others - 1), k -> struct(own AS i, k AS j)))")
+        with_each = F.expr("IF(out, transform(sequence(0, others - 1), k -> struct(-1 - least(own, k) AS i, greatest(own, k) AS j)), array())")
+        groups = attach(rest).select("key", "label", "payload", F.explode(F.concat(with_main, with_each)).alias("g")).select("key", "g.i", "g.j", "label", "payload")
+        more = scratch.write(connected_components(edges(groups), scratch, f"{step}_more"), f"{step}_merged")
+        merged = more.select(F.col("node").alias("component"), F.col("component").alias("final"))
+        old = found.join(merged, "component", "left").select("node", F.coalesce("final", "component").alias("component"))
+        found = scratch.write(old.unionByName(more.join(found.select("node"), "node", "left_anti")), f"{step}_found")
+    return found
 
 
 def components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, broadcast_bytes: int = BROADCAST_BYTES) -> tuple[DataFrame, DataFrame | None]:
@@ -356,7 +408,6 @@ def components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, broadc
         table[part] = _counts(counts)
     sent = spark.sparkContext.broadcast(np.minimum(table.ravel(), 0xFFFFFFFF).astype(np.uint32).tobytes())
     posted = scratch.write(classes.select("id", "sig").mapInArrow(_postings(sent), "key long, id long"), "posted")
-    sent.unpersist()
     lists = scratch.write(posted.groupBy("key").agg(F.count("*").alias("g")).where("g > 1").select("key", F.expr(f"cast(ceil(g / {BLOCK}) AS int)").alias("blocks")), "lists")
     long = lists.where("blocks > 1")
     if 16 * long.count() <= broadcast_bytes:  # postings of long lists are not shuffled by their key
@@ -366,9 +417,11 @@ def components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, broadc
         many = posted.join(lists, "key")
     many = scratch.write(many.withColumn("n", F.lit(0).cast("long")), "many")
     signed = classes.select("id", F.col("sig").alias("payload"))
-    clusters = linked(many, lambda m: m.join(signed, "id"), _collisions, 1, scratch, "candidates", broadcast_bytes)
+    shares = lambda rows: rows.join(classes.select("id", "sig"), "id").mapInArrow(_shares(sent), "key long, label long, c long")
+    clusters = linked(many, lambda m: m.join(signed, "id"), Signatures, 2, scratch, "candidates", broadcast_bytes, shares)
     clusters = scratch.write(clusters.select(F.col("node").alias("id"), F.col("component").alias("key")).join(classes.select("id", "n", "least"), "id"), "clusters")
 
+    sent.unpersist()
     blocks = scratch.write(clusters.groupBy("key").agg(F.count("*").alias("c"), F.sum("n").alias("s")).select("key", F.expr(in_pieces("c", "s")).alias("blocks")), "blocks")
     member = scratch.write(clusters.join(sized(blocks, 16, broadcast_bytes), "key").select("key", "id", "n", "blocks", f"least.{DOC}", f"least.{SUB}"), "member")
 
@@ -383,7 +436,7 @@ def components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, broadc
         sets = found.mapInArrow(_full_sets(size, carry), f"{kinds}, payload binary")
         return sets.dropDuplicates(["id"]) if again else sets  # sets are shuffled once more only for the sake of repeated rows
 
-    ties = scratch.write(linked(member, full, _links(percent), 2, scratch, "links", broadcast_bytes), "ties")
+    ties = scratch.write(linked(member, full, lambda payload: Sets(payload, percent), 2, scratch, "links", broadcast_bytes), "ties")
     of_tied = scratch.write(ties.withColumnRenamed("node", "id").join(classes.select("id", "least"), "id"), "of_tied")
     leads = scratch.write(of_tied.groupBy("component").agg(F.min("least").alias("lead")), "leads")
     tied = of_tied.join(sized(leads, 32, broadcast_bytes), "component").select("id", "lead")
