@@ -91,6 +91,12 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, decode=True))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .filter_audit import audit
+
+    return audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
     "op2_media_columns": op2_media_columns,
@@ -103,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_text": op8_html_text,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_filter_audit": op11_filter_audit,
 }
 
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)(\?[^#]+)?"
@@ -129,7 +136,26 @@ SELECT page_id, h AS host, p AS path, rule,
   CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN tainted.a IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict
 FROM j LEFT JOIN tainted ON j.k = tainted.a"""
 
+_LETTERS = "(VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16))"
+_ORDERS = (
+    "SELECT " + " || ".join(f"l{i}.l" for i in range(5)) + " AS o, " + ", ".join(f"l{i}.b AS b{i}" for i in range(5)) + " FROM " + ", ".join(f"{_LETTERS} l{i}(l, b)" for i in range(5))
+    + " WHERE " + " + ".join(f"l{i}.b" for i in range(5)) + " = 31 AND (" + " | ".join(f"l{i}.b" for i in range(5)) + ") = 31"
+)
+
 ORACLES: dict[str, str] = {
+    "op11_filter_audit": rf"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first FROM documents),
+y AS (SELECT doc_id, max((quality = 1)::INTEGER) AS good, max((toxic = 1)::INTEGER) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, (CASE WHEN len(ws) < 50 THEN 1 ELSE 0 END) + (CASE WHEN 100 * len(list_distinct(ws)) < 65 * len(ws) THEN 2 ELSE 0 END) + (CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 5 * length(t) THEN 4 ELSE 0 END)
+  + (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END) + (CASE WHEN doc_id > first THEN 16 ELSE 0 END) AS mask, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic FROM d LEFT JOIN y USING (doc_id)),
+c AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY part, mask),
+o AS ({_ORDERS}),
+s AS (SELECT o, step, CASE step WHEN 1 THEN b0 WHEN 2 THEN b1 WHEN 3 THEN b2 WHEN 4 THEN b3 ELSE b4 END AS own,
+  CASE step WHEN 1 THEN 0 WHEN 2 THEN b0 WHEN 3 THEN b0 + b1 WHEN 4 THEN b0 + b1 + b2 ELSE b0 + b1 + b2 + b3 END AS earlier FROM o, range(1, 6) g(step)),
+r AS (SELECT part, o, step, own, coalesce(sum(n) FILTER (mask & (own | earlier) = 0), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (mask & own > 0 AND mask & earlier = 0), 0)::BIGINT AS removed,
+  coalesce(sum(n) FILTER (mask & own > 0 AND mask & earlier > 0), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (mask = own), 0)::BIGINT AS unique_fails,
+  coalesce(sum(good) FILTER (mask & own > 0 AND mask & earlier = 0), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (mask & own > 0 AND mask & earlier = 0), 0)::BIGINT AS toxic_lost FROM c, s GROUP BY part, o, step, own)
+SELECT part, o AS filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM r""",
     "op1_source_mixing": """
 WITH w(source, weight) AS (VALUES ('src0', 0.2::DOUBLE), ('src1', 0.1::DOUBLE), ('src2', 0.1::DOUBLE)),
 k AS (SELECT s.source, s.n, weight FROM (SELECT source, count(*) AS n FROM documents GROUP BY source) s LEFT JOIN w ON s.source = w.source),
