@@ -103,6 +103,12 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import digests, scan
+
+    return digests(scan(_table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
     "op2_media_columns": op2_media_columns,
@@ -117,6 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_substring_dedup": op10_substring_dedup,
     "op11_filter_audit": op11_filter_audit,
     "op12_lexical_search": op12_lexical_search,
+    "op13_secret_scan": op13_secret_scan,
 }
 
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)(\?[^#]+)?"
