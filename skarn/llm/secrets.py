@@ -170,7 +170,11 @@ class Automaton:
 
 
 def infer(values: Sequence[bytes], alpha: float = ALPHA) -> Automaton:
-    """A probabilistic automaton of ``values``: states of their prefix tree are merged, breadth first, with the first state that they are compatible with."""
+    """A probabilistic automaton of ``values``.
+
+    States of their prefix tree are looked at by falling count.  Each is merged with the compatible state under which what follows it is
+    likeliest (rare states are compatible with many), or kept if there is none.
+    """
     count, ends, child = [0], [0], [{}]
     for v in values:
         s = 0
@@ -215,17 +219,23 @@ def infer(values: Sequence[bytes], alpha: float = ALPHA) -> Automaton:
                 else:
                     child[x][c] = t
 
+    def chance(n: int, whole: int) -> float:
+        return math.log((n + SMOOTHING) / (whole + SMOOTHING * (len(_SYMBOLS) + 1)))
+
+    def likely(r: int, q: int) -> float:
+        return ends[q] * chance(ends[r], count[r]) + sum(n * chance(taken[r].get(c, 0), count[r]) for c, n in taken[q].items())
+
     kept, done = [0], {0}
     while True:
         open_ = [(r, c, t) for r in kept for c, t in sorted(child[r].items()) if t not in done]
         if not open_:
             break
         parent, c, q = max(open_, key=lambda o: count[o[2]])
-        for r in kept:
-            if compatible(r, q):
-                child[parent][c] = r
-                fold(r, q)
-                break
+        same = [r for r in kept if compatible(r, q)]
+        if same:
+            r = max(same, key=lambda r: likely(r, q))
+            child[parent][c] = r
+            fold(r, q)
         else:
             kept.append(q)
             done.add(q)
@@ -234,10 +244,9 @@ def infer(values: Sequence[bytes], alpha: float = ALPHA) -> Automaton:
     k, symbols = len(kept), list(_SYMBOLS)
     step, stop, move = np.full((k, 256), -50.0), np.zeros(k), np.zeros((k, 256), np.int64)
     for s, i in number.items():
-        whole = count[s] + SMOOTHING * (len(symbols) + 1)
-        stop[i] = math.log((ends[s] + SMOOTHING) / whole)
+        stop[i] = chance(ends[s], count[s])
         for c in symbols:
-            step[i, c] = math.log((taken[s].get(c, 0) + SMOOTHING) / whole)
+            step[i, c] = chance(taken[s].get(c, 0), count[s])
             move[i, c] = number[child[s][c]] if c in child[s] else 0  # an unknown character begins anew
     return Automaton(step, stop, move)
 

@@ -104,3 +104,76 @@ def toxic_features(text, bits, beginnings):
             out.add(word_hash(w) >> (64 - bits))
             out |= {mix(polynomial(w[:k]), k) >> (64 - bits) for k in beginnings if len(w) > k}
     return out
+
+
+# audit, search and secrets
+
+
+def audit(rows, labels):
+    """(part, order, step) -> counts, by filtering the documents in every order; ``rows`` are (id, text, source), ids not null."""
+    from itertools import permutations
+
+    first = {}
+    for i, t, _ in rows:
+        first[t or ""] = min(i, first.get(t or "", i))
+    fails = []
+    for i, t, s in rows:
+        t = t or ""
+        w = WORD.findall(t)
+        bad = {"A": len(w) < 50, "B": 100 * len(set(w)) < 65 * len(w), "C": 100 * len(re.findall("[A-Z]", t)) > 5 * len(t), "D": bool(re.search("[#$%&*|]", t)), "E": first[t] < i}
+        fails.append((s or "", {k for k, v in bad.items() if v}, any(x[0] == i and x[1] == 1 for x in labels), any(x[0] == i and x[2] == 1 for x in labels)))
+    out = {}
+    for part in {f[0] for f in fails}:
+        shapley, mine = defaultdict(int), []
+        for order in permutations("ABCDE"):
+            left = [f for f in fails if f[0] == part]
+            for step, x in enumerate(order, 1):
+                gone = [f for f in left if x in f[1]]
+                left = [f for f in left if x not in f[1]]
+                failing = [f for f in fails if f[0] == part and x in f[1]]
+                alone = sum(f[1] == {x} for f in failing)
+                shapley[x] += len(gone)
+                mine.append((x, "".join(order), step, len(left), len(gone), len(failing) - len(gone), alone, sum(f[2] for f in gone), sum(f[3] for f in gone)))
+        for x, order, step, *counts in mine:
+            out[part, order, step] = (*counts, shapley[x])
+    return out
+
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def search(rows, items, k=10):
+    """item -> [(rank, id, score)] by scoring all documents; ``rows`` and ``items`` are (id, text)."""
+    import math
+
+    docs = [(i, TERM.findall((t or "").translate(LOWER))) for i, t in rows]
+    docs = [(i, t) for i, t in docs if t]
+    n, length, df = len(docs), sum(len(t) for _, t in docs), defaultdict(int)
+    for _, t in docs:
+        for x in set(t):
+            df[x] += 1
+    terms, out = defaultdict(set), {}
+    for i, t in items:
+        terms[i] |= set(TERM.findall((t or "").translate(LOWER)))
+    for item, wanted in terms.items():
+        found = []
+        for i, t in docs:
+            m = 100 - 90 + 90 * len(t) * n // length
+            score = sum(math.floor(1000 * math.log((2 * n + 2) / (2 * df[x] + 1))) * (10**9 * t.count(x) // (1000 * t.count(x) + 8 * m)) for x in wanted if x in t)
+            if score > 0:
+                found.append((-score, i is None, i or 0))
+        if found:
+            out[item] = [(r, None if none else i, -s) for r, (s, none, i) in enumerate(sorted(found)[:k], 1)]
+    return out
+
+
+ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+
+
+def secrets(text):
+    """Base spans (kind, start, end) of a text, by the plain patterns."""
+    text = text or ""
+    found = [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
+    found += [("access", *m.span()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    found += [("hex", *m.span()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+    return sorted(found, key=lambda f: (f[1], ("assign", "access", "hex").index(f[0])))
