@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalar import normal_label, stem, to_int
+from .ordering import numbered
 
 
 def object_name(filename: Column, prefix: str = "raw/images/") -> Column:
@@ -92,15 +92,15 @@ def last_name(rows: DataFrame, column: str, pattern: str) -> DataFrame:
     return rows.where(F.col(column).rlike(pattern)).agg(F.max(column).alias("last"))
 
 
-def next_ids(new: DataFrame, stored_ids: DataFrame, column: str, order: str) -> DataFrame:
-    """``id`` after the largest stored one: partition offsets and a count inside each, so no task sees all rows."""
-    start = stored_ids.agg(F.coalesce(F.max(column), F.lit(0)).alias("start")).first()[0]
-    ranged = new.repartitionByRange(order).sortWithinPartitions(order).withColumn("part", F.spark_partition_id())
-    inside = ranged.withColumn("n", F.row_number().over(W.partitionBy("part").orderBy(order)))
-    sizes = inside.groupBy("part").agg(F.max("n").alias("size"))
-    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # one row for each partition
-    offsets = sizes.withColumn("offset", F.coalesce(F.sum("size").over(before), F.lit(0))).drop("size")
-    return inside.join(F.broadcast(offsets), "part").withColumn("id", F.col("n") + F.col("offset") + F.lit(start)).drop("part", "n", "offset")
+def next_ids(new: DataFrame, stored_ids: DataFrame, column: str, *order: str) -> DataFrame:
+    """``new`` with ``id``: numbers after the largest stored one, in the order of ``order``.
+
+    Ids are dense and unique for any plan, number of partitions and number of rows with equal keys (see ``ordering.numbered``); an empty
+    store starts at 1.  An id of ``new`` itself is replaced.
+    """
+    start = stored_ids.agg(F.coalesce(F.max(column), F.lit(0)).cast("long").alias("start")).first()[0]
+    place = numbered(new.drop("id") if "id" not in order else new, *order, name="skarn_position")
+    return place.withColumn("id", F.col("skarn_position") + F.lit(start + 1)).drop("skarn_position")
 
 
 def json_photos(payload: Column, schema: str) -> Column:

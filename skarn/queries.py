@@ -18,6 +18,7 @@ from .operators import cleaning as C
 from .operators import clustering as K
 from .operators import integration as I
 from .operators import metrics as M
+from .operators import ordering as O
 from .operators import sampling as P
 from .sources.catalog import Store, feature_rows
 from .sources.sinks import absent, object_url, remaining, upserted
@@ -441,9 +442,15 @@ def max_id_by_regex(t):
     return I.last_name(names, "n", r"^unsplash_\d{6}\.jpg$")
 
 
-@query("SELECT s_suppkey, (row_number() OVER (ORDER BY s_suppkey) + (SELECT max(n_nationkey) FROM nation))::BIGINT AS id FROM supplier")
+@query("SELECT *, (row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) + (SELECT max(c_custkey) FROM customer))::BIGINT AS id FROM (SELECT *, -o_totalprice AS minus FROM orders)")
 def sequence_ids(t):
-    return I.next_ids(t.supplier.select("s_suppkey"), t.nation, "n_nationkey", "s_suppkey").select("s_suppkey", F.col("id").cast("long").alias("id"))
+    return I.next_ids(t.orders.withColumn("minus", -F.col("o_totalprice")), t.customer, "c_custkey", "minus", "o_orderkey")
+
+
+@query("SELECT o_orderkey, o_orderpriority, (row_number() OVER (ORDER BY o_orderpriority, o_orderkey) - 1)::BIGINT AS position FROM orders")
+def load_positions(t):
+    """Rows of few different keys, numbered over the whole table; ties in load order (``orders`` is stored by key)."""
+    return O.numbered(t.orders.select("o_orderkey", "o_orderpriority"), "o_orderpriority")
 
 
 @query("WITH k AS (SELECT unnest(range(3)) AS k) SELECT doc_id || CASE WHEN k > 0 THEN '_aug' || k ELSE '' END || '.png' AS object_file, CASE WHEN k > 0 THEN k::INTEGER END AS aug_index, k > 0 AS is_augmented, 'preprocessed/images/' || lang || '/' || doc_id || CASE WHEN k > 0 THEN '_aug' || k ELSE '' END || '.png' AS object_name FROM documents, k")

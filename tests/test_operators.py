@@ -10,6 +10,7 @@ from skarn.operators import metrics as M
 from skarn.operators import sampling as P
 from skarn.operators.cleaning import cleaning_fold, cleaning_stats, near_hash_pairs
 from skarn.operators.integration import next_ids, stored
+from skarn.operators.ordering import numbered
 
 SCHEMA = "filename string, url string, downloaded boolean, width int, height int, gray_std double, phash string, crawled_at string"
 
@@ -124,9 +125,38 @@ def test_stored_by_either_key(spark):
     assert sorted(r.filename for r in stored(rows, objects).collect()) == ["a", "b", "d"]
 
 
-def test_next_ids_are_dense(spark):
-    ids = [r.id for r in next_ids(spark.range(50).withColumnRenamed("id", "k"), spark.createDataFrame([(7,)], "n int"), "n", "k").orderBy("k").collect()]
-    assert ids == list(range(8, 58))
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_next_ids_of_a_million_rows(spark, adaptive):
+    """Same ids with and without AQE, with extra columns, ties and a key that a third of all rows share."""
+    n = 1_000_000
+    key = F.when(F.col("id") % 3 == 0, 7).otherwise(F.hash("id") % 1000)
+    rows = spark.range(n).select((n - F.col("id")).alias("name"), key.alias("k"), F.concat(F.lit("x"), F.col("id")).alias("url"), F.array("id").alias("tags"), F.lit("own").alias("id"))
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        got = next_ids(rows, spark.createDataFrame([(7,), (3,)], "n int"), "n", "k", "name")
+        assert got.columns == ["name", "k", "url", "tags", "id"]
+        found = got.select("k", "name", "id", (F.col("url") == F.concat(F.lit("x"), n - F.col("name"))).alias("same")).toPandas()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert found.same.all() and len(found) == n
+    found = found.sort_values(["k", "name"])
+    assert (found.id.to_numpy() == np.arange(8, n + 8)).all()
+
+
+def test_next_ids_of_repeated_rows_and_nothing(spark):
+    rows = spark.createDataFrame([("a", 1)] * 500 + [(None, 2), ("b", None)], "k string, v int")
+    ids = {}
+    for r in next_ids(rows, spark.createDataFrame([], "n int"), "n", "k").collect():
+        ids.setdefault(r.k, []).append(r.id)
+    assert sorted(ids["a"]) == list(range(2, 502)) and ids[None] == [1] and ids["b"] == [502]
+    assert next_ids(rows.limit(0), spark.createDataFrame([(1,)], "n int"), "n", "k").count() == 0
+
+
+def test_numbers_keep_the_order_of_written_rows(spark, tmp_path):
+    spark.createDataFrame([(i, i % 2) for i in range(100, 0, -1)], "a int, b int").coalesce(1).write.parquet(str(tmp_path / "t"))
+    got = numbered(spark.read.parquet(str(tmp_path / "t")), "b").orderBy("position").collect()
+    assert [r.a for r in got] == list(range(100, 0, -2)) + list(range(99, 0, -2))
 
 
 def cloud(n=120, d=4, k=3, seed=0):
