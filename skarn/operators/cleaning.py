@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,55 +12,76 @@ from pyspark.sql import types as T
 
 from ..functions.scalar import MIN_GRAY_STD, MIN_SIDE
 from ..functions.urls import normal_url, url_base
+from ..sources.staging import Staging
+from .graph import components
 
 MAX_DISTANCE = 2
+#: Bases of more rows are folded in parts; hot bases are broadcast up to this number.
+HOT_ROWS, BROADCAST_BASES = 200_000, 10_000
 OUTCOMES = ("ok", "reject_corrupt", "reject_small", "reject_monotone", "reject_missing_url", "reject_url_dup", "reject_hash_dup")
 
 
 class _Base:
-    """What has been accepted of one URL base."""
+    """What has been accepted of one cell: URLs, and hashes in an index of ``distance + 1`` bands.
 
-    def __init__(self):
+    Hashes that differ in ``distance`` bits agree in one band.  Each band value leads to a chain of accepted hashes, so a lookup touches the few
+    that share a band and not all of the cell.
+    """
+
+    def __init__(self, distance: int):
+        self.distance, bands = distance, distance + 1
+        self.cuts = [(64 * k // bands, (1 << (64 * (k + 1) // bands - 64 * k // bands)) - 1) for k in range(bands)]
         self.urls: set[str] = set()
         self.names: list[str] = []
-        self.hashes = np.zeros(8, np.uint64)
+        self.hashes = array("Q")
+        self.last: list[dict[int, int]] = [{} for _ in range(bands)]
+        self.before = [array("q") for _ in range(bands)]
 
     def accept(self, norm: str | None, phash: str | None, name: str) -> None:
         if norm:
             self.urls.add(norm)
         if phash:
-            if len(self.names) == len(self.hashes):
-                self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
-            self.hashes[len(self.names)] = int(phash, 16)
+            h, n = int(phash, 16), len(self.names)
+            for (low, mask), last, before in zip(self.cuts, self.last, self.before, strict=True):
+                v = h >> low & mask
+                before.append(last.get(v, -1))
+                last[v] = n
+            self.hashes.append(h)
             self.names.append(name)
 
-    def near(self, phash: str | None, distance: int) -> str | None:
+    def near(self, phash: str | None) -> str | None:
         """The first accepted name whose hash is near."""
-        if not phash or not self.names:
+        if not phash:
             return None
-        found = np.bitwise_count(self.hashes[: len(self.names)] ^ np.uint64(int(phash, 16))) <= distance
-        return self.names[int(found.argmax())] if found.any() else None
+        h, first, hashes = int(phash, 16), len(self.names), self.hashes
+        for (low, mask), last, before in zip(self.cuts, self.last, self.before, strict=True):
+            n = last.get(h >> low & mask, -1)
+            while n >= 0:
+                if n < first and (hashes[n] ^ h).bit_count() <= self.distance:
+                    first = n
+                n = before[n]
+        return self.names[first] if first < len(self.names) else None
 
 
-FACTS = ("base", "prior", "norm", "sound", "filename", "phash")
+FACTS = ("base", "cell", "prior", "norm", "sound", "filename", "phash")
 
 
 def _folded(distance: int):
-    """The sequential rule over rows sorted by base; only the state of one base is held."""
+    """The sequential rule over rows sorted by cell; only the state of one cell is held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, state = None, _Base()
+        now, state = None, _Base(distance)
         for batch in batches:
             reasons, kept = [], []
-            for k, (base, prior, norm, sound, name, phash) in enumerate(zip(*(batch.column(c).to_pylist() for c in FACTS), strict=True)):
-                if base != now:
-                    now, state = base, _Base()
+            for k, (base, cell, prior, norm, sound, name, phash) in enumerate(zip(*(batch.column(c).to_pylist() for c in FACTS), strict=True)):
+                if (base, cell) != now:
+                    now, state = (base, cell), _Base(distance)
                 if prior:
                     state.accept(norm, phash, name)
                     continue
                 reason = "duplicate_url" if norm in state.urls else sound
                 if reason is None:
-                    near = state.near(phash, distance)
+                    near = state.near(phash)
                     reason = None if near is None else f"duplicate_phash_of_{near}"
                 if reason is None:
                     state.accept(norm, phash, name)
@@ -72,7 +93,39 @@ def _folded(distance: int):
     return run
 
 
-def cleaning_fold(raw: DataFrame, prior: DataFrame | None = None, order: tuple[str, ...] = ("crawled_at", "filename"), distance: int = MAX_DISTANCE, side: int = MIN_SIDE, least_std: float = MIN_GRAY_STD) -> DataFrame:
+def hash_keys(phash: Column, base: Column, distance: int) -> Column:
+    """Keys of a hash of 16 hexadecimal digits such that two hashes within ``distance`` share one: its values in each pair of ``distance + 2`` bands.
+
+    As at most ``distance`` bands differ, two are equal; a pair is twice as long as one band would be, so few other hashes share it.
+    """
+    bands = distance + 2
+    bits = F.lpad(F.conv(phash, 16, 2), 64, "0")
+    cut = lambda k: F.substring(bits, 64 * k // bands + 1, 64 * (k + 1) // bands - 64 * k // bands)
+    return F.array(*[F.xxhash64(F.lit(i), F.lit(j), base, cut(i), cut(j)) for i in range(bands) for j in range(i + 1, bands)])
+
+
+def cells(rows: DataFrame, staging: Staging, distance: int = MAX_DISTANCE) -> DataFrame:
+    """``rows`` (``base``, ``norm``, ``phash``) with ``cell``: rows of a base that may bear on each other share a cell.
+
+    Rows are linked if they have one canonical URL or share a key of ``hash_keys``; cells are the connected components.  Links are a superset of what the
+    rule compares, so the rule may be folded cell by cell.  Members of a group are linked to its least one: as many links as rows.
+    """
+    vertex = F.when(F.col("phash").isNull(), F.xxhash64(F.lit("url"), "base", "norm")).otherwise(F.xxhash64(F.lit("hash"), "base", "phash"))
+    rows = rows.withColumn("vertex", vertex)
+    posts = rows.select("vertex", F.xxhash64(F.lit("url"), "base", "norm").alias("post"))
+    hashed = rows.where("phash IS NOT NULL").select("vertex", "base", "phash").distinct()
+    posts = posts.unionByName(hashed.select("vertex", F.explode(hash_keys(F.col("phash"), F.col("base"), distance)).alias("post")))
+    posts = staging.write(posts.distinct(), "posts")
+    groups = posts.groupBy("post").agg(F.min("vertex").alias("a"), F.max("vertex").alias("z")).where("a < z").select("post", "a")
+    links = posts.join(groups, "post").select("a", F.col("vertex").alias("b"))
+    found = components(links, staging)
+    joined = rows.join(found.withColumnRenamed("v", "vertex"), "vertex", "left")
+    return joined.withColumn("cell", F.coalesce("component", "vertex")).drop("component", "vertex")
+
+
+def cleaning_fold(
+    raw: DataFrame, prior: DataFrame | None = None, order: tuple[str, ...] = ("crawled_at", "filename"), distance: int = MAX_DISTANCE, side: int = MIN_SIDE, least_std: float = MIN_GRAY_STD, hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """``raw`` with ``cleaned`` and ``reject_reason``; every row gets its own verdict, repeated and null filenames included.
 
     ``raw`` has ``filename``, ``url``, ``downloaded``, ``width``, ``height`` (null: undecodable), ``gray_std``, ``phash`` and the columns of ``order``.
@@ -81,6 +134,9 @@ def cleaning_fold(raw: DataFrame, prior: DataFrame | None = None, order: tuple[s
     The rule is sequential, but rows with the same canonical URL share a URL base and hashes are compared within a base, so folding
     each base by itself is exact.  What a row says by itself is decided by expressions; rows are then sorted by base within
     their partitions and read in one stream, which holds the accepted URLs and hashes of one base (no rows, no image bytes).
+
+    Bases of more than ``hot_rows`` rows are split further, into ``cells``, so that one base is not one task; their rows are written once before that.  Both
+    levels give the verdicts of the sequential rule.
     """
     width, height = F.col("width"), F.col("height")
     sound = (
@@ -94,7 +150,21 @@ def cleaning_fold(raw: DataFrame, prior: DataFrame | None = None, order: tuple[s
     rows = own.select(F.struct("*").alias("skarn_row"), F.lit(False).alias("prior"), *facts)
     if prior is not None:
         rows = rows.unionByName(prior.select(F.lit(None).cast(rows.schema["skarn_row"].dataType).alias("skarn_row"), F.lit(True).alias("prior"), *facts))
-    known = rows.where("base <> ''").repartition("base").sortWithinPartitions("base", F.desc("prior"), "place", "norm", "phash")
+    named = rows.where("base <> ''").withColumn("cell", F.lit(0).cast("long"))
+    sizes = raw.select(url_base(F.col("url")).alias("base"))
+    if prior is not None:
+        sizes = sizes.unionByName(prior.select(url_base(F.col("url")).alias("base")))
+    hot = sizes.where("base <> ''").groupBy("base").agg(F.count("*").alias("n")).where(F.col("n") > hot_rows).select("base")
+    staging = Staging(raw.sparkSession, "cells")
+    hot = staging.write(hot, "hot")
+    if hot.isEmpty():
+        staging.drop()
+    else:
+        n = hot.count()  # at most one base in ``hot_rows`` rows
+        hot = F.broadcast(hot) if n <= BROADCAST_BASES else hot
+        large = staging.write(named.drop("cell").join(hot, "base", "left_semi"), "rows")
+        named = named.join(hot, "base", "left_anti").unionByName(cells(large, staging, distance).select(*named.columns))
+    known = named.repartition("base", "cell").sortWithinPartitions("base", "cell", F.desc("prior"), "place", "norm", "phash")
     schema = T.StructType([rows.schema["skarn_row"], T.StructField("reject_reason", T.StringType())])
     missing = rows.where("base = '' AND NOT prior").select("skarn_row", F.lit("missing_url").alias("reject_reason"))
     done = known.select("skarn_row", *FACTS).mapInArrow(_folded(distance), schema).unionByName(missing)
@@ -129,19 +199,33 @@ def not_crawled(new: DataFrame, stored: DataFrame, order: str) -> DataFrame:
     return first_of_each(not_yet(new, stored, "url", "source"), ["url", "source"], [order])
 
 
+def hash_classes(rows: DataFrame, key: str, bits: str, base: str) -> DataFrame:
+    """``id`` and ``first``: the least key of the rows of one base with the same hash."""
+    least = rows.groupBy(base, bits).agg(F.min(key).alias("first"))
+    return rows.join(least, [base, bits]).select(F.col(key).alias("id"), "first")
+
+
 def near_hash_pairs(rows: DataFrame, key: str, bits: str, base: str, distance: int = MAX_DISTANCE) -> DataFrame:
-    """``a``, ``b`` (a < b) and ``distance`` of rows of one base whose 64-bit hashes differ in ``distance`` bits or fewer.
+    """``a``, ``b`` (a < b) and ``distance`` of different 64-bit hashes of one base that differ in ``distance`` bits or fewer.
 
-    A 64-bit hash is cut into ``distance + 1`` bands; two hashes that differ in so few bits agree in one band, so the join is on
-    (base, band number, band), not on all pairs of a base.
+    Equal hashes are one class and its least key stands for it (``hash_classes`` has the members), so g copies give no g ** 2 / 2 pairs.
+    A hash is cut into bands such that two near hashes agree in one band, or for small distances in two of one band more; the join is on
+    (base, band numbers, band values), not on all pairs of a base.
     """
-    bands = distance + 1
+    classes = rows.groupBy(F.col(base).alias("base"), F.col(bits).alias("h")).agg(F.min(key).alias("id"))
+    need = 2 if distance <= 4 else 1
+    bands = distance + need
     cuts = [64 * k // bands for k in range(bands + 1)]
-    band = F.array(*[F.struct(F.lit(k).alias("k"), F.shiftrightunsigned(F.shiftleft(F.col(bits), 64 - hi), 64 - hi + lo).alias("v")) for k, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False))])
-    side = rows.select(F.col(key).alias("id"), F.col(bits).alias("h"), F.col(base).alias("base"), F.explode(band).alias("band"))
-    a, b = (side.select(F.col("id").alias(n), F.col("h").alias(f"h_{n}"), "base", F.col("band.k").alias("k"), F.col("band.v").alias("v")) for n in "ab")
+    band = [F.shiftrightunsigned(F.shiftleft(F.col("h"), 64 - hi), 64 - hi + lo) for lo, hi in zip(cuts, cuts[1:], strict=False)]
+    zero = F.lit(0).cast("long")
+    if need == 1:
+        keys = [F.struct(F.lit(k).alias("k"), v.alias("v"), zero.alias("w")) for k, v in enumerate(band)]
+    else:
+        keys = [F.struct(F.lit(i * bands + j).alias("k"), band[i].alias("v"), band[j].alias("w")) for i in range(bands) for j in range(i + 1, bands)]
+    side = classes.select("id", "h", "base", F.explode(F.array(*keys)).alias("band"))
+    a, b = (side.select(F.col("id").alias(n), F.col("h").alias(f"h_{n}"), "base", "band.k", "band.v", "band.w") for n in "ab")
     far = F.bit_count(F.col("h_a").bitwiseXOR(F.col("h_b")))
-    return a.join(b, ["base", "k", "v"]).where((F.col("a") < F.col("b")) & (far <= distance)).select("a", "b", far.cast("int").alias("distance")).distinct()
+    return a.join(b, ["base", "k", "v", "w"]).where((F.col("a") < F.col("b")) & (far <= distance)).select("a", "b", far.cast("int").alias("distance")).distinct()
 
 
 def outcome(reason: Column) -> Column:

@@ -290,7 +290,31 @@ def _signs(t: Tables) -> DataFrame:
     return t.embeddings.select("vec_id", bits.alias("bits"), (F.col("vec_id") % 5).alias("base"))
 
 
-@query(f"WITH s AS (SELECT vec_id, {_BITS} AS bits, vec_id % 5 AS base FROM embeddings) SELECT x.vec_id AS a, y.vec_id AS b, bit_count(xor(x.bits, y.bits))::INTEGER AS distance FROM s x JOIN s y ON x.base = y.base AND x.vec_id < y.vec_id WHERE bit_count(xor(x.bits, y.bits)) <= 14")
+_COPIES = f"""e AS (SELECT vec_id, {_BITS} AS bits, vec_id % 5 AS base FROM embeddings),
+s AS (SELECT vec_id, bits, base FROM e UNION ALL SELECT vec_id + 1000000, xor(bits, (1::BIGINT << (vec_id % 31)::INTEGER)), base FROM e UNION ALL SELECT vec_id + 2000000, xor(bits, (1::BIGINT << (vec_id % 29 + 31)::INTEGER)), base FROM e UNION ALL SELECT vec_id + 3000000, bits, base FROM e),
+c AS (SELECT base, bits, min(vec_id) AS id FROM s GROUP BY base, bits)"""
+
+
+def _copied_signs(t: Tables) -> DataFrame:
+    """The hashes of all vectors, each with an exact copy and two that differ in a bit."""
+    own = _signs(t)
+    one = F.lit(1).cast("long")
+    flipped = lambda by, bit: own.select((F.col("vec_id") + by).alias("vec_id"), F.col("bits").bitwiseXOR(F.call_function("shiftleft", one, bit.cast("int"))).alias("bits"), "base")
+    again = own.withColumn("vec_id", F.col("vec_id") + 3000000)
+    return own.unionByName(flipped(1000000, F.col("vec_id") % 31)).unionByName(flipped(2000000, F.col("vec_id") % 29 + 31)).unionByName(again)
+
+
+@query(f"WITH {_COPIES} SELECT x.id AS a, y.id AS b, bit_count(xor(x.bits, y.bits))::INTEGER AS distance FROM c x JOIN c y ON x.base = y.base AND x.id < y.id WHERE bit_count(xor(x.bits, y.bits)) <= 2")
+def near_phash_pairs(t):
+    return C.near_hash_pairs(_copied_signs(t), "vec_id", "bits", "base")
+
+
+@query(f"WITH {_COPIES} SELECT vec_id AS id, c.id AS first FROM s JOIN c ON s.base = c.base AND s.bits = c.bits")
+def phash_classes(t):
+    return C.hash_classes(_copied_signs(t), "vec_id", "bits", "base")
+
+
+@query(f"WITH s AS (SELECT vec_id, {_BITS} AS bits, vec_id % 5 AS base FROM embeddings), c AS (SELECT base, bits, min(vec_id) AS id FROM s GROUP BY base, bits) SELECT x.id AS a, y.id AS b, bit_count(xor(x.bits, y.bits))::INTEGER AS distance FROM c x JOIN c y ON x.base = y.base AND x.id < y.id WHERE bit_count(xor(x.bits, y.bits)) <= 14")
 def hamming_pairs(t):
     return C.near_hash_pairs(_signs(t), "vec_id", "bits", "base", distance=14)
 
@@ -308,14 +332,24 @@ f(base, place, name, reason, urls, hashes, names) AS (
 SELECT name AS filename, reason IS NULL AS cleaned, reason AS reject_reason FROM f WHERE place > 0 UNION ALL SELECT name, false, 'missing_url' FROM r WHERE url IS NULL"""
 
 
-@query(_FOLD)
-def cleaning_fold(t):
+def _raw_images(t: Tables) -> DataFrame:
     i = F.col("page_id")
     text = lambda c: c.cast("string")
     url = F.when(i % 19 != 0, F.concat(F.lit("http://a.com/"), text(i % 50), F.when(i % 4 > 0, F.concat(F.lit("?v="), text(i % 4))).otherwise("")))
     phash = F.concat(F.substring(F.md5(text(i % 40)), 1, 15), text(i % 4))
     raw = t.pages.select(F.concat(F.lit("f"), F.format_string("%06d", "page_id")).alias("filename"), url.alias("url"), (i % 11 != 0).alias("downloaded"), F.when(i % 13 != 0, 150 + i % 100).cast("int").alias("width"), F.lit(400).alias("height"), (i % 17).cast("double").alias("gray_std"), phash.alias("phash"), F.lit("2024-01-01").alias("crawled_at"))
-    return C.cleaning_fold(raw).select("filename", "cleaned", "reject_reason")
+    return raw
+
+
+@query(_FOLD)
+def cleaning_fold(t):
+    return C.cleaning_fold(_raw_images(t)).select("filename", "cleaned", "reject_reason")
+
+
+@query(_FOLD)
+def cleaning_fold_in_cells(t):
+    """The same verdicts where every base is split into cells."""
+    return C.cleaning_fold(_raw_images(t), hot_rows=0).select("filename", "cleaned", "reject_reason")
 
 
 @query("SELECT count(*) AS n, count(DISTINCT text) AS n_distinct FROM documents")

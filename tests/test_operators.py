@@ -8,9 +8,11 @@ from skarn.operators import aggregates as A
 from skarn.operators import clustering as K
 from skarn.operators import metrics as M
 from skarn.operators import sampling as P
-from skarn.operators.cleaning import cleaning_fold, cleaning_stats, near_hash_pairs
+from skarn.operators.cleaning import _Base, cells, cleaning_fold, cleaning_stats, near_hash_pairs
+from skarn.operators.graph import components
 from skarn.operators.integration import next_ids, stored
 from skarn.operators.ordering import numbered
+from skarn.sources.staging import Staging
 
 SCHEMA = "filename string, url string, downloaded boolean, width int, height int, gray_std double, phash string, crawled_at string"
 
@@ -60,17 +62,19 @@ def sequential(rows):
     return out
 
 
+@pytest.mark.parametrize("hot", [10**6, 30, 0])
 @pytest.mark.parametrize("seed", [1, 2])
-def test_fold_equals_sequential_rule(spark, seed):
+def test_fold_equals_sequential_rule(spark, seed, hot):
     rows = rows_of(400, seed)
-    got = {r.filename: r.reject_reason for r in cleaning_fold(spark.createDataFrame(rows, SCHEMA)).collect()}
+    got = {r.filename: r.reject_reason for r in cleaning_fold(spark.createDataFrame(rows, SCHEMA), hot_rows=hot).collect()}
     assert got == sequential(rows)
 
 
-def test_fold_in_two_runs(spark):
+@pytest.mark.parametrize("hot", [10**6, 0])
+def test_fold_in_two_runs(spark, hot):
     rows = sorted(rows_of(300, 3), key=lambda r: (r[7], r[0]))
-    first = cleaning_fold(spark.createDataFrame(rows[:150], SCHEMA)).persist()
-    second = cleaning_fold(spark.createDataFrame(rows[150:], SCHEMA), first.where("cleaned"))
+    first = cleaning_fold(spark.createDataFrame(rows[:150], SCHEMA), hot_rows=hot).persist()
+    second = cleaning_fold(spark.createDataFrame(rows[150:], SCHEMA), first.where("cleaned"), hot_rows=hot)
     got = {r.filename: r.reject_reason for r in first.unionByName(second).collect()}
     assert got == sequential(rows)
 
@@ -106,6 +110,65 @@ def test_many_centroids_in_blocks(spark, monkeypatch, most):
     assert M.calinski_harabasz(points).first()[0] == pytest.approx(ch)
 
 
+def test_index_finds_the_first_near_hash():
+    """Against comparing with all accepted hashes, among clusters of near hashes."""
+    rng = random.Random(4)
+    state, seen, base = _Base(2), [], [rng.getrandbits(64) for _ in range(20)]
+    for i in range(4000):
+        h = rng.choice(base) if i % 3 else rng.getrandbits(64)
+        for _ in range(rng.randrange(5)):
+            h ^= 1 << rng.randrange(64)
+        want = next((n for n, v in seen if (v ^ h).bit_count() <= 2), None)
+        assert state.near(f"{h:016x}") == want
+        if want is None:
+            state.accept(None, f"{h:016x}", f"n{i}")
+            seen.append((f"n{i}", h))
+
+
+def test_index_grows_in_proportion():
+    """One base of distinct hashes: eight times the rows take about eight times as long."""
+    import time
+
+    def spent(n):
+        rng = random.Random(1)
+        rows = [f"{rng.getrandbits(64):016x}" for _ in range(n)]
+        state, began = _Base(2), time.process_time()
+        for h in rows:
+            if state.near(h) is None:
+                state.accept(None, h, h)
+        return time.process_time() - began
+
+    spent(10_000)
+    assert spent(240_000) < 3 * 8 * max(spent(30_000), 0.02)
+
+
+def test_hot_base_is_split(spark):
+    """A base of many unlike hashes becomes many cells; near hashes, and URLs with unlike hashes, stay together."""
+    rng = random.Random(6)
+    rows = [("b", f"u{i}", f"{rng.getrandbits(64):016x}") for i in range(3000)]
+    near = [("b", f"v{i}", f"{int(r[2], 16) ^ (1 << i % 64) ^ (1 << i * 7 % 64):016x}") for i, r in enumerate(rows[:200])]
+    same = [("b", "u7", f"{rng.getrandbits(64):016x}"), ("b", "u7", None), ("b", "w", None)]
+    with Staging(spark, "test") as staging:
+        made = cells(spark.createDataFrame(rows + near + same, "base string, norm string, phash string"), staging).collect()
+    of = {}
+    for r in made:
+        of.setdefault(r.norm, set()).add(r.cell)
+    assert all(of[f"v{i}"] == of[f"u{i}"] for i in range(200))
+    assert len(of["u7"]) == 1 and of["w"] & of["u7"] == set()
+    assert len({c for v in of.values() for c in v}) > 2900
+
+
+def test_components(spark):
+    path = [(i, i + 1) for i in range(100)]
+    star = [(1000, 1000 + i) for i in range(1, 50)]
+    zigzag = [(2000 + i, 2099 - i) for i in range(50)] + [(2099 - i, 2001 + i) for i in range(49)]
+    edges = spark.createDataFrame(path + star + zigzag + [(7, 7), (5, 4)], "a long, b long")
+    with Staging(spark, "test") as staging:
+        got = {r.v: r.component for r in components(edges, staging).collect()}
+        assert components(edges.limit(0), staging).count() == 0
+    assert got == {**{i: 0 for i in range(101)}, **{1000 + i: 1000 for i in range(50)}, **{2000 + i: 2000 for i in range(100)}}
+
+
 def test_stats_of_nothing(spark):
     row = cleaning_stats(spark.createDataFrame([], "reject_reason string")).first()
     assert row.processed == 0 and row.pass_rate is None
@@ -115,8 +178,14 @@ def test_near_hash_pairs_loses_none(spark):
     rng = random.Random(5)
     base = [rng.getrandbits(63) for _ in range(5)]
     rows = [(i, h ^ (1 << rng.randrange(63)) ^ (1 << rng.randrange(63)), 0) for i in range(60) for h in [rng.choice(base)]]
-    got = {(r.a, r.b) for r in near_hash_pairs(spark.createDataFrame(rows, "id int, bits long, base int"), "id", "bits", "base", 3).collect()}
-    assert got == {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and bin(a[1] ^ b[1]).count("1") <= 3}
+    rows += [(100 + i, h, 0) for i, h, _ in rows[:20]]
+    first = {}
+    for i, h, _ in sorted(rows):
+        first.setdefault(h, i)
+    classes = [(i, h) for h, i in first.items()]
+    for distance in (2, 3, 6):
+        got = {(r.a, r.b) for r in near_hash_pairs(spark.createDataFrame(rows, "id int, bits long, base int"), "id", "bits", "base", distance).collect()}
+        assert got == {(a[0], b[0]) for a in classes for b in classes if a[0] < b[0] and bin(a[1] ^ b[1]).count("1") <= distance}
 
 
 def test_stored_by_either_key(spark):
