@@ -22,6 +22,7 @@ from ..operators.embedding import embedder, encoded
 from ..operators.integration import expand_variants, features_of, integrate
 from ..sources.catalog import Store, contents, objects
 from ..sources.sinks import insert_if_absent, put_objects, save_model, save_run, upsert
+from ..sources.staging import Staging
 
 TIME = "yyyy-MM-dd HH:mm:ss"
 
@@ -82,16 +83,13 @@ def run_transformation(store: Store, per_image: int = 1, side: int = 640) -> dic
     images = _contents(store, "raw/images", keyed.select(F.col("raw_name").alias("object_name"))).withColumnRenamed("object_name", "raw_name")
     made = keyed.join(images, "raw_name").withColumn("t", transformer(side=side)("content", "filename", "aug_index")).where("t.png IS NOT NULL")
     made = made.select("filename", "label", "object_name", F.col("width").alias("width_raw"), F.col("height").alias("height_raw"), F.lit(side).alias("width"), F.lit(side).alias("height"), F.lit("PNG").alias("format"), "is_augmented", "aug_index", F.lit(True).alias("transformed"), now().alias("transformed_at"), "t.*")
-    staged = f"staged-{uuid.uuid4().hex}"
-    made.write.parquet(store.path(staged))  # images are made once
-    made = store.spark.read.parquet(store.path(staged))
-    sent = put_objects(made.select(F.col("object_name").alias("key"), F.col("png").alias("content")), store.root)
-    good = sent.where("ok").select(F.col("key").alias("object_name"))
-    insert_if_absent(store, "images_transformed", made.drop("png").join(good, "object_name").withColumn("variant", F.coalesce("aug_index", F.lit(0))), "filename", "variant")
+    with Staging(store.spark, "transformed") as staging:
+        made = staging.write(made, "made")  # images are made once
+        sent = put_objects(made.select(F.col("object_name").alias("key"), F.col("png").alias("content")), store.root)
+        good = sent.where("ok").select(F.col("key").alias("object_name"))
+        insert_if_absent(store, "images_transformed", made.drop("png").join(good, "object_name").withColumn("variant", F.coalesce("aug_index", F.lit(0))), "filename", "variant")
     n = store.stage("transformed").where("NOT is_augmented").count()
     m = store.stage("transformed").where("is_augmented").count()
-    at = store.spark._jvm.org.apache.hadoop.fs.Path(store.path(staged))
-    at.getFileSystem(store.spark._jsc.hadoopConfiguration()).delete(at, True)
     return {"ok": n, "aug": m, "error": total - n - m, "skip": 0 if done is None else done.count()}
 
 
@@ -100,14 +98,14 @@ def run_encoding(store: Store, embed: Callable[[Column], Column], name: str = "r
     table = "image_features" if name == "resnet" else "clip_features"
     rows = store.stage("transformed")
     rows = rows.where("NOT is_augmented") if name == "clip" else rows
-    old = store.spark.read.parquet(store.path(table)) if store.exists(table) else None
+    old = store.read(table) if store.exists(table) else None
     new = rows if old is None else not_yet(rows, old, "object_name")
     n, skipped = new.count(), (0 if old is None else old.count())
     columns = ["filename", "label", "object_name", "is_augmented", "aug_index", "width", "height", "content"]
     made = encoded(new.join(_contents(store, "preprocessed/images", new), "object_name").select(*columns), embed, name)
     stamp = {"encoded_at": now(), "encoded": F.lit(True)} if name == "resnet" else {"extracted_at": now()}
     insert_if_absent(store, table, made.withColumns(stamp), "object_name")
-    ok = store.spark.read.parquet(store.path(table)).count() - skipped
+    ok = store.read(table).count() - skipped
     return {"ok": ok, "error": n - ok, "skipped": skipped}
 
 
@@ -145,9 +143,9 @@ def cluster_run(store: Store, k: int | None = None, pca: int = clustering.PCA_CO
 def predict(store: Store, model_id: str, rows: DataFrame) -> DataFrame:
     """Prediction records of new vectors (``filename``, ``vector``) with a saved model."""
     model = store.model(model_id)
-    centres = store.spark.read.parquet(store.path(f"models/{model_id[:8]}-centres"))
+    centres = store.read(f"models/{model_id[:8]}-centres")
     run_id = store.run_by_prefix(model_id)
-    names = store.spark.read.parquet(store.path("cluster_profiles")).where(F.col("run_id") == run_id).select("cluster_id", F.col("dominant_label").alias("cluster_label"))
+    names = store.read("cluster_profiles").where(F.col("run_id") == run_id).select("cluster_id", F.col("dominant_label").alias("cluster_label"))
     return metrics.predictions(clustering.projected(rows, model), centres, names)
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.images import PNG, pixel_bytes
+from .tables import Table
 
 #: Stages and the tables behind them.
 STAGES = ("raw", "clean", "integrated", "transformed", "features", "clusters")
@@ -58,9 +59,17 @@ class Store:
         at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
         return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
 
+    def table(self, name: str) -> Table:
+        return Table(self.spark, self.path(name))
+
+    def read(self, name: str) -> DataFrame:
+        """The newest version of a table, or a plain folder or file of Parquet."""
+        return self.table(name).read()
+
     def stage(self, stage: str) -> DataFrame:
         """Full scan of a stage."""
-        return self.spark.read.parquet(self.stage_path(stage))
+        self.stage_path(stage)
+        return self.read(self.tables[stage])
 
     def find(self, stage: str, condition: str | None = None, columns: list[str] | None = None) -> DataFrame:
         """Filtered and projected scan; both reach the Parquet reader."""
@@ -82,22 +91,22 @@ class Store:
 
     def features(self, table: str = "clip_features", vector: str = "clip_vector") -> DataFrame:
         """filename, label (``unknown`` for null), object_name and vector; an empty table raises."""
-        df = feature_rows(self.spark.read.parquet(self.path(table)), vector)
+        df = feature_rows(self.read(table), vector)
         if df.isEmpty():
             raise ValueError(f"{table} is empty")
         return df
 
     def run(self, run_id: str) -> dict[str, DataFrame]:
         """The tables of one run; the two optional ones only if they exist."""
-        return {t: self.spark.read.parquet(self.path(t)).where(F.col("run_id") == run_id) for t in RUN_TABLES if t in RUN_TABLES[:3] or self.exists(t)}
+        return {t: self.read(t).where(F.col("run_id") == run_id) for t in RUN_TABLES if t in RUN_TABLES[:3] or self.exists(t)}
 
     def latest_run(self) -> str | None:
-        row = self.spark.read.parquet(self.path("processing_results")).orderBy(F.desc("timestamp")).select("run_id").first()
+        row = self.read("processing_results").orderBy(F.desc("timestamp")).select("run_id").first()
         return row.run_id if row else None
 
     def run_by_prefix(self, prefix: str) -> str | None:
         """The latest run whose id starts with ``prefix``, else the latest of all."""
-        results = self.spark.read.parquet(self.path("processing_results"))
+        results = self.read("processing_results")
         row = results.orderBy(F.desc(F.col("run_id").startswith(prefix)), F.desc("timestamp")).select("run_id").first()
         return row.run_id if row else None
 

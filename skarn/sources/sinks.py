@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -14,8 +13,14 @@ from .catalog import Store
 
 
 def absent(new: DataFrame, old: DataFrame | None, *keys: str) -> DataFrame:
-    """One row of each key of ``new`` that ``old`` does not have; among rows of one key any may stay (order them with ``first_of_each``)."""
-    new = new.dropDuplicates(list(keys))
+    """One row of each key of ``new`` that ``old`` does not have: of several rows with one key the one of least hash, so a retry inserts the same.
+
+    Rows are combined before the shuffle, and null keys count as equal among themselves (``old`` never has them).
+    """
+    others = [c for c in new.columns if c not in keys]
+    hashed = F.xxhash64(*[F.col(f"`{f.name}`") for f in new.schema if f.name in others and "map<" not in f.dataType.simpleString()], F.lit(0))
+    one = new.groupBy(*keys).agg(F.min_by(F.struct(*others), hashed).alias("skarn_row")) if others else new.distinct()
+    new = one.select(*[F.col(f"`{c}`") if c in keys else F.col("skarn_row").getField(c).alias(c) for c in new.columns])
     return new if old is None else new.join(old.select(*keys), list(keys), "left_anti")
 
 
@@ -24,35 +29,17 @@ def upserted(old: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
     return old.join(new.select(*keys), list(keys), "left_anti").unionByName(new, allowMissingColumns=True)
 
 
-def swap(store: Store, name: str, df: DataFrame) -> None:
-    """Writes a table beside the old one, then exchanges them by two renames; readers never see a half-written table, but may find none between the renames."""
-    fs_path = store.spark._jvm.org.apache.hadoop.fs.Path
-    fresh, old, now = (fs_path(store.path(n)) for n in (f"{name}-{uuid.uuid4().hex}", f"{name}-old-{uuid.uuid4().hex}", name))
-    df.write.parquet(fresh.toString())
-    fs = now.getFileSystem(store.spark._jsc.hadoopConfiguration())
-    had = fs.exists(now)
-    if had:
-        fs.rename(now, old)
-    fs.rename(fresh, now)
-    if had:
-        fs.delete(old, True)
-
-
 def insert_if_absent(store: Store, name: str, new: DataFrame, *keys: str) -> None:
-    """Appends rows with new keys; rows with known keys are dropped without an error."""
-    old = store.spark.read.parquet(store.path(name)) if store.exists(name) else None
-    absent(new, old, *keys).write.mode("append").parquet(store.path(name))
+    """Appends rows with new keys; rows with known keys are dropped without an error.  Two writers never insert one key twice."""
+    store.table(name).insert_if_absent(new, lambda rows, old: absent(rows, old, *keys))
 
 
 def append(store: Store, name: str, rows: DataFrame, *partition_by: str) -> None:
-    rows.write.mode("append").partitionBy(*partition_by).parquet(store.path(name))
+    store.table(name).append(rows, *partition_by)
 
 
 def upsert(store: Store, name: str, new: DataFrame, *keys: str) -> None:
-    if store.exists(name):
-        swap(store, name, upserted(store.spark.read.parquet(store.path(name)), new, *keys))
-    else:
-        new.write.parquet(store.path(name))
+    store.table(name).upsert(new, *keys)
 
 
 def remaining(table: DataFrame, condition: str) -> DataFrame:
@@ -62,8 +49,7 @@ def remaining(table: DataFrame, condition: str) -> DataFrame:
 
 def delete(store: Store, name: str, condition: str) -> None:
     """Removes rows that meet the condition; rows where it is null stay."""
-    table = store.spark.read.parquet(store.path(name))
-    swap(store, name, remaining(table, condition))
+    store.table(name).delete(condition)
 
 
 def put_objects(rows: DataFrame, folder: str) -> DataFrame:

@@ -19,7 +19,7 @@ def clean_stream(stream: DataFrame, store: Store, checkpoint: str, table: str =
     """
 
     def add(batch: DataFrame, _: int) -> None:
-        done = store.spark.read.parquet(store.path(table)) if store.exists(table) else None
+        done = store.read(table) if store.exists(table) else None
         new = batch if done is None else not_yet(batch, done, "filename")
         insert_if_absent(store, table, cleaning_fold(new, None if done is None else seed(done)), "filename")
 

@@ -54,7 +54,7 @@ def test_chain(store):
     assert stages.run_encoding(store, embed) == {"ok": 4, "error": 0, "skipped": 0}
     assert stages.run_encoding(store, embed) == {"ok": 0, "error": 0, "skipped": 4}
     assert stages.run_encoding(store, embed, "clip")["ok"] == 2
-    vector = store.spark.read.parquet(store.path("clip_features")).first()
+    vector = store.read("clip_features").first()
     assert vector.clip_dim == 48 and abs(np.linalg.norm(vector.clip_vector) - 1) < 1e-4
 
 
@@ -140,7 +140,7 @@ def test_sinks(store):
     df = lambda rows: store.spark.createDataFrame(rows, "k int, v string")
     insert_if_absent(store, "t", df([(1, "a"), (2, "b")]), "k")
     insert_if_absent(store, "t", df([(2, "x"), (3, "c"), (3, "c")]), "k")
-    read = lambda: sorted(tuple(r) for r in store.spark.read.parquet(store.path("t")).collect())
+    read = lambda: sorted(tuple(r) for r in store.read("t").collect())
     assert read() == [(1, "a"), (2, "b"), (3, "c")]
     upsert(store, "t", df([(3, "z"), (4, None)]), "k")
     assert read() == [(1, "a"), (2, "b"), (3, "z"), (4, None)]
@@ -172,7 +172,7 @@ def test_stream_equals_batch(spark, store, tmp_path):
     for part in (rows[:60], rows[60:]):
         spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(source)
         clean_stream(spark.readStream.schema(spark.createDataFrame([], SCHEMA).schema).parquet(source), store, str(tmp_path / "cp")).awaitTermination()
-    got = {r.filename: r.reject_reason for r in spark.read.parquet(store.path("images_clean")).collect()}
+    got = {r.filename: r.reject_reason for r in store.read("images_clean").collect()}
     assert got == sequential(rows)
 
 
