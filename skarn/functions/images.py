@@ -114,6 +114,41 @@ def decode(data: bytes) -> np.ndarray | None:
     return np.repeat(x, 3, 2) if n == 1 else np.ascontiguousarray(x[:, :, 2::-1])
 
 
+def image_size(data: bytes) -> tuple[int, int] | None:
+    """Width and height that the header of a PNG, JPEG, GIF or BMP states, or None."""
+    try:
+        if data[:8] == PNG and data[12:16] == b"IHDR":
+            return struct.unpack(">II", data[16:24])
+        if data[:6] in (b"GIF87a", b"GIF89a"):
+            return struct.unpack("<HH", data[6:10])
+        if data[:2] == b"BM":
+            w, h = struct.unpack("<ii", data[18:26])
+            return w, abs(h)
+        at = 2
+        while data[:2] == b"\xff\xd8" and data[at] == 0xFF:
+            kind = data[at + 1]
+            if 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):  # a frame header
+                h, w = struct.unpack(">HH", data[at + 5 : at + 9])
+                return w, h
+            alone = kind == 0xFF or kind == 0x01 or 0xD0 <= kind <= 0xD8
+            at += 1 if kind == 0xFF else 2 if alone else 2 + struct.unpack(">H", data[at + 2 : at + 4])[0]
+    except (IndexError, struct.error):
+        pass
+    return None
+
+
+def stated_size():
+    """A pandas UDF: size of encoded images by their headers; nulls for other bytes."""
+
+    @F.pandas_udf("width int, height int")
+    def size(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            sizes = [(data is not None and image_size(bytes(data))) or (None, None) for data in part]
+            yield pd.DataFrame(sizes, columns=["width", "height"]).astype({"width": "Int32", "height": "Int32"})
+
+    return size
+
+
 def gray(image: np.ndarray) -> np.ndarray:
     return np.rint(image @ LUMA).astype(np.uint8)
 

@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles
+
+QUARTERS = (0.25, 0.5, 0.75)
+
 
 def domain_table(df: DataFrame, name: str, domain: Sequence[str]) -> DataFrame:
     """One row for each value of a fixed domain, with its place in it."""
@@ -44,20 +48,24 @@ def row_normalised(table: DataFrame, columns: Sequence[str], digits: int = 4) ->
 def described(df: DataFrame, column: str, digits: int = 0) -> DataFrame:
     """count, mean, sample deviation, minimum, quartiles and maximum."""
     c = F.col(column).cast("double")
-    q = F.percentile(c, F.array(*[F.lit(x) for x in (0.25, 0.5, 0.75)]))
-    row = df.agg(F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), q.alias("q"), F.max(c).alias("max"))
+    row = df.agg(F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"))
+    row = row.join(F.broadcast(quantiles(df, column, QUARTERS)), how="left")  # one row each
     values = {"mean": F.col("mean"), "std": F.col("std"), "min": F.col("min"), "q25": F.col("q")[0], "q50": F.col("q")[1], "q75": F.col("q")[2], "max": F.col("max")}
     return row.select("count", *[F.round(v, digits).alias(n) for n, v in values.items()])
 
 
 def middle_by(df: DataFrame, by: str, column: str) -> DataFrame:
+    """Median, minimum and maximum of each group."""
     c = F.col(column).cast("double")
-    return df.groupBy(by).agg(F.median(c).alias("median"), F.min(c).alias("min"), F.max(c).alias("max"))
+    ends = df.groupBy(F.col(by).alias("skarn_by")).agg(F.min(c).alias("min"), F.max(c).alias("max"))
+    half = quantiles(df, column, (0.5,), by)
+    return ends.join(half, F.col("skarn_by").eqNullSafe(F.col(by)), "left").select(F.col("skarn_by").alias(by), F.col("q")[0].alias("median"), "min", "max")
 
 
 def quantile(df: DataFrame, column: str, q: float) -> DataFrame:
-    """Exact quantile with linear interpolation."""
-    return df.agg(F.percentile(F.col(column).cast("double"), F.lit(q)).alias("value"))
+    """Exact quantile with linear interpolation; null for no rows."""
+    one = df.sparkSession.range(1).select()
+    return one.join(quantiles(df, column, (q,)), how="left").select(F.col("q")[0].alias("value"))
 
 
 def histogram(df: DataFrame, value: Column, bins: int) -> DataFrame:
@@ -71,9 +79,8 @@ def histogram(df: DataFrame, value: Column, bins: int) -> DataFrame:
 def box_stats(df: DataFrame, by: str, value: str) -> DataFrame:
     """Quartiles, and whiskers at the last values within 1.5 interquartile ranges."""
     c = F.col(value).cast("double")
-    quarters = df.groupBy(by).agg(F.percentile(c, F.array(*[F.lit(x) for x in (0.25, 0.5, 0.75)])).alias("q"))
-    quarters = quarters.select(by, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
-    near = df.select(by, c.alias("v")).join(quarters, by)
+    quarters = quantiles(df, value, QUARTERS, by).select(F.col(by).alias("skarn_by"), F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
+    near = df.select(by, c.alias("v")).join(quarters, F.col(by).eqNullSafe(F.col("skarn_by")))
     reach = (F.col("q3") - F.col("q1")) * 1.5
     low = F.min(F.when(F.col("v") >= F.col("q1") - reach, F.col("v"))).alias("low")
     high = F.max(F.when(F.col("v") <= F.col("q3") + reach, F.col("v"))).alias("high")

@@ -173,7 +173,6 @@ class PagesReader(DataSourceReader):
 
     def __init__(self, options: dict, columns: list[str]):
         self.folder, self.columns = options["path"], columns
-        self.per_page = int(options.get("per_page", 80))
 
     def partitions(self) -> list[InputPartition]:
         import pyarrow.fs as pfs

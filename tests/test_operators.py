@@ -328,6 +328,39 @@ def test_stratified_quotas(spark, sizes):
     assert P.stratified(rows, "key", "label", None).count() == n
 
 
+@pytest.mark.parametrize("few", [16_384, 1])
+def test_quantiles_equal_numpy(spark, monkeypatch, few):
+    """Groups of one value, of all signs and sizes, with infinities, nulls and NaN; intervals down to single values."""
+    from skarn.operators import quantiles as Q
+
+    monkeypatch.setattr(Q, "FEW", few)
+    monkeypatch.setattr(Q, "BINS", 16)
+    rng = np.random.default_rng(1)
+    data = {
+        "normal": rng.normal(size=900), "one": np.array([3.5]), "same": np.full(400, -2.0), "whole": rng.integers(0, 50, 800).astype(float), "two": np.array([1.0, 2.0]),
+        "spread": np.concatenate([10.0 ** rng.uniform(-300, 300, 300), -(10.0 ** rng.uniform(-300, 300, 300)), np.zeros(9)]), "near": 1 + rng.integers(0, 9, 300) * 2.0**-52, None: rng.exponential(size=100),
+    }
+    rows = [(k, float(v)) for k, vs in data.items() for v in vs] + [("one", None), ("one", float("nan")), ("none", None)]
+    shares = (0.0, 0.25, 0.5, 0.98, 1.0)
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    got = {r.k: r.q for r in Q.quantiles(df, "v", shares, "k").collect()}
+    assert set(got) == set(data)
+    for k, vs in data.items():
+        assert got[k] == pytest.approx(np.quantile(vs, shares), rel=1e-12), k
+    every = np.concatenate(list(data.values()))
+    assert Q.quantiles(df, "v", shares).first().q == pytest.approx(np.quantile(every, shares), rel=1e-12)
+    ends = spark.createDataFrame([(float(v),) for v in (*[float("-inf")] * 3, *range(-40, 40), *[float("inf")] * 5)], "v double")
+    assert Q.quantiles(ends, "v", (0.0, 0.5, 1.0)).first().q == [float("-inf"), 0.5, float("inf")]
+
+
+def test_described_without_numbers(spark):
+    rows = spark.createDataFrame([("a", None)], "k string, v double")
+    assert A.described(rows, "v").first().asDict() == {"count": 0, "mean": None, "std": None, "min": None, "q25": None, "q50": None, "q75": None, "max": None}
+    assert A.quantile(rows, "v", 0.5).first().value is None
+    assert A.middle_by(rows, "k", "v").first().asDict() == {"k": "a", "median": None, "min": None, "max": None}
+    assert A.box_stats(rows, "k", "v").count() == 0
+
+
 def test_shares_follow_the_domain(spark):
     rows = spark.createDataFrame([("a",), ("a",), ("x",)], "k string")
     assert {r.k: (r.n, r.pct) for r in A.shares(rows, "k", ["a", "b"]).collect()} == {"a": (2, 100.0), "b": (0, 0.0)}
