@@ -19,11 +19,13 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import confidence
 from ..functions.vectors import distance, doubles
+from ..sources.staging import Staging
+from .ordering import FILE, ROW, placed
 
 MAX_CENTROIDS = 1024
 SAMPLE = 5000
-#: Most points of which all pairs are compared where no sample is asked for.
-EXACT = 20_000
+#: Points that the task of a silhouette cell holds, and points of its rows, at most about.
+COLUMNS, ROWS = 16_384, 8_192
 THRESHOLD = 0.08
 
 
@@ -131,43 +133,84 @@ def davies_bouldin(points: DataFrame, groups: DataFrame | None = None) -> DataFr
     return found.agg(F.avg("r").alias("davies_bouldin"))
 
 
+def _cells(n: int) -> tuple[int, int]:
+    """Row groups and column groups of the pairs of ``n`` points."""
+    return max(1, -(-n // min(ROWS, max(512, n // 16)))), max(1, -(-n // COLUMNS))
+
+
 def silhouettes(points: DataFrame, key: str = "key", sample: int | None = SAMPLE, seed: int = 42) -> DataFrame:
-    """``key``, ``cluster_id`` and Euclidean silhouette ``s`` of (a seeded sample of) the points; single members get 0.
+    """``key``, ``cluster_id`` and Euclidean silhouette ``s`` of all points (``sample`` is None) or of a seeded sample of them; single members get 0.
 
-    The sample (``sample`` rows; None: all points, of which there may be ``EXACT``) is broadcast as one matrix, and each task
-    compares its own points with it, block by block.
+    All pairs are compared, in cells: points are dealt into row groups and column groups by hash, and the task of a cell holds its columns (``COLUMNS`` at most,
+    about) and reads its rows one piece after the other.  It passes on one sum of distances for each row and cluster; these are added by key.  Nothing but
+    the sizes of the clusters is broadcast, and a point travels to as many cells as there are groups of the other kind.
     """
-    if sample is None and points.count() > EXACT:
-        raise ValueError(f"silhouettes compare all pairs: above {EXACT} points a sample must be given")
-    chosen = points.select(key, "vector", "cluster_id")
-    chosen = chosen.orderBy(F.xxhash64(F.lit(seed), key), key).limit(EXACT if sample is None else sample)
-    rows = chosen.select("cluster_id", doubles(F.col("vector")).alias("vector")).collect()
-    ids, number = np.unique(np.array([r.cluster_id for r in rows]), return_inverse=True)
-    matrix = np.array([r.vector for r in rows], float).reshape(len(rows), -1)
-    sent = points.sparkSession.sparkContext.broadcast((ids, number, matrix))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, number, matrix = sent.value
-        sizes = np.bincount(number, minlength=len(ids))
-        square = (matrix**2).sum(1)
+    chosen = points.select(key, F.col("cluster_id").cast("long").alias("cluster_id"), doubles(F.col("vector")).alias("vector"))
+    if sample is not None:
+        chosen = chosen.orderBy(F.xxhash64(F.lit(seed), key), key).limit(sample)
+    staging = Staging(points.sparkSession, "silhouettes")
+    fixed = placed(staging.write(chosen, "points"))
+    point = F.struct(FILE, ROW)
+    sizes = {r.cluster_id: r.n for r in fixed.groupBy("cluster_id").agg(F.count("*").alias("n")).collect()}  # one row for each cluster
+    ids = np.array(sorted(sizes))
+    count = np.array([sizes[c] for c in ids.tolist()], float)
+    n = int(count.sum())
+    rows, columns = _cells(n)
+    hashed = fixed.withColumn("own", F.pmod(F.xxhash64(F.lit(seed), FILE, ROW), F.lit(rows))).withColumn("other", F.pmod(F.xxhash64(F.lit(seed + 1), FILE, ROW), F.lit(columns)))
+    cell = lambda r, c: (r * columns + c).cast("int").alias("cell")
+    line = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    held = hashed.withColumn("r", line(rows)).select(cell(F.col("r"), F.col("other")), F.lit(0).alias("side"), F.lit(None).cast(f"struct<{FILE}:string,{ROW}:bigint>").alias("point"), "cluster_id", "vector")
+    read = hashed.withColumn("c", line(columns)).select(cell(F.col("own"), F.col("c")), F.lit(1).alias("side"), point.alias("point"), "cluster_id", "vector")
+    met = held.unionByName(read).repartition(rows * columns, "cell").sortWithinPartitions("cell", "side")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts, matrix, square, number = None, [], None, None, None
         for batch in batches:
-            for lo in range(0, len(batch), 256):
-                part = batch.slice(lo, 256)
-                x = np.array(part.column("vector").to_pylist(), float).reshape(len(part), -1)
+            cells, sides = batch.column("cell").to_numpy(), batch.column("side").to_numpy()
+            cut = np.append(np.flatnonzero(np.diff(2 * cells + sides, prepend=-1)), len(cells))
+            for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                part = batch.slice(lo, hi - lo)
+                if cells[lo] != now:
+                    now, parts, matrix = cells[lo], [], None
                 own = np.searchsorted(ids, part.column("cluster_id").to_numpy())
-                d = np.sqrt(np.maximum((x**2).sum(1)[:, None] + square - 2 * x @ matrix.T, 0))
-                d[d < 1e-7] = 0
-                sums = np.stack([np.bincount(number, row, len(ids)) for row in d])
-                i = np.arange(len(part))
-                a = sums[i, own] / np.maximum(sizes[own] - 1, 1)
-                means = sums / sizes
-                means[i, own] = np.inf
-                b = means.min(1)
-                s = np.where((sizes[own] > 1) & np.isfinite(b), (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0.0)
-                yield pa.RecordBatch.from_arrays([part.column(key), part.column("cluster_id"), pa.array(s)], [key, "cluster_id", "s"])
+                x = part.column("vector").flatten().to_numpy().reshape(hi - lo, -1)
+                if not sides[lo]:
+                    parts.append((x, own))
+                    continue
+                if matrix is None:
+                    if not parts:
+                        continue
+                    matrix, number = np.concatenate([p for p, _ in parts]), np.concatenate([o for _, o in parts])
+                    order = np.argsort(number, kind="stable")
+                    matrix, number = matrix[order], number[order]
+                    square = (matrix**2).sum(1)
+                    edge = np.flatnonzero(np.diff(number, prepend=-1))
+                for k in range(0, hi - lo, 256):
+                    y = x[k : k + 256]
+                    d = np.sqrt(np.maximum((y**2).sum(1)[:, None] + square - 2 * y @ matrix.T, 0))
+                    d[d < 1e-7] = 0
+                    sums = np.zeros((len(y), len(ids)))
+                    sums[:, number[edge]] = np.add.reduceat(d, edge, axis=1)
+                    at = pa.array(np.arange(0, sums.size + 1, len(ids), dtype=np.int32))
+                    yield pa.RecordBatch.from_arrays([part.column("point").slice(k, len(y)), pa.ListArray.from_arrays(at, pa.array(sums.ravel()))], ["point", "sums"])
+
+    found = met.mapInArrow(compare, f"point struct<{FILE}:string,{ROW}:bigint>, sums array<double>")
+    total = found.groupBy("point").agg(vector_to_array(Summarizer.sum(array_to_vector("sums"))).alias("sums"))
+    total = fixed.select(key, "cluster_id", FILE, ROW).join(total.select("point.*", "sums"), [FILE, ROW])
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = batch.column("sums").flatten().to_numpy().reshape(len(batch), -1)
+            own, i = np.searchsorted(ids, batch.column("cluster_id").to_numpy()), np.arange(len(batch))
+            a = sums[i, own] / np.maximum(count[own] - 1, 1)
+            means = sums / count
+            means[i, own] = np.inf
+            b = means.min(1)
+            s = np.where((count[own] > 1) & np.isfinite(b), (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0.0)
+            yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("cluster_id"), pa.array(s)], [key, "cluster_id", "s"])
 
     kind = points.schema[key].dataType.simpleString()
-    return chosen.select(key, F.col("cluster_id").cast("long").alias("cluster_id"), doubles(F.col("vector")).alias("vector")).mapInArrow(run, f"`{key}` {kind}, cluster_id long, s double")
+    return total.select(key, "cluster_id", "sums").mapInArrow(score, f"`{key}` {kind}, cluster_id long, s double")
 
 
 def silhouette(points: DataFrame, key: str = "key", sample: int | None = SAMPLE) -> DataFrame:

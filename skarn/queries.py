@@ -662,23 +662,23 @@ _S = f"WITH {_L}, q AS (SELECT x.key, x.cid AS own, y.cid AS other, sum(CASE WHE
 
 @query(_S + " SELECT round(avg(s), 6) AS silhouette FROM z")
 def silhouette(t):
-    return M.silhouette(by_label(t)).select(F.round("silhouette", 6).alias("silhouette"))
+    return M.silhouette(by_label(t), sample=None).select(F.round("silhouette", 6).alias("silhouette"))
 
 
 @query(_S.replace("SELECT key, CASE WHEN n = 1", "SELECT key, n, CASE WHEN n = 1") + ", i AS (SELECT key, label::INTEGER AS cluster_id FROM p) SELECT cluster_id, list(round(round(s, 6) * 1000, 0)::BIGINT ORDER BY s) AS scores, round(avg(s), 6) AS mean FROM z JOIN i USING (key) GROUP BY cluster_id")
 def silhouette_groups(t):
-    groups = M.silhouette_groups(M.silhouettes(by_label(t)))
+    groups = M.silhouette_groups(M.silhouettes(by_label(t), sample=None))
     return groups.select(F.col("cluster_id").cast("int").alias("cluster_id"), F.transform("scores", lambda s: F.round(s * 1000, 0).cast("long")).alias("scores"), "mean")
 
 
 @query(_S + f", {_C}, {_D}, {_T}, o AS (SELECT list(m ORDER BY i) AS o FROM (SELECT i, avg(e) AS m FROM x GROUP BY i)), g AS (SELECT cid, any_value(c) AS c, sum(d * d) AS sse, avg(d) AS s, count(*) AS n FROM d GROUP BY cid), r AS (SELECT a.cid, max((a.s + b.s) / list_distance(a.c, b.c)) AS r FROM g a JOIN g b ON a.cid <> b.cid GROUP BY a.cid) SELECT (SELECT round(avg(s), 4) FROM z) AS silhouette, (SELECT round((sum(n * list_distance(c, o) ** 2) / (count(*) - 1)) / (sum(sse) / (sum(n) - count(*))), 2) FROM g, o) AS calinski_harabasz, (SELECT round(avg(r), 4) FROM r) AS davies_bouldin, (SELECT round(sum(nd) / sum(size), 4) FROM t) AS purity")
 def metric_bundle(t):
-    return M.bundle(by_label(t))
+    return M.bundle(by_label(t), sample=None)
 
 
 @query(_S + " SELECT key, round(s, 5) AS s FROM z")
 def silhouette_points(t):
-    return M.silhouettes(by_label(t)).select("key", F.round("s", 5).alias("s"))
+    return M.silhouettes(by_label(t), sample=None).select("key", F.round("s", 5).alias("s"))
 
 
 _KTABLE = ((2, 0.5, 100.0, 1.2), (3, 0.6, 90.0, 1.0), (4, 0.6, 120.0, 0.9), (5, 0.4, 120.0, 0.9))

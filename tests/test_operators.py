@@ -258,6 +258,47 @@ def test_silhouette_of_a_single_member(spark):
     assert {r.key: r.s for r in M.silhouettes(points, sample=None).collect()}[2] == 0
 
 
+@pytest.mark.parametrize(("rows", "columns"), [(8192, 16384), (512, 300)])
+def test_silhouettes_in_cells(spark, monkeypatch, rows, columns):
+    """Cells of any size give what one matrix gives; repeated keys and points keep their rows."""
+    monkeypatch.setattr(M, "ROWS", rows)
+    monkeypatch.setattr(M, "COLUMNS", columns)
+    monkeypatch.setattr(M, "_cells", lambda n: (max(1, -(-n // 400)), max(1, -(-n // columns))))
+    x, cid = cloud(1000, 5, 4, seed=2)
+    x[10], cid[10], x[11], cid[11] = x[12], cid[12], x[12], cid[12]
+    cid[13] = 9
+    points = frame(spark, x, cid)
+    far = np.sqrt(np.maximum(((x[:, None] - x[None]) ** 2).sum(2), 0))
+    want = []
+    for i in range(len(x)):
+        own = cid == cid[i]
+        a = far[i, own].sum() / max(own.sum() - 1, 1)
+        b = min(far[i, cid == c].mean() for c in set(cid.tolist()) - {cid[i]})
+        want.append((b - a) / max(a, b) if own.sum() > 1 else 0)
+    got = {r.key: r.s for r in M.silhouettes(points, sample=None).collect()}
+    assert [got[i] for i in range(len(x))] == pytest.approx(want, abs=1e-9)
+    twice = points.withColumn("key", F.col("key") % 500)
+    assert sorted(r.s for r in M.silhouettes(twice, sample=None).collect()) == pytest.approx(sorted(want), abs=1e-9)
+    assert M.silhouettes(points, sample=100).count() == 100 and M.silhouettes(points.limit(0), sample=None).count() == 0
+
+
+def test_silhouettes_of_many_points(spark):
+    """More points than a task holds: a random part of them is checked against all points."""
+    n = 60_000
+    rng = np.random.default_rng(3)
+    part = spark.range(n).select(F.col("id").alias("key"), (F.col("id") % 3).cast("int").alias("cluster_id"), F.array(*[F.rand(k) + (F.col("id") % 3) for k in range(3)]).alias("vector"))
+    data = part.toPandas().sort_values("key")
+    x, cid = np.array(data.vector.tolist()), data.cluster_id.to_numpy()
+    points = spark.createDataFrame(data)
+    got = M.silhouettes(points, sample=None).toPandas().set_index("key").s
+    assert len(got) == n
+    for i in rng.choice(n, 20).tolist():
+        d = np.sqrt(((x - x[i]) ** 2).sum(1))
+        a = d[cid == cid[i]].sum() / ((cid == cid[i]).sum() - 1)
+        b = min(d[cid == c].mean() for c in range(3) if c != cid[i])
+        assert got[i] == pytest.approx((b - a) / max(a, b), abs=1e-9)
+
+
 def contaminated(spark, bad):
     x = [[0.0, 0.0]] * (25 - bad) + [[1.0, 1.0]] * bad + [[5.0, 5.0]] * 4
     label = ["a"] * (25 - bad) + ["b"] * bad + ["b"] * 4
