@@ -3,7 +3,8 @@
 Each source gets a mean repetition rate, target weight x total / its rows.  A document's count is the inverse Poisson
 distribution at a uniform number hashed from the seed and the document, so it does not depend on partitions or retries; the row is
 exploded by its count, and all copies are dealt out at random and sorted by a second hash: a global shuffle without a sampling pass.
-Dealing is by row, so a row that repeats in a third of the table is spread like any other.
+Dealing is by row, so a row that repeats in a third of the table is spread like any other: each row draws a number where it is scanned, before
+any shuffle, so a stage that is repeated in part deals the same rows to the same tasks (give ``docs`` as a scan of a written table).
 
 Rates above ``MOST`` are split into equal parts with a hash each (a sum of Poisson numbers is Poisson), so no rate is out of
 range.  Source sizes count all rows and are written once, so ``docs`` is read for its sources and then once more.  Their table is broadcast if it has ``BROADCAST_SOURCES`` rows or fewer; a larger one is
@@ -63,21 +64,21 @@ def replicated(docs: DataFrame, weights: Mapping[str, float], total: int | None
     """``skarn_row`` (a row of ``docs`` as a struct) with ``copies``, ``copy`` and ``place``, shuffled."""
     table = rates(docs, weights, total)
     name = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit(""))))
-    packed = docs.select(F.struct("*").alias("skarn_row"), F.col("source").alias("own_source"), name.alias("name"))
+    packed = docs.select(F.struct("*").alias("skarn_row"), F.col("source").alias("own_source"), name.alias("name"), F.rand(seed).alias("draw"))
     same = F.col("own_source").eqNullSafe(F.col("src"))
     if table.select("src").count() <= broadcast_sources:
         joined = packed.join(F.broadcast(table), same)
     else:
         salted = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = packed.withColumn("own_salt", F.pmod(F.xxhash64("name"), F.lit(SALTS)).cast("int")).join(salted, same & (F.col("own_salt") == F.col("salt")))
+        joined = packed.withColumn("own_salt", F.floor(F.col("draw") * SALTS).cast("int")).join(salted, same & (F.col("own_salt") == F.col("salt")))
     # the count is the number of table entries that the uniform number reaches
     one = uniform(F.lit(f"count{seed}"), F.lit("0"), F.col("name"))
     single = F.size(F.filter("cdf", lambda c: c <= one))
     many = F.expr(f"aggregate(transform(sequence(0, parts - 1), p -> cast(conv(substring(md5(concat_ws('|', 'count{seed}', cast(p AS string), name)), 1, 13), 16, 10) AS double) / {float(1 << 52)!r}), 0, (a, u) -> a + size(filter(cdf, c -> c <= u)))")
-    counted = joined.select("skarn_row", "name", F.when(F.col("parts") == 1, single).otherwise(many).alias("copies"))
+    counted = joined.select("skarn_row", "name", "draw", F.when(F.col("parts") == 1, single).otherwise(many).alias("copies"))
     copied = counted.where("copies > 0").withColumn("copy", F.explode(F.expr("sequence(0, copies - 1)")))
     place = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(f"place{seed}"), F.col("copy").cast("string"), F.col("name"))), 1, 15), 16, 10).cast("long")
-    dealt = copied.select("skarn_row", "copies", "copy", place.alias("place"), F.rand(seed).alias("deal"))
+    dealt = copied.select("skarn_row", "copies", "copy", place.alias("place"), F.xxhash64("draw", "copy").alias("deal"))
     return dealt.repartition("deal").sortWithinPartitions("place", "deal").drop("deal")
 
 

@@ -90,11 +90,11 @@ SHOWN = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 def features(docs: DataFrame, names: Sequence[str] = tuple(MEASURES)) -> DataFrame:
     """``docs`` with the measures ``names``."""
-    kept = docs.drop("m", *names)
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in names]).alias("skarn_row"), "text")  # no name of the caller's is in the way
     of_words = [n for n in names if n in OF_WORDS]
     if of_words:
-        kept = kept.withColumn("m", F.expr(_let("ws", WORDS, f"struct({', '.join(f'{OF_WORDS[n]} AS {n}' for n in of_words)})")))
-    return kept.select("*", *[F.expr(f"m.{n}" if n in OF_WORDS else MEASURES[n]).alias(n) for n in names]).drop("m")
+        packed = packed.withColumn("skarn_measures", F.expr(_let("ws", WORDS, f"struct({', '.join(f'{OF_WORDS[n]} AS {n}' for n in of_words)})")))
+    return packed.select("skarn_row.*", *[F.expr(f"skarn_measures.{n}" if n in OF_WORDS else MEASURES[n]).alias(n) for n in names])
 
 
 @dataclass(frozen=True)

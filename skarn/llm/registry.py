@@ -71,6 +71,40 @@ def url_filter_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(pages, redirects=redirects).select("page_id", "host", "path", "rule", "verdict")
 
 
+def url_filter_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same filter where pages redirect in chains of eight, every third chain is a cycle, and canonical links in the pages join every fifth chain to the next."""
+    from pyspark.sql import Window as W
+    from pyspark.sql import functions as F
+
+    from .url_filter import judge
+
+    pages = _table(spark, sf_dir, "pages").withColumn("chain", F.floor(F.col("page_id") / 8))
+    near = pages.select("page_id", "url", "chain").withColumn("target", F.lead("url").over(W.partitionBy("chain").orderBy("page_id")))  # eight rows each
+    ends = pages.groupBy("chain").agg(F.max_by("url", "page_id").alias("source"), F.min_by("url", "page_id").alias("target"), F.min("page_id").alias("page_id"))
+    redirects = near.select(F.col("url").alias("source"), "target").unionByName(ends.where("chain % 3 = 0").select("source", "target"))
+    links = ends.select((F.col("chain") - 1).alias("from"), F.col("target").alias("href")).join(ends.where("chain % 5 = 1").select(F.col("chain").alias("from"), "page_id"), "from").select("page_id", "href")
+    linked = pages.join(links, "page_id", "left")
+    tag = F.concat(F.lit('<link rel="canonical" href="'), F.replace("href", F.lit("&"), F.lit("&amp;")), F.lit('">'))
+    html = F.concat(F.coalesce(tag, F.lit("")), F.coalesce("html", F.lit("")))
+    return judge(linked.select("page_id", "url", html.alias("html")), redirects=redirects.where("source IS NOT NULL AND target IS NOT NULL")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def boxed(pages: DataFrame) -> DataFrame:
+    """``pages`` with a box at the end of the article of three in four: one of two for a host, under a class that no list names."""
+    from pyspark.sql import functions as F
+
+    box = F.concat(F.lit('<section class="zq"><p>Offer '), (F.col("page_id") % 2).cast("string"), F.lit("</p><p>See <b>more</b></p></section></article>"))
+    html = F.when(F.col("page_id") % 4 == 0, F.col("html")).otherwise(F.replace("html", F.lit("</article>"), box))
+    return pages.withColumn("html", html)
+
+
+def html_text_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of the same pages with boxes: those that recur on a host are its templates, others stay."""
+    from .html_text import extract
+
+    return extract(boxed(_table(spark, sf_dir, "pages")))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_classifier import classify
 
@@ -117,6 +151,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_url_filter": op6_url_filter,
     "url_filter_redirects": url_filter_redirects,
+    "url_filter_chains": url_filter_chains,
+    "html_text_boxes": html_text_boxes,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_html_text": op8_html_text,
     "op9_byte_bpe": op9_byte_bpe,
@@ -197,6 +233,9 @@ SELECT doc_id, text, lang, source, n_chars, copies::INTEGER AS copies, copy::INT
     "op6_url_filter": _ALIASES.replace("@EDGES", f"""t AS (SELECT k AS a, {_LINK.format("can")} AS b FROM l UNION SELECT k, {_LINK.format("red")} FROM l),
 e AS (SELECT a, {_KEY.format("b")} AS b FROM t WHERE a IS NOT NULL AND b IS NOT NULL)"""),
     "url_filter_redirects": _ALIASES.replace("@EDGES", f"""t AS (SELECT k AS a, arg_min(url, page_id) OVER (PARTITION BY page_id // 10) AS b FROM l),
+e AS (SELECT DISTINCT a, {_KEY.format("b")} AS b FROM t WHERE a IS NOT NULL AND b IS NOT NULL)"""),
+    "url_filter_chains": _ALIASES.replace("@EDGES", f"""n AS (SELECT page_id // 8 AS c, arg_max(k, page_id) AS k_last, arg_min(k, page_id) AS k_first, arg_min(url, page_id) AS u_first FROM l GROUP BY 1),
+t AS (SELECT k AS a, lead(url) OVER (PARTITION BY page_id // 8 ORDER BY page_id) AS b FROM l UNION SELECT k_last, u_first FROM n WHERE c % 3 = 0 UNION SELECT x.k_first, y.u_first FROM n x JOIN n y ON y.c = x.c + 1 WHERE x.c % 5 = 1),
 e AS (SELECT DISTINCT a, {_KEY.format("b")} AS b FROM t WHERE a IS NOT NULL AND b IS NOT NULL)"""),
     "op4_quality_rules": r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,7 +24,8 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-_MADE: list[Scratch] = []
+#: Folders made inside the innermost ``cleared`` block of this thread; outside of one nothing is noted.
+_MADE: ContextVar[list[Scratch] | None] = ContextVar("made", default=None)
 
 
 class Scratch:
@@ -31,7 +33,9 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.root = spark, f"{shared_folder(spark)}/skarn-{label}-{uuid.uuid4().hex}"
-        _MADE.append(self)
+        made = _MADE.get()
+        if made is not None:
+            made.append(self)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -54,10 +58,15 @@ class Scratch:
 
 @contextmanager
 def cleared() -> Iterator[None]:
-    """Deletes what operators called inside wrote, at the end of the block; their results must have been written by then."""
-    n = len(_MADE)
+    """Deletes what operators called inside wrote, at the end of the block; their results must have been written by then.
+
+    Blocks and threads know only their own folders.
+    """
+    made: list[Scratch] = []
+    token = _MADE.set(made)
     try:
         yield
     finally:
-        while len(_MADE) > n:
-            _MADE.pop().drop()
+        _MADE.reset(token)
+        for s in reversed(made):
+            s.drop()

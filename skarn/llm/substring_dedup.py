@@ -20,8 +20,9 @@ Method: count-min prefilter, then exact grouping.
 The merged sketch has ``2 * ROWS`` cells (bits) or more for each minimiser and is cut into shards by hash range, so it grows with the
 corpus.  Up to ``SKETCH_BITS`` it is sent to every executor, which then looks up its own minimisers.  A larger one (above about 0.8
 billion words) stays a table of shards: minimisers are dealt to the shard of their hash, looked up there, and only places estimated
-repeated come back to their documents by joins.  Both ways look up the same sketch, nothing of unbounded size is broadcast, and the
-steps after it are the same.
+repeated come back to their documents by joins.  A shard is looked up by as many tasks as it has ``PLACES`` places (its places are dealt by
+document and place, and each task gets its bitmaps), so a passage that a third of all documents share loads no task more than others.  Both
+ways look up the same sketch, nothing of unbounded size is broadcast, and the steps after it are the same.
 
 Defined cases: null text is empty; rows with one ``doc_id`` and one text are one document, so a repeated row does not remove its
 twin; rows with one ``doc_id`` and different texts are documents of their own, ordered by a hash of the text (see ``identity``), so the
@@ -60,6 +61,8 @@ BUFFER = 1 << 18
 BROADCAST_BYTES = 32 << 20
 #: Bits of a shard of a sketch that is not broadcast.
 SHARD_BITS = (20, 26)
+#: Places that one task looks up in a shard, about.
+PLACES = 1 << 22
 KEY = f"{DOC} long, {SUB} long"
 
 
@@ -134,7 +137,7 @@ def _unpacked(blob: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(zlib.decompress(blob), np.uint32).astype(np.int64))
 
 
-SKETCH_SCHEMA = "shard int, row int, once binary, more binary"
+SKETCH_SCHEMA = "shard int, row int, once binary, more binary, places long"
 
 
 def _sketches(width: int, inner: int, shape: Shape):
@@ -148,12 +151,12 @@ def _sketches(width: int, inner: int, shape: Shape):
             of = cell >> shape.low
             cut = np.append(np.flatnonzero(np.diff(of, prepend=-1)), len(of))
             own = (cell & ((1 << shape.low) - 1)).astype(np.uint32)
-            once, more = [], []
+            once, more, places = [], [], np.add.reduceat(n, cut[:-1]).astype(np.int64)
             for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
                 again = n[i:j] > 1
                 once.append(_packed(own[i:j][~again]))
                 more.append(_packed(own[i:j][again]))
-            yield pa.RecordBatch.from_arrays([pa.array(of[cut[:-1]].astype(np.int32)), pa.array(np.full(len(once), r, np.int32)), pa.array(once, pa.binary()), pa.array(more, pa.binary())], ["shard", "row", "once", "more"])
+            yield pa.RecordBatch.from_arrays([pa.array(of[cut[:-1]].astype(np.int32)), pa.array(np.full(len(once), r, np.int32)), pa.array(once, pa.binary()), pa.array(more, pa.binary()), pa.array(places)], ["shard", "row", "once", "more", "places"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -174,38 +177,42 @@ def _sketches(width: int, inner: int, shape: Shape):
     return run
 
 
-BITMAP_SCHEMA = "shard int, row int, bitmap binary"
+BITMAP_SCHEMA = "shard int, row int, bitmap binary, places long"
 
 
 def _merged(shape: Shape):
     """Adds the partial sketches of each row of a shard, which arrive one after the other; memory is one row of a shard."""
 
-    def bitmap(now: tuple[int, int], total: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int32()), pa.array([zlib.compress(np.packbits(total > 1).tobytes(), 1)], pa.binary())], ["shard", "row", "bitmap"])
+    def bitmap(now: tuple[int, int], total: np.ndarray, places: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int32()), pa.array([zlib.compress(np.packbits(total > 1).tobytes(), 1)], pa.binary()), pa.array([places])], ["shard", "row", "bitmap", "places"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, total = None, np.zeros(1, np.uint8)
+        now, total, places = None, np.zeros(1, np.uint8), 0
         for batch in batches:
-            for shard, row, once, more in zip(*(batch.column(c).to_pylist() for c in ("shard", "row", "once", "more")), strict=True):
+            for shard, row, once, more, n in zip(*(batch.column(c).to_pylist() for c in ("shard", "row", "once", "more", "places")), strict=True):
                 if (shard, row) != now:
                     if now is not None:
-                        yield bitmap(now, total)
-                    now, total = (shard, row), np.zeros(1 << shape.low, np.uint8)
+                        yield bitmap(now, total, places)
+                    now, total, places = (shard, row), np.zeros(1 << shape.low, np.uint8), 0
+                places += n
                 at = _unpacked(once)
                 total[at] = np.minimum(total[at] + 1, 2)
                 total[_unpacked(more)] = 2
         if now is not None:
-            yield bitmap(now, total)
+            yield bitmap(now, total, places)
 
     return run
 
 
 WINDOW_SCHEMA = f"kind int, a long, b long, {KEY}, place int, places array<int>"
-PLACE_SCHEMA = f"shard int, row int, hash long, {KEY}, place int, bitmap binary"
+PLACE_SCHEMA = f"shard int, part int, row int, hash long, {KEY}, place int, bitmap binary"
 
 
-def _places(width: int, inner: int, shape: Shape):
-    """Shard, hash, document and place of every minimiser; ``row`` puts them after the bitmaps of their shard."""
+def _places(width: int, inner: int, shape: Shape, parts):
+    """Shard, part of the shard, hash, document and place of every minimiser; ``row`` puts them after the bitmaps of their part.
+
+    ``parts`` has the number of parts of each shard (broadcast: four bytes for each shard).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,24 +224,27 @@ def _places(width: int, inner: int, shape: Shape):
                     continue
                 place, first = np.unique(place, return_index=True)
                 hashes, doc = least[first], w.owner()[place]
-                columns = [shape.shard(hashes).astype(np.int32), np.full(len(hashes), ROWS, np.int32), hashes.view(np.int64), ids[lo:hi][doc], subs[lo:hi][doc], (place - w.first[doc]).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.nulls(len(hashes), pa.binary())], ["shard", "row", "hash", DOC, SUB, "place", "bitmap"])
+                shard, own, at = shape.shard(hashes), ids[lo:hi][doc], (place - w.first[doc]).astype(np.int32)
+                dealt = mix(own.view(U64) + (at.astype(U64) << U64(40)), 21) % parts.value[shard].astype(U64)
+                columns = [shard.astype(np.int32), dealt.astype(np.int32), np.full(len(hashes), ROWS, np.int32), hashes.view(np.int64), own, subs[lo:hi][doc], at]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.nulls(len(hashes), pa.binary())], ["shard", "part", "row", "hash", DOC, SUB, "place", "bitmap"])
 
     return run
 
 
 def _looked_up(shape: Shape):
-    """Places whose minimiser is estimated repeated.  Rows arrive by shard, its bitmaps first; memory is the bitmaps of one shard."""
+    """Places whose minimiser is estimated repeated.  Rows arrive by part of a shard, its bitmaps first; memory is the bitmaps of one shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows = None, [None] * ROWS
         for batch in batches:
-            shard, row = (batch.column(c).to_numpy() for c in ("shard", "row"))
+            shard, part, row = (batch.column(c).to_numpy().astype(np.int64) for c in ("shard", "part", "row"))
             kept = []
-            cut = np.append(np.flatnonzero(np.diff(shard, prepend=-1)), len(shard))
+            own = (shard << 32) | part
+            cut = np.append(np.flatnonzero(np.diff(own, prepend=-1)), len(own))
             for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                if shard[i] != now:
-                    now, rows = shard[i], [None] * ROWS
+                if own[i] != now:
+                    now, rows = own[i], [None] * ROWS
                 while i < j and row[i] < ROWS:
                     rows[row[i]] = np.frombuffer(zlib.decompress(batch.column("bitmap")[i].as_py()), np.uint8)
                     i += 1
@@ -405,10 +415,15 @@ def removed_ranges(docs: DataFrame, width: int = WIDTH, inner: int = INNER, sket
         wanted = left
     else:
         bitmaps = scratch.write(_bitmaps(left, width, inner, shape), "bitmaps")
+        parts = np.ones(1 << shape.shards, np.int32)
+        for r in bitmaps.where("row = 0").select("shard", "places").toLocalIterator():  # one row for each shard
+            parts[r.shard] = max(1, -(-r.places // PLACES))
+        number = spark.sparkContext.broadcast(parts)
         none = [F.lit(None).cast(t).alias(c) for c, t in (("hash", "long"), (DOC, "long"), (SUB, "long"), ("place", "int"))]
-        asked = left.mapInArrow(_places(width, inner, shape), PLACE_SCHEMA)
-        both = asked.unionByName(bitmaps.select("shard", "row", *none, "bitmap"))
-        found = both.repartition("shard").sortWithinPartitions("shard", "row").mapInArrow(_looked_up(shape), f"{KEY}, place int")
+        asked = left.mapInArrow(_places(width, inner, shape, number), PLACE_SCHEMA)
+        copies_of = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), F.ceil(F.col("places") / PLACES)).cast("int") - 1)).alias("part")
+        both = asked.unionByName(bitmaps.select("shard", copies_of, "row", *none, "bitmap"))
+        found = both.repartition("shard", "part").sortWithinPartitions("shard", "part", "row").mapInArrow(_looked_up(shape), f"{KEY}, place int")
         hits = scratch.write(found.groupBy(DOC, SUB).agg(F.collect_list("place").alias("hits")), "hits")
         wanted = left.join(hits, [DOC, SUB])
 

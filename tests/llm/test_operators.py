@@ -209,6 +209,26 @@ def test_passages_equal_brute_force(spark, bits, monkeypatch):
     assert {r.doc_id: r.text for r in got} == {i: (" ".join(w) if m else source[i]) for i, (_, m, w) in want.items()}
 
 
+def test_a_hot_shard_is_cut(spark, monkeypatch):
+    """A passage that all documents share: its minimisers are looked up by many tasks, with the same results."""
+    monkeypatch.setattr(substring_dedup.removed_ranges, "__defaults__", (20, 10, 0))
+    monkeypatch.setattr(substring_dedup, "SHARD_BITS", (6, 8))
+    monkeypatch.setattr(substring_dedup, "PLACES", 50)
+    shared = " ".join(passage(7, 40))
+    rows = [(i, f"{' '.join(passage(100 + i, 5))} {shared} {' '.join(passage(900 + i, 25))}") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = substring_dedup.remove_repeats(df, digest=True).collect()
+    want = brute.without_repeats(rows)
+    assert {r.doc_id: (r.n_words, r.n_removed) for r in got} == {i: (n, m) for i, (n, m, _) in want.items()}
+    # one minimiser in every document: its places go to as many parts as there are
+    shape, parts = substring_dedup.Shape(2, 6), spark.sparkContext.broadcast(np.full(4, 12, np.int32))
+    batch = df.withColumns({substring_dedup.DOC: F.col("doc_id"), substring_dedup.SUB: F.lit(0).cast("long")}).drop("doc_id").coalesce(1)
+    placed = batch.mapInArrow(substring_dedup._places(20, 10, shape, parts), substring_dedup.PLACE_SCHEMA)
+    hot = placed.groupBy("hash").count().orderBy(F.desc("count")).first()
+    sizes = [r["count"] for r in placed.where(F.col("hash") == hot.hash).groupBy("shard", "part").count().collect()]
+    assert hot["count"] == 600 and len(sizes) == 12 and max(sizes) < 100
+
+
 def test_passages_of_odd_rows(spark, odd):
     got = sorted(((r.doc_id, r.n_words, r.n_removed) for r in substring_dedup.remove_repeats(odd).collect()), key=str)
     assert got == sorted([(1, 80, 0), (1, 80, 0), (2, 81, 80), (None, 80, 80), (None, 0, 0), (3, 0, 0), (4, 0, 0), (5, 0, 0), (6, 2, 0), (7, 20000, 19999)], key=str)
@@ -416,6 +436,8 @@ def test_cascade_of_odd_rows(spark, odd):
     kept = quality_rules.keep_good(odd)
     assert kept.columns == odd.columns and kept.count() == 4
     assert quality_rules.cascade(odd.where("1 = 0")).count() == 0
+    for made in (quality_rules.features(odd), quality_rules.cascade(odd), quality_rules.keep_good(odd)):
+        assert {r.m for r in made.collect()} == {"own"} and {"score", "block", "doc"} <= set(made.columns)
 
 
 # mixing
@@ -673,6 +695,22 @@ def test_labels_never_come_from_held_out_rows(spark, labelled):
     assert len(ids) == 10 and all(zlib.crc32(str(i).encode()) % 5 for i in ids)
 
 
+def test_trained_classifiers_of_odd_rows(spark, odd, documents):
+    """Models that were trained score null, empty, blank, very long, id-less and repeated rows."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    clash = [c for c in odd.columns if c not in documents.columns]
+    both = documents.unionByName(odd.select((F.col("doc_id") + 10**9).alias("doc_id"), *[c for c in odd.columns if c != "doc_id"]), allowMissingColumns=True)
+    assert clash and set(clash) <= set(both.columns)
+    for score in (quality_classifier.classify, toxicity.score):
+        every = score(both, labels).collect()
+        assert len({r.score for r in every}) > 10
+        rows = [r for r in every if r.doc_id is None or r.doc_id >= 10**9]
+        assert len(rows) == odd.count() and all(0 <= r.score <= 1 for r in rows)
+        assert len({r.score for r in rows if r.doc_id == 10**9 + 1}) == 1
+        empty = {r.score for r in rows if r.doc_id in (10**9 + 3, 10**9 + 4, 10**9 + 5)}
+        assert len(empty) == 1
+
+
 def test_classifiers_of_odd_rows(spark, odd):
     labels = spark.createDataFrame([(1, 1, 0), (None, 1, 0), (6, None, None)], "doc_id long, quality int, toxic int")
     for rows in (odd, odd.where("1 = 0")):
@@ -754,6 +792,32 @@ def test_boxes_in_main_content(spark):
         assert {r.page_id: r.text for r in html_text.extract(pages, broadcast_rows=limit).collect()} == want
 
 
+def test_boxes_of_the_table(spark):
+    """Boxes that recur on ten pages of a host or more go from the table's own articles; without templates all of them stay."""
+    from collections import Counter
+
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    host = lambda url: url.partition("://")[2].partition("/")[0].lower()
+    own = {r.page_id: (host(r.url), r.text) for r in registry.op8_html_text(spark, SF).collect()}
+    times = Counter((h, i % 2) for i, (h, _) in own.items() if i % 4)
+    least = sorted(times.values())[len(times) // 2]
+    box = lambda i, n: f"\n\nOffer {i % 2}\n\nSee more" if i % 4 and times[own[i][0], i % 2] < n else ""
+    for n in (least, html_text.LEAST_PAGES, 10**9):
+        got = {r.page_id: r.text for r in html_text.extract(registry.boxed(pages), least_pages=n).collect()}
+        assert got == {i: text + box(i, n) for i, (_, text) in own.items()}
+    assert 0 < sum(bool(box(i, least)) for i in own) < sum(bool(box(i, 10**9)) for i in own)
+    assert {r.page_id for r in registry.html_text_boxes(spark, SF).collect()} == set(own)
+
+
+def test_very_long_urls_and_pages(spark):
+    long = "http://h.net/" + "a/" * 200_000
+    rows = [(1, long, "<p>" + "word " * 400_000), (2, "http://" + "s." * 20_000 + "org/fr/x", "<article>" + "<p>é</p>" * 50_000), (3, "x" * 300_000, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: (r.rule, r.verdict, len(r.path)) for r in url_filter.judge(pages).collect()} == {1: ("net/", "block", 400_001), 2: ("org/fr/", "allow", 5), 3: (None, "allow", 0)}
+    got = {r.page_id: (r.n_chars, len(r.text)) for r in html_text.extract(pages).collect()}
+    assert got == {1: (1_999_999, 1_999_999), 2: (149_998, 149_998), 3: (0, 0)}
+
+
 def test_html_of_the_table(spark):
     import html
     import re

@@ -32,3 +32,31 @@ def test_slices_and_pieces():
     assert list(pieces(array, 10)) == [(0, 3), (3, 4), (4, 5)]
     assert (words_of(array[4:]).hashes == words_of(array).hashes[-3:]).all()
     assert words_of(pa.array(["Idiot!! x-y"]), lower=True, breaks=MARKS).counts.tolist() == [3]
+
+
+def test_blocks_clear_their_own_folders(spark):
+    """Tables that another thread makes meanwhile stay, and nested blocks clear what is theirs."""
+    import threading
+
+    from skarn.llm.scratch import Scratch, cleared
+
+    made = {}
+    exists = lambda s: spark._jvm.java.io.File(s.root.removeprefix("file://")).exists()
+    one = spark.range(1)
+
+    def other():
+        made["other"] = Scratch(spark, "test")
+        made["other"].write(one, "t")
+
+    with cleared():
+        made["outer"] = Scratch(spark, "test")
+        made["outer"].write(one, "t")
+        thread = threading.Thread(target=other)
+        thread.start()
+        thread.join()
+        with cleared():
+            made["inner"] = Scratch(spark, "test")
+            made["inner"].write(one, "t")
+        assert {k: exists(s) for k, s in made.items()} == {"outer": True, "other": True, "inner": False}
+    assert {k: exists(s) for k, s in made.items()} == {"outer": False, "other": True, "inner": False}
+    made["other"].drop()
