@@ -90,10 +90,10 @@ def url_filter_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def boxed(pages: DataFrame) -> DataFrame:
-    """``pages`` with a box at the end of the article of three in four: one of two for a host, under a class that no list names."""
+    """``pages`` with a box at the end of the article of three in four: one of two for a host, a frequent and a rare one, under a class that no list names."""
     from pyspark.sql import functions as F
 
-    box = F.concat(F.lit('<section class="zq"><p>Offer '), (F.col("page_id") % 2).cast("string"), F.lit("</p><p>See <b>more</b></p></section></article>"))
+    box = F.concat(F.lit('<section class="zq"><p>Offer '), F.least(F.col("page_id") % 7, F.lit(1)).cast("string"), F.lit("</p><p>See <b>more</b></p></section></article>"))
     html = F.when(F.col("page_id") % 4 == 0, F.col("html")).otherwise(F.replace("html", F.lit("</article>"), box))
     return pages.withColumn("html", html)
 

@@ -799,9 +799,9 @@ def test_boxes_of_the_table(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     host = lambda url: url.partition("://")[2].partition("/")[0].lower()
     own = {r.page_id: (host(r.url), r.text) for r in registry.op8_html_text(spark, SF).collect()}
-    times = Counter((h, i % 2) for i, (h, _) in own.items() if i % 4)
-    least = sorted(times.values())[len(times) // 2]
-    box = lambda i, n: f"\n\nOffer {i % 2}\n\nSee more" if i % 4 and times[own[i][0], i % 2] < n else ""
+    times = Counter((h, variant) for h, variant, _ in {(h, min(i % 7, 1), text) for i, (h, text) in own.items() if i % 4})  # an article that is printed twice counts once
+    least = max(times.values())
+    box = lambda i, n: f"\n\nOffer {min(i % 7, 1)}\n\nSee more" if i % 4 and times[own[i][0], min(i % 7, 1)] < n else ""
     for n in (least, html_text.LEAST_PAGES, 10**9):
         got = {r.page_id: r.text for r in html_text.extract(registry.boxed(pages), least_pages=n).collect()}
         assert got == {i: text + box(i, n) for i, (_, text) in own.items()}
