@@ -78,7 +78,7 @@ def pending(store: Store, kind: str, again: bool = False) -> DataFrame:
     """Photos of the pages read so far that are neither stored nor tried (or, with ``again``, were tried in vain); the first of each address."""
     rows = photo_rows(store.read(PAGES).where(F.col("source") == kind), kind).where("url IS NOT NULL AND url <> ''").withColumn("source", F.lit(kind))
     if store.exists(RAW):
-        rows = not_yet(rows, store.read(RAW), "url", "source")
+        rows = not_yet(rows, store.table(RAW).candidates(rows), "url", "source")
     if store.exists(ATTEMPTS):
         tried = store.read(ATTEMPTS)
         rows = not_yet(rows, tried.where("outcome = 'stored'") if again else tried, "url", "source")

@@ -44,7 +44,7 @@ def _contents(store: Store, folder: str, wanted: DataFrame) -> DataFrame:
 def run_cleaning(store: Store) -> dict[str, int]:
     """Cleans new raw rows.  Images are decoded only for rows whose URL passes; accepted rows of earlier runs seed the state."""
     raw, done = store.stage("raw"), _table(store, "clean")
-    new = raw if done is None else not_yet(raw, done, "filename")
+    new = raw if done is None else not_yet(raw, store.table("images_clean").candidates(raw), "filename")
     wanted = new.where("url IS NOT NULL AND url <> ''").select("filename", "object_name")
     images = _contents(store, "raw/images", wanted).withColumnRenamed("content", "bytes")
     seen = wanted.join(images, "object_name").select("filename", inspector()(F.col("bytes")).alias("i")).select("filename", F.lit(True).alias("downloaded"), F.col("i.width").alias("w"), F.col("i.height").alias("h"), F.col("i.gray_std").alias("gray_std"), F.col("i.phash").alias("phash"))

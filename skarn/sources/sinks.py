@@ -47,6 +47,19 @@ def remaining(table: DataFrame, condition: str) -> DataFrame:
     return table.where(~F.coalesce(F.expr(condition), F.lit(False)))
 
 
+#: Keys by which tables are searched.
+INDEXES = {"images_raw": ("url", "source"), "images_clean": ("filename",), "images_integrated": ("filename",), "images_transformed": ("filename",), "image_features": ("object_name",), "clip_features": ("object_name",)}
+
+
+def create_indexes(store: Store, names: dict[str, tuple[str, ...]] | None = None) -> None:
+    """Clusters the tables that exist by their keys; tables that have the index already stay as they are."""
+    for name, keys in (INDEXES if names is None else names).items():
+        table = store.table(name)
+        at = table.snapshot()
+        if table.exists() and (at is None or at.index != keys):
+            table.cluster(*keys)
+
+
 def delete(store: Store, name: str, condition: str) -> None:
     """Removes rows that meet the condition; rows where it is null stay."""
     store.table(name).delete(condition)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from skarn.sources import tables
 from skarn.sources.catalog import Store
-from skarn.sources.sinks import absent, append, delete, insert_if_absent, upsert
+from skarn.sources.sinks import absent, append, create_indexes, delete, insert_if_absent, upsert
 from skarn.sources.tables import Conflict, Table
 
 
@@ -160,3 +160,75 @@ def test_absent_takes_the_same_row_each_time(spark):
     a, b = ({r.k: r.v for r in absent(new.repartition(n), old, "k").collect()} for n in (1, 7))
     assert a == b and set(a) == {0, 1, 2, 4, None}
     assert rows(absent(spark.createDataFrame([(1,), (1,), (3,)], "k int"), old, "k")) == [(1,)]
+
+
+def rows_read(df):
+    """Rows that the scans of a query give, by Spark's own metrics."""
+    df._jdf.queryExecution().executedPlan()
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    plan = plan.executedPlan() if "Adaptive" in plan.getClass().getSimpleName() else plan
+    total, todo = 0, [plan]
+    while todo:
+        node = todo.pop()
+        if node.getClass().getSimpleName().endswith("QueryStageExec"):
+            todo.append(node.plan())
+        if "FileSourceScan" in node.getClass().getSimpleName():
+            total += node.metrics().apply("numOutputRows").value()
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return total
+
+
+def test_an_index_skips_files(store):
+    spark = store.spark
+    rows = spark.range(20_000).select(F.format_string("f%06d", (F.col("id") * 7919) % 20_000).alias("filename"), F.col("id").alias("v"))
+    append(store, "t", rows.repartition(8))
+    t = store.table("t")
+    name = "f012345"
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small rows, several files
+    create_indexes(store, {"t": ("filename",)})
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert t.snapshot().index == ("filename",) and len(t.snapshot().files) >= 4 and store.read("t").count() == 20_000
+    version = t.snapshot().version
+    create_indexes(store, {"t": ("filename",), "none": ("k",)})
+    assert t.snapshot().version == version
+    one = t.lookup("filename", name)
+    assert one.count() == 1 and one.first().filename == name
+    assert rows_read(t.lookup("filename", name)) <= 20_000 / 2.5 and rows_read(t.lookup("filename", "zzz")) == 0
+    # the resume join of a few new names reads the files that can hold them
+    new = spark.createDataFrame([(f"f{i:06d}",) for i in (5, 7, 19_999_9)], "filename string")
+    whole, some = rows_read(new.join(store.read("t"), "filename", "left_anti")), rows_read(new.join(t.candidates(new), "filename", "left_anti"))
+    assert whole == 20_000 and some <= 20_000 / 2.5
+    assert [r.filename for r in new.join(t.candidates(new), "filename", "left_anti").collect()] == ["f199999"]
+    # rows that come later are in ranges too, and changes keep the index
+    insert_if_absent(store, "t", spark.createDataFrame([("f000005", -1), ("g", -2)], "filename string, v long"), "filename")
+    upsert(store, "t", spark.createDataFrame([(name, -3)], "filename string, v long"), "filename")
+    delete(store, "t", "filename = 'f000007'")
+    at = t.snapshot()
+    assert at.index == ("filename",) and set(at.ends) == set(at.files) and store.read("t").count() == 20_000
+    assert t.lookup("filename", name).first().v == -3 and t.lookup("filename", "g").first().v == -2 and t.lookup("filename", "f000005").first().v >= 0
+    assert rows_read(t.lookup("filename", name)) <= 20_000 / 2.5
+
+
+def test_bloom_filters_are_written(store):
+    import pyarrow.parquet as pq
+
+    append(store, "t", store.spark.range(5000).select(F.col("id").cast("string").alias("k"), F.col("id")))
+    store.table("t").cluster("k")
+    f = store.table("t").snapshot().files[0]
+    with open(f"{store.path('t')}/{f}", "rb") as file:
+        size = len(file.read())
+    plain = store.path("plain")
+    store.spark.range(5000).select(F.col("id").cast("string").alias("k"), F.col("id")).orderBy("k").coalesce(1).write.parquet(plain)
+    assert pq.ParquetFile(f"{store.path('t')}/{f}").metadata.num_rows > 0 and size > 0
+    assert sum(os.path.getsize(f"{store.path('t')}/{n}") for n in store.table("t").snapshot().files) > sum(os.path.getsize(f"{plain}/{n}") for n in os.listdir(plain) if n.endswith(".parquet")) + 500_000
+
+
+def test_load_order_of_versions(store):
+    for i in range(3):
+        append(store, "t", store.spark.createDataFrame([(f"v{i}", 9 - k) for k in range(3)], "a string, k int").coalesce(1))
+    got = store.table("t").in_order().orderBy("position").collect()
+    assert [(r.a, r.k) for r in got] == [(f"v{i}", 9 - k) for i in range(3) for k in range(3)]
+    frame(store, [(3, "x"), (1, "y")]).coalesce(1).write.parquet(store.path("plain"))
+    assert [r.k for r in store.table("plain").in_order().orderBy("position").collect()] == [3, 1]
