@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import html
+from collections.abc import Iterator, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -173,13 +175,52 @@ def unified(df: DataFrame, fields: Sequence[tuple[str, str]]) -> DataFrame:
     return df.select(*[(F.col(n).cast(t) if n in df.columns else F.lit(None).cast(t)).alias(n) for n, t in fields])
 
 
-IMG = r"(?i)<img\b[^>]*>"
+# HTML as its tokenizer reads it: comments, elements whose content is text, and tags whose attributes may hold ">" within quotes
+_VALUE = r"""(?:"[^"]*+"|'[^']*+'|(?!["'])[^\s>]*+)"""
+_ATTRIBUTES = r"(?:[\s/=]++|[^\s/>=]++(?:\s*+=\s*+" + _VALUE + r")?+)*+"
+HTML_TOKEN = r"(?is)<!--.*?(?:--!?>|\z)|<(script|style|textarea|title|xmp|iframe|noembed|noframes)(?=[\s/>])" + _ATTRIBUTES + r">.*?(?:</\1(?=[\s/>])|\z)|<[a-z!/?]" + _ATTRIBUTES + ">"
+HTML_ATTRIBUTE = r"(?s)([^\s/>=]++)(?:\s*+=\s*+(" + _VALUE + "))?"
 
 
-def image_sources(html: Column) -> Column:
-    """``src`` of the ``<img>`` tags of a page that are no GIFs and whose size is unknown or at least 100 x 100."""
-    tags = F.regexp_extract_all(html, F.lit(IMG), F.lit(0))
-    size = lambda t, n: F.regexp_extract(t, rf"(?i)\b{n}\s*=\s*[\"']?(\d+)", 1).try_cast("int")
-    src = lambda t: F.regexp_extract(t, r"(?i)\bsrc\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    keep = lambda t: (src(t) != "") & ~F.lower(src(t)).contains(".gif") & ~F.lower(src(t)).startswith("data:image/gif") & (size(t, "width").isNull() | size(t, "height").isNull() | ((size(t, "width") >= 100) & (size(t, "height") >= 100)))
-    return F.transform(F.filter(tags, keep), src)
+def unescaped():
+    """A pandas UDF: texts with their HTML character references replaced."""
+
+    @F.pandas_udf("string")
+    def work(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            yield part.map(html.unescape, na_action="ignore")
+
+    return work
+
+
+def image_tags(page: Column) -> Column:
+    """Attributes of every ``<img>`` of a page, in page order: arrays of (name, value), names in lower case, values without quotes but with character references.
+
+    Tags in comments, scripts, styles and other elements whose content is text are no tags.
+    """
+    tokens = F.regexp_extract_all(page, F.lit(HTML_TOKEN), F.lit(0))
+    tags = F.filter(tokens, lambda t: t.rlike(r"(?i)^<img[\s/>]"))
+    name = lambda a: F.lower(F.regexp_extract(a, HTML_ATTRIBUTE, 1))
+    raw = lambda a: F.regexp_extract(a, HTML_ATTRIBUTE, 2)
+    value = lambda a: F.when(raw(a).rlike("^[\"']"), F.substr(raw(a), F.lit(2), F.length(raw(a)) - 2)).otherwise(raw(a))
+    parts = lambda t: F.regexp_extract_all(F.substr(t, F.lit(5)), F.lit(HTML_ATTRIBUTE), F.lit(0))
+    return F.transform(tags, lambda t: F.transform(parts(t), lambda a: F.struct(name(a).alias("name"), value(a).alias("value"))))
+
+
+def image_sources(page: Column, least: int = 100) -> Column:
+    """``src`` of the ``<img>`` tags of a page that are no GIFs and whose size is unknown or at least ``least`` x ``least``; the first of equal attributes counts.
+
+    Values that hold a character reference are decoded by ``unescaped`` afterwards.
+    """
+    of = lambda t, n: F.get(F.filter(t, lambda a: a["name"] == n), F.lit(0))["value"]
+    size = lambda t, n: F.regexp_extract(F.coalesce(of(t, n), F.lit("")), r"^\s*(\d+)", 1).try_cast("int")
+    src = lambda t: F.trim(F.coalesce(of(t, "src"), F.lit("")))
+    keep = lambda t: (src(t) != "") & ~F.lower(src(t)).contains(".gif") & ~F.lower(src(t)).startswith("data:image/gif") & (size(t, "width").isNull() | size(t, "height").isNull() | ((size(t, "width") >= least) & (size(t, "height") >= least)))
+    return F.transform(F.filter(image_tags(page), keep), src)
+
+
+def page_images(pages: DataFrame, *keep: str, column: str = "html") -> DataFrame:
+    """``keep``, ``place`` and ``source`` of every image of ``image_sources``, a row each, with character references decoded."""
+    each = pages.select(*keep, F.posexplode(image_sources(F.col(column))).alias("place", "source"))
+    plain, coded = each.where(~F.col("source").contains("&")), each.where(F.col("source").contains("&"))
+    return plain.unionByName(coded.withColumn("source", unescaped()("source")))

@@ -123,6 +123,17 @@ def cells(rows: DataFrame, staging: Staging, distance: int = MAX_DISTANCE) -> Da
     return joined.withColumn("cell", F.coalesce("component", "vertex")).drop("component", "vertex")
 
 
+def own_reason(side: int = MIN_SIDE, least_std: float = MIN_GRAY_STD) -> Column:
+    """Why a row is rejected by itself (download, decoding, size, grey deviation), or null."""
+    width, height = F.col("width"), F.col("height")
+    return (
+        F.when(~F.coalesce("downloaded", F.lit(False)), "download_failed")
+        .when(width.isNull() | height.isNull(), "corrupt_image")
+        .when((width < side) | (height < side), F.concat(F.lit("too_small_"), width.cast("int").cast("string"), F.lit("x"), height.cast("int").cast("string")))
+        .when(~F.coalesce(F.col("gray_std") >= least_std, F.lit(False)), "monotone")
+    )
+
+
 def cleaning_fold(
     raw: DataFrame, prior: DataFrame | None = None, order: tuple[str, ...] = ("crawled_at", "filename"), distance: int = MAX_DISTANCE, side: int = MIN_SIDE, least_std: float = MIN_GRAY_STD, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
@@ -138,13 +149,7 @@ def cleaning_fold(
     Bases of more than ``hot_rows`` rows are split further, into ``cells``, so that one base is not one task; their rows are written once before that.  Both
     levels give the verdicts of the sequential rule.
     """
-    width, height = F.col("width"), F.col("height")
-    sound = (
-        F.when(~F.coalesce("downloaded", F.lit(False)), "download_failed")
-        .when(width.isNull() | height.isNull(), "corrupt_image")
-        .when((width < side) | (height < side), F.concat(F.lit("too_small_"), width.cast("int").cast("string"), F.lit("x"), height.cast("int").cast("string")))
-        .when(~F.coalesce(F.col("gray_std") >= least_std, F.lit(False)), "monotone")
-    )
+    sound = own_reason(side, least_std)
     own = raw.drop("cleaned", "reject_reason")
     facts = [normal_url(F.col("url")).alias("norm"), url_base(F.col("url")).alias("base"), sound.alias("sound"), "filename", F.nullif(F.col("phash"), F.lit("")).alias("phash"), F.struct(*order).alias("place")]
     rows = own.select(F.struct("*").alias("skarn_row"), F.lit(False).alias("prior"), *facts)

@@ -44,6 +44,16 @@ def few(table: DataFrame, most: int | None = None) -> DataFrame:
     return F.broadcast(table.sparkSession.createDataFrame(rows, table.schema))
 
 
+#: Bytes of vectors that a broadcast table may hold.
+SENT_BYTES = 64 << 20
+
+
+def sent(table: DataFrame, column: str = "c") -> DataFrame:
+    """A table with a vector in each row, marked for broadcast if its rows and vectors are small together; its size is measured first."""
+    size = table.agg(F.sum(8 * F.size(column) + 64)).first()[0] or 0
+    return F.broadcast(table) if size <= SENT_BYTES else table
+
+
 def blocks(table: DataFrame, most: int | None = None) -> list[DataFrame]:
     """One-row tables that together hold the rows of ``table`` as arrays ``rows``, about ``most`` in each."""
     most = MAX_CENTROIDS if most is None else most
@@ -68,14 +78,15 @@ def predictions(points: DataFrame, centres: DataFrame, names: DataFrame) -> Data
     return labelled.select("filename", "cluster_id", F.coalesce("cluster_label", F.lit("unknown")).alias("cluster_label"), F.round("distance", 4).alias("distance_to_centroid"), confidence(F.col("distance")).alias("confidence"))
 
 
-def label_counts(points: DataFrame) -> DataFrame:
-    return points.groupBy("cluster_id", "label").agg(F.count("*").alias("n"))
+def label_counts(points: DataFrame, order: str | None = None) -> DataFrame:
+    """``n`` of each cluster and label, and the ``first`` place of the label in ``order`` (else the label itself)."""
+    return points.groupBy("cluster_id", "label").agg(F.count("*").alias("n"), F.min(order or "label").alias("first"))
 
 
-def dominant(points: DataFrame) -> DataFrame:
-    """``cluster_id``, ``size``, ``dominant_label`` (most rows; ties: the smallest label) and ``n_dominant``."""
-    best = F.min(F.struct((-F.col("n")).alias("minus"), F.col("label").alias("label")))
-    return label_counts(points).groupBy("cluster_id").agg(F.sum("n").alias("size"), best.alias("best")).select("cluster_id", "size", F.col("best.label").alias("dominant_label"), (-F.col("best.minus")).alias("n_dominant"))
+def dominant(points: DataFrame, order: str | None = None) -> DataFrame:
+    """``cluster_id``, ``size``, ``dominant_label`` (most rows; ties: the label that comes first in ``order``, a column, else the smallest) and ``n_dominant``."""
+    best = F.min(F.struct((-F.col("n")).alias("minus"), "first", F.col("label").alias("label")))
+    return label_counts(points, order).groupBy("cluster_id").agg(F.sum("n").alias("size"), best.alias("best")).select("cluster_id", "size", F.col("best.label").alias("dominant_label"), (-F.col("best.minus")).alias("n_dominant"))
 
 
 def purity(points: DataFrame, digits: int = 4) -> DataFrame:
@@ -92,12 +103,15 @@ def contamination_fix(points: DataFrame, threshold: float = THRESHOLD) -> DataFr
     top = dominant(points)
     counted = label_counts(points).join(top, "cluster_id")
     dirty = counted.where((F.col("label") != F.col("dominant_label")) & (F.col("n") / F.col("size") > threshold)).select("cluster_id", "label")
-    targets = centroids(points).join(top, "cluster_id").groupBy(F.col("dominant_label").alias("label")).agg(F.array_sort(F.collect_list(F.struct(F.col("cluster_id").alias("id"), F.col("centroid").alias("c")))).alias("targets"))
-    plan = dirty.join(targets, "label")
-    others = F.filter("targets", lambda t: t["id"] != F.col("cluster_id"))
-    best = F.array_min(F.transform(others, lambda t: F.struct(distance(F.col("vector"), t["c"]).alias("d"), t["id"].alias("id"))))
-    moved = points.join(few(plan), ["cluster_id", "label"], "left").withColumn("best", best)
-    return moved.select(*points.columns, F.coalesce("best.id", "cluster_id").alias("new_cluster_id"))
+    targets = top.select(F.col("dominant_label").alias("label"), F.col("cluster_id").alias("target"))
+    # a pair (cluster, label) meets the clusters that the label dominates one by one; centroids come by their own join, and only the nearest target stays with a row
+    plan = dirty.join(targets, "label").where("target <> cluster_id").join(centroids(points).select(F.col("cluster_id").alias("target"), F.col("centroid").alias("c")), "target")
+    staging = Staging(points.sparkSession, "repair")
+    fixed = placed(staging.write(points, "points"))
+    moving = fixed.join(sent(plan), ["cluster_id", "label"])
+    best = F.min(F.struct(distance(F.col("vector"), F.col("c")).alias("d"), F.col("target").alias("id"))).alias("best")
+    moved = moving.groupBy(FILE, ROW).agg(best)
+    return fixed.join(moved, [FILE, ROW], "left").select(*points.columns, F.coalesce("best.id", "cluster_id").alias("new_cluster_id"))
 
 
 def within(points: DataFrame) -> DataFrame:
@@ -232,25 +246,39 @@ def bundle(points: DataFrame, key: str = "key", sample: int | None = SAMPLE) ->
     return row.select(F.round("silhouette", 4).alias("silhouette"), F.round("calinski_harabasz", 2).alias("calinski_harabasz"), F.round("davies_bouldin", 4).alias("davies_bouldin"), "purity")
 
 
-def medoids(points: DataFrame, key: str = "key") -> DataFrame:
-    """The point nearest to each centroid (ties: the smallest key)."""
+def medoids(points: DataFrame, key: str = "key", order: str | None = None) -> DataFrame:
+    """The point nearest to each centroid (ties: the first in ``order``, else the smallest key)."""
     d = distance(F.col("vector"), F.col("centroid"))
-    return points.join(few(centroids(points)), "cluster_id").groupBy("cluster_id").agg(F.min(F.struct(F.round(d, 9).alias("d"), F.col(key).alias("k"))).alias("best")).select("cluster_id", F.col("best.k").alias("medoid"))
+    near = F.min(F.struct(F.round(d, 9).alias("d"), F.col(order or key).alias("at"), F.col(key).alias("k"))).alias("best")
+    return points.join(few(centroids(points)), "cluster_id").groupBy("cluster_id").agg(near).select("cluster_id", F.col("best.k").alias("medoid"))
 
 
-def first_keys(points: DataFrame, key: str = "key", n: int = 5) -> DataFrame:
-    """The ``n`` smallest keys of each cluster.  Keys are ranked in salted parts first, so that no task ranks a whole cluster."""
-    part = W.partitionBy("cluster_id", "salt").orderBy(key)
-    some = points.select("cluster_id", key).withColumn("salt", F.pmod(F.xxhash64(key), F.lit(64))).withColumn("r", F.row_number().over(part)).where(F.col("r") <= n)
-    return some.groupBy("cluster_id").agg(F.slice(F.array_sort(F.collect_list(key)), 1, n).alias("samples"))
+def first_keys(points: DataFrame, key: str = "key", n: int = 5, order: str | None = None) -> DataFrame:
+    """The first ``n`` keys of each cluster in ``order`` (else the smallest).  Keys are ranked in salted parts first, so that no task ranks a whole cluster."""
+    at = [order, key] if order else [key]
+    part = W.partitionBy("cluster_id", "salt").orderBy(*at)
+    some = points.select("cluster_id", *dict.fromkeys(at)).withColumn("salt", F.pmod(F.xxhash64(key), F.lit(64))).withColumn("r", F.row_number().over(part)).where(F.col("r") <= n)
+    listed = F.slice(F.array_sort(F.collect_list(F.struct(F.col(at[0]).alias("at"), F.col(key).alias("k")))), 1, n)  # 64 * n at most
+    return some.groupBy("cluster_id").agg(F.transform(listed, lambda x: x["k"]).alias("samples"))
 
 
-def profiles(points: DataFrame, key: str = "key") -> DataFrame:
-    """Size, share, dominant label, purity, label counts, medoid and five samples of each cluster."""
-    top = dominant(points)
+#: Labels of a cluster that its map in a profile holds; more of them stay rows (``label_counts``).
+MOST_LABELS = 10_000
+
+
+def profiles(points: DataFrame, key: str = "key", order: str | None = None) -> DataFrame:
+    """Size, share, dominant label, purity, label counts, medoid and five samples of each cluster.
+
+    ``order`` is a column that says which row comes first (``sources.tables.Table.in_order`` adds the load order); it decides between equal labels and
+    distances, and which rows are samples.  Without it keys and labels decide.  A cluster of more than ``MOST_LABELS`` labels has a null map.
+    """
+    top = dominant(points, order)
     total = top.agg(F.sum("size").alias("total"))
-    spread = label_counts(points).groupBy("cluster_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("label").cast("string"), "n")))).alias("label_distribution"))
-    table = top.crossJoin(F.broadcast(total)).join(spread, "cluster_id").join(medoids(points, key), "cluster_id").join(first_keys(points, key), "cluster_id")
+    counts = label_counts(points)
+    kinds = counts.groupBy("cluster_id").agg(F.count("*").alias("kinds")).where(F.col("kinds") <= MOST_LABELS).select("cluster_id")
+    entries = F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("label").cast("string"), "n"))))
+    spread = counts.join(kinds, "cluster_id", "left_semi").groupBy("cluster_id").agg(entries.alias("label_distribution"))
+    table = top.crossJoin(F.broadcast(total)).join(spread, "cluster_id", "left").join(medoids(points, key, order), "cluster_id").join(first_keys(points, key, order=order), "cluster_id")
     return table.select(
         "cluster_id", "size", F.round(F.col("size") * 100.0 / F.col("total"), 2).alias("percentage"), "dominant_label", F.round(F.col("n_dominant") / F.col("size"), 4).alias("dominant_purity"),
         "label_distribution", F.col("medoid").alias("medoid_filename"), F.col("samples").alias("sample_filenames"),

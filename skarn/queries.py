@@ -20,8 +20,10 @@ from .operators import integration as I
 from .operators import metrics as M
 from .operators import ordering as O
 from .operators import sampling as P
+from .plans.crawling import photo_rows
 from .sources.catalog import Store, feature_rows
 from .sources.sinks import absent, object_url, remaining, upserted
+from .sources.staging import Staging
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -92,8 +94,7 @@ def filtered_scan(t):
 
 @query("SELECT count(*) AS total, count(*) FILTER (n_chars >= 1000) AS large, count(*) FILTER (lang = 'en') AS english FROM documents")
 def filtered_counts(t):
-    store = t.store(raw="documents")
-    return t._spark.createDataFrame([tuple(store.count("raw", c) for c in (None, "n_chars >= 1000", "lang = 'en'"))], "total long, large long, english long")
+    return t.store(raw="documents").counts("raw", total=None, large="n_chars >= 1000", english="lang = 'en'")
 
 
 @query("SELECT doc_id FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE doc_id % 2 = 0 END AS flag FROM documents) WHERE flag IS NOT TRUE")
@@ -443,18 +444,19 @@ def inline_and_web_urls(t):
     return rows.select("page_id", S.web_url(F.col("u")).alias("url"), S.inline_bytes(F.col("u")).cast("string").alias("inline"))
 
 
-@query("SELECT c_custkey, c_name, c_acctbal, CASE WHEN c_custkey % 3 = 0 THEN 'NEW' ELSE c_mktsegment END AS c_mktsegment FROM customer UNION ALL SELECT c_custkey + 10000000, c_name, c_acctbal, 'NEW' FROM customer WHERE c_custkey % 100 = 0")
+@query("SELECT c_custkey, c_name, c_acctbal, 'NEW' AS c_mktsegment FROM customer UNION ALL SELECT c_custkey + 10000000, c_name, c_acctbal, 'NEW' FROM customer UNION ALL SELECT -1 - c_custkey, c_name, c_acctbal, c_mktsegment FROM customer")
 def upsert_by_key(t):
     old = t.customer.select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
-    new = old.where("c_custkey % 3 = 0").unionByName(old.where("c_custkey % 100 = 0").withColumn("c_custkey", F.col("c_custkey") + 10000000))
-    return upserted(old, new.withColumn("c_mktsegment", F.lit("NEW")), "c_custkey")
+    new = old.unionByName(old.withColumn("c_custkey", F.col("c_custkey") + 10000000)).withColumn("c_mktsegment", F.lit("NEW"))
+    return upserted(old.where("c_custkey % 3 > 0").unionByName(old.withColumn("c_custkey", -1 - F.col("c_custkey"))), new, "c_custkey")
 
 
-@query("SELECT c_custkey FROM customer UNION ALL SELECT c_custkey + 10000000 FROM customer WHERE c_custkey % 100 = 0")
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'old' ELSE 'new' END AS source FROM customer UNION ALL SELECT c_custkey + 10000000, 'new' FROM customer")
 def insert_if_absent(t):
-    old = t.customer.select("c_custkey")
-    new = old.where("c_custkey % 3 = 0").unionByName(old.where("c_custkey % 100 = 0").select((F.col("c_custkey") + 10000000).alias("c_custkey")))
-    return old.unionByName(absent(new, old, "c_custkey"))
+    every = t.customer.select("c_custkey")
+    old = every.where("c_custkey % 3 = 0").withColumn("source", F.lit("old"))
+    new = every.unionByName(every.withColumn("c_custkey", F.col("c_custkey") + 10000000)).withColumn("source", F.lit("new"))
+    return old.unionByName(absent(new.unionByName(new), old, "c_custkey"))
 
 
 @query("SELECT 'd' || doc_id AS filename, source, lang, NULL::VARCHAR AS url FROM documents UNION ALL SELECT 'p' || page_id, 'web', NULL, url FROM pages")
@@ -506,6 +508,17 @@ def img_tag_extract(t):
     return t.pages.select("page_id", S.image_sources(F.concat("html", tags)).alias("sources"))
 
 
+@query("""WITH i AS (SELECT page_id, unnest([0, 1, 2]) AS place FROM pages) SELECT page_id, place::INTEGER AS place, CASE place WHEN 0 THEN '/q>' || page_id || '.jpg' WHEN 1 THEN 'a?x=' || page_id || '&y="é"' ELSE 'last.png' END AS source FROM i""")
+def page_image_sources(t):
+    """Images of every page and of tags put after it: in comments and scripts (none), with quoted marks, character references and repeated attributes."""
+    i = F.col("page_id").cast("string")
+    tags = F.concat(
+        F.lit("<!-- <img src=no.jpg> > --><script>var a = '<img src=no.jpg>'</script><style>/* <img src=no.jpg> */</style><p title=don't><IMG alt='a > b' SRC=\"/q>"), i, F.lit(".jpg\" src=no.jpg><img src = 'a?x="), i,
+        F.lit("&amp;y=&quot;&#233;&quot;' width=100 height='120px'><img data-src=no.jpg alt=\"src='no.jpg'\"><img width=99 height=200 src=no.jpg><img/src=last.png /><!-- <img src=no.jpg>"),
+    )
+    return S.page_images(t.pages.withColumn("html", F.concat("html", tags)), "page_id")
+
+
 @query("SELECT doc_id, lang, NULL::INTEGER AS width, n_chars::VARCHAR AS n_chars FROM documents")
 def unified_projection(t):
     return S.unified(t.documents, (("doc_id", "long"), ("lang", "string"), ("width", "int"), ("n_chars", "string")))
@@ -561,6 +574,21 @@ def json_unpack(t):
     return t.events.select("event_id", I.json_photos(F.col("props"), "k int").getField("k").alias("k"))
 
 
+@query("""WITH p AS (SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity, l_returnflag) - 1 AS place FROM lineitem)
+SELECT l_orderkey::VARCHAR AS keyword, 1 AS page, place::INTEGER AS place, CASE WHEN l_linenumber % 3 = 0 THEN 'http://b/' || l_orderkey || '/' || l_linenumber ELSE 'http://a/' || l_orderkey || '/' || l_linenumber END AS url,
+  CASE WHEN l_linenumber % 2 = 0 THEN l_returnflag ELSE l_orderkey::VARCHAR END AS description, (100 + l_linenumber)::INTEGER AS width, CASE WHEN l_linenumber % 5 = 0 THEN 0 ELSE l_linenumber END::INTEGER AS height FROM p""")
+def photo_unpack(t):
+    """API pages with an array of photos as JSON (made of orders and their lines) as one row for each photo."""
+    n = F.col("l_linenumber")
+    address = lambda host: F.concat(F.lit(f"http://{host}/"), F.col("l_orderkey").cast("string"), F.lit("/"), n.cast("string"))
+    src = F.struct(F.when(n % 3 > 0, address("a")).alias("large"), F.lit("").alias("large2x"), address("b").alias("original"))
+    photo = F.struct(n.cast("string").alias("id"), (100 + n).alias("width"), F.when(n % 5 > 0, n).alias("height"), F.when(n % 2 == 0, F.col("l_returnflag")).otherwise("").alias("alt"), src.alias("src"))
+    ordered = F.array_sort(F.collect_list(F.struct(n.alias("n"), "l_quantity", "l_returnflag", F.to_json(photo).alias("json"))))  # the lines of one order
+    pages = t.lineitem.groupBy("l_orderkey").agg(ordered.alias("rows"))
+    pages = pages.select(F.col("l_orderkey").cast("string").alias("keyword"), F.lit(1).alias("page"), F.transform("rows", lambda r: r["json"]).alias("photos"))
+    return photo_rows(pages, "pexels")
+
+
 # --- vectors
 
 
@@ -606,6 +634,15 @@ def lloyd_3_iterations(t):
     return K.lloyd(p, seeds, 3).select("key", "cluster_id")
 
 
+_FIRST = "k AS (SELECT cid, label, count(*) AS n, max(key) AS f FROM p GROUP BY cid, label), t AS (SELECT cid, sum(n)::BIGINT AS size, arg_min(label, (-n, -f)) AS dom, max(n) AS nd FROM k GROUP BY cid)"
+
+
+@query(f"WITH {_P}, {_C}, {_D}, {_FIRST}, m AS (SELECT cid, arg_min(key, (round(d, 9), -key)) AS medoid FROM d GROUP BY cid), f AS (SELECT cid, list(key ORDER BY key DESC)[1:5] AS samples FROM p GROUP BY cid) SELECT t.cid AS cluster_id, size, dom AS dominant_label, medoid AS medoid_filename, samples AS sample_filenames FROM t JOIN m USING (cid) JOIN f USING (cid)")
+def profiles_in_load_order(t):
+    """Ties and samples by an order of rows, here from the last key to the first."""
+    return M.profiles(points(t).withColumn("at", -F.col("key")), order="at").select("cluster_id", "size", "dominant_label", "medoid_filename", "sample_filenames")
+
+
 @query(f"WITH {_P}, {_T} SELECT round(sum(nd) / sum(size), 4) AS purity FROM t")
 def purity(t):
     return M.purity(points(t))
@@ -681,13 +718,28 @@ def silhouette_points(t):
     return M.silhouettes(by_label(t), sample=None).select("key", F.round("s", 5).alias("s"))
 
 
-_KTABLE = ((2, 0.5, 100.0, 1.2), (3, 0.6, 90.0, 1.0), (4, 0.6, 120.0, 0.9), (5, 0.4, 120.0, 0.9))
-_KROWS = "r(k, sil, ch, db) AS (VALUES " + ", ".join(f"({k}, {a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE)" for k, a, b, c in _KTABLE) + ")"
+_KS = (2, 3, 4, 5)
+_KPARTS = ", ".join(
+    f"p{k} AS (SELECT vec_id AS key, embedding::DOUBLE[] AS v, (vec_id % {k})::INTEGER AS cid FROM embeddings), x{k} AS (SELECT cid, generate_subscripts(v, 1) AS i, unnest(v) AS e FROM p{k}), c{k} AS (SELECT cid, list(m ORDER BY i) AS c FROM (SELECT cid, i, avg(e) AS m FROM x{k} GROUP BY cid, i) GROUP BY cid), "
+    f"d{k} AS (SELECT p.*, c.c, list_distance(v, c) AS d FROM p{k} p JOIN c{k} c USING (cid)), o{k} AS (SELECT list(m ORDER BY i) AS o FROM (SELECT i, avg(e) AS m FROM x{k} GROUP BY i)), g{k} AS (SELECT cid, any_value(c) AS c, sum(d * d) AS sse, avg(d) AS s, count(*) AS n FROM d{k} GROUP BY cid), "
+    f"q{k} AS (SELECT x.key, x.cid AS own, y.cid AS other, sum(CASE WHEN x.key = y.key THEN 0 ELSE list_distance(x.v, y.v) END) AS s, count(*) AS n FROM p{k} x, p{k} y GROUP BY 1, 2, 3), z{k} AS (SELECT (b - a) / greatest(a, b) AS s FROM (SELECT key, s / (n - 1) AS a FROM q{k} WHERE own = other) JOIN (SELECT key, min(s / n) AS b FROM q{k} WHERE own <> other GROUP BY key) USING (key))"
+    for k in _KS
+)
+_KROWS = f"{_KPARTS}, r AS (" + " UNION ALL ".join(
+    f"SELECT {k} AS k, (SELECT round(avg(s), 4) FROM z{k}) AS sil, (SELECT round((sum(n * list_distance(c, o) ** 2) / (count(*) - 1)) / (sum(sse) / (sum(n) - count(*))), 2) FROM g{k}, o{k}) AS ch, (SELECT round(avg(r), 4) FROM (SELECT max((a.s + b.s) / list_distance(a.c, b.c)) AS r FROM g{k} a JOIN g{k} b ON a.cid <> b.cid GROUP BY a.cid)) AS db"
+    for k in _KS
+) + ")"
 _VOTES = f"WITH {_KROWS}, b AS (SELECT (SELECT k FROM r ORDER BY sil DESC, k LIMIT 1) AS s, (SELECT k FROM r ORDER BY ch DESC, k LIMIT 1) AS c, (SELECT k FROM r ORDER BY db, k LIMIT 1) AS d), v AS (SELECT k, sum(w)::BIGINT AS votes FROM (SELECT s AS k, 3 AS w FROM b UNION ALL SELECT c, 2 FROM b UNION ALL SELECT d, 1 FROM b) GROUP BY k)"
 
 
 def _ktable(t: Tables) -> DataFrame:
-    return t._spark.createDataFrame(_KTABLE, "k int, silhouette double, calinski_harabasz double, davies_bouldin double")
+    """Scores of several partitions of the vectors, one for each k: by the remainder of the key, which SQL can repeat."""
+    out = None
+    for k in _KS:
+        p = t.embeddings.select(F.col("vec_id").alias("key"), F.col("embedding").alias("vector"), F.col("label").cast("string").alias("label"), (F.col("vec_id") % k).cast("int").alias("cluster_id"))
+        row = M.bundle(p, sample=None).select(F.lit(k).alias("k"), "silhouette", "calinski_harabasz", "davies_bouldin")
+        out = row if out is None else out.unionByName(row)
+    return Staging(t._spark, "scores").write(out, "k")  # one row for each k, read more than once
 
 
 @query(f"{_VOTES} SELECT k::INTEGER AS k, votes FROM v")

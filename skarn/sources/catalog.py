@@ -80,6 +80,10 @@ class Store:
     def count(self, stage: str, condition: str | None = None) -> int:
         return self.find(stage, condition).count()
 
+    def counts(self, stage: str, **conditions: str | None) -> DataFrame:
+        """One row with the number of rows that meet each condition (None: all), in one scan."""
+        return self.stage(stage).agg(*[(F.count("*") if c is None else F.count_if(F.expr(c))).alias(n) for n, c in conditions.items()])
+
     def count_by(self, stage: str, column: str) -> DataFrame:
         return self.stage(stage).groupBy(column).agg(F.count("*").alias("count"))
 

@@ -160,3 +160,39 @@ def test_standard_and_tensor():
     out = im.standard(picture(), 160)
     assert out.shape == (160, 160, 3)
     assert im.tensor(out).shape == (3, 160, 160)
+
+
+def test_image_tags_equal_html_parser(spark):
+    """Pages put together at random from tags, comments, scripts, quotes, marks and character references."""
+    import random
+    from html.parser import HTMLParser
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.found = []
+
+        def handle_starttag(self, tag, attrs):
+            if tag == "img":
+                first = {}
+                for k, v in attrs:
+                    first.setdefault(k, v)
+                size = lambda n: (lambda m: int(m[0]) if m else None)(__import__("re").match(r"\s*(\d+)", first.get(n) or ""))
+                src, w, h = (first.get("src") or "").strip(), size("width"), size("height")
+                if src and ".gif" not in src.lower() and not src.lower().startswith("data:image/gif") and (w is None or h is None or (w >= 100 and h >= 100)):
+                    self.found.append(src)
+
+    pieces = [
+        "<img src=a.jpg>", "<IMG SRC='b > c.png' alt=x>", '<img alt="src=\'no\'" src="d&amp;e.png?a=1&b=2">', "<img width=90 height=200 src=f.jpg>", "<img width='150' height=120 src = g.jpg />", "<img src=h.gif>", "<img src='' data-src=no>",
+        "<img src=i.jpg src=j.jpg>", "<img/src=k.jpg>", "<image src=no>", "<p title=don't>", "<!-- <img src=no> -->", "<!-- > <img src=no>-->", "<script>if (a < b) '<img src=no>'</script>", "<style>a{b:'<img src=no>'}</style>", "text & &lt;img src=no&gt;", "<a href='x>y'>",
+        "<br/>", "</p>", "<img\nsrc=l&#233;.jpg\n>", "<img alt src=m.jpg>", "<img src=\"n.jpg\"width=200 height=200>", "<img width=100px height=100.5 src=o.jpg>", "é", "\n",
+    ]
+    rng = random.Random(3)
+    rows = [(i, "".join(rng.choice(pieces) for _ in range(rng.randrange(30)))) for i in range(400)] + [(1000, None), (1001, ""), (1002, "<img src=a.jpg" + " x=1" * 400 + "><img src=z.jpg>")]
+    got = {}
+    for r in S.page_images(spark.createDataFrame(rows, "i int, html string"), "i").orderBy("i", "place").collect():
+        got.setdefault(r.i, []).append(r.source)
+    for i, page in rows:
+        plain = Plain()
+        plain.feed(page or "")
+        assert got.get(i, []) == plain.found, page

@@ -321,6 +321,48 @@ def test_dominant_tie_takes_the_smallest_label(spark):
     assert M.dominant(points).first().dominant_label == "lb"
 
 
+def test_ties_follow_the_load_order(spark, tmp_path):
+    """Rows are loaded against the order of their keys and labels: the first loaded one wins, as in a loop over rows."""
+    from skarn.sources.tables import Table
+
+    rows = [(9 - i, [float(i % 2)], 0, "zzyyxx"[i % 6]) for i in range(8)] + [(100 - i, [1.0], 1, "ba"[i % 2]) for i in range(6)]
+    table = Table(spark, str(tmp_path / "t"))
+    for part in (rows[:5], rows[5:]):
+        table.append(spark.createDataFrame(part, "key long, vector array<double>, cluster_id int, label string").coalesce(1))
+    points = table.in_order()
+    got = {r.cluster_id: r for r in M.profiles(points, order="position").collect()}
+    assert (got[0].dominant_label, got[0].medoid_filename, got[0].sample_filenames) == ("z", 9, [9, 8, 7, 6, 5])
+    assert (got[1].dominant_label, got[1].medoid_filename, got[1].sample_filenames) == ("b", 100, [100, 99, 98, 97, 96])
+    plain = {r.cluster_id: r for r in M.profiles(points).collect()}
+    assert (plain[1].dominant_label, plain[1].medoid_filename, plain[1].sample_filenames) == ("a", 95, [95, 96, 97, 98, 99])
+
+
+def test_profiles_of_many_labels(spark, monkeypatch):
+    monkeypatch.setattr(M, "MOST_LABELS", 3)
+    points = frame(spark, np.zeros((9, 1)), np.array([0] * 6 + [1] * 3), ["a", "b", "c", "d", "e", "a", "x", "y", "x"])
+    got = {r.cluster_id: r.label_distribution for r in M.profiles(points).collect()}
+    assert got == {0: None, 1: {"lx": 2, "ly": 1}}
+
+
+@pytest.mark.parametrize("limit", [64 << 20, 0])
+def test_repair_with_many_targets(spark, monkeypatch, limit):
+    monkeypatch.setattr(M, "SENT_BYTES", limit)
+    rng = np.random.default_rng(5)
+    n = 400
+    own, label = rng.integers(0, 12, n), rng.integers(0, 3, n)
+    label = np.where(rng.random(n) < 0.7, own % 3, label)
+    x = rng.normal(size=(n, 4))
+    points = frame(spark, x, own, label)
+    got = {r.key: r.new_cluster_id for r in M.contamination_fix(points).collect()}
+    count = np.array([[((own == c) & (label == k)).sum() for k in range(3)] for c in range(12)])
+    top, centre = count.argmax(1), np.array([x[own == c].mean(0) for c in range(12)])
+    for i in range(n):
+        c, k = own[i], label[i]
+        others = [t for t in range(12) if top[t] == k and t != c]
+        moves = k != top[c] and count[c, k] / count[c].sum() > M.THRESHOLD and others
+        assert got[i] == (min(others, key=lambda t: (np.linalg.norm(x[i] - centre[t]), t)) if moves else c)
+
+
 def test_nearest_tie_takes_the_lowest_id(spark):
     centres = spark.createDataFrame([(2, [1.0]), (1, [-1.0])], "cluster_id int, centroid array<double>")
     assert M.nearest(frame(spark, np.array([[0.0]]), np.array([9])), centres).first().cluster_id == 1

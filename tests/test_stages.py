@@ -9,7 +9,7 @@ from skarn.operators.embedding import block_colours, embedder
 from skarn.plans import stages
 from skarn.sources.catalog import Config, PhotoPages, Store, contents, image_files, images, objects
 from skarn.sources.sinks import delete, insert_if_absent, native, upsert
-from skarn.streaming.cleaning import clean_stream
+from skarn.streaming.cleaning import clean_stream, clean_stream_by_base
 from tests.test_functions import picture
 from tests.test_operators import SCHEMA, rows_of, sequential
 
@@ -176,6 +176,23 @@ def test_stream_equals_batch(spark, store, tmp_path):
     assert got == sequential(rows)
 
 
+def test_stateful_stream_equals_batch(spark, store, tmp_path):
+    """States outlive restarts: the fold goes on though its earlier verdicts can't be read any more."""
+    rows = sorted(rows_of(150, 9), key=lambda r: (r[7], r[0]))
+    rows = [(*r[:4], None if i % 10 == 3 and r[3] == 150 else r[4], *r[5:]) for i, r in enumerate(rows)]
+    source, got = str(tmp_path / "in"), {}
+    schema = spark.createDataFrame([], SCHEMA).schema
+    for k, part in enumerate((rows[:60], rows[60:90], rows[90:])):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(source)
+        clean_stream_by_base(spark.readStream.schema(schema).parquet(source), store, str(tmp_path / "cp"), f"clean_{k}").awaitTermination()
+        found = store.read(f"clean_{k}").collect()
+        assert len(found) == len(part) and all(r.cleaned == (r.reject_reason is None) for r in found)
+        got |= {r.filename: r for r in found}
+    want = sequential([r if r[4] is not None else (*r[:3], None, *r[4:]) for r in rows])
+    assert {k: r.reject_reason for k, r in got.items()} == want
+    assert all(tuple(got[r[0]])[:8] == r for r in rows)
+
+
 def test_command_line_reports_errors(spark, tmp_path):
     assert stages.main(["--root", str(tmp_path / "none"), "clean"]) == 1
     with pytest.raises(SystemExit):
