@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ordering import numbered
 from .quantiles import quantiles
 
 QUARTERS = (0.25, 0.5, 0.75)
@@ -158,10 +159,21 @@ def batch_summary(predictions: DataFrame) -> DataFrame:
     return predictions.agg(F.round(F.avg("confidence"), 4).alias("avg_confidence"), F.count("*").alias("total"), F.countDistinct("cluster_label").alias("n_labels"))
 
 
-def batch_groups(predictions: DataFrame) -> DataFrame:
-    """Count, files and rounded distances of each cluster, by file name."""
-    rows = F.array_sort(F.collect_list(F.struct("filename", F.round("distance_to_centroid", 4).alias("d"))))
-    return predictions.groupBy("cluster_id").agg(F.count("*").alias("count"), rows.alias("rows")).select("cluster_id", "count", F.col("rows.filename").alias("files"), F.col("rows.d").alias("distances"))
+#: Files in one row of ``batch_groups``.
+GROUP_PAGE = 10_000
+
+
+def batch_groups(predictions: DataFrame, page: int = GROUP_PAGE) -> DataFrame:
+    """Count, files and rounded distances of each cluster, by file name; a cluster has a row for every ``page`` of its files, numbered from 0.
+
+    Rows are numbered over the whole table first (``ordering.numbered``), so a cluster with most of the files is neither sorted nor listed in one task.
+    """
+    own = predictions.select("cluster_id", "filename", F.round("distance_to_centroid", 4).alias("d"))
+    placed = numbered(own, "cluster_id", "filename", "d")
+    sizes = placed.groupBy("cluster_id").agg(F.count("*").alias("count"), F.min("position").alias("first"))
+    paged = placed.join(sizes, "cluster_id").withColumn("page", F.floor((F.col("position") - F.col("first")) / page).cast("int"))
+    rows = F.array_sort(F.collect_list(F.struct("position", "filename", "d")))
+    return paged.groupBy("cluster_id", "page").agg(F.first("count").alias("count"), rows.alias("rows")).select("cluster_id", "page", "count", F.col("rows.filename").alias("files"), F.col("rows.d").alias("distances"))
 
 
 def contingency(profiles: DataFrame) -> DataFrame:

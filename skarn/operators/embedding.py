@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.images import decode, resize
+from ..functions.images import decode, resize, tensor
 from ..functions.vectors import row_l2, row_zscore
 
 BATCH = 32
@@ -31,6 +31,27 @@ def embedder(make: Callable[[], Callable[[np.ndarray], np.ndarray]], batch: int
     return predict_batch_udf(make, return_type=T.ArrayType(T.FloatType()), batch_size=batch)
 
 
+def over_tensors(make: Callable[[], Callable[[np.ndarray], np.ndarray]], side: int) -> Callable[[], Callable[[np.ndarray], np.ndarray]]:
+    """For ``embedder``: the model of ``make`` takes normalised channel-first tensors (n, 3, ``side``, ``side``) instead of encoded images.
+
+    Images that can't be decoded get vectors of NaN, which ``encoded`` leaves out.
+    """
+
+    def load() -> Callable[[np.ndarray], np.ndarray]:
+        model = make()
+
+        def run(batch: np.ndarray) -> np.ndarray:
+            images = [decode(bytes(data)) if data is not None else None for data in batch]
+            blank = np.zeros((3, side, side), np.float32)
+            out = np.array(model(np.stack([blank if x is None else tensor(resize(x, side, side)) for x in images])), np.float32)
+            out[[x is None for x in images]] = np.nan
+            return out
+
+        return run
+
+    return load
+
+
 def encoded(rows: DataFrame, embed: Callable[[Column], Column], name: str = "resnet", only_standard: bool = False) -> DataFrame:
     """``rows`` (with ``content``) with ``<name>_vector`` and ``<name>_dim``: z-scored for ``resnet``, unit length for ``clip``; undecodable rows go."""
     rows = rows.where(~F.col("is_augmented")) if only_standard else rows

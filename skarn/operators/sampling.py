@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SEED = 42
+#: Quotas are broadcast up to this number of classes.
+BROADCAST_CLASSES = 10_000
 
 
 def quotas(df: DataFrame, label: str, size: int) -> DataFrame:
@@ -31,7 +33,8 @@ def stratified(df: DataFrame, key: str, label: str, size: int | None, seed: int
     hashed = df.withColumn("h", F.xxhash64(F.lit(seed), key)).withColumn("bucket", F.shiftrightunsigned("h", 52).cast("int"))
     sizes = hashed.groupBy(label, "bucket").agg(F.count("*").alias("in_bucket"))
     before = F.coalesce(F.sum("in_bucket").over(W.partitionBy(label).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    cut = sizes.withColumn("before", before).join(F.broadcast(quotas(df, label, size)), label).where("before < quota")
+    shares = quotas(df, label, size)
+    cut = sizes.withColumn("before", before).join(F.broadcast(shares) if shares.count() <= BROADCAST_CLASSES else shares, label).where("before < quota")
     kept = hashed.join(cut.select(label, "bucket", "in_bucket", "before", "quota"), [label, "bucket"])
     whole = kept.where("before + in_bucket <= quota")
     edge = kept.where("before + in_bucket > quota").withColumn("rank", F.row_number().over(W.partitionBy(label, "bucket").orderBy("h", key))).where("rank <= quota - before")
@@ -39,10 +42,22 @@ def stratified(df: DataFrame, key: str, label: str, size: int | None, seed: int
 
 
 def random_sample(df: DataFrame, key: str, size: int | None, seed: int = SEED) -> DataFrame:
-    """``size`` rows by the order of a seeded MD5 of the key (a distributed top-n); everything if it is null or not below the row count."""
+    """``size`` rows by the order of a seeded MD5 of the key; everything if it is null or not below the row count.
+
+    Rows are counted in 65,536 hash buckets; the buckets before the cut are kept whole, and only the bucket at the cut is sorted, so no task holds the sample.
+    """
     if size is None or size >= df.count():
         return df
-    return df.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))), key).limit(size)
+    hashed = df.withColumn("h", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")))).withColumn("bucket", F.conv(F.substring("h", 1, 4), 16, 10).cast("int"))
+    at = before = 0
+    for r in hashed.groupBy("bucket").agg(F.count("*").alias("n")).orderBy("bucket").collect():  # one row for each bucket
+        at = r.bucket
+        if before + r.n > size:
+            break
+        before += r.n
+    whole = hashed.where(F.col("bucket") < at)
+    edge = hashed.where(F.col("bucket") == at).orderBy("h", key).limit(size - before)
+    return whole.unionByName(edge).select(*df.columns)
 
 
 def metadata(before: DataFrame, after: DataFrame, label: str, size: int | None, strategy: str, seed: int = SEED) -> DataFrame:

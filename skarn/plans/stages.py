@@ -18,7 +18,7 @@ from ..functions.images import inspector, transformer
 from ..functions.scalar import grade
 from ..operators import clustering, metrics, sampling
 from ..operators.cleaning import OUTCOMES, cleaning_fold, not_yet, outcome
-from ..operators.embedding import embedder, encoded
+from ..operators.embedding import embedder, encoded, over_tensors
 from ..operators.integration import expand_variants, features_of, integrate
 from ..sources.catalog import Store, contents, objects
 from ..sources.sinks import insert_if_absent, put_objects, save_model, save_run, upsert
@@ -158,7 +158,11 @@ def predict_images(store: Store, model_id: str, folder: str, embed: Callable[[Co
     return predict(store, model_id, vectors)
 
 
-def evaluation(store: Store, run_id: str | None = None, gallery: bool = True, scatter: bool = True) -> dict[str, DataFrame]:
+#: Points and components of the silhouettes of an evaluation.
+SILHOUETTE_SAMPLE, SILHOUETTE_COMPONENTS = 3000, 64
+
+
+def evaluation(store: Store, run_id: str | None = None, gallery: bool = True, scatter: bool = True, silhouettes: bool = True) -> dict[str, DataFrame]:
     """The tables behind the evaluation charts of a run (the latest by default).  The confusion matrix has a row for each cluster and label that meet, however many there are."""
     from ..operators.aggregates import contingency
 
@@ -175,6 +179,11 @@ def evaluation(store: Store, run_id: str | None = None, gallery: bool = True, sc
     if scatter and store.exists("clip_features"):  # two components of a sample of the run's vectors
         vectors = features_of(tables["cluster_assignments"].select("filename", "cluster_id", "true_label"), store.features())
         out["scatter"] = clustering.pca_2d(vectors.select(F.col("filename").alias("key"), F.col("clip_vector").alias("vector"), "cluster_id", "true_label"))
+    if silhouettes and store.exists("clip_features"):  # sorted silhouettes of each cluster, over 64 components of a sample
+        vectors = features_of(tables["cluster_assignments"].select("filename", "cluster_id"), store.features())
+        some = sampling.random_sample(vectors.select(F.col("filename").alias("key"), F.col("clip_vector").alias("vector"), "cluster_id"), "key", SILHOUETTE_SAMPLE)
+        flat = clustering.projected(some, clustering.pca_pipeline(some, SILHOUETTE_COMPONENTS))
+        out["silhouettes"] = metrics.silhouette_groups(metrics.silhouettes(flat, sample=None))
     if "k_search_metadata" in tables:
         out["k_curve"] = metrics.k_curve(tables["k_search_metadata"])
     return out
@@ -201,6 +210,7 @@ def parser() -> argparse.ArgumentParser:
     e.add_argument("--out-dir")
     n = sub.add_parser("encode")
     n.add_argument("--name", choices=("resnet", "clip"), default="clip")
+    n.add_argument("--side", type=int, help="give the model normalised tensors of this side instead of encoded images")
     d = sub.add_parser("predict")
     d.add_argument("--model-id", required=True)
     d.add_argument("--image-dir")
@@ -211,9 +221,10 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def _model(name: str) -> Callable[[Column], Column]:
+def _model(name: str, side: int | None = None) -> Callable[[Column], Column]:
     module, _, function = name.partition(":")
-    return embedder(getattr(importlib.import_module(module), function))
+    make = getattr(importlib.import_module(module), function)
+    return embedder(make if side is None else over_tensors(make, side))
 
 
 def main(args: list[str] | None = None) -> int:
@@ -229,7 +240,7 @@ def main(args: list[str] | None = None) -> int:
             for name, df in evaluation(store, a.run_id, not a.no_gallery, not a.no_scatter).items():
                 df.write.mode("overwrite").json(f"{a.out_dir or store.path('evaluation')}/{name}")
         elif a.command == "encode":
-            print(run_encoding(store, _model(a.embedder), a.name))
+            print(run_encoding(store, _model(a.embedder, a.side), a.name))
         elif a.command == "predict":
             if bool(a.image_dir) == bool(a.image_file):
                 raise ValueError("give --image-dir or --image-file")

@@ -778,7 +778,7 @@ def batch_summary(t):
     return A.batch_summary(_predicted(t))
 
 
-@query(_PRED + " SELECT cid AS cluster_id, count(*) AS count, list(key ORDER BY key) AS files, list(d ORDER BY key) AS distances FROM r GROUP BY cid")
+@query(_PRED + " SELECT cid AS cluster_id, 0 AS page, count(*) AS count, list(key ORDER BY key) AS files, list(d ORDER BY key) AS distances FROM r GROUP BY cid")
 def batch_groups(t):
     return A.batch_groups(_predicted(t))
 
@@ -832,6 +832,24 @@ def pca_2d(t):
     return K.pca_2d(points(t).select("key", "vector"))
 
 
+@query("WITH p AS (SELECT vec_id AS key, embedding::DOUBLE[] AS v FROM embeddings), x AS (SELECT key, generate_subscripts(v, 1) AS i, unnest(v) AS e FROM p), m AS (SELECT i, avg(e) AS m, stddev_samp(e) AS s FROM x GROUP BY i), z AS (SELECT key, list((e - m) / s ORDER BY i) AS z FROM x JOIN m USING (i) GROUP BY key) SELECT a.key, round(list_distance(a.z, b.z), 5) AS distance FROM z a JOIN z b ON b.key = a.key + 1")
+def pca_distances(t):
+    """Distances of neighbouring vectors after a projection to all components: a rotation of the standardised columns keeps them."""
+    p = points(t).select("key", "vector")
+    flat = K.projected(p, K.pca_pipeline(p)).select("key", "vector")
+    other = flat.select((F.col("key") - 1).alias("key"), F.col("vector").alias("other"))
+    return flat.join(other, "key").select("key", F.round(V.distance(F.col("vector"), F.col("other")), 5).alias("distance"))
+
+
+@query("SELECT 0::BIGINT AS moved, count(*) AS n FROM embeddings")
+def kmeans_is_stable(t):
+    """Points that are nearer to the mean of another cluster once KMeans has ended: none."""
+    p = points(t).drop("cluster_id")
+    found = K.assigned(p, K.kmeans(p)).select("key", "vector", "cluster_id")
+    again = M.nearest(found, M.centroids(found)).select("key", F.col("cluster_id").alias("other"))
+    return found.join(again, "key").agg(F.count_if(F.col("cluster_id") != F.col("other")).alias("moved"), F.count("*").alias("n"))
+
+
 @query()
 def pca_explained(t):
     return t._spark.createDataFrame([(K.explained(K.pca_pipeline(points(t).select("key", "vector"))),)], "explained double")

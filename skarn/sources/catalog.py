@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..functions.images import PNG, pixel_bytes
+from ..functions.images import pixel_bytes
 from .tables import Table
 
 #: Stages and the tables behind them.
@@ -138,7 +138,7 @@ def object_bytes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def contents(spark: SparkSession, folder: str, wanted: DataFrame | None = None, few: int = 10_000) -> DataFrame:
-    """``key`` (below ``folder``) and ``content`` of images: PNG bytes as they are, other formats (JPEG, BMP, GIF) as pixels that Spark's image reader decodes.
+    """``key`` (below ``folder``) and ``content`` of images, as pixels that Spark's image reader decodes (PNG, JPEG, BMP, GIF).
 
     ``wanted`` (``key``) are the images that are needed: up to ``few`` of them only their files are read, more are joined to a scan of the folder.
     Bytes that are no image stay as they are.
@@ -154,12 +154,11 @@ def contents(spark: SparkSession, folder: str, wanted: DataFrame | None = None,
             at = [f"{folder.rstrip('/')}/{r.key}" for r in names]
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(at).select(key(F.col("path")).alias("key"), "content")
     seen = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", True).load(at)
-    seen = seen.select(key(F.col("image.origin")).alias("key"), pixel_bytes(F.col("image")).alias("pixels"))
+    seen = seen.select(key(F.col("image.origin")).alias("key"), pixel_bytes(F.col("image")).alias("content"))
     if wanted is not None:
         raw, seen = (x.join(wanted.select("key").distinct(), "key", "left_semi") for x in (raw, seen))
-    png = F.substring("content", 1, 8) == F.lit(bytearray(PNG))
-    other = raw.where(~png).join(seen, "key", "left").select("key", F.coalesce("pixels", "content").alias("content"))
-    return raw.where(png).unionByName(other)
+    broken = raw.select("key").join(seen.select("key"), "key", "left_anti")  # names only; their bytes are read after that
+    return seen.unionByName(raw.join(broken, "key", "left_semi"))
 
 
 def images(spark: SparkSession, folder: str, valid_only: bool = True) -> DataFrame:

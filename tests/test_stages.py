@@ -4,8 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skarn.functions.images import decode, decode_png, encode_png
-from skarn.operators.embedding import block_colours, embedder
+from skarn.functions.images import IMAGENET_MEAN, IMAGENET_STD, decode, decode_png, encode_png
+from skarn.operators.embedding import block_colours, embedder, encoded, over_tensors
 from skarn.plans import stages
 from skarn.sources.catalog import Config, PhotoPages, Store, contents, image_files, images, objects
 from skarn.sources.sinks import delete, insert_if_absent, native, upsert
@@ -71,6 +71,8 @@ def test_cluster_predict_evaluate(store):
     tables = stages.evaluation(store)
     assert tables["results"].first().n_samples == 60 and tables["k_curve"].where("is_best").first().k == 3
     assert sum(r["size"] for r in tables["profiles"].collect()) == 60
+    shapes = tables["silhouettes"].collect()
+    assert len(shapes) == 3 and sum(len(r.scores) for r in shapes) == 60 and all(r.scores == sorted(r.scores) and r["mean"] > 0.5 for r in shapes)
     with pytest.raises(FileNotFoundError):
         store.model("missing-model")
 
@@ -128,6 +130,30 @@ def toy():
     return block_colours
 
 
+def channel_means():
+    return lambda batch: batch.mean((2, 3))
+
+
+def test_models_over_tensors(store):
+    """A model gets normalised channel-first tensors; images that can't be decoded are left out."""
+    image = np.zeros((40, 60, 3), np.uint8)
+    image[:, :, 0] = 255
+    rows = store.spark.createDataFrame([("a", bytearray(encode_png(image)), False), ("b", bytearray(b"bad"), False), ("c", None, False)], "filename string, content binary, is_augmented boolean")
+    got = encoded(rows, embedder(over_tensors(channel_means, 32)), "clip").collect()
+    want = (np.array([1, 0, 0]) - np.array(IMAGENET_MEAN)) / np.array(IMAGENET_STD)
+    assert [r.filename for r in got] == ["a"] and got[0].clip_vector == pytest.approx(want / np.linalg.norm(want), abs=1e-5)
+
+
+def test_encoding_with_tensors_from_the_command_line(store, tmp_path):
+    filled(store)
+    stages.run_cleaning(store)
+    stages.run_integration(store)
+    stages.run_transformation(store, side=64)
+    assert stages.main(["--root", store.root, "encode", "--side", "16", "--embedder", "tests.test_stages:channel_means"]) == 0
+    rows = store.read("clip_features").collect()
+    assert len(rows) == 2 and all(r.clip_dim == 3 for r in rows)
+
+
 def test_empty_features_and_unknown_stage(store):
     store.spark.createDataFrame([], "filename string, label string, object_name string, clip_vector array<float>").write.parquet(store.path("clip_features"))
     with pytest.raises(ValueError):
