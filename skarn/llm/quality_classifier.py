@@ -1,6 +1,6 @@
 """Quality classifier with supervised subword embeddings.
 
-A document is the mean of learned vectors of its words and of the byte n-grams inside its words, all hashed to ``BUCKETS`` rows of
+A document is the mean of learned vectors of its words and of the character n-grams inside its words, all hashed to ``BUCKETS`` rows of
 one table, and of a mark for each word that is the same as the word before; a softmax layer follows.  Both layers are trained
 together by stochastic gradient descent in numpy, on at most ``PER_CLASS`` labelled rows of each class that are not held out.
 Labels, language, source and id are no inputs.
@@ -55,16 +55,17 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         up, down = _BYTES.get(n + 1)
         sums = np.zeros(n + 1, U64)
         np.cumsum((w.data.astype(U64) + U64(1)) * up[:n], out=sums[1:])
-        width = w.ends - w.starts
-        inside = np.repeat(w.ends, width)  # end of the word of each solid byte
-        first = np.cumsum(width) - width
-        place = np.arange(len(inside)) - np.repeat(first, width) + np.repeat(w.starts, width)
+        chars = np.append(np.flatnonzero((w.data & 0xC0) != 0x80), n)  # where each code point starts, and the end
+        low, high = np.searchsorted(chars, w.starts), np.searchsorted(chars, w.ends)
+        width = high - low
+        inside = np.repeat(high, width)  # end of the word of each of its code points
+        place = np.arange(len(inside)) - np.repeat(np.cumsum(width) - width, width) + np.repeat(low, width)
         word_row = np.repeat(owner, width)
         for k, spread in zip(GRAMS, _SPREAD[1:], strict=False):
             fits = place + k <= inside
-            at = place[fits]
+            at, end = chars[place[fits]], chars[place[fits] + k]
             row.append(word_row[fits])
-            bucket.append(((sums[at + k] - sums[at]) * down[at] * spread) >> U64(64 - BITS))
+            bucket.append(((sums[end] - sums[at]) * down[at] * spread) >> U64(64 - BITS))
     return np.concatenate(row), np.concatenate(bucket).astype(np.int64)
 
 

@@ -86,13 +86,14 @@ def word_hash(raw):
 def quality_features(text, bits, grams, spread, again):
     """bucket -> how often."""
     out, before = defaultdict(int), None
-    for raw in (w.encode() for w in WORD.findall(text or "")):
+    for word in WORD.findall(text or ""):
+        raw = word.encode()
         out[(word_hash(raw) * spread[0] & MASK) >> (64 - bits)] += 1
         out[again] += raw == before
         before = raw
         for k, times in zip(grams, spread[1:]):
-            for i in range(len(raw) - k + 1):
-                out[(polynomial(raw[i : i + k]) * times & MASK) >> (64 - bits)] += 1
+            for i in range(len(word) - k + 1):
+                out[(polynomial(word[i : i + k].encode()) * times & MASK) >> (64 - bits)] += 1
     return {b: n for b, n in out.items() if n}
 
 
