@@ -356,15 +356,12 @@ def _applied(digest: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, blobs = batch.column("text"), batch.column("ranges").to_pylist()
-            n_words, n_removed, out = [], [], []
-            for lo, hi in pieces(texts):
+            texts = batch.column("text")
+            for lo, hi in pieces(texts):  # rows go on piece by piece, so a task holds one piece beside its input
                 w = words_of(texts[lo:hi])
-                raw = w.data.tobytes()
-                n_words.append(w.counts)
-                for d in range(hi - lo):
+                raw, n_removed, out = w.data.tobytes(), [], []
+                for d, blob in enumerate(batch.column("ranges")[lo:hi].to_pylist()):
                     i, j = int(w.first[d]), int(w.first[d + 1])
-                    blob = blobs[lo + d]
                     gone = np.zeros(j - i, bool)
                     if blob is not None:
                         for s, e in np.frombuffer(blob, np.int32).reshape(-1, 2):
@@ -375,8 +372,8 @@ def _applied(digest: bool):
                         out.append(hashlib.sha256(kept(raw, w.starts[i:j], w.ends[i:j], gone)).hexdigest())
                     else:
                         out.append(kept(raw, w.starts[i:j], w.ends[i:j], gone).decode() if n else texts[lo + d].as_py())
-            counted = np.concatenate(n_words).astype(np.int64) if n_words else []
-            yield pa.RecordBatch.from_arrays([batch.column("skarn_row"), pa.array(out, pa.string()), pa.array(counted, pa.int64()), pa.array(n_removed, pa.int64())], ["skarn_row", "text", "n_words", "n_removed"])
+                columns = [batch.column("skarn_row")[lo:hi], pa.array(out, pa.string()), pa.array(w.counts.astype(np.int64)), pa.array(n_removed, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["skarn_row", "text", "n_words", "n_removed"])
 
     return run
 
