@@ -237,13 +237,13 @@ def silhouette_groups(scores: DataFrame) -> DataFrame:
 
 
 def bundle(points: DataFrame, key: str = "key", sample: int | None = SAMPLE) -> DataFrame:
-    """One row: silhouette (4 digits), Calinski-Harabasz (2), Davies-Bouldin (4), purity (4)."""
+    """One row: silhouette (4 digits, never a negative zero), Calinski-Harabasz (2), Davies-Bouldin (4), purity (4)."""
     groups = within(points)
     parts = [silhouette(points, key, sample), calinski_harabasz(points, groups), davies_bouldin(points, groups), purity(points)]
     row = parts[0]
     for p in parts[1:]:
         row = row.crossJoin(F.broadcast(p))  # one row each
-    return row.select(F.round("silhouette", 4).alias("silhouette"), F.round("calinski_harabasz", 2).alias("calinski_harabasz"), F.round("davies_bouldin", 4).alias("davies_bouldin"), "purity")
+    return row.select((F.round("silhouette", 4) + 0.0).alias("silhouette"), F.round("calinski_harabasz", 2).alias("calinski_harabasz"), F.round("davies_bouldin", 4).alias("davies_bouldin"), "purity")
 
 
 def medoids(points: DataFrame, key: str = "key", order: str | None = None) -> DataFrame:

@@ -708,7 +708,7 @@ def silhouette_groups(t):
     return groups.select(F.col("cluster_id").cast("int").alias("cluster_id"), F.transform("scores", lambda s: F.round(s * 1000, 0).cast("long")).alias("scores"), "mean")
 
 
-@query(_S + f", {_C}, {_D}, {_T}, o AS (SELECT list(m ORDER BY i) AS o FROM (SELECT i, avg(e) AS m FROM x GROUP BY i)), g AS (SELECT cid, any_value(c) AS c, sum(d * d) AS sse, avg(d) AS s, count(*) AS n FROM d GROUP BY cid), r AS (SELECT a.cid, max((a.s + b.s) / list_distance(a.c, b.c)) AS r FROM g a JOIN g b ON a.cid <> b.cid GROUP BY a.cid) SELECT (SELECT round(avg(s), 4) FROM z) AS silhouette, (SELECT round((sum(n * list_distance(c, o) ** 2) / (count(*) - 1)) / (sum(sse) / (sum(n) - count(*))), 2) FROM g, o) AS calinski_harabasz, (SELECT round(avg(r), 4) FROM r) AS davies_bouldin, (SELECT round(sum(nd) / sum(size), 4) FROM t) AS purity")
+@query(_S + f", {_C}, {_D}, {_T}, o AS (SELECT list(m ORDER BY i) AS o FROM (SELECT i, avg(e) AS m FROM x GROUP BY i)), g AS (SELECT cid, any_value(c) AS c, sum(d * d) AS sse, avg(d) AS s, count(*) AS n FROM d GROUP BY cid), r AS (SELECT a.cid, max((a.s + b.s) / list_distance(a.c, b.c)) AS r FROM g a JOIN g b ON a.cid <> b.cid GROUP BY a.cid) SELECT (SELECT round(avg(s), 4) + 0.0::DOUBLE FROM z) AS silhouette, (SELECT round((sum(n * list_distance(c, o) ** 2) / (count(*) - 1)) / (sum(sse) / (sum(n) - count(*))), 2) FROM g, o) AS calinski_harabasz, (SELECT round(avg(r), 4) FROM r) AS davies_bouldin, (SELECT round(sum(nd) / sum(size), 4) FROM t) AS purity")
 def metric_bundle(t):
     return M.bundle(by_label(t), sample=None)
 
@@ -726,7 +726,7 @@ _KPARTS = ", ".join(
     for k in _KS
 )
 _KROWS = f"{_KPARTS}, r AS (" + " UNION ALL ".join(
-    f"SELECT {k} AS k, (SELECT round(avg(s), 4) FROM z{k}) AS sil, (SELECT round((sum(n * list_distance(c, o) ** 2) / (count(*) - 1)) / (sum(sse) / (sum(n) - count(*))), 2) FROM g{k}, o{k}) AS ch, (SELECT round(avg(r), 4) FROM (SELECT max((a.s + b.s) / list_distance(a.c, b.c)) AS r FROM g{k} a JOIN g{k} b ON a.cid <> b.cid GROUP BY a.cid)) AS db"
+    f"SELECT {k} AS k, (SELECT round(avg(s), 4) + 0.0::DOUBLE FROM z{k}) AS sil, (SELECT round((sum(n * list_distance(c, o) ** 2) / (count(*) - 1)) / (sum(sse) / (sum(n) - count(*))), 2) FROM g{k}, o{k}) AS ch, (SELECT round(avg(r), 4) FROM (SELECT max((a.s + b.s) / list_distance(a.c, b.c)) AS r FROM g{k} a JOIN g{k} b ON a.cid <> b.cid GROUP BY a.cid)) AS db"
     for k in _KS
 ) + ")"
 _VOTES = f"WITH {_KROWS}, b AS (SELECT (SELECT k FROM r ORDER BY sil DESC, k LIMIT 1) AS s, (SELECT k FROM r ORDER BY ch DESC, k LIMIT 1) AS c, (SELECT k FROM r ORDER BY db, k LIMIT 1) AS d), v AS (SELECT k, sum(w)::BIGINT AS votes FROM (SELECT s AS k, 3 AS w FROM b UNION ALL SELECT c, 2 FROM b UNION ALL SELECT d, 1 FROM b) GROUP BY k)"
