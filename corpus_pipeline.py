@@ -10,6 +10,8 @@ are carried through whatever their names, and rows of one ``doc_id`` with differ
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,16 +22,36 @@ from skarn.llm.registry import WEIGHTS
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
+#: Bytes of an Arrow batch that goes to a Python worker; the default lets two tasks of an executor hold several hundred MB in batches of texts.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(stage):
+    """A stage whose texts travel in small Arrow batches; a session that asks for smaller ones keeps its setting."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        now = spark.conf.get(BATCH).rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+            spark.conf.set(BATCH, str(BATCH_BYTES))
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that a rule rejects, those with null or empty texts among them; repeated rows share their verdict."""
     return quality_rules.keep_good(docs)
 
 
+@small_batches
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of least id of each component of near duplicates; a repeated row stays with its twin, rows without id come last."""
     return near_dup.keep_first(docs)
 
 
+@small_batches
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts out passages that occur earlier; documents that lose all their words go.  ``n_chars``, where there is one, follows the new text."""
     cut = substring_dedup.cut(docs).where("n_removed = 0 OR n_removed < n_words")
@@ -48,6 +70,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.replicated(docs, WEIGHTS).select("skarn_row.*")
 
 
+@small_batches
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text (little-endian unsigned 32-bit integers; none for a null one), and digests of them and of the decoded bytes."""
     coded = bpe.encode(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, keep=("doc_id", "source"), decode=True)
