@@ -24,7 +24,7 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 #: Bytes of an Arrow batch that goes to a Python worker; the default lets two tasks of an executor hold several hundred MB in batches of texts.
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def small_batches(stage):
