@@ -134,7 +134,12 @@ def parsed_time(c: Column) -> Column:
 
 
 def ratio(width: Column, height: Column, digits: int = 3) -> Column:
-    return F.round(F.try_divide(width.cast("double"), height.cast("double")), digits)
+    """Quotient rounded as doubles are by numpy and SQL engines: scaled, rounded to a whole number (halves away from 0) and scaled back.
+
+    ``F.round`` rounds the shortest decimal text of a double instead, so it takes 8.0955 up although 8.0955 * 1000 is below 8095.5.
+    """
+    scale = float(10**digits)
+    return F.round(F.try_divide(width.cast("double"), height.cast("double")) * scale, 0) / scale
 
 
 def confidence(distance: Column) -> Column:
