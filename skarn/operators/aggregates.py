@@ -163,17 +163,23 @@ def batch_summary(predictions: DataFrame) -> DataFrame:
 GROUP_PAGE = 10_000
 
 
-def batch_groups(predictions: DataFrame, page: int = GROUP_PAGE) -> DataFrame:
-    """Count, files and rounded distances of each cluster, by file name; a cluster has a row for every ``page`` of its files, numbered from 0.
+def batch_groups(predictions: DataFrame, page: int | None = None, whole: bool = False) -> DataFrame:
+    """Count, files and rounded distances of each cluster, by file name; a cluster has a row for every ``page`` (``GROUP_PAGE``) of its files, numbered from 0.
 
     Rows are numbered over the whole table first (``ordering.numbered``), so a cluster with most of the files is neither sorted nor listed in one task.
+    With ``whole`` the pages of a cluster are put one after the other into its only row, page 0; that row must fit into memory.
     """
+    page = GROUP_PAGE if page is None else page
     own = predictions.select("cluster_id", "filename", F.round("distance_to_centroid", 4).alias("d"))
     placed = numbered(own, "cluster_id", "filename", "d")
     sizes = placed.groupBy("cluster_id").agg(F.count("*").alias("count"), F.min("position").alias("first"))
     paged = placed.join(sizes, "cluster_id").withColumn("page", F.floor((F.col("position") - F.col("first")) / page).cast("int"))
     rows = F.array_sort(F.collect_list(F.struct("position", "filename", "d")))
-    return paged.groupBy("cluster_id", "page").agg(F.first("count").alias("count"), rows.alias("rows")).select("cluster_id", "page", "count", F.col("rows.filename").alias("files"), F.col("rows.d").alias("distances"))
+    pages = paged.groupBy("cluster_id", "page").agg(F.first("count").alias("count"), rows.alias("rows")).select("cluster_id", "page", "count", F.col("rows.filename").alias("files"), F.col("rows.d").alias("distances"))
+    if not whole:
+        return pages
+    lists = pages.groupBy("cluster_id").agg(F.first("count").alias("count"), F.array_sort(F.collect_list(F.struct("page", "files", "distances"))).alias("pages"))
+    return lists.select("cluster_id", F.lit(0).alias("page"), "count", F.flatten("pages.files").alias("files"), F.flatten("pages.distances").alias("distances"))
 
 
 def contingency(profiles: DataFrame) -> DataFrame:
