@@ -103,6 +103,11 @@ def padded_name(prefix: str, number: Column) -> Column:
     return F.concat(F.lit(prefix), F.format_string("%06d", number), F.lit(".jpg"))
 
 
+def fixed_name(prefix: str, number: Column) -> Column:
+    """A name whose number always has six digits, as SQL's ``lpad`` makes it: a longer number keeps its first six, so such names are not unique."""
+    return F.concat(F.lit(prefix), F.lpad(number.cast("string"), 6, "0"), F.lit(".jpg"))
+
+
 def stem(name: Column) -> Column:
     """Name without its last extension; a leading dot is part of the stem."""
     return F.when(name.rlike(r"^\.[^.]*$"), name).otherwise(F.regexp_replace(name, r"\.[^.]*$", ""))
