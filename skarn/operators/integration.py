@@ -88,8 +88,8 @@ def union_sources(*tables: DataFrame) -> DataFrame:
 
 
 def last_name(rows: DataFrame, column: str, pattern: str) -> DataFrame:
-    """``last``: the largest name that fits a pattern (numbers are padded, so the largest is the latest)."""
-    return rows.where(F.col(column).rlike(pattern)).agg(F.max(column).alias("last"))
+    """``last``: the latest name that fits a pattern.  Numbers are padded, so of two names the longer is later, and of equally long ones the larger."""
+    return rows.where(F.col(column).rlike(pattern)).agg(F.max_by(column, F.struct(F.length(column), F.col(column))).alias("last"))
 
 
 def next_ids(new: DataFrame, stored_ids: DataFrame, column: str, *order: str) -> DataFrame:
