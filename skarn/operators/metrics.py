@@ -7,7 +7,7 @@ joined by a shuffle, or compared block by block.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -153,32 +153,46 @@ def _cells(n: int) -> tuple[int, int]:
 
 
 def silhouettes(points: DataFrame, key: str = "key", sample: int | None = SAMPLE, seed: int = 42) -> DataFrame:
-    """``key``, ``cluster_id`` and Euclidean silhouette ``s`` of all points (``sample`` is None) or of a seeded sample of them; single members get 0.
+    """``key``, ``cluster_id`` and Euclidean silhouette ``s`` of all points (``sample`` is None) or of a seeded sample of them; single members get 0."""
+    return silhouettes_of(points, ["cluster_id"], key, sample, seed).select(key, "cluster_id", F.col("scores")[0].alias("s"))
 
-    All pairs are compared, in cells: points are dealt into row groups and column groups by hash, and the task of a cell holds its columns (``COLUMNS`` at most,
-    about) and reads its rows one piece after the other.  It passes on one sum of distances for each row and cluster; these are added by key.  Nothing but
-    the sizes of the clusters is broadcast, and a point travels to as many cells as there are groups of the other kind.
+
+def silhouettes_of(points: DataFrame, partitions: Sequence[str], key: str = "key", sample: int | None = SAMPLE, seed: int = 42) -> DataFrame:
+    """``key``, the columns ``partitions`` (cluster ids of several partitions of the same points) and ``scores``, the silhouettes in each of them.
+
+    All pairs are compared, in cells and once for all partitions: points are dealt into row groups and column groups by hash, and the task of a cell holds its
+    columns (``COLUMNS`` at most, about) and reads its rows one piece after the other.  It passes on one sum of distances for each row and cluster; these are
+    added by key.  Nothing but the sizes of the clusters is broadcast, and a point travels to as many cells as there are groups of the other kind.
     """
-    chosen = points.select(key, F.col("cluster_id").cast("long").alias("cluster_id"), doubles(F.col("vector")).alias("vector"))
+    own_ids = F.array(*[F.col(c).cast("long") for c in partitions]).alias("clusters")
+    chosen = points.select(key, own_ids, doubles(F.col("vector")).alias("vector"))
     if sample is not None:
         chosen = chosen.orderBy(F.xxhash64(F.lit(seed), key), key).limit(sample)
     staging = Staging(points.sparkSession, "silhouettes")
     fixed = placed(staging.write(chosen, "points"))
     point = F.struct(FILE, ROW)
-    sizes = {r.cluster_id: r.n for r in fixed.groupBy("cluster_id").agg(F.count("*").alias("n")).collect()}  # one row for each cluster
-    ids = np.array(sorted(sizes))
-    count = np.array([sizes[c] for c in ids.tolist()], float)
-    n = int(count.sum())
+    sizes: list[dict[int, int]] = [{} for _ in partitions]
+    for r in fixed.select(F.posexplode("clusters").alias("part", "cluster_id")).groupBy("part", "cluster_id").agg(F.count("*").alias("n")).collect():  # one row for each cluster
+        sizes[r.part][r.cluster_id] = r.n
+    ids = [np.array(sorted(s), np.int64) for s in sizes]
+    start = np.cumsum([0, *map(len, ids)])  # clusters of all partitions, one partition after the other
+    count = np.array([s[c] for s, i in zip(sizes, ids, strict=True) for c in i.tolist()], float)
+    n = sum(sizes[0].values())
     rows, columns = _cells(n)
     hashed = fixed.withColumn("own", F.pmod(F.xxhash64(F.lit(seed), FILE, ROW), F.lit(rows))).withColumn("other", F.pmod(F.xxhash64(F.lit(seed + 1), FILE, ROW), F.lit(columns)))
     cell = lambda r, c: (r * columns + c).cast("int").alias("cell")
     line = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    held = hashed.withColumn("r", line(rows)).select(cell(F.col("r"), F.col("other")), F.lit(0).alias("side"), F.lit(None).cast(f"struct<{FILE}:string,{ROW}:bigint>").alias("point"), "cluster_id", "vector")
-    read = hashed.withColumn("c", line(columns)).select(cell(F.col("own"), F.col("c")), F.lit(1).alias("side"), point.alias("point"), "cluster_id", "vector")
+    held = hashed.withColumn("r", line(rows)).select(cell(F.col("r"), F.col("other")), F.lit(0).alias("side"), F.lit(None).cast(f"struct<{FILE}:string,{ROW}:bigint>").alias("point"), "clusters", "vector")
+    read = hashed.withColumn("c", line(columns)).select(cell(F.col("own"), F.col("c")), F.lit(1).alias("side"), point.alias("point"), "clusters", "vector")
     met = held.unionByName(read).repartition(rows * columns, "cell").sortWithinPartitions("cell", "side")
 
+    def places(clusters: pa.Array) -> np.ndarray:
+        """Place of each row's cluster among all clusters, a column for each partition."""
+        found = clusters.flatten().to_numpy().reshape(len(clusters), -1)
+        return np.column_stack([np.searchsorted(i, found[:, j]) + start[j] for j, i in enumerate(ids)])
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, parts, matrix, square, number = None, [], None, None, None
+        now, parts, matrix = None, [], None
         for batch in batches:
             cells, sides = batch.column("cell").to_numpy(), batch.column("side").to_numpy()
             cut = np.append(np.flatnonzero(np.diff(2 * cells + sides, prepend=-1)), len(cells))
@@ -186,45 +200,52 @@ def silhouettes(points: DataFrame, key: str = "key", sample: int | None = SAMPLE
                 part = batch.slice(lo, hi - lo)
                 if cells[lo] != now:
                     now, parts, matrix = cells[lo], [], None
-                own = np.searchsorted(ids, part.column("cluster_id").to_numpy())
                 x = part.column("vector").flatten().to_numpy().reshape(hi - lo, -1)
                 if not sides[lo]:
-                    parts.append((x, own))
+                    parts.append((x, places(part.column("clusters"))))
                     continue
                 if matrix is None:
                     if not parts:
                         continue
-                    matrix, number = np.concatenate([p for p, _ in parts]), np.concatenate([o for _, o in parts])
+                    # columns in the order of their clusters; those with the same clusters in all partitions are added together first
+                    kinds, number = np.unique(np.concatenate([o for _, o in parts]), axis=0, return_inverse=True)
+                    number = number.ravel()
                     order = np.argsort(number, kind="stable")
-                    matrix, number = matrix[order], number[order]
-                    square = (matrix**2).sum(1)
-                    edge = np.flatnonzero(np.diff(number, prepend=-1))
-                for k in range(0, hi - lo, 256):
-                    y = x[k : k + 256]
-                    d = np.sqrt(np.maximum((y**2).sum(1)[:, None] + square - 2 * y @ matrix.T, 0))
-                    d[d < 1e-7] = 0
-                    sums = np.zeros((len(y), len(ids)))
-                    sums[:, number[edge]] = np.add.reduceat(d, edge, axis=1)
-                    at = pa.array(np.arange(0, sums.size + 1, len(ids), dtype=np.int32))
+                    matrix = np.concatenate([p for p, _ in parts])[order]
+                    edge = np.flatnonzero(np.diff(number[order], prepend=-1))
+                    matrix = np.column_stack([-2 * matrix, np.ones(len(matrix)), (matrix**2).sum(1)]).T
+                    spread = np.zeros((len(kinds), len(count)))
+                    spread[np.arange(len(kinds))[:, None], kinds] = 1
+                for k in range(0, hi - lo, 32):
+                    y = x[k : k + 32]
+                    d = np.column_stack([y, (y**2).sum(1), np.ones(len(y))]) @ matrix
+                    d *= d >= 1e-14  # the rounding of equal points
+                    np.sqrt(d, out=d)
+                    sums = np.add.reduceat(d, edge, axis=1) @ spread
+                    at = pa.array(np.arange(0, sums.size + 1, len(count), dtype=np.int32))
                     yield pa.RecordBatch.from_arrays([part.column("point").slice(k, len(y)), pa.ListArray.from_arrays(at, pa.array(sums.ravel()))], ["point", "sums"])
 
     found = met.mapInArrow(compare, f"point struct<{FILE}:string,{ROW}:bigint>, sums array<double>")
     total = found.groupBy("point").agg(vector_to_array(Summarizer.sum(array_to_vector("sums"))).alias("sums"))
-    total = fixed.select(key, "cluster_id", FILE, ROW).join(total.select("point.*", "sums"), [FILE, ROW])
+    total = fixed.select(key, "clusters", FILE, ROW).join(total.select("point.*", "sums"), [FILE, ROW])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sums = batch.column("sums").flatten().to_numpy().reshape(len(batch), -1)
-            own, i = np.searchsorted(ids, batch.column("cluster_id").to_numpy()), np.arange(len(batch))
-            a = sums[i, own] / np.maximum(count[own] - 1, 1)
-            means = sums / count
-            means[i, own] = np.inf
-            b = means.min(1)
-            s = np.where((count[own] > 1) & np.isfinite(b), (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("cluster_id"), pa.array(s)], [key, "cluster_id", "s"])
+            every, own, i = batch.column("sums").flatten().to_numpy().reshape(len(batch), -1), places(batch.column("clusters")), np.arange(len(batch))
+            scores = np.zeros((len(batch), len(ids)))
+            for j in range(len(ids)):
+                sums, size, mine = every[:, start[j] : start[j + 1]], count[start[j] : start[j + 1]], own[:, j] - start[j]
+                a = sums[i, mine] / np.maximum(size[mine] - 1, 1)
+                means = sums / size
+                means[i, mine] = np.inf
+                b = means.min(1)
+                scores[:, j] = np.where((size[mine] > 1) & np.isfinite(b), (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0.0)
+            at = pa.array(np.arange(0, scores.size + 1, len(ids), dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("clusters"), pa.ListArray.from_arrays(at, pa.array(scores.ravel()))], [key, "clusters", "scores"])
 
     kind = points.schema[key].dataType.simpleString()
-    return total.select(key, "cluster_id", "sums").mapInArrow(score, f"`{key}` {kind}, cluster_id long, s double")
+    scored = total.select(key, "clusters", "sums").mapInArrow(score, f"`{key}` {kind}, clusters array<long>, scores array<double>")
+    return scored.select(key, *[F.col("clusters")[j].alias(c) for j, c in enumerate(partitions)], "scores")
 
 
 def silhouette(points: DataFrame, key: str = "key", sample: int | None = SAMPLE) -> DataFrame:
@@ -238,14 +259,25 @@ def silhouette_groups(scores: DataFrame) -> DataFrame:
 
 def bundle(points: DataFrame, key: str = "key", sample: int | None = SAMPLE) -> DataFrame:
     """One row: silhouette (4 digits, never a negative zero), Calinski-Harabasz (2), Davies-Bouldin (4), purity (4)."""
+    return _bundle(points, silhouette(points, key, sample))
+
+
+def _bundle(points: DataFrame, score: DataFrame) -> DataFrame:
     groups = within(points)
-    parts = [silhouette(points, key, sample), calinski_harabasz(points, groups), davies_bouldin(points, groups), purity(points)]
-    row = parts[0]
-    for p in parts[1:]:
+    row = score
+    for p in (calinski_harabasz(points, groups), davies_bouldin(points, groups), purity(points)):
         row = row.crossJoin(F.broadcast(p))  # one row each
     return row.select((F.round("silhouette", 4) + 0.0).alias("silhouette"), F.round("calinski_harabasz", 2).alias("calinski_harabasz"), F.round("davies_bouldin", 4).alias("davies_bouldin"), "purity")
 
 
+def bundles(points: DataFrame, partitions: Sequence[str], key: str = "key", sample: int | None = SAMPLE) -> list[DataFrame]:
+    """The ``bundle`` of each of several partitions of ``points`` (columns of cluster ids); distances for their silhouettes are computed once."""
+    scores = silhouettes_of(points, partitions, key, sample)
+    means = scores.agg(*[F.avg(F.col("scores")[j]).alias(f"s{j}") for j in range(len(partitions))]).collect()[0]
+    one = lambda s: points.sparkSession.createDataFrame([(s,)], "silhouette double")
+    return [_bundle(points.withColumn("cluster_id", F.col(c)), one(s)) for c, s in zip(partitions, means, strict=True)]
+
+
 def medoids(points: DataFrame, key: str = "key", order: str | None = None) -> DataFrame:
     """The point nearest to each centroid (ties: the first in ``order``, else the smallest key)."""
     d = distance(F.col("vector"), F.col("centroid"))
