@@ -16,6 +16,7 @@ returned (``keep`` names those that are).  Memory: one text, and memos of a boun
 from __future__ import annotations
 
 import base64
+import ctypes
 import hashlib
 from collections.abc import Iterator
 
@@ -60,7 +61,7 @@ class Codec:
         for i, t in enumerate(tokens):
             self.automaton.add_word(t.decode("latin-1"), i)
         self.longest = max(map(len, tokens))
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}  # by left * number of tokens + right
         self.whole: dict[int, bool] = {}
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -85,11 +86,12 @@ class Codec:
         return found
 
     def _fit(self, left: int, right: int) -> bool:
-        found = self.fits.get((left, right))
+        pair = left * len(self.tokens) + right
+        found = self.fits.get(pair)
         if found is None:
             if len(self.fits) >= FITS:
                 self.fits.clear()
-            found = self.fits[left, right] = self.merged(self.tokens[left] + self.tokens[right]) == [left, right]
+            found = self.fits[pair] = self.merged(self.tokens[left] + self.tokens[right]) == [left, right]
         return found
 
     def piece(self, raw: bytes) -> list[int]:
@@ -145,6 +147,14 @@ class Codec:
         return self.flat[np.repeat(self.offsets[token] - (ends - n), n) + np.arange(ends[-1])].tobytes()
 
 
+def trimmed() -> None:
+    """Gives freed memory back to the system: a worker that is reused keeps what earlier tasks, of other stages too, have allocated and freed."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the GNU allocator has it
+    if trim:
+        trim(0)
+
+
 _CODECS: dict[str, Codec] = {}
 
 
@@ -169,6 +179,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, keep: tuple[str, ...]
     names = [*keep, "ids", *["decoded"] * decode]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trimmed()
         codec = _codec(sent.value, pattern)
         for batch in batches:
             texts = batch.column("skarn_text")

@@ -103,3 +103,19 @@ def test_stages_keep_columns_of_any_name(spark, odd_rows, k):
     else:
         assert len(rows) == len(ROWS) and sorted(r.n_tokens == 0 for r in rows) == sorted(not t for _, t in source)
     assert stage(spark, odd_rows.where("1 = 0"), SF).count() == 0
+
+
+def test_fits_are_kept_by_number():
+    """A pair of tokens in the memo of fits is one number, which takes less than half of a tuple's memory; pairs stay apart."""
+    import public_tokenizers as P
+
+    from skarn.llm import bpe
+
+    codec = bpe.Codec(bpe.read_ranks(P.path(corpus_pipeline.VOCABULARY)), P.PATTERN)
+    text = "Unwahrscheinlichkeitsrechnungen, straightforwardness; xyzzyplugh"
+    ids = codec.encode(text)
+    bpe.trimmed()
+    assert codec.decode(ids) == text.encode() and codec.encode(text) == ids
+    assert codec.fits and all(type(pair) is int for pair in codec.fits)
+    n = len(codec.tokens)
+    assert all(fit == (codec.merged(codec.tokens[pair // n] + codec.tokens[pair % n]) == [pair // n, pair % n]) for pair, fit in codec.fits.items())
